@@ -1,6 +1,6 @@
 """Registered query plans (one per operator family of the survey) and their SQL oracles."""
 
-from costwise.plans import economics, reports, scoring  # noqa: F401
+from costwise.plans import economics, ladder, reports, scoring  # noqa: F401
 from costwise.plans.common import REGISTRY, Plan  # noqa: F401
 
 
