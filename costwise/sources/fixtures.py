@@ -111,6 +111,24 @@ SELECT concat('D', CAST(doc_id AS STRING)) AS task_id, source AS model,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(30 + doc_id % 90 AS BIGINT) END AS input_tokens,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS output_tokens
 FROM {documents}
+""",
+    # two recorded distractor values per result task (from discount and tax).
+    "fx_distractors": """
+SELECT concat('L', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
+              CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS task_id,
+  CAST(floor(l_discount * 100) AS BIGINT) AS d1, CAST(floor(l_tax * 100) AS BIGINT) AS d2
+FROM {lineitem}
+""",
+    # model spec strings, valid and invalid, one per customer.
+    "fx_specs": """
+SELECT c_custkey AS spec_id,
+  concat(CASE WHEN c_custkey % 17 = 0 THEN '' ELSE
+           concat(CASE c_nationkey % 5 WHEN 0 THEN 'openai' WHEN 1 THEN 'moonshot' WHEN 2 THEN 'anthropic'
+                                       WHEN 3 THEN 'deepseek' ELSE 'acme' END, ':') END,
+         lower(c_mktsegment), '-', CAST(c_custkey % 7 AS STRING),
+         CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '#effort=low' WHEN 2 THEN '#thinking=off'
+                            WHEN 3 THEN '#effort=max' WHEN 4 THEN '#effort=high' ELSE '#bogus' END) AS spec
+FROM {customer}
 """,
     # op log per order; start value repeated on each row.
     "fx_ops": """
