@@ -219,12 +219,13 @@ WITH r AS (
     coalesce(stddev_samp(efficiency), CAST(0 AS DOUBLE)) AS efficiency_stddev
   FROM fx_results GROUP BY model, difficulty_bucket)
 SELECT model, difficulty_bucket, n, {R6('accuracy')} AS accuracy, {R6('efficiency_stddev')} AS efficiency_stddev
-FROM r WHERE accuracy >= CAST(0.95 AS DOUBLE) AND efficiency_stddev <= CAST(0.05 AS DOUBLE)
+FROM r WHERE accuracy >= CAST(0.95 AS DOUBLE) AND efficiency_stddev <= CAST(0.15 AS DOUBLE)
 """,
     "fx_results",
 )
 def saturated_cells(fx):
-    r = ev.saturated_cells(rep.stratified_report(fx["fx_results"]))
+    # the fixture's per-cell efficiency sd lies in 0.12-0.18, so 0.15 separates cells
+    r = ev.saturated_cells(rep.stratified_report(fx["fx_results"]), max_sd=0.15)
     return finish(r.select("model", "difficulty_bucket", "n", "accuracy", "efficiency_stddev"))
 
 
