@@ -14,21 +14,19 @@ PROVIDERS = ("moonshot", "openai", "anthropic", "deepseek")
 EFFORT_VALUES = ("low", "medium", "high")
 
 
-def _after_first(s: Column, sep: str) -> Column:
-    pos = F.instr(s, sep)
-    return F.when(pos > 0, F.substring(s, pos + 1, 1 << 30)).otherwise(F.lit(""))
+def _cut(s: Column, sep: str) -> tuple[Column, Column]:
+    """(before first ``sep`` or all of ``s``, after first ``sep`` or '') like str.partition."""
+    parts = F.split(s, sep, 2)
+    return F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
 def split_spec(spec: str | Column) -> Column:
     """Struct (provider, model_id, knob, knob_value, error); invalid specs get an error code
     instead of failing the job, so bad rows can be quarantined."""
     s = F.col(spec) if isinstance(spec, str) else spec
-    provider = F.substring_index(s, ":", 1)
-    rest = _after_first(s, ":")
-    model_id = F.substring_index(rest, "#", 1)
-    frag = _after_first(rest, "#")
-    knob = F.substring_index(frag, "=", 1)
-    value = _after_first(frag, "=")
+    provider, rest = _cut(s, ":")
+    model_id, frag = _cut(rest, "#")
+    knob, value = _cut(frag, "=")
     is_effort = (knob == "effort") & value.isin(*EFFORT_VALUES)
     is_thinking = (knob == "thinking") & (value == "off")
     error = (

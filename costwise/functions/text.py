@@ -32,9 +32,26 @@ def utf8_bytes(text: str | Column) -> Column:
     return F.octet_length(_col(text)).cast("bigint")
 
 
+def _marker_candidate(t: Column) -> Column:
+    """Cheap necessary condition of the marker pattern: one of its literal words
+    (ASCII, case-insensitive) occurs, or 'q' is followed by a digit."""
+    lo = F.lower(t)
+    return (
+        lo.contains("step") | lo.contains("stage") | lo.contains("problem") | lo.contains("part")
+        | t.rlike("(?i)q\\p{Nd}")
+    )
+
+
 def has_decomposition_marker(text: str | Column) -> Column:
-    """True when the prompt reads like it was split into steps for the model."""
-    return F.coalesce(_col(text).rlike(P.DECOMPOSITION_MARKERS), F.lit(False))
+    """True when the prompt reads like it was split into steps for the model.
+
+    The full pattern only runs on texts that pass the literal prefilter (a
+    CASE branch is evaluated lazily), which skips almost every document."""
+    t = _col(text)
+    return F.coalesce(
+        F.when(_marker_candidate(t), t.rlike(P.DECOMPOSITION_MARKERS)).otherwise(F.lit(False)),
+        F.lit(False),
+    )
 
 
 def number_runs(text: str | Column) -> Column:
@@ -50,16 +67,23 @@ def leaked_values(text: str | Column, hidden: str | Column) -> Column:
 
     A value leaks when it is not glued to another digit or a dot on either
     side, so ``42.`` at the end of a sentence does not count.
+
+    The text is scanned once per row for its number runs (the runs are bound
+    outside the per-value lambda); negative runs are extracted only for rows
+    that have a negative hidden value.
     """
     t = _col(text)
+    h = _col(hidden)
     runs = number_runs(t)
-    neg_runs = F.regexp_extract_all(t, F.lit(_NEG_RUN), 1)
-    return F.filter(
-        _col(hidden),
-        lambda v: F.when(
-            v >= 0, F.array_contains(runs, v.cast("string"))
-        ).otherwise(F.array_contains(neg_runs, v.cast("string"))),
-    )
+    neg_runs = F.when(
+        F.exists(h, lambda v: v < 0), F.regexp_extract_all(t, F.lit(_NEG_RUN), 1)
+    ).otherwise(F.array().cast("array<string>"))
+    both = F.array(F.struct(runs.alias("pos"), neg_runs.alias("neg")))
+    return F.element_at(F.transform(both, lambda r: F.filter(
+        h,
+        lambda v: F.when(v >= 0, F.array_contains(r["pos"], v.cast("string")))
+        .otherwise(F.array_contains(r["neg"], v.cast("string"))),
+    )), 1)
 
 
 def any_leak(text: str | Column, hidden: str | Column) -> Column:

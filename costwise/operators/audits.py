@@ -56,7 +56,8 @@ def replay_values(ops_array: str | Column, start: str | Column) -> Column:
             F.when(o["name"] == "gain", F.element_at(acc, -1) + o["k"])
             .when(o["name"] == "loss", F.element_at(acc, -1) - o["k"])
             .when(o["name"] == "scale", F.element_at(acc, -1) * o["k"])
-            .otherwise(F.floor(F.element_at(acc, -1) / o["k"]).cast("bigint"))
+            .otherwise(((F.element_at(acc, -1) - F.pmod(F.element_at(acc, -1), o["k"])).cast("decimal(38,0)")
+                        / o["k"].cast("decimal(38,0)")).cast("bigint"))
         )),
     )
 
