@@ -9,8 +9,9 @@
       dimension, the state per model holds only counts and sums, ratios are a
       projection of the aggregate.
 * I4  progress and rate: tumbling event-time windows per model.
-* I5  chunk streams: a session window per request closes a response after a
-      gap; the ordered concatenation runs on the window's rows.
+* I5  chunk streams: a session window per request closes a response once
+      event time has moved ``gap`` past its last chunk (append mode); the
+      ordered concatenation runs on the window's rows.
 
 Checkpoints and sink folders live under the session's ``spark.checkpoint.dir``
 (shared storage on a cluster), so a restarted driver resumes where it stopped.
@@ -29,10 +30,17 @@ from costwise.session import checkpoint_dir
 from costwise.sources.prices import bounded_broadcast
 
 
-def stream_table(spark: SparkSession, folder: str, table: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file-source stream over the parquet files of one table in ``folder``."""
+def stream_table(
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    max_files_per_trigger: int | None = None,
+    pattern: str | None = None,
+) -> DataFrame:
+    """A file-source stream over the parquet files of one table in ``folder``
+    (files named ``<table>.parquet``, or matching ``pattern``)."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern or f"{table}.parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(folder)

@@ -27,10 +27,14 @@ def _chunks(df):
 def test_chunk_sessions_stream_equals_batch(spark):
     folder = tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp")
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
-    conv.repartition(3).write.parquet(os.path.join(folder, "conversations.parquet"))
-    stream = _chunks(jobs.stream_table(spark, folder, "conversations"))
-    path = jobs.run_updates(jobs.collapse_chunk_sessions(stream, "ts", "10 minutes"), "chunks")
-    got = jobs.latest_updates(spark, path, ["request_id"])
+    conv.toPandas().to_parquet(os.path.join(folder, "conversations.parquet"))
+    # a later file whose event time moves the watermark past every real session
+    late = spark.createDataFrame([(10**6, 0, "user", "late")], conv.schema)
+    late.toPandas().to_parquet(os.path.join(folder, "conversations_late.parquet"))
+    stream = _chunks(jobs.stream_table(spark, folder, "conversations", max_files_per_trigger=1,
+                                       pattern="conversations*.parquet"))
+    path = jobs.run_append(jobs.collapse_chunk_sessions(stream, "ts", "10 minutes"), "chunks")
+    got = spark.read.parquet(path).filter(F.col("request_id") < 10**6)
     want = collapse_chunks(_chunks(conv).drop("ts"), block_size=3)
     cols = ["request_id", "content", "reasoning", "completion_tokens", "finish_reason", "n_chunks"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(
