@@ -1,0 +1,18 @@
+"""Physical layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (regex over whole texts, synthesis folds)
+    when the input has fewer splits than the cluster has cores.
+
+    A table stored as one large row group is read by one task; a round-robin
+    repartition (deterministic on retry: Spark sorts rows before it) moves the
+    rows once so the expensive projection runs everywhere. Inputs that already
+    have enough splits are returned unchanged, so on a large multi-file table
+    this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -1,6 +1,6 @@
 """Registered query plans (one per operator family of the survey) and their SQL oracles."""
 
-from costwise.plans import audits, economics, evidence, ladder, reports, scoring, streaming  # noqa: F401
+from costwise.plans import audits, economics, evidence, ladder, reports, scoring, streaming, synthesis  # noqa: F401
 from costwise.plans.common import REGISTRY, Plan  # noqa: F401
 
 

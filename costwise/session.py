@@ -30,6 +30,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = {
+        # local mode: the driver JVM is the executor; ignored once a JVM is up
+        "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -12,11 +12,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costwise.operators.layout import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows carry whole texts that regexes and tokenizers scan.
+TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
+
 FX_SQL: dict[str, str] = {
     # results: one row per (task, model) with known answers, tokens, cost, V*.
     "fx_results": """
@@ -188,7 +193,10 @@ class Fixtures:
                 refs = {n: self.table(n) for n in _inputs(tpl)}
                 self._cache[name] = self.spark.sql(tpl, **refs)
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in TEXT_TABLES:
+                    df = spread(df)
+                self._cache[name] = df
         return self._cache[name]
 
     __getitem__ = table
