@@ -54,7 +54,7 @@ def persistent_failures(results: DataFrame, group_col: str = "group_seed") -> Da
     return g.withColumn("status", status)
 
 
-def prefix_growth(tasks: DataFrame, group_col: str = "group_seed") -> DataFrame:
+def prefix_growth(tasks: DataFrame, group_col: str = "group_seed", extra: list[str] | None = None) -> DataFrame:
     """Within a group, the op list at rung d is the prefix of the
     deepest rung's list and the prompt grows strictly with depth.
 
@@ -64,7 +64,7 @@ def prefix_growth(tasks: DataFrame, group_col: str = "group_seed") -> DataFrame:
     deepest_ops = F.last("ops").over(whole)
     prev_len = F.lag(F.length("merged_prompt")).over(by_depth)
     return tasks.select(
-        group_col, "depth",
+        group_col, "depth", *(extra or []),
         (F.slice(deepest_ops, 1, F.size("ops")) == F.col("ops")).alias("is_prefix"),
         F.coalesce(F.length("merged_prompt") > prev_len, F.lit(True)).alias("prompt_grows"),
     )

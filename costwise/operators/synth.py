@@ -137,21 +137,22 @@ def _chain(seed: Column, attempt: Column, depth: Column, place: Column, items: C
 
     def step(acc: Column, i: Column) -> Column:
         v = acc["v"]
+        top_scale = F.least(F.lit(9).cast("bigint"), F.floor(F.lit(VALUE_CAP) / v).cast("bigint"))
         rules = F.struct(
             F.least(F.lit(96).cast("bigint"), v - 2).alias("loss_hi"),
-            F.filter(F.sequence(F.lit(2).cast("bigint"), F.lit(9).cast("bigint")),
-                     lambda k: v * k <= VALUE_CAP).alias("scale_ks"),
+            F.when(top_scale >= 2, F.sequence(F.lit(2).cast("bigint"), top_scale))
+            .otherwise(F.array().cast("array<bigint>")).alias("scale_ks"),
             F.filter(F.sequence(F.lit(2).cast("bigint"), F.lit(12).cast("bigint")),
                      lambda k: (F.pmod(v, k) == 0) & (F.floor(v / k) >= 2)).alias("split_ks"),
         )
 
         def choose(r: Column) -> Column:
-            cands = F.filter(
-                F.array(F.lit("gain"), F.lit("loss"), F.lit("scale"), F.lit("split")),
-                lambda o: F.when(o == "gain", v + 96 <= VALUE_CAP)
-                .when(o == "loss", r["loss_hi"] >= 7)
-                .when(o == "scale", F.size(r["scale_ks"]) > 0)
-                .otherwise(F.size(r["split_ks"]) > 0),
+            none = F.array().cast("array<string>")
+            cands = F.concat(
+                F.when(v + 96 <= VALUE_CAP, F.array(F.lit("gain"))).otherwise(none),
+                F.when(r["loss_hi"] >= 7, F.array(F.lit("loss"))).otherwise(none),
+                F.when(F.size(r["scale_ks"]) > 0, F.array(F.lit("scale"))).otherwise(none),
+                F.when(F.size(r["split_ks"]) > 0, F.array(F.lit("split"))).otherwise(none),
             )
             op = F.element_at(cands, (keyed_draw(F.size(cands), seed, attempt, "op", i) + 1).cast("int"))
             return let(F.struct(op.alias("op"), r["loss_hi"].alias("loss_hi"), r["scale_ks"].alias("scale_ks"),
@@ -257,24 +258,24 @@ def _attempt(a: Column) -> Column:
     return let(setting, with_setting)
 
 
-def _first_valid(lo: int, hi: int) -> Column:
-    tries = F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), _attempt)
-    return F.try_element_at(F.filter(tries, lambda x: x["valid"]), F.lit(1))
-
-
-ATTEMPT_BLOCKS = ((0, 1), (1, 4), (4, MAX_ATTEMPTS))
-
-
 def synthesize_chains(seeds: DataFrame) -> DataFrame:
     """K3 + K6 + K9: one task per (seed, depth, distractors) row.
 
-    A seed's attempts stay inside its own row: ``coalesce`` over blocks of
-    attempts ([0], [1..3], [4..24]) evaluates a later block only when every
-    attempt of the earlier ones is invalid, so the work is about the attempts
-    actually needed, and the whole job is one narrow projection (no shuffle).
-    Seeds that never validate are kept with ``status = 'rejected'``."""
-    win = F.coalesce(*[_first_valid(lo, hi) for lo, hi in ATTEMPT_BLOCKS])
-    w = once(spread(seeds.select("seed", "depth", "distractors")), "w", win)
+    A seed's attempts stay inside its own row: a fold over attempts 0..24
+    keeps the first valid attempt, and once one is found the remaining steps
+    return it unchanged without building another attempt (CASE is lazy). The
+    work is the attempts actually needed, the attempt expression appears once
+    in the plan, and the job is one narrow projection (no shuffle). Seeds that
+    never validate are kept with ``status = 'rejected'``."""
+    base = spread(seeds.select("seed", "depth", "distractors"))
+    found_type = base.limit(0).select(_attempt(F.lit(0)).alias("x")).schema["x"].dataType
+    none = F.lit(None).cast(found_type)
+    first_valid = F.aggregate(
+        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
+        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
+            let(_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
+    )
+    w = once(base, "w", first_valid)
     tasks = _finish_tasks(w.select("seed", "depth", "distractors", "w.*"))
     return tasks.withColumn("status", F.when(F.col("attempt").isNull(), "rejected").otherwise("ok"))
 

@@ -78,16 +78,15 @@ def paired_ladder_audit(fx):
     rungs = sy.paired_ladder(groups, list(range(3, 31, 3)))
     from costwise.operators.paired import prefix_growth
 
-    pg = prefix_growth(rungs)
+    pg = prefix_growth(rungs.withColumn("dset", F.array_join(
+        F.transform("distractor_values", lambda v: v.cast("string")), ",")), extra=["dset"])
     per_group = pg.groupBy("group_seed").agg(
         F.count(F.lit(1)).alias("n_rungs"),
         F.count_if(~F.col("is_prefix")).alias("not_prefix"),
         F.count_if(~F.col("prompt_grows")).alias("not_growing"),
+        F.count_distinct("dset").alias("n_distractor_sets"),
     )
-    dist = rungs.groupBy("group_seed").agg(F.count_distinct(F.array_join(
-        F.transform("distractor_values", lambda v: v.cast("string")), ",")).alias("n_distractor_sets"))
-    j = per_group.join(dist, "group_seed")
-    return j.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_rungs").alias("n_tasks"),
-                 F.count_if(F.col("not_prefix") > 0).alias("groups_not_prefix"),
-                 F.count_if(F.col("not_growing") > 0).alias("groups_prompt_not_growing"),
-                 F.count_if(F.col("n_distractor_sets") != 1).alias("groups_distractors_differ"))
+    return per_group.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_rungs").alias("n_tasks"),
+                         F.count_if(F.col("not_prefix") > 0).alias("groups_not_prefix"),
+                         F.count_if(F.col("not_growing") > 0).alias("groups_prompt_not_growing"),
+                         F.count_if(F.col("n_distractor_sets") != 1).alias("groups_distractors_differ"))
