@@ -46,7 +46,11 @@ def _spend() -> Column:
 def priced_totals(results: DataFrame, prices: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Per-key totals joined with the sheet: spend and $/correct (NULL when unpriced
     or nothing correct)."""
-    totals = attach_prices(model_totals(results, keys), prices)
+    return _priced(model_totals(results, keys), prices)
+
+
+def _priced(totals: DataFrame, prices: DataFrame) -> DataFrame:
+    totals = attach_prices(totals, prices)
     spend = F.when(F.col("priced"), _spend()).otherwise(F.lit(0.0))
     return (
         totals.withColumn("spend_dollars", spend)
@@ -76,7 +80,15 @@ def leaderboard(results: DataFrame, prices: DataFrame) -> DataFrame:
     ``status`` is 'unpriced' when $/correct is unavailable (S5); ties are
     broken by model name.
     """
-    t = priced_totals(results, prices)
+    return _rank(priced_totals(results, prices))
+
+
+def leaderboard_from_totals(totals: DataFrame, prices: DataFrame) -> DataFrame:
+    """The leaderboard from already reduced per-model totals (see reports.comparison)."""
+    return _rank(_priced(totals, prices))
+
+
+def _rank(t: DataFrame) -> DataFrame:
     dpc = F.col("dollars_per_correct")
     evr = F.col("accuracy") * F.col("mean_efficiency")
     order = Window.orderBy(dpc.isNull(), F.when(dpc.isNull(), -evr).otherwise(dpc), F.col("model"))

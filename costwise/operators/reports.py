@@ -118,3 +118,77 @@ def cost_decomposition(results: DataFrame) -> DataFrame:
     return out.withColumn(
         "status", F.when(F.col("per_step_tokens").isNull(), F.lit("needs >=2 depths")).otherwise("ok")
     )
+
+
+def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True) -> dict[str, DataFrame]:
+    """Leaderboard, pivots and cost decomposition from one scan of the results.
+
+    The fact table is reduced once to per (model, bucket) sums and counts; every
+    view is an aggregate of that small table (means are recomputed from sums,
+    never averaged). With ``checkpoint`` the cell table is written to the
+    session's checkpoint folder, so the views do not rescan the results."""
+    from costwise.functions.cost import waste_ratio
+    from costwise.operators.economics import leaderboard_from_totals
+
+    correct = F.col("terminal_correct")
+    depth = depth_from_bucket("difficulty_bucket").cast("double")
+    cells = results.groupBy("model", "difficulty_bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(correct).alias("n_correct"),
+        F.sum("input_tokens").alias("sum_input_tokens"),
+        F.sum("output_tokens").alias("sum_output_tokens"),
+        F.sum("efficiency").alias("sum_efficiency"),
+        F.count("efficiency").alias("n_efficiency"),
+        F.sum(F.when(correct, waste_ratio("cost", "v_star"))).alias("sum_waste"),
+        F.first(depth).alias("depth"),
+    )
+    if checkpoint:
+        checkpoint_dir(results.sparkSession)
+        cells = cells.checkpoint(eager=True)
+    per_model = cells.groupBy("model").agg(
+        F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"),
+        F.sum("sum_input_tokens").alias("sum_input_tokens"),
+        F.sum("sum_output_tokens").alias("sum_output_tokens"),
+        (F.sum("sum_efficiency") / F.sum("n_efficiency")).alias("_mean_eff"),
+        (F.sum("sum_waste") / F.sum("n_correct")).alias("mean_waste"),
+        (F.sum("sum_input_tokens") / F.sum("n")).alias("mean_input_tokens"),
+        (F.sum("sum_output_tokens") / F.sum("n")).alias("mean_output_tokens"),
+        # least squares from grouped sums (depth is constant within a bucket)
+        F.sum(F.col("n") * F.col("depth")).alias("sx"),
+        F.sum(F.col("n") * F.col("depth") * F.col("depth")).alias("sxx"),
+        F.sum(F.col("depth") * F.col("sum_output_tokens")).alias("sxy"),
+    )
+    n = F.col("n").cast("double")
+    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    cov = F.col("sxy") - F.col("sx") * F.col("sum_output_tokens") / n
+    slope = F.when(var_x > 0, cov / var_x)
+    decomposition = per_model.select(
+        "model",
+        (F.col("sum_output_tokens") / n - slope * F.col("sx") / n).alias("base_output_tokens"),
+        slope.alias("per_step_tokens"), "n",
+        F.when(slope.isNull(), F.lit("needs >=2 depths")).otherwise("ok").alias("status"),
+    )
+    buckets = ordered_buckets(cells)
+    views = {
+        "cells": cells,
+        "leaderboard": leaderboard_from_totals(per_model, prices),
+        "decomposition": decomposition,
+    }
+    eff = F.col("sum_efficiency") / F.col("n_efficiency")
+    long = {
+        "accuracy": _cell_text(F.col("n_correct") / F.col("n"), F.lit(False)),
+        "efficiency": _cell_text(eff, F.col("n_efficiency") == 0),
+    }
+    for metric, cell in long.items():
+        views[f"pivot_{metric}"] = _widen(cells.select("model", "difficulty_bucket", cell.alias("cell")), buckets)
+    priced = attach_prices(cells, prices)
+    units = (F.col("sum_input_tokens").cast("double") * F.col("price_in")
+             + F.col("sum_output_tokens").cast("double") * F.col("price_out"))
+    cost_cell = _cell_text(to_dollars(units) / F.col("n_correct"), ~F.col("priced") | (F.col("n_correct") == 0))
+    views["pivot_cost"] = _widen(priced.select("model", "difficulty_bucket", cost_cell.alias("cell")), buckets)
+    return views
+
+
+def _widen(long: DataFrame, buckets: Sequence[str]) -> DataFrame:
+    wide = long.groupBy("model").pivot("difficulty_bucket", list(buckets)).agg(F.first("cell"))
+    return wide.select("model", *[F.coalesce(F.col(f"`{b}`"), F.lit("-")).alias(b) for b in buckets])

@@ -96,3 +96,19 @@ FROM d GROUP BY model
 )
 def cost_decomposition(fx):
     return finish(rep.cost_decomposition(fx["fx_results"]))
+
+
+def _comparison(fx):
+    return rep.comparison(fx["fx_results"], fx["fx_prices"])
+
+
+# D7 views share the oracles of the direct queries: one scan must give the same answers.
+for _view, _direct in (("leaderboard", "leaderboard"), ("pivot_accuracy", "pivot_accuracy"),
+                       ("pivot_efficiency", "pivot_efficiency"), ("pivot_cost", "pivot_cost"),
+                       ("decomposition", "cost_decomposition")):
+    def _build(fx, _view=_view):
+        return finish(_comparison(fx)[_view])
+
+    from costwise.plans.common import REGISTRY as _R, Plan as _P
+
+    _R[f"comparison_{_view}"] = _P(f"comparison_{_view}", _build, _R[_direct].oracle, "D7")
