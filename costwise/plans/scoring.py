@@ -211,3 +211,31 @@ def calibration_scores(fx):
         F.coalesce(F.avg("efficiency"), F.lit(0.0)).alias("mean_efficiency"),
         F.avg("output_tokens").alias("mean_output_tokens"),
     ))
+
+
+@plan(
+    "consistency_calibration", "K18 B8 B9",
+    f"""
+WITH claims AS (
+  SELECT task_id, {_A} AS a, {_B} AS b, {_C} AS c, {_V} AS verdict
+  FROM fx_responses WHERE template_id = 'consistency'),
+g AS (
+  SELECT 'consistency_echo_model' AS model,
+    coalesce((a = b + c) = (verdict = 'consistent'), false) AS ok FROM claims
+  UNION ALL
+  SELECT 'confabulating_consistency_model' AS model,
+    coalesce(a + 1 = b + c, false) AS ok FROM claims)
+SELECT model, count(*) AS n, count(*) FILTER (WHERE ok) AS n_correct FROM g GROUP BY model
+""",
+    "fx_responses",
+)
+def consistency_calibration(fx):
+    from costwise.functions.answers import consistency_fields, grade_consistency
+
+    r = fx["fx_responses"].filter(F.col("template_id") == "consistency")
+    claims = r.select("task_id", consistency_fields("response_text").alias("f")).select(
+        "task_id", F.col("f.a").cast("string").alias("a"), F.col("f.b").cast("string").alias("b"),
+        F.col("f.c").cast("string").alias("c"), "f.verdict")
+    replies = sc.consistency_calibration(claims)
+    graded = replies.select("model", grade_consistency(consistency_fields("response_text")).alias("ok"))
+    return graded.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_correct"))

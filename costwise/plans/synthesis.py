@@ -90,3 +90,27 @@ def paired_ladder_audit(fx):
                          F.count_if(F.col("not_prefix") > 0).alias("groups_not_prefix"),
                          F.count_if(F.col("not_growing") > 0).alias("groups_prompt_not_growing"),
                          F.count_if(F.col("n_distractor_sets") != 1).alias("groups_distractors_differ"))
+
+
+@plan("replay_check", "C10 G5 A4", None)
+def replay_check(fx):
+    """Record a generated task set as a table in the checkpoint folder, regenerate
+    it from the same seeds and compare: status counts and rows differing."""
+    import uuid
+
+    from costwise.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(fx.spark).rstrip('/')}/recorded-tasks-{uuid.uuid4().hex[:12]}"
+    cols = ["task_id", "merged_prompt", "canonical_terminal_answer", "ops"]
+    sy.synthesize_chains(_part_seeds(fx)).select(*cols).write.mode("overwrite").parquet(path)
+    recorded = fx.spark.read.parquet(path)
+    regenerated = sy.synthesize_chains(_part_seeds(fx)).select(*cols)
+    status = au.replay_check(recorded, regenerated, ["merged_prompt", "canonical_terminal_answer", "ops"])
+    diff = au.same_rows(recorded.select(*cols[:3]), regenerated.select(*cols[:3]))
+    n_diff = diff.select(F.count(F.lit(1))).scalar()
+    return status.agg(
+        F.count_if(F.col("status") == "same").alias("n_same"),
+        F.count_if(F.col("status") == "changed").alias("n_changed"),
+        F.count_if(F.col("status") == "only_recorded").alias("n_only_recorded"),
+        F.count_if(F.col("status") == "only_regenerated").alias("n_only_regenerated"),
+    ).select("*", n_diff.alias("n_rows_differing"))

@@ -165,3 +165,57 @@ def test_compact_dollars_and_sig_rounding(spark):
     df2 = spark.createDataFrame([(123456789012.345,), (0.000123456789123,), (0.0,)], "v double")
     got2 = [r[0] for r in df2.select(round_sig("v", 9)).collect()]
     assert got2 == [123456789000.0, 0.000123456789, 0.0]
+
+
+def test_block_and_chat_payloads(spark):
+    import json
+
+    from costwise.functions import block_usage, chat_usage
+
+    blocks = json.dumps({"content": [{"type": "thinking", "thinking": "hmm"}, {"type": "text", "text": "The "},
+                                     {"type": "thinking", "thinking": ""}, {"type": "text", "text": "answer is 4"}],
+                         "usage": {"input_tokens": 12, "output_tokens": 30}, "stop_reason": "end_turn"})
+    no_think = json.dumps({"content": [{"type": "text", "text": "4"}], "usage": {"input_tokens": 1, "output_tokens": 2},
+                           "stop_reason": "max_tokens"})
+    df = spark.createDataFrame([(blocks,), (no_think,)], "p string")
+    rows = df.select(block_usage("p").alias("u")).select("u.*").collect()
+    assert rows[0]["text"] == "The answer is 4" and rows[0]["thinking_content"] == "hmm"
+    assert rows[0]["input_tokens"] == 12 and rows[0]["stop_reason"] == "end_turn"
+    assert rows[1]["thinking_content"] is None
+    chat = spark.createDataFrame([('{"finish_reason":"length"}',),
+                                  ('{"usage":{"prompt_tokens":5,"completion_tokens":7},"finish_reason":"stop",'
+                                   '"reasoning_content":""}',)], "p string")
+    c = chat.select(chat_usage("p").alias("u")).select("u.*").collect()
+    assert c[0]["input_tokens"] is None and c[0]["provider_usage"] is False and c[0]["finish_reason"] == "length"
+    assert c[1]["output_tokens"] == 7 and c[1]["provider_usage"] is True and c[1]["reasoning_content"] is None
+
+
+def test_depth_from_parameters(spark):
+    from costwise.functions import depth_from_parameters
+
+    df = spark.createDataFrame([('{"recipe": {"per_segment_difficulty": {"depth": 12}}}',), ("{}",)], "p string")
+    assert [r[0] for r in df.select(depth_from_parameters("p")).collect()] == [12, None]
+
+
+def test_score_with_provider_fallback(spark):
+    from costwise.operators.scoring import calibration_responses, score
+
+    tasks = spark.createDataFrame(
+        [("t1", "chain", "2.0.0", "one two three four five six seven eight nine ten", "42", 14, 1, "depth_3"),
+         ("t2", "consistency", "2.0.0", "check it", "consistent", 3, 1, "depth_3")],
+        "task_id string, template_id string, generator_version string, merged_prompt string, "
+        "canonical_terminal_answer string, v_star_input_tokens bigint, v_star_output_tokens bigint, "
+        "difficulty_bucket string")
+    responses = spark.createDataFrame(
+        [("t1", "m", "so the answer is 42", None, 9), ("t1", "n", "maybe 41", 100, None),
+         ("t2", "m", "a=10, b=4, c=6, verdict=consistent", 5, 5)],
+        "task_id string, model string, response_text string, input_tokens bigint, output_tokens bigint")
+    out = {(r["task_id"], r["model"]): r for r in score(tasks, responses).collect()}
+    assert out[("t1", "m")]["input_tokens"] == 13 and out[("t1", "m")]["terminal_correct"] is True
+    assert out[("t1", "n")]["output_tokens"] == 2 and out[("t1", "n")]["efficiency"] is None
+    assert out[("t2", "m")]["parsed_terminal"] == "consistent" and out[("t2", "m")]["terminal_correct"] is True
+    assert abs(out[("t1", "m")]["efficiency"] - (14 + 4) / (13 + 36)) < 1e-12
+    cal = {r["model"]: r for r in score(tasks.limit(1), calibration_responses(tasks.limit(1))).collect()}
+    assert cal["echo_model"]["terminal_correct"] and cal["verbose_echo_model"]["terminal_correct"]
+    assert not cal["wrong_echo_model"]["terminal_correct"]
+    assert cal["verbose_echo_model"]["efficiency"] < cal["echo_model"]["efficiency"]
