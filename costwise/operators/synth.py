@@ -334,3 +334,144 @@ def paired_ladder(groups: DataFrame, depths: Sequence[int], distractors: int = 2
         F.slice("values", 1, F.col("rung")).alias("values"), "distractor_values",
         prompt.alias("merged_prompt"), answer.alias("canonical_terminal_answer"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Ledger tasks (K4, K5, K11): groups x days of distinct cells, narrated by day;
+# the answer is the highest group total minus the lowest.
+#
+# Fixed values that must equal the reference for identical results:
+#   2 or 3 groups; days capped at 7; cells distinct in 41..196
+#   reject: tied group totals, a difference below 2, a total or the difference
+#   equal to a visible cell; distractor values in 3..250 outside every cell,
+#   total and the difference
+LEDGER_FAMILY = "cw_ledger"
+LEDGER_NAMESPACE = f"{LEDGER_FAMILY}/{VERSION}"
+LEDGER_GROUPS = ["Alder", "Birch", "Cedar", "Maple", "Rowan"]
+LEDGER_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+LEDGER_SITES = ["depot", "yard", "dock"]
+LEDGER_UNITS = ["crates", "pallets", "drums"]
+LEDGER_DISTRACTOR = "An inspector also counted {d} {units} at the {g} {site}, which are not in the log."
+LEDGER_QUESTION = ("What is the difference between the highest and the lowest weekly total of {units} "
+                   "across the {site}s? Reply with one integer.")
+
+
+def _ldraw(m, *parts) -> Column:
+    cols = [F.lit(p) if isinstance(p, str) else p.cast("bigint") for p in parts]
+    h = F.xxhash64(F.lit(LEDGER_NAMESPACE), *cols)
+    mm = F.lit(m) if isinstance(m, int) else m
+    return F.pmod(h, mm.cast("bigint"))
+
+
+def _keyed_sample(values: Column, n: Column, *key) -> Column:
+    """n distinct elements of ``values`` in keyed random order (rank by hash, slice)."""
+    ranked = F.array_sort(F.transform(values, lambda x: F.struct(
+        F.xxhash64(F.lit(LEDGER_NAMESPACE), *[F.lit(k) if isinstance(k, str) else k.cast("bigint") for k in key],
+                   x.cast("string")).alias("h"),
+        x.alias("v"))))
+    return F.slice(F.transform(ranked, lambda r: r["v"]), 1, n)
+
+
+def _ledger_attempt(a: Column) -> Column:
+    seed, depth, dist = F.col("seed"), F.col("depth"), F.col("distractors")
+    setting = F.struct(
+        (F.lit(2) + _ldraw(2, seed, a, "n_groups")).cast("int").alias("g"),
+        F.least(depth, F.lit(len(LEDGER_DAYS))).cast("int").alias("days"),
+        F.element_at(F.array(*map(F.lit, LEDGER_SITES)), (_ldraw(len(LEDGER_SITES), seed, a, "site") + 1).cast("int")).alias("site"),
+        F.element_at(F.array(*map(F.lit, LEDGER_UNITS)), (_ldraw(len(LEDGER_UNITS), seed, a, "units") + 1).cast("int")).alias("units"),
+    )
+
+    def with_setting(st: Column) -> Column:
+        names = _keyed_sample(F.array(*map(F.lit, LEDGER_GROUPS)), st["g"], seed, a, "names")
+        cells = _keyed_sample(F.sequence(F.lit(41).cast("bigint"), F.lit(196).cast("bigint")),
+                              st["g"] * st["days"], seed, a, "cells")
+        return let(F.struct(names.alias("names"), cells.alias("cells")), lambda c: with_cells(st, c))
+
+    def with_cells(st: Column, c: Column) -> Column:
+        gi = F.sequence(F.lit(0), st["g"] - 1)
+        totals = F.transform(gi, lambda i: F.aggregate(
+            F.slice(c["cells"], i * st["days"] + 1, st["days"]), F.lit(0).cast("bigint"), lambda s, x: s + x))
+        return let(totals, lambda t: with_totals(st, c, t))
+
+    def with_totals(st: Column, c: Column, t: Column) -> Column:
+        diff = F.array_max(t) - F.array_min(t)
+        hidden = F.concat(t, F.array(diff))
+        day_names = F.slice(F.array(*map(F.lit, LEDGER_DAYS)), 1, st["days"])
+
+        def entry(d: Column, i: Column) -> Column:
+            return F.format_string("the %s %s logged %s %s", F.element_at(c["names"], i + 1), st["site"],
+                                   F.element_at(c["cells"], i * st["days"] + d).cast("string"), st["units"])
+
+        def day_sentence(day: Column, d: Column) -> Column:
+            parts = F.transform(gi_seq(st), lambda i: entry(d + 1, i))
+            head = F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", ")
+            return F.format_string("On %s, %s, while %s.", day, head, F.element_at(parts, -1))
+
+        sents = F.transform(day_names, day_sentence)
+        forbidden = F.array_union(c["cells"], hidden)
+        pool = F.array_except(F.sequence(F.lit(3).cast("bigint"), F.lit(250).cast("bigint")), forbidden)
+        dvals = _keyed_sample(pool, dist, seed, a, "dvals")
+
+        def ins(acc: Column, d: Column) -> Column:
+            pos = (F.lit(2) + _ldraw(F.size(acc["s"]), seed, a, "dpos", acc["j"])).cast("int")
+            g = F.element_at(c["names"], (_ldraw(st["g"], seed, a, "dgroup", acc["j"]) + 1).cast("int"))
+            sent = F.format_string(LEDGER_DISTRACTOR.replace("{d}", "%s").replace("{units}", "%s")
+                                   .replace("{g}", "%s").replace("{site}", "%s"),
+                                   d.cast("string"), st["units"], g, st["site"])
+            return F.struct(F.array_insert(acc["s"], pos, sent).alias("s"), (acc["j"] + 1).alias("j"))
+
+        placed = F.aggregate(dvals, F.struct(sents.alias("s"), F.lit(0).alias("j")), ins)["s"]
+        question = F.format_string(LEDGER_QUESTION.replace("{units}", "%s").replace("{site}", "%s"),
+                                   st["units"], st["site"])
+        prompt = F.array_join(F.concat(placed, F.array(question)), " ")
+        return let(prompt, lambda pr: F.struct(
+            a.cast("int").alias("attempt"), st["g"].alias("n_groups"), st["days"].alias("n_days"),
+            c["names"].alias("groups"), c["cells"].alias("cells"), t.alias("totals"),
+            diff.alias("answer"), dvals.alias("distractor_values"), pr.alias("merged_prompt"),
+            ((F.size(F.array_distinct(t)) == st["g"]) & (diff >= 2)
+             & ~F.arrays_overlap(hidden, c["cells"])
+             & (F.size(leaked_values(pr, hidden)) == 0)
+             & ~has_decomposition_marker(pr)
+             & (F.size(dvals) == dist)).alias("valid"),
+        ))
+
+    def gi_seq(st: Column) -> Column:
+        return F.sequence(F.lit(0), st["g"] - 1)
+
+    return let(setting, with_setting)
+
+
+def synthesize_ledgers(seeds: DataFrame) -> DataFrame:
+    """K4 + K5 + K6 + K9: one ledger task per (seed, depth, distractors) row, as
+    one narrow projection (first valid attempt by a lazily exiting fold)."""
+    base = spread(seeds.select("seed", "depth", "distractors"))
+    found_type = base.limit(0).select(_ledger_attempt(F.lit(0)).alias("x")).schema["x"].dataType
+    none = F.lit(None).cast(found_type)
+    first_valid = F.aggregate(
+        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
+        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
+            let(_ledger_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
+    )
+    w = once(base, "w", first_valid).select("seed", "depth", "distractors", "w.*")
+    answer = F.col("answer").cast("string")
+    difficulty = F.format_string("[('depth', %d), ('distractors', %d)]", F.col("depth"), F.col("distractors"))
+    digest = F.sha2(F.concat(F.lit(LEDGER_FAMILY), F.lit(VERSION), F.col("seed").cast("string"), difficulty,
+                             F.col("merged_prompt"), answer), 256)
+    return w.select(
+        F.concat(F.lit(f"{LEDGER_FAMILY}::{VERSION}::"), F.substring(digest, 1, 12)).alias("task_id"),
+        "seed", "depth", "distractors", "attempt", "n_groups", "n_days", "groups", "cells", "totals",
+        "distractor_values", "merged_prompt", answer.alias("canonical_terminal_answer"),
+        heuristic_tokens(F.col("merged_prompt")).alias("v_star_input_tokens"),
+        heuristic_tokens(answer).alias("v_star_output_tokens"),
+        F.concat(F.lit("ledger_d"), F.col("depth").cast("string")).alias("difficulty_bucket"),
+        F.when(F.col("attempt").isNull(), "rejected").otherwise("ok").alias("status"),
+    )
+
+
+def ledger_cells_long(tasks: DataFrame) -> DataFrame:
+    """Recorded ledger cells in long form (task_id, grp, day_idx, value) for D10 / K11."""
+    per_group = tasks.select("task_id", "n_days", F.posexplode("groups").alias("gi", "grp"), "cells")
+    return per_group.select(
+        "task_id", "grp",
+        F.posexplode(F.slice("cells", F.col("gi") * F.col("n_days") + 1, F.col("n_days"))).alias("day_idx", "value"),
+    )

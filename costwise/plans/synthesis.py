@@ -114,3 +114,46 @@ def replay_check(fx):
         F.count_if(F.col("status") == "only_recorded").alias("n_only_recorded"),
         F.count_if(F.col("status") == "only_regenerated").alias("n_only_regenerated"),
     ).select("*", n_diff.alias("n_rows_differing"))
+
+
+def _customer_seeds(fx):
+    c = fx["customer"]
+    return c.select(F.col("c_custkey").alias("seed"), (F.lit(2) + F.col("c_custkey") % 7).cast("int").alias("depth"),
+                    (F.col("c_custkey") % 3).cast("int").alias("distractors"))
+
+
+@plan("ledger_synthesis", "K4 K5 K6 K9", None)
+def ledger_synthesis(fx):
+    t = sy.synthesize_ledgers(_customer_seeds(fx))
+    return t.select("task_id", "seed", "depth", "distractors", "attempt", "n_groups", "n_days",
+                    "canonical_terminal_answer", F.length("merged_prompt").alias("prompt_chars"),
+                    "v_star_input_tokens", "status")
+
+
+@plan("ledger_audit", "K11 K12 D10", None)
+def ledger_audit(fx):
+    """Truth replay through the ledger-total operator on the long-form cells,
+    plus surface checks: (check, n_tasks, n_violations)."""
+    t = sy.synthesize_ledgers(_customer_seeds(fx)).filter(F.col("status") == "ok")
+    spread_ = au.ledger_spread(sy.ledger_cells_long(t))
+    truth = t.select("task_id", "canonical_terminal_answer", "merged_prompt", "cells", "totals",
+                     "distractor_values").join(spread_, "task_id", "inner")
+    hidden = F.concat("totals", F.array(F.col("spread")))
+    # every cell is narrated exactly once: its text occurs as a standalone number once
+    runs = F.regexp_extract_all("merged_prompt", F.lit("[0-9]+"), 0)
+    once_each = F.forall("cells", lambda v: F.size(F.filter(runs, lambda r: r == v.cast("string"))) == 1)
+    checks = F.array(
+        F.struct(F.lit("truth_replay").alias("check"),
+                 ((F.col("spread").cast("string") == F.col("canonical_terminal_answer"))
+                  & ~F.col("has_tie")).alias("ok")),
+        F.struct(F.lit("cells_narrated_once").alias("check"), once_each.alias("ok")),
+        F.struct(F.lit("no_hidden_value_leak").alias("check"),
+                 (F.size(leaked_values("merged_prompt", hidden)) == 0).alias("ok")),
+        F.struct(F.lit("no_decomposition_marker").alias("check"),
+                 (~has_decomposition_marker("merged_prompt")).alias("ok")),
+        F.struct(F.lit("distractors_avoid_cells").alias("check"),
+                 (~F.arrays_overlap("distractor_values", F.concat("cells", hidden))).alias("ok")),
+    )
+    long = truth.select(F.explode(checks).alias("c")).select("c.check", F.coalesce("c.ok", F.lit(False)).alias("ok"))
+    return long.groupBy("check").agg(F.count(F.lit(1)).alias("n_tasks"),
+                                     F.count_if(~F.col("ok")).alias("n_violations"))

@@ -98,3 +98,26 @@ def test_seed_grid_and_group_seed(spark):
     g = spark.createDataFrame([(7, 2)], "run_seed bigint, i int").select(
         sy.paired_group_seed(F.col("run_seed"), F.col("i")).alias("g")).first()["g"]
     assert int(g) == int.from_bytes(hashlib.sha256(b"7|group|2").digest()[:8], "big")
+
+
+def test_ledger_truth_and_narration(spark):
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    seeds = c.select(F.col("c_custkey").alias("seed"), (F.lit(2) + F.col("c_custkey") % 7).cast("int").alias("depth"),
+                     (F.col("c_custkey") % 3).cast("int").alias("distractors"))
+    rows = sy.synthesize_ledgers(seeds).collect()
+    assert len(rows) == c.count() and all(r["status"] == "ok" for r in rows)
+    for r in rows:
+        g, d = r["n_groups"], r["n_days"]
+        assert g in (2, 3) and d == min(r["depth"], 7)
+        cells = list(r["cells"])
+        assert len(set(cells)) == len(cells) == g * d and all(41 <= x <= 196 for x in cells)
+        totals = [sum(cells[i * d:(i + 1) * d]) for i in range(g)]
+        assert len(set(totals)) == g
+        diff = max(totals) - min(totals)
+        assert str(diff) == r["canonical_terminal_answer"] and diff >= 2
+        numbers = re.findall(r"\d+", r["merged_prompt"])
+        for x in cells:
+            assert numbers.count(str(x)) == 1
+        assert not leaks(r["merged_prompt"], totals + [diff]) and not MARKERS.search(r["merged_prompt"])
+        assert len(r["distractor_values"]) == r["distractors"]
+        assert not set(r["distractor_values"]) & (set(cells) | set(totals) | {diff})
