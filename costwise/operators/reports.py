@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from costwise.functions.buckets import depth_from_bucket
 from costwise.functions.cost import to_dollars
 from costwise.functions.rounding import round6
-from costwise.session import checkpoint_dir
+from costwise.session import materialize
 from costwise.sources.prices import attach_prices
 
 MAX_PIVOT_COLUMNS = 10_000
@@ -80,7 +80,7 @@ def pivot(
 
     Cells keep the three states of the report: a number (6 decimals), 'n/a'
     for an empty metric (no correct answer, no price), '-' for a missing cell.
-    Without an explicit bucket list, the per-cell table is checkpointed to the
+    Without an explicit bucket list, the per-cell table is written once to the
     session's checkpoint folder so the header and the body come from one scan.
     """
     cells = cell_totals(results, prices if metric == "dollars_per_correct" else None)
@@ -97,8 +97,7 @@ def pivot(
         raise ValueError(f"unknown metric {metric!r}")
     long = cells.select("model", "difficulty_bucket", cell.alias("cell"))
     if buckets is None:
-        checkpoint_dir(long.sparkSession)
-        long = long.checkpoint(eager=True)
+        long = materialize(long, "pivot-cells")
         buckets = ordered_buckets(long)
     wide = long.groupBy("model").pivot("difficulty_bucket", list(buckets)).agg(F.first("cell"))
     return wide.select("model", *[F.coalesce(F.col(f"`{b}`"), F.lit("-")).alias(b) for b in buckets])
@@ -125,7 +124,7 @@ def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True
 
     The fact table is reduced once to per (model, bucket) sums and counts; every
     view is an aggregate of that small table (means are recomputed from sums,
-    never averaged). With ``checkpoint`` the cell table is written to the
+    never averaged). With ``checkpoint`` the cell table is written once to the
     session's checkpoint folder, so the views do not rescan the results."""
     from costwise.functions.cost import waste_ratio
     from costwise.operators.economics import leaderboard_from_totals
@@ -143,8 +142,7 @@ def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True
         F.first(depth).alias("depth"),
     )
     if checkpoint:
-        checkpoint_dir(results.sparkSession)
-        cells = cells.checkpoint(eager=True)
+        cells = materialize(cells, "comparison-cells")
     per_model = cells.groupBy("model").agg(
         F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"),
         F.sum("sum_input_tokens").alias("sum_input_tokens"),

@@ -372,8 +372,14 @@ def _keyed_sample(values: Column, n: Column, *key) -> Column:
     return F.slice(F.transform(ranked, lambda r: r["v"]), 1, n)
 
 
-def _ledger_attempt(a: Column) -> Column:
-    seed, depth, dist = F.col("seed"), F.col("depth"), F.col("distractors")
+def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | None = None,
+                    lead_hidden: Column | None = None, depth: Column | None = None) -> Column:
+    """One ledger attempt. With ``upstream`` (K7) the first group's first cell is
+    that value, narrated by reference ("a load equal to the running total")
+    instead of by number; ``lead`` sentences go first and ``lead_hidden`` joins
+    the hidden values."""
+    seed, dist = F.col("seed"), F.col("distractors")
+    depth = F.col("depth") if depth is None else depth
     setting = F.struct(
         (F.lit(2) + _ldraw(2, seed, a, "n_groups")).cast("int").alias("g"),
         F.least(depth, F.lit(len(LEDGER_DAYS))).cast("int").alias("days"),
@@ -385,6 +391,8 @@ def _ledger_attempt(a: Column) -> Column:
         names = _keyed_sample(F.array(*map(F.lit, LEDGER_GROUPS)), st["g"], seed, a, "names")
         cells = _keyed_sample(F.sequence(F.lit(41).cast("bigint"), F.lit(196).cast("bigint")),
                               st["g"] * st["days"], seed, a, "cells")
+        if upstream is not None:
+            cells = F.concat(F.array(upstream.cast("bigint")), F.slice(cells, 2, st["g"] * st["days"] - 1))
         return let(F.struct(names.alias("names"), cells.alias("cells")), lambda c: with_cells(st, c))
 
     def with_cells(st: Column, c: Column) -> Column:
@@ -396,11 +404,20 @@ def _ledger_attempt(a: Column) -> Column:
     def with_totals(st: Column, c: Column, t: Column) -> Column:
         diff = F.array_max(t) - F.array_min(t)
         hidden = F.concat(t, F.array(diff))
+        surface = c["cells"]
+        if upstream is not None:
+            hidden = F.concat(hidden, F.array(upstream.cast("bigint")), lead_hidden)
+            surface = F.slice(c["cells"], 2, F.size(c["cells"]) - 1)
         day_names = F.slice(F.array(*map(F.lit, LEDGER_DAYS)), 1, st["days"])
 
         def entry(d: Column, i: Column) -> Column:
-            return F.format_string("the %s %s logged %s %s", F.element_at(c["names"], i + 1), st["site"],
-                                   F.element_at(c["cells"], i * st["days"] + d).cast("string"), st["units"])
+            name = F.element_at(c["names"], i + 1)
+            plain = F.format_string("the %s %s logged %s %s", name, st["site"],
+                                    F.element_at(c["cells"], i * st["days"] + d).cast("string"), st["units"])
+            if upstream is None:
+                return plain
+            injected = F.format_string("the %s %s logged a load equal to the running total", name, st["site"])
+            return F.when((i == 0) & (d == 1), injected).otherwise(plain)
 
         def day_sentence(day: Column, d: Column) -> Column:
             parts = F.transform(gi_seq(st), lambda i: entry(d + 1, i))
@@ -408,12 +425,17 @@ def _ledger_attempt(a: Column) -> Column:
             return F.format_string("On %s, %s, while %s.", day, head, F.element_at(parts, -1))
 
         sents = F.transform(day_names, day_sentence)
+        if lead is not None:
+            sents = F.concat(lead, sents)
         forbidden = F.array_union(c["cells"], hidden)
         pool = F.array_except(F.sequence(F.lit(3).cast("bigint"), F.lit(250).cast("bigint")), forbidden)
         dvals = _keyed_sample(pool, dist, seed, a, "dvals")
 
+        lead_n = F.lit(0) if lead is None else F.size(lead)
+
         def ins(acc: Column, d: Column) -> Column:
-            pos = (F.lit(2) + _ldraw(F.size(acc["s"]), seed, a, "dpos", acc["j"])).cast("int")
+            # after the first ledger sentence, never inside the lead
+            pos = (lead_n + 2 + _ldraw(F.size(acc["s"]) - lead_n, seed, a, "dpos", acc["j"])).cast("int")
             g = F.element_at(c["names"], (_ldraw(st["g"], seed, a, "dgroup", acc["j"]) + 1).cast("int"))
             sent = F.format_string(LEDGER_DISTRACTOR.replace("{d}", "%s").replace("{units}", "%s")
                                    .replace("{g}", "%s").replace("{site}", "%s"),
@@ -428,8 +450,9 @@ def _ledger_attempt(a: Column) -> Column:
             a.cast("int").alias("attempt"), st["g"].alias("n_groups"), st["days"].alias("n_days"),
             c["names"].alias("groups"), c["cells"].alias("cells"), t.alias("totals"),
             diff.alias("answer"), dvals.alias("distractor_values"), pr.alias("merged_prompt"),
+            hidden.alias("hidden"),
             ((F.size(F.array_distinct(t)) == st["g"]) & (diff >= 2)
-             & ~F.arrays_overlap(hidden, c["cells"])
+             & ~F.arrays_overlap(hidden, surface)
              & (F.size(leaked_values(pr, hidden)) == 0)
              & ~has_decomposition_marker(pr)
              & (F.size(dvals) == dist)).alias("valid"),
@@ -475,3 +498,64 @@ def ledger_cells_long(tasks: DataFrame) -> DataFrame:
         "task_id", "grp",
         F.posexplode(F.slice("cells", F.col("gi") * F.col("n_days") + 1, F.col("n_days"))).alias("day_idx", "value"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Chain + ledger hybrids (K7): the chain's final value becomes the first cell of
+# the first group, referred to by phrase; the answer is the ledger difference.
+HYBRID_FAMILY = "cw_hybrid"
+HYBRID_BRIDGE = "That running total is then shipped on and logged as described next."
+
+
+def _hybrid_attempt(a: Column) -> Column:
+    seed, depth = F.col("seed"), F.col("depth")
+    scen = (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int")
+    setting = F.struct(
+        F.element_at(F.array(*[F.lit(p) for p, _ in SCENARIOS]), scen).alias("place"),
+        F.element_at(F.array(*[F.lit(i) for _, i in SCENARIOS]), scen).alias("items"),
+    )
+
+    def with_setting(st: Column) -> Column:
+        return let(_chain(seed, a, depth, st["place"], st["items"]), lambda ch: with_chain(st, ch))
+
+    def with_chain(st: Column, ch: Column) -> Column:
+        lead = F.concat(_sentences(ch, st["items"]), F.array(F.lit(HYBRID_BRIDGE)))
+        ledger = _ledger_attempt(a, upstream=ch["v"], lead=lead, lead_hidden=ch["vals"], depth=depth)
+        return let(ledger, lambda led: F.struct(
+            led["attempt"].alias("attempt"), led["n_groups"].alias("n_groups"), led["n_days"].alias("n_days"),
+            led["groups"].alias("groups"), led["cells"].alias("cells"), led["totals"].alias("totals"),
+            led["answer"].alias("answer"), led["distractor_values"].alias("distractor_values"),
+            led["merged_prompt"].alias("merged_prompt"), led["hidden"].alias("hidden"),
+            ch["ops"].alias("ops"), ch["vals"].alias("chain_values"),
+            (led["valid"] & F.forall(ch["vals"], lambda x: (x >= VALUE_FLOOR) & (x <= VALUE_CAP))).alias("valid"),
+        ))
+
+    return let(setting, with_setting)
+
+
+def synthesize_hybrids(seeds: DataFrame) -> DataFrame:
+    """K7: chain+ledger tasks, one narrow projection (first valid attempt)."""
+    base = spread(seeds.select("seed", "depth", "distractors"))
+    found_type = base.limit(0).select(_hybrid_attempt(F.lit(0)).alias("x")).schema["x"].dataType
+    none = F.lit(None).cast(found_type)
+    first_valid = F.aggregate(
+        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
+        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
+            let(_hybrid_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
+    )
+    w = once(base, "w", first_valid).select("seed", "depth", "distractors", "w.*")
+    answer = F.col("answer").cast("string")
+    difficulty = F.format_string("[('depth', %d), ('distractors', %d)]", F.col("depth"), F.col("distractors"))
+    digest = F.sha2(F.concat(F.lit(HYBRID_FAMILY), F.lit(VERSION), F.col("seed").cast("string"), difficulty,
+                             F.col("merged_prompt"), answer), 256)
+    return w.select(
+        F.concat(F.lit(f"{HYBRID_FAMILY}::{VERSION}::"), F.substring(digest, 1, 12)).alias("task_id"),
+        "seed", "depth", "distractors", "attempt", "ops", "chain_values", "n_groups", "n_days", "groups",
+        "cells", "totals", "hidden", "distractor_values", "merged_prompt",
+        answer.alias("canonical_terminal_answer"),
+        heuristic_tokens(F.col("merged_prompt")).alias("v_star_input_tokens"),
+        heuristic_tokens(answer).alias("v_star_output_tokens"),
+        # the hybrid bucket names the depth only (distractors are not part of it)
+        F.concat(F.lit("hybrid_chain+table_d"), F.col("depth").cast("string")).alias("difficulty_bucket"),
+        F.when(F.col("attempt").isNull(), "rejected").otherwise("ok").alias("status"),
+    )

@@ -10,6 +10,7 @@ from costwise.functions.text import has_decomposition_marker, heuristic_tokens,
 from costwise.operators import audits as au
 from costwise.operators import synth as sy
 from costwise.plans.common import plan
+from costwise.session import materialize
 
 
 def _part_seeds(fx, distractors=None):
@@ -134,7 +135,7 @@ def ledger_synthesis(fx):
 def ledger_audit(fx):
     """Truth replay through the ledger-total operator on the long-form cells,
     plus surface checks: (check, n_tasks, n_violations)."""
-    t = sy.synthesize_ledgers(_customer_seeds(fx)).filter(F.col("status") == "ok")
+    t = materialize(sy.synthesize_ledgers(_customer_seeds(fx)).filter(F.col("status") == "ok"), "ledger-tasks")
     spread_ = au.ledger_spread(sy.ledger_cells_long(t))
     truth = t.select("task_id", "canonical_terminal_answer", "merged_prompt", "cells", "totals",
                      "distractor_values").join(spread_, "task_id", "inner")
@@ -157,3 +158,41 @@ def ledger_audit(fx):
     long = truth.select(F.explode(checks).alias("c")).select("c.check", F.coalesce("c.ok", F.lit(False)).alias("ok"))
     return long.groupBy("check").agg(F.count(F.lit(1)).alias("n_tasks"),
                                      F.count_if(~F.col("ok")).alias("n_violations"))
+
+
+def _supplier_seeds(fx):
+    s = fx["supplier"]
+    return s.select(F.col("s_suppkey").alias("seed"), (F.lit(3) + F.col("s_suppkey") % 8).cast("int").alias("depth"),
+                    (F.col("s_suppkey") % 3).cast("int").alias("distractors"))
+
+
+@plan("hybrid_synthesis", "K7 K3 K4 K6 K9", None)
+def hybrid_synthesis(fx):
+    t = sy.synthesize_hybrids(_supplier_seeds(fx))
+    return t.select("task_id", "seed", "depth", "distractors", "attempt", "n_groups", "n_days",
+                    "canonical_terminal_answer", F.length("merged_prompt").alias("prompt_chars"),
+                    "difficulty_bucket", "status")
+
+
+@plan("hybrid_audit", "K7 K10 K11 K12", None)
+def hybrid_audit(fx):
+    """Chain replay, injected cell = chain result, ledger truth, surface checks."""
+    t = materialize(sy.synthesize_hybrids(_supplier_seeds(fx)).filter(F.col("status") == "ok"), "hybrid-tasks")
+    spread_ = au.ledger_spread(sy.ledger_cells_long(t))
+    j = t.join(spread_, "task_id", "inner")
+    replay = au.replay_values("ops", F.element_at("chain_values", 1))
+    checks = F.array(
+        F.struct(F.lit("chain_replay").alias("check"), (replay == F.col("chain_values")).alias("ok")),
+        F.struct(F.lit("injected_cell_is_chain_result").alias("check"),
+                 (F.element_at("cells", 1) == F.element_at("chain_values", -1)).alias("ok")),
+        F.struct(F.lit("ledger_truth").alias("check"),
+                 ((F.col("spread").cast("string") == F.col("canonical_terminal_answer"))
+                  & ~F.col("has_tie")).alias("ok")),
+        F.struct(F.lit("no_hidden_value_leak").alias("check"),
+                 (F.size(leaked_values("merged_prompt", "hidden")) == 0).alias("ok")),
+        F.struct(F.lit("no_decomposition_marker").alias("check"),
+                 (~has_decomposition_marker("merged_prompt")).alias("ok")),
+    )
+    long = j.select(F.explode(checks).alias("c")).select("c.check", F.coalesce("c.ok", F.lit(False)).alias("ok"))
+    return long.groupBy("check").agg(F.count(F.lit(1)).alias("n_tasks"),
+                                     F.count_if(~F.col("ok")).alias("n_violations"))

@@ -63,3 +63,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as a Parquet table in the shared
+    checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint()`` on an un-persisted plan, the plan runs once;
+    the table lives on the cluster's shared storage, so a lost executor costs a
+    re-read, not a recomputation, and no machine-local folder is involved."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
