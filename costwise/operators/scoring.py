@@ -98,6 +98,17 @@ def score(
     )
 
 
+def attach_answers(rows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Look up each row's canonical answer by task id; a task id missing from
+    the task table fails the job (lazily, at execution) instead of yielding NULL."""
+    t = tasks.select("task_id", F.col("canonical_terminal_answer").alias("_answer"), F.lit(True).alias("_known"))
+    j = rows.join(t, "task_id", "left")
+    check = F.when(F.col("_known").isNull(),
+                   F.raise_error(F.concat(F.lit("no answer registered for task "), F.col("task_id"))))
+    return j.withColumn("canonical_terminal_answer", F.coalesce(check.cast("string"), F.col("_answer"))) \
+        .drop("_answer", "_known")
+
+
 # Fixed values that must equal the reference for identical results:
 #   verbose calibration padding: "Let me think step by step about this problem. "
 #   repeated max(1, padding_tokens // 10) times, then a newline and

@@ -52,17 +52,25 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
-    """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    Order: a directory already set on the SparkContext, then
+    ``spark.checkpoint.dir`` from the session or the launch configuration.
+    Only when none is set (local tests) a fresh scratch folder is created and
+    registered."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="costwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_CONF, local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    try:
+        spark.conf.set(CHECKPOINT_CONF, local)
+    except Exception:  # noqa: BLE001 - a static conf on some deployments; the context setting suffices
+        pass
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def materialize(df, name: str):

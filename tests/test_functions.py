@@ -219,3 +219,13 @@ def test_score_with_provider_fallback(spark):
     assert cal["echo_model"]["terminal_correct"] and cal["verbose_echo_model"]["terminal_correct"]
     assert not cal["wrong_echo_model"]["terminal_correct"]
     assert cal["verbose_echo_model"]["efficiency"] < cal["echo_model"]["efficiency"]
+
+
+def test_answer_lookup_fails_on_unknown_task(spark):
+    from costwise.operators.scoring import attach_answers
+
+    tasks = spark.createDataFrame([("t1", "42")], "task_id string, canonical_terminal_answer string")
+    ok = attach_answers(spark.createDataFrame([("t1",)], "task_id string"), tasks).first()
+    assert ok["canonical_terminal_answer"] == "42"
+    with pytest.raises(Exception):
+        attach_answers(spark.createDataFrame([("t9",)], "task_id string"), tasks).collect()

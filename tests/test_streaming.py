@@ -46,3 +46,55 @@ def test_block_size_does_not_change_the_result(spark):
     a = collapse_chunks(_chunks(conv).drop("ts"), block_size=2).collect()
     b = collapse_chunks(_chunks(conv).drop("ts"), block_size=10_000).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def _split_files(spark, df, folder, table, parts):
+    """Write ``df`` as ``parts`` parquet files named <table>_<i>.parquet (one micro-batch each)."""
+    pdf = df.toPandas()
+    n = len(pdf)
+    for i in range(parts):
+        pdf.iloc[i * n // parts:(i + 1) * n // parts].to_parquet(
+            os.path.join(folder, f"{table}_{i}.parquet"), coerce_timestamps="us", allow_truncated_timestamps=True)
+
+
+def test_running_totals_across_micro_batches(spark):
+    from costwise.operators.economics import dollars_summary
+    from costwise.sources.fixtures import FX_SQL, Fixtures
+
+    fx = Fixtures(spark, SF)
+    folder = tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp")
+    _split_files(spark, fx["lineitem"], folder, "lineitem", 3)
+    li = jobs.stream_table(spark, SF, "lineitem")
+    li = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1) \
+        .option("pathGlobFilter", "lineitem_*.parquet").parquet(folder)
+    results = spark.sql(FX_SQL["fx_results"], lineitem=li)
+    path = jobs.run_complete(jobs.running_totals(results, fx["fx_prices"]), "totals3")
+    got = {r["model"]: r for r in spark.read.parquet(path).collect()}
+    want = {r["model"]: r for r in dollars_summary(fx["fx_results"], fx["fx_prices"]).collect()}
+    assert set(got) == set(want)
+    for m, w in want.items():
+        assert got[m]["n"] == w["n"] and got[m]["n_correct"] == w["n_correct"]
+        if w["dollars_per_correct"] is None:
+            assert got[m]["dollars_per_correct"] is None
+        else:
+            assert abs(got[m]["dollars_per_correct"] - w["dollars_per_correct"]) < 1e-12
+
+
+def test_pair_dedupe_across_overlapping_files(spark):
+    folder = tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp")
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    pdf = ev.toPandas()
+    n = len(pdf)
+    # three files overlapping by a third each: every pair appears in up to two files
+    for i, (a, b) in enumerate([(0, n // 2), (n // 3, 5 * n // 6), (2 * n // 3, n)]):
+        pdf.iloc[a:b].to_parquet(os.path.join(folder, f"events_{i}.parquet"), coerce_timestamps="us",
+                                 allow_truncated_timestamps=True)
+    schema = spark.read.parquet(os.path.join(folder, "events_0.parquet")).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("pathGlobFilter", "events_*.parquet").parquet(folder) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    path = jobs.run_append(jobs.dedupe_pairs(s, ["user_id", "event_type"], "ts", "3650 days")
+                           .select("user_id", "event_type"), "dedupe3")
+    got = spark.read.parquet(path)
+    assert got.count() == ev.select("user_id", "event_type").distinct().count()
+    assert got.count() == got.distinct().count()
