@@ -1,0 +1,41 @@
+"""Optional exact token counts.
+
+The default token count is the native heuristic (``text.heuristic_tokens``).
+When a BPE encoding can be loaded on the workers, ``bpe_tokens`` returns a
+Column builder backed by an iterator pandas UDF that loads one encoder per
+Python worker and counts whole texts batch by batch (Arrow transfer). Pass it
+as ``score(..., tokenizer=bpe_tokens("cl100k_base"))``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bpe_available(encoding: str = "cl100k_base") -> bool:
+    try:
+        import tiktoken
+
+        tiktoken.get_encoding(encoding)
+        return True
+    except Exception:  # noqa: BLE001 - missing package or no local encoding file
+        return False
+
+
+def bpe_tokens(encoding: str = "cl100k_base") -> Callable[[Column], Column]:
+    if not bpe_available(encoding):
+        raise RuntimeError(f"BPE encoding {encoding!r} is not available offline; use heuristic_tokens")
+    import pandas as pd
+
+    @F.pandas_udf("bigint")
+    def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+
+        enc = tiktoken.get_encoding(encoding)
+        for s in batches:
+            yield s.map(lambda t: 0 if t is None or t == "" else len(enc.encode(t))).astype("int64")
+
+    return lambda c: _count(c)

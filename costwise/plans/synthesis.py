@@ -196,3 +196,15 @@ def hybrid_audit(fx):
     long = j.select(F.explode(checks).alias("c")).select("c.check", F.coalesce("c.ok", F.lit(False)).alias("ok"))
     return long.groupBy("check").agg(F.count(F.lit(1)).alias("n_tasks"),
                                      F.count_if(~F.col("ok")).alias("n_violations"))
+
+
+@plan("calibration_run", "K1-K3 K17 C1 D1 D2", None)
+def calibration_run(fx):
+    """End to end: synthesize chain tasks, emit calibration responses, score them
+    through the normal path, and report per (model, bucket)."""
+    from costwise.operators.reports import stratified_report
+    from costwise.operators.scoring import calibration_responses, score
+
+    tasks = materialize(sy.synthesize_chains(_supplier_seeds(fx)).filter(F.col("status") == "ok"), "e2e-tasks")
+    results = score(tasks, calibration_responses(tasks))
+    return stratified_report(results)

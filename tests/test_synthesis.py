@@ -121,3 +121,22 @@ def test_ledger_truth_and_narration(spark):
         assert not leaks(r["merged_prompt"], totals + [diff]) and not MARKERS.search(r["merged_prompt"])
         assert len(r["distractor_values"]) == r["distractors"]
         assert not set(r["distractor_values"]) & (set(cells) | set(totals) | {diff})
+
+
+def test_end_to_end_calibration(spark):
+    """generate -> respond -> score -> report, like the reference's CLI smoke test."""
+    from costwise.operators.economics import dollars_summary
+    from costwise.operators.scoring import calibration_responses, score
+
+    s = spark.read.parquet(f"{SF}/supplier.parquet").select(
+        F.col("s_suppkey").alias("seed"), F.lit(4).alias("depth"), F.lit(1).alias("distractors"))
+    tasks = sy.synthesize_chains(s)
+    results = score(tasks, calibration_responses(tasks))
+    prices = spark.createDataFrame([(m, 1.0, 4.0) for m in ("echo_model", "verbose_echo_model", "wrong_echo_model")],
+                                   "model string, price_in double, price_out double")
+    d = {r["model"]: r for r in dollars_summary(results, prices).collect()}
+    assert d["echo_model"]["accuracy"] == 1.0 and d["verbose_echo_model"]["accuracy"] == 1.0
+    assert d["wrong_echo_model"]["accuracy"] == 0.0 and d["wrong_echo_model"]["dollars_per_correct"] is None
+    by_model = {r[0]: r[1] for r in results.groupBy("model").agg(F.avg("efficiency")).collect()}
+    assert by_model["verbose_echo_model"] < by_model["echo_model"] <= 1.0001
+    assert by_model["wrong_echo_model"] is None
