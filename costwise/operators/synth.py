@@ -89,6 +89,27 @@ def keyed_draw(m: Column | int, *parts: Column | str) -> Column:
     return F.pmod(h, mm.cast("bigint"))
 
 
+_FOLDS: dict[tuple[str, str], Column] = {}
+
+
+def _first_valid_fold(kind: str, base: DataFrame, attempt_fn) -> Column:
+    """The 'first valid attempt' fold for one family, built once per application.
+
+    The expression tree is large and building it costs thousands of calls into
+    the JVM; it only refers to columns by name (seed, depth, distractors), so
+    one Column serves every DataFrame of the session."""
+    key = (kind, base.sparkSession.sparkContext.applicationId)
+    if key not in _FOLDS:
+        found_type = base.limit(0).select(attempt_fn(F.lit(0)).alias("x")).schema["x"].dataType
+        none = F.lit(None).cast(found_type)
+        _FOLDS[key] = F.aggregate(
+            F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
+            lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
+                let(attempt_fn(a), lambda x: F.when(x["valid"], x).otherwise(none))),
+        )
+    return _FOLDS[key]
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it in ``body`` (a one-element transform):
     lambdas get no common-subexpression elimination, so a value used many
@@ -268,14 +289,7 @@ def synthesize_chains(seeds: DataFrame) -> DataFrame:
     in the plan, and the job is one narrow projection (no shuffle). Seeds that
     never validate are kept with ``status = 'rejected'``."""
     base = spread(seeds.select("seed", "depth", "distractors"))
-    found_type = base.limit(0).select(_attempt(F.lit(0)).alias("x")).schema["x"].dataType
-    none = F.lit(None).cast(found_type)
-    first_valid = F.aggregate(
-        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
-        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
-            let(_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
-    )
-    w = once(base, "w", first_valid)
+    w = once(base, "w", _first_valid_fold("chain", base, _attempt))
     tasks = _finish_tasks(w.select("seed", "depth", "distractors", "w.*"))
     return tasks.withColumn("status", F.when(F.col("attempt").isNull(), "rejected").otherwise("ok"))
 
@@ -468,14 +482,8 @@ def synthesize_ledgers(seeds: DataFrame) -> DataFrame:
     """K4 + K5 + K6 + K9: one ledger task per (seed, depth, distractors) row, as
     one narrow projection (first valid attempt by a lazily exiting fold)."""
     base = spread(seeds.select("seed", "depth", "distractors"))
-    found_type = base.limit(0).select(_ledger_attempt(F.lit(0)).alias("x")).schema["x"].dataType
-    none = F.lit(None).cast(found_type)
-    first_valid = F.aggregate(
-        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
-        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
-            let(_ledger_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
-    )
-    w = once(base, "w", first_valid).select("seed", "depth", "distractors", "w.*")
+    w = once(base, "w", _first_valid_fold("ledger", base, _ledger_attempt)).select(
+        "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
     difficulty = F.format_string("[('depth', %d), ('distractors', %d)]", F.col("depth"), F.col("distractors"))
     digest = F.sha2(F.concat(F.lit(LEDGER_FAMILY), F.lit(VERSION), F.col("seed").cast("string"), difficulty,
@@ -536,14 +544,8 @@ def _hybrid_attempt(a: Column) -> Column:
 def synthesize_hybrids(seeds: DataFrame) -> DataFrame:
     """K7: chain+ledger tasks, one narrow projection (first valid attempt)."""
     base = spread(seeds.select("seed", "depth", "distractors"))
-    found_type = base.limit(0).select(_hybrid_attempt(F.lit(0)).alias("x")).schema["x"].dataType
-    none = F.lit(None).cast(found_type)
-    first_valid = F.aggregate(
-        F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1)), none,
-        lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(
-            let(_hybrid_attempt(a), lambda x: F.when(x["valid"], x).otherwise(none))),
-    )
-    w = once(base, "w", first_valid).select("seed", "depth", "distractors", "w.*")
+    w = once(base, "w", _first_valid_fold("hybrid", base, _hybrid_attempt)).select(
+        "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
     difficulty = F.format_string("[('depth', %d), ('distractors', %d)]", F.col("depth"), F.col("distractors"))
     digest = F.sha2(F.concat(F.lit(HYBRID_FAMILY), F.lit(VERSION), F.col("seed").cast("string"), difficulty,
