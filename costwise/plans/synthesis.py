@@ -142,7 +142,9 @@ def ledger_audit(fx):
     hidden = F.concat("totals", F.array(F.col("spread")))
     # every cell is narrated exactly once: its text occurs as a standalone number once
     runs = F.regexp_extract_all("merged_prompt", F.lit("[0-9]+"), 0)
-    once_each = F.forall("cells", lambda v: F.size(F.filter(runs, lambda r: r == v.cast("string"))) == 1)
+    # bind the runs once per row (lambdas get no common-subexpression elimination)
+    once_each = sy.let(runs, lambda rr: F.forall(
+        "cells", lambda v: F.size(F.filter(rr, lambda r: r == v.cast("string"))) == 1))
     checks = F.array(
         F.struct(F.lit("truth_replay").alias("check"),
                  ((F.col("spread").cast("string") == F.col("canonical_terminal_answer"))
