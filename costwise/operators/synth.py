@@ -330,18 +330,19 @@ def paired_ladder(groups: DataFrame, depths: Sequence[int], distractors: int = 2
                          F.lit(distractors).alias("distractors"))
     deep = synthesize_chains(base).filter(F.col("status") == "ok")
     rung = F.explode(F.array(*[F.lit(d) for d in sorted(depths)])).alias("rung")
-    t = deep.select(F.col("seed").alias("group_seed"), "attempt", "ops", "values", "distractor_values",
-                    "merged_prompt", rung)
+    # split the deepest prompt into numbered sentences once per group, then fan out the rungs
+    sents = F.split(F.col("merged_prompt"), "(?<=\\.) ")
+    numbered = F.transform(sents, lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith("Then ").alias("op")))
+    base = deep.select(F.col("seed").alias("group_seed"), "attempt", "ops", "values", "distractor_values",
+                       "merged_prompt")
+    base = once(base, "numbered", numbered)
+    op_idx = once(base, "op_idx", F.transform(F.filter("numbered", lambda e: e["op"]), lambda e: e["i"]))
+    t = op_idx.select("group_seed", "attempt", "ops", "values", "distractor_values", "numbered", "op_idx", rung)
     ops = F.slice("ops", 1, F.col("rung") - 1)
     answer = F.element_at("values", F.col("rung")).cast("string")
     # the rung's prompt: deepest prompt without the sentences of the ops past the rung
-    sents = F.split(F.col("merged_prompt"), "(?<=\\.) ")
-    op_sentence_idx = F.filter(
-        F.transform(sents, lambda x, i: F.struct(x.alias("s"), i.alias("i"))),
-        lambda e: e["s"].startswith("Then "))
-    drop_from = F.try_element_at(op_sentence_idx, F.col("rung"))["i"]
-    kept = F.filter(F.transform(sents, lambda x, i: F.struct(x.alias("s"), i.alias("i"))),
-                    lambda e: drop_from.isNull() | ~e["s"].startswith("Then ") | (e["i"] < drop_from))
+    t = t.withColumn("drop_from", F.try_element_at("op_idx", F.col("rung")))
+    kept = F.filter("numbered", lambda e: F.col("drop_from").isNull() | ~e["op"] | (e["i"] < F.col("drop_from")))
     prompt = F.array_join(F.transform(kept, lambda e: e["s"]), " ")
     return t.select(
         "group_seed", F.col("rung").alias("depth"), "attempt", ops.alias("ops"),
