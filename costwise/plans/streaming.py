@@ -72,7 +72,8 @@ def stream_dedupe_pairs(fx):
     "stream_progress", "I4",
     """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS model, count(*) AS n,
-  count(*) FILTER (WHERE value >= 50) AS n_ok
+  count(*) FILTER (WHERE value >= 50) AS n_ok, count(*) - count(*) FILTER (WHERE value >= 50) AS n_failed,
+  round(count(*) / CAST(86400 AS DOUBLE) * 1e6) / 1e6 AS per_second
 FROM events GROUP BY 1, 2
 """,
 )
@@ -81,5 +82,5 @@ def stream_progress(fx):
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"),
         (F.col("value") >= 50).alias("ok"))
     path = jobs.run_complete(jobs.progress(ev, "ts", "1 day", "1 day"), "progress")
-    out = fx.spark.read.parquet(path)
+    out = finish(fx.spark.read.parquet(path))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

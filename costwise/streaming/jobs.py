@@ -108,12 +108,30 @@ def running_totals(results: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def progress(stream: DataFrame, event_time: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """I4: completed / correct per model per tumbling window of event time."""
+    """I4: completed, correct and failed per model per tumbling window of event
+    time, with the throughput (completions per second) of the window."""
     w = F.window(event_time, window)
-    return stream.withWatermark(event_time, delay).groupBy(w.alias("w"), "model").agg(
+    agg = stream.withWatermark(event_time, delay).groupBy(w.alias("w"), "model").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("ok").alias("n_ok"),
-    ).select(F.col("w.start").alias("window_start"), "model", "n", "n_ok")
+    )
+    seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))
+    return agg.select(
+        F.col("w.start").alias("window_start"), "model", "n", "n_ok",
+        (F.col("n") - F.col("n_ok")).alias("n_failed"),
+        (F.col("n") / seconds).alias("per_second"),
+    )
+
+
+def eta(progress_table: DataFrame, pending: DataFrame) -> DataFrame:
+    """I4: seconds until the pending pairs of each model are done at the model's
+    latest window rate. Both inputs are reduced per model before the join."""
+    latest = progress_table.groupBy("model").agg(
+        F.max_by("per_second", "window_start").alias("per_second"))
+    todo = pending.groupBy("model").agg(F.count(F.lit(1)).alias("n_pending"))
+    j = todo.join(latest, "model", "left")
+    return j.select("model", "n_pending", "per_second",
+                    F.when(F.col("per_second") > 0, F.col("n_pending") / F.col("per_second")).alias("eta_seconds"))
 
 
 def collapse_chunk_sessions(stream: DataFrame, event_time: str, gap: str = "5 minutes") -> DataFrame:

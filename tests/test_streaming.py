@@ -98,3 +98,15 @@ def test_pair_dedupe_across_overlapping_files(spark):
     got = spark.read.parquet(path)
     assert got.count() == ev.select("user_id", "event_type").distinct().count()
     assert got.count() == got.distinct().count()
+
+
+def test_eta_from_latest_rate(spark):
+    import datetime as dt
+
+    prog = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 1), "a", 0.5), (dt.datetime(2024, 1, 2), "a", 2.0), (dt.datetime(2024, 1, 1), "b", 0.0)],
+        "window_start timestamp, model string, per_second double")
+    pending = spark.createDataFrame([("t1", "a"), ("t2", "a"), ("t3", "b"), ("t4", "c")], "task_id string, model string")
+    got = {r["model"]: r for r in jobs.eta(prog, pending).collect()}
+    assert got["a"]["eta_seconds"] == 1.0 and got["a"]["n_pending"] == 2
+    assert got["b"]["eta_seconds"] is None and got["c"]["per_second"] is None
