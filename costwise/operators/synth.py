@@ -562,3 +562,91 @@ def synthesize_hybrids(seeds: DataFrame) -> DataFrame:
         F.concat(F.lit("hybrid_chain+table_d"), F.col("depth").cast("string")).alias("difficulty_bucket"),
         F.when(F.col("attempt").isNull(), "rejected").otherwise("ok").alias("status"),
     )
+
+
+def _paired_hybrid_attempt(a: Column, rungs: Sequence[int]) -> Column:
+    """One attempt of a paired hybrid group: the chain folded to the deepest rung
+    and one ledger shared by all rungs, whose first cell is the rung's chain
+    value (narrated by reference, so the ledger text is the same on every rung).
+    Valid when every rung's ledger is valid and no hidden value of any rung
+    shows in the deepest prompt (every rung prompt is a sub-text of it)."""
+    seed, depth = F.col("seed"), F.lit(max(rungs))
+    scen = (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int")
+    setting = F.struct(
+        F.element_at(F.array(*[F.lit(p) for p, _ in SCENARIOS]), scen).alias("place"),
+        F.element_at(F.array(*[F.lit(i) for _, i in SCENARIOS]), scen).alias("items"),
+    )
+    rung_arr = F.array(*[F.lit(d) for d in sorted(rungs)])
+
+    def with_setting(st: Column) -> Column:
+        return let(_chain(seed, a, depth, st["place"], st["items"]), lambda ch: with_chain(st, ch))
+
+    def with_chain(st: Column, ch: Column) -> Column:
+        lead = F.concat(_sentences(ch, st["items"]), F.array(F.lit(HYBRID_BRIDGE)))
+        led = _ledger_attempt(a, upstream=ch["v"], lead=lead, lead_hidden=ch["vals"],
+                              depth=F.lit(len(LEDGER_DAYS)))
+        return let(led, lambda lg: with_ledger(ch, lg))
+
+    def with_ledger(ch: Column, lg: Column) -> Column:
+        days = lg["n_days"]
+        g0_rest = F.aggregate(F.slice(lg["cells"], 2, days - 1), F.lit(0).cast("bigint"), lambda s_, x: s_ + x)
+        per_rung = F.transform(rung_arr, lambda d: let(
+            F.concat(F.array(F.element_at(ch["vals"], d) + g0_rest), F.slice(lg["totals"], 2, lg["n_groups"] - 1)),
+            lambda t: F.struct(d.alias("rung"), F.element_at(ch["vals"], d).alias("injected"), t.alias("totals"),
+                               (F.array_max(t) - F.array_min(t)).alias("answer"))))
+        return let(per_rung, lambda pr: finish_(ch, lg, pr))
+
+    def finish_(ch: Column, lg: Column, pr: Column) -> Column:
+        surface = F.slice(lg["cells"], 2, F.size(lg["cells"]) - 1)
+        hidden_all = F.array_distinct(F.flatten(F.concat(
+            F.array(ch["vals"]),
+            F.transform(pr, lambda r: F.concat(r["totals"], F.array(r["answer"], r["injected"]))))))
+        rung_ok = F.forall(pr, lambda r: (F.size(F.array_distinct(r["totals"])) == F.size(r["totals"]))
+                           & (r["answer"] >= 2))
+        ok = (rung_ok & ~F.arrays_overlap(hidden_all, surface)
+              & ~F.arrays_overlap(lg["distractor_values"], hidden_all)
+              & (F.size(leaked_values(lg["merged_prompt"], hidden_all)) == 0)
+              & ~has_decomposition_marker(lg["merged_prompt"])
+              & (F.size(lg["distractor_values"]) == F.col("distractors"))
+              & F.forall(ch["vals"], lambda x: (x >= VALUE_FLOOR) & (x <= VALUE_CAP)))
+        return F.struct(
+            a.cast("int").alias("attempt"), ch["ops"].alias("ops"), ch["vals"].alias("chain_values"),
+            lg["n_groups"].alias("n_groups"), lg["n_days"].alias("n_days"), lg["groups"].alias("groups"),
+            lg["cells"].alias("cells"), lg["distractor_values"].alias("distractor_values"),
+            lg["merged_prompt"].alias("merged_prompt"), pr.alias("rungs"), ok.alias("valid"))
+
+    return let(setting, with_setting)
+
+
+def paired_hybrid_ladder(groups: DataFrame, depths: Sequence[int], distractors: int = 2) -> DataFrame:
+    """K8 (hybrid form): one task per (group, rung) from one group attempt.
+
+    Rung d keeps the first d-1 op sentences of the chain, the shared bridge and
+    ledger narration, and the shared distractors; its answer is the ledger
+    difference with the rung's chain value in the first cell."""
+    rungs = sorted(depths)
+    base = spread(groups.select(F.col("group_seed").alias("seed"), F.lit(max(rungs)).alias("depth"),
+                                F.lit(distractors).alias("distractors")))
+    fold = _first_valid_fold(f"paired_hybrid:{','.join(map(str, rungs))}", base,
+                             lambda a: _paired_hybrid_attempt(a, rungs))
+    w = once(base, "w", fold).filter(F.col("w").isNotNull()).select(
+        F.col("seed").alias("group_seed"), "w.*")
+    numbered = F.transform(F.split(F.col("merged_prompt"), "(?<=\\.) "),
+                           lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith("Then ").alias("op")))
+    w = once(w, "numbered", numbered)
+    w = once(w, "op_idx", F.transform(F.filter("numbered", lambda e: e["op"]), lambda e: e["i"]))
+    t = w.select("group_seed", "attempt", "ops", "chain_values", "n_groups", "n_days", "groups", "cells",
+                 "distractor_values", "numbered", "op_idx", F.explode("rungs").alias("r"))
+    t = t.withColumn("drop_from", F.try_element_at("op_idx", F.col("r.rung")))
+    kept = F.filter("numbered", lambda e: F.col("drop_from").isNull() | ~e["op"] | (e["i"] < F.col("drop_from")))
+    cells = F.concat(F.array(F.col("r.injected")), F.slice("cells", 2, F.size("cells") - 1))
+    answer = F.col("r.answer").cast("string")
+    prompt = F.array_join(F.transform(kept, lambda e: e["s"]), " ")
+    return t.select(
+        "group_seed", F.col("r.rung").alias("depth"), "attempt",
+        F.slice("ops", 1, F.col("r.rung") - 1).alias("ops"),
+        F.slice("chain_values", 1, F.col("r.rung")).alias("values"),
+        "n_groups", "n_days", "groups", cells.alias("cells"), F.col("r.totals").alias("totals"),
+        "distractor_values", prompt.alias("merged_prompt"), answer.alias("canonical_terminal_answer"),
+        F.concat(F.lit("hybrid-paired_d"), F.col("r.rung").cast("string")).alias("difficulty_bucket"),
+    )

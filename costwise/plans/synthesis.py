@@ -210,3 +210,38 @@ def calibration_run(fx):
     tasks = materialize(sy.synthesize_chains(_supplier_seeds(fx)).filter(F.col("status") == "ok"), "e2e-tasks")
     results = score(tasks, calibration_responses(tasks))
     return stratified_report(results)
+
+
+@plan("paired_hybrid_audit", "K8 K14 E4 K7 K11", None)
+def paired_hybrid_audit(fx):
+    """Paired chain+ledger ladders from supplier groups: per group, op lists are
+    prefixes, prompts grow, the visible ledger cells and distractors are shared
+    by all rungs, and every rung's answer equals the recomputed ledger spread."""
+    from costwise.operators.paired import prefix_growth
+
+    groups = fx["supplier"].select(F.col("s_suppkey").alias("group_seed"))
+    rungs = materialize(sy.paired_hybrid_ladder(groups, list(range(3, 31, 3))), "paired-hybrid")
+    rungs = rungs.withColumn("task_id", F.concat_ws("-", F.col("group_seed").cast("string"),
+                                                    F.col("depth").cast("string")))
+    spread_ = au.ledger_spread(sy.ledger_cells_long(rungs))
+    truth = rungs.join(spread_.select("task_id", "spread", "has_tie"), "task_id", "inner").select(
+        "task_id", ((F.col("spread").cast("string") == F.col("canonical_terminal_answer"))
+                    & ~F.col("has_tie")).alias("truth_ok"))
+    shared = F.concat_ws("|", F.array_join(F.transform(F.slice("cells", 2, F.size("cells") - 1),
+                                                       lambda v: v.cast("string")), ","),
+                         F.array_join(F.transform("distractor_values", lambda v: v.cast("string")), ","))
+    pg = prefix_growth(rungs.withColumn("shared", shared), extra=["task_id", "shared"])
+    per_group = pg.join(truth, "task_id", "inner").groupBy("group_seed").agg(
+        F.count(F.lit(1)).alias("n_rungs"),
+        F.count_if(~F.col("is_prefix")).alias("not_prefix"),
+        F.count_if(~F.col("prompt_grows")).alias("not_growing"),
+        F.count_if(~F.col("truth_ok")).alias("wrong_truth"),
+        F.count_distinct("shared").alias("n_shared_variants"),
+    )
+    return per_group.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.sum("n_rungs").alias("n_tasks"),
+        F.count_if(F.col("not_prefix") > 0).alias("groups_not_prefix"),
+        F.count_if(F.col("not_growing") > 0).alias("groups_prompt_not_growing"),
+        F.count_if(F.col("wrong_truth") > 0).alias("groups_wrong_truth"),
+        F.count_if(F.col("n_shared_variants") != 1).alias("groups_table_differs"),
+    )
