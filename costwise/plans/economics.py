@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from costwise.operators import economics as econ
 from costwise.plans.common import R6, RSIG, finish, plan
 
@@ -151,5 +149,3 @@ FROM j
 def reprice_sheets(fx):
     return finish(econ.reprice(fx["fx_results"], fx["fx_sheets"]))
 
-
-_ = F  # keep the functions import for plan bodies that use it

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from costwise.operators import ladder as lad
 from costwise.operators import paired as pr
 from costwise.plans.common import R6, finish, plan
@@ -138,5 +136,3 @@ FROM flips2 GROUP BY model, group_seed
 def persistent_failures(fx):
     return pr.persistent_failures(fx["fx_results"])
 
-
-_ = F
