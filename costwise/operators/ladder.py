@@ -35,10 +35,19 @@ def work_grid(tasks: DataFrame, models: Sequence[str], keep: Sequence[str] = ())
 
 
 def pending_pairs(tasks: DataFrame, results: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Roster pairs with no recorded result (anti-join on the pair key)."""
-    grid = work_grid(tasks.select("task_id").distinct(), models)
-    done = results.select("task_id", "model")
-    return grid.join(done, ["task_id", "model"], "left_anti")
+    """Roster pairs with no recorded result.
+
+    Rather than materialising and shuffling the whole tasks x roster grid for
+    an anti-join, each task's recorded roster models are collected (a set
+    bounded by the roster, de-duplicated map-side) and the missing ones are
+    exploded per task. Only results and task ids are shuffled, both hash
+    partitioned on task_id, so the join adds no exchange."""
+    roster = F.array(*[F.lit(m) for m in models])
+    done = results.filter(F.col("model").isin(*models)).groupBy("task_id").agg(
+        F.collect_set("model").alias("done"))
+    t = tasks.select("task_id").distinct().join(done, "task_id", "left")
+    todo = F.array_except(roster, F.coalesce(F.col("done"), F.array().cast("array<string>")))
+    return t.select("task_id", F.explode(todo).alias("model"))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
