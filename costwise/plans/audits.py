@@ -136,3 +136,11 @@ FROM fx_chunks GROUP BY request_id
 )
 def chunk_collapse(fx):
     return collapse_chunks(fx["fx_chunks"])
+
+
+@plan(
+    "leak_audit", "B21",
+    f"SELECT doc_id AS task_id, {_N_LEAK} AS n_leaked, {_LEAKED} AS leaked FROM documents",
+)
+def leak_audit(fx):
+    return au.surface_audit(_doc_tasks(fx)).select("task_id", "n_leaked", "leaked")
