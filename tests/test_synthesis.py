@@ -140,3 +140,62 @@ def test_end_to_end_calibration(spark):
     by_model = {r[0]: r[1] for r in results.groupBy("model").agg(F.avg("efficiency")).collect()}
     assert by_model["verbose_echo_model"] < by_model["echo_model"] <= 1.0001
     assert by_model["wrong_echo_model"] is None
+
+
+def _lhash(*parts):
+    h = 42
+    for p in (sy.LEDGER_NAMESPACE, *parts):
+        b = p.encode() if isinstance(p, str) else struct.pack("<q", p)
+        h = xxhash.xxh64_intdigest(b, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _ldraw(m, *parts):
+    return _lhash(*parts) % m
+
+
+def _lsample(values, n, *key):
+    ranked = sorted(((_lhash(*key, str(v)), v) for v in values))
+    return [v for _, v in ranked][:n]
+
+
+def ledger_attempt(seed, depth, n_dist, a):
+    g = 2 + _ldraw(2, seed, a, "n_groups")
+    days = min(depth, 7)
+    site = sy.LEDGER_SITES[_ldraw(3, seed, a, "site")]
+    units = sy.LEDGER_UNITS[_ldraw(3, seed, a, "units")]
+    names = _lsample(sy.LEDGER_GROUPS, g, seed, a, "names")
+    cells = _lsample(range(41, 197), g * days, seed, a, "cells")
+    totals = [sum(cells[i * days:(i + 1) * days]) for i in range(g)]
+    diff = max(totals) - min(totals)
+    hidden = totals + [diff]
+    sents = []
+    for d in range(days):
+        parts = [f"the {names[i]} {site} logged {cells[i * days + d]} {units}" for i in range(g)]
+        sents.append(f"On {sy.LEDGER_DAYS[d]}, {', '.join(parts[:-1])}, while {parts[-1]}.")
+    forbidden = set(cells) | set(hidden)
+    pool = [x for x in range(3, 251) if x not in forbidden]
+    dvals = _lsample(pool, n_dist, seed, a, "dvals")
+    for j, d in enumerate(dvals):
+        pos = 2 + _ldraw(len(sents), seed, a, "dpos", j)
+        grp = names[_ldraw(g, seed, a, "dgroup", j)]
+        sents.insert(pos - 1, sy.LEDGER_DISTRACTOR.format(d=d, units=units, g=grp, site=site))
+    prompt = " ".join(sents + [sy.LEDGER_QUESTION.format(units=units, site=site)])
+    valid = (len(set(totals)) == g and diff >= 2 and not set(hidden) & set(cells)
+             and not leaks(prompt, hidden) and not MARKERS.search(prompt) and len(dvals) == n_dist)
+    return valid, prompt, str(diff), cells, dvals
+
+
+def test_ledger_generator_matches_plain_python(spark):
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    seeds = c.select(F.col("c_custkey").alias("seed"), (F.lit(2) + F.col("c_custkey") % 7).cast("int").alias("depth"),
+                     (F.col("c_custkey") % 3).cast("int").alias("distractors"))
+    got = {r["seed"]: r for r in sy.synthesize_ledgers(seeds).collect()}
+    for r in seeds.collect():
+        for a in range(sy.MAX_ATTEMPTS):
+            valid, prompt, answer, cells, dvals = ledger_attempt(r["seed"], r["depth"], r["distractors"], a)
+            if valid:
+                break
+        g = got[r["seed"]]
+        assert (g["attempt"], g["merged_prompt"], g["canonical_terminal_answer"]) == (a, prompt, answer)
+        assert list(g["cells"]) == cells and list(g["distractor_values"]) == dvals
