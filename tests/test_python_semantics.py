@@ -75,3 +75,31 @@ def test_display_formats_match_python(spark):
     vals = [rnd.random() * 10 ** rnd.uniform(-4, 12) for _ in range(5000)]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").select(compact_dollars("v")).collect()]
     assert [g for g, v in zip(got, vals) if g != py(v)] == []
+
+
+def test_consistency_parser_matches_python(spark):
+    from costwise.functions import consistency_fields
+
+    pats = {k: re.compile(p, re.IGNORECASE) for k, p in {
+        "a": r"a\s*=\s*(-?\d+)", "b": r"b\s*=\s*(-?\d+)", "c": r"c\s*=\s*(-?\d+)",
+        "verdict": r"verdict\s*=\s*(consistent|inconsistent)"}.items()}
+
+    def py(t):
+        out = {}
+        for k, p in pats.items():
+            m = p.search(t)
+            out[k] = None if not m else (m.group(1).lower() if k == "verdict" else int(m.group(1)))
+        return out
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = d.select(F.col("text").alias("t")).unionByName(d.select(F.concat(
+        F.lit("a="), F.col("n_chars").cast("string"), F.lit(", b = "), (F.col("n_chars") - 7).cast("string"),
+        F.lit(",c=  7, VERDICT = Inconsistent; "), F.col("text")).alias("t")))
+    rows = texts.select("t", consistency_fields("t").alias("f")).collect()
+    bad = []
+    for r in rows:
+        want = py(r["t"])
+        got = {k: (None if r["f"][k] is None else (int(r["f"][k]) if k != "verdict" else r["f"][k])) for k in want}
+        if got != want:
+            bad.append((r["t"][:80], got, want))
+    assert not bad, bad[:5]
