@@ -30,7 +30,7 @@ def leaks(prompt, values):
     return [v for v in values if re.search(rf"(?<![\d.]){v}(?![\d.])", prompt)]
 
 
-def attempt(seed, depth, n_dist, a):
+def chain_part(seed, depth, a):
     place, items = sy.SCENARIOS[draw(len(sy.SCENARIOS), seed, a, "scenario")]
     tpl = draw(3, seed, a, "first")
     x, y = 20 + draw(60, seed, a, "a"), 20 + draw(60, seed, a, "b")
@@ -54,6 +54,12 @@ def attempt(seed, depth, n_dist, a):
             k = split_ks[draw(len(split_ks), seed, a, "k", i)]; v //= k
         vals.append(v); surface.append(k); ops.append((op, k))
         sents.append(sy.OP_TEMPLATES[op].format(k=k, items=items))
+    return place, items, sents, vals, surface, ops
+
+
+def attempt(seed, depth, n_dist, a):
+    place, items, sents, vals, surface, ops = chain_part(seed, depth, a)
+    v = vals[-1]
     forbidden = set(vals) | set(surface)
     pool = [c for c in range(11, 100) if c not in forbidden]
     dvals = [pool[draw(len(pool), seed, a, "dval", j)] for j in range(1, n_dist + 1)]
@@ -199,3 +205,51 @@ def test_ledger_generator_matches_plain_python(spark):
         g = got[r["seed"]]
         assert (g["attempt"], g["merged_prompt"], g["canonical_terminal_answer"]) == (a, prompt, answer)
         assert list(g["cells"]) == cells and list(g["distractor_values"]) == dvals
+
+
+def hybrid_attempt(seed, depth, n_dist, a):
+    _place, items, chain_sents, vals, _surface, ops = chain_part(seed, depth, a)
+    upstream = vals[-1]
+    lead = chain_sents + [sy.HYBRID_BRIDGE]
+    g = 2 + _ldraw(2, seed, a, "n_groups")
+    days = min(depth, 7)
+    site = sy.LEDGER_SITES[_ldraw(3, seed, a, "site")]
+    units = sy.LEDGER_UNITS[_ldraw(3, seed, a, "units")]
+    names = _lsample(sy.LEDGER_GROUPS, g, seed, a, "names")
+    cells = [upstream] + _lsample(range(41, 197), g * days, seed, a, "cells")[1:]
+    totals = [sum(cells[i * days:(i + 1) * days]) for i in range(g)]
+    diff = max(totals) - min(totals)
+    hidden = totals + [diff, upstream] + vals
+    sents = list(lead)
+    for d in range(days):
+        parts = [f"the {names[i]} {site} logged a load equal to the running total" if (i == 0 and d == 0)
+                 else f"the {names[i]} {site} logged {cells[i * days + d]} {units}" for i in range(g)]
+        sents.append(f"On {sy.LEDGER_DAYS[d]}, {', '.join(parts[:-1])}, while {parts[-1]}.")
+    forbidden = set(cells) | set(hidden)
+    pool = [x for x in range(3, 251) if x not in forbidden]
+    dvals = _lsample(pool, n_dist, seed, a, "dvals")
+    for j, dv in enumerate(dvals):
+        pos = len(lead) + 2 + _ldraw(len(sents) - len(lead), seed, a, "dpos", j)
+        grp = names[_ldraw(g, seed, a, "dgroup", j)]
+        sents.insert(pos - 1, sy.LEDGER_DISTRACTOR.format(d=dv, units=units, g=grp, site=site))
+    prompt = " ".join(sents + [sy.LEDGER_QUESTION.format(units=units, site=site)])
+    valid = (len(set(totals)) == g and diff >= 2 and not set(hidden) & set(cells[1:])
+             and not leaks(prompt, hidden) and not MARKERS.search(prompt) and len(dvals) == n_dist
+             and all(2 <= w <= CAP for w in vals))
+    return valid, prompt, str(diff), cells, dvals, ops
+
+
+def test_hybrid_generator_matches_plain_python(spark):
+    s = spark.read.parquet(f"{SF}/supplier.parquet")
+    seeds = s.select(F.col("s_suppkey").alias("seed"), (F.lit(3) + F.col("s_suppkey") % 8).cast("int").alias("depth"),
+                     (F.col("s_suppkey") % 3).cast("int").alias("distractors"))
+    got = {r["seed"]: r for r in sy.synthesize_hybrids(seeds).collect()}
+    for r in seeds.collect():
+        for a in range(sy.MAX_ATTEMPTS):
+            valid, prompt, answer, cells, dvals, ops = hybrid_attempt(r["seed"], r["depth"], r["distractors"], a)
+            if valid:
+                break
+        g = got[r["seed"]]
+        assert (g["attempt"], g["merged_prompt"], g["canonical_terminal_answer"]) == (a, prompt, answer)
+        assert list(g["cells"]) == cells and list(g["distractor_values"]) == dvals
+        assert [(o["name"], o["k"]) for o in g["ops"]] == ops
