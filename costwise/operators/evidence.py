@@ -17,7 +17,11 @@ from costwise.sources.prices import attach_prices
 
 
 def coverage(results: DataFrame) -> DataFrame:
-    """Rows per config vs the number of distinct tasks in the run."""
+    """Rows per config vs the number of distinct tasks in the run.
+
+    Two pruned scans of (model, task_id): with columnar pruning the second scan
+    reads only those two columns, which is cheaper than materializing the
+    (model, task) pairs, since they are nearly unique."""
     per_model = results.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("task_id").alias("n_tasks"),
