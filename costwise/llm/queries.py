@@ -4,8 +4,9 @@ parameters for production, and derives the columns of its contract from the oper
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from costwise.llm import decontaminate, langid, ngram_join
+from costwise.llm import decontaminate, langid, ngram_join, packing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +21,32 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("piece")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.with_spans(table(spark, sf_dir, "documents"))
+    base = [F.col(f"spans_{k}") for k in ("assign", "access", "hex")]
+    every = [F.col(f"spans_{r.kind}") for r in secret_scan.RULES]
+    return found.select(
+        "doc_id",
+        *[F.size(c).cast("long").alias(f"n_{k}") for k, c in zip(("assign", "access", "hex"), base, strict=True)],
+        F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        secret_scan.span_text(every).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 #: A-Z lowered, words by the contract's separators, sets of 4-word shingles; links by a self join, components by closure.
