@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costwise.llm import langid
+from costwise.llm import decontaminate, langid, ngram_join, packing, secret_scan
 from costwise.llm.storage import scratch
 
 
@@ -17,11 +17,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by n-gram overlap, near copies among them, the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a near copy of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; the secrets in it are replaced, and n_chars follows its text."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("ngram_join", one_of_each_group),
+    ("decontamination", drop_benchmark_passages),
+    ("secret_scan", remove_secrets),
+    ("packing", pack_sequences),
 ]
 
-#: Language ID is a fitted classifier: no SQL states the rows. tests/llm holds the stages against brute force.
+#: Language ID is a fitted classifier and packing counts a tokenizer's ids: no SQL states the rows.
+#: tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
