@@ -108,12 +108,13 @@ def document_frequencies(rows: DataFrame, p: Params) -> tuple[int, np.ndarray]:
 
 def _sample(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Sparse counts of the sampled training rows, in the order of their hashed ids."""
-    order = Window.partitionBy("label").orderBy("draw", "doc_id")
-    drawn = (
-        rows.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= p.per_language)
-    )
+    drawn = rows.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
+    order = Window.partitionBy("label").orderBy("draw")
+    last = (
+        drawn.select("label", "draw").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= p.per_language)
+        .groupBy("label").agg(F.max("draw").alias("last"))
+    )  # a row for each label; texts are not moved for the draw
+    drawn = drawn.join(F.broadcast(last), "label").filter(F.col("draw") <= F.col("last"))
 
     def vectors(batches):
         for batch in batches:
