@@ -2,11 +2,12 @@
 
 Rows of the incidence are documents, columns are n-word shingles in one global
 order: shingles known to be frequent last, the others by hash. Of the product's
-two column blocks for a row of n shingles, the first holds its n - ceil(t n) + 1
-leading columns, the second the rest. An entry that is zero in the first block
-cannot reach the overlap that the sizes demand, so the second block is only
-evaluated for entries that the first one left, and evaluation ends as soon as
-what is left of the columns cannot reach the bound.
+two column blocks for a row of n shingles, the first holds its n - ceil(t n) + l
+leading columns, the second the rest. Rows that link share at least l columns of
+the first block (the smaller of their two values of l), so a row with fewer
+shared columns there is left out, and the second block is only evaluated for
+entries that the first one left. Evaluation ends as soon as what is left of the
+columns cannot reach the bound.
 
 Only connectivity is asked for, so the product is not spelled out:
 
@@ -43,6 +44,8 @@ class Params:
     words: int = 4
     #: Link when 100 * overlap >= percent * union.
     percent: int = 85
+    #: l, as a share of a row's shingles in percent.
+    extra: int = 5
     #: Columns that are put last because they are frequent: at most so many (16 bytes each are broadcast).
     #: The order of columns decides the cost, never the result.
     frequent: int = 100_000
@@ -66,9 +69,15 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a + np.uint64(len(s))], np.uint64)).view(np.int64)[0]), int(b.view(np.int64))
 
 
-def leading(n: int, percent: int) -> int:
+def leading(n: int, p: Params) -> int:
     """How many columns of a row of n the first block holds."""
-    return n - -(-percent * n // 100) + 1
+    return n - -(-p.percent * n // 100) + max(1, -(-p.extra * n // 100))
+
+
+def least_shared(n, p: Params):
+    """How many of them a row that links shares: the l of the smallest row that it can link with."""
+    smallest = F.ceil(n * p.percent / 100)
+    return F.greatest(F.lit(1), F.ceil(smallest * p.extra / 100))
 
 
 def frequent_columns(docs: DataFrame, p: Params) -> np.ndarray:
@@ -113,7 +122,7 @@ def incidence(docs: DataFrame, p: Params) -> DataFrame:
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(frequent_columns(docs, p))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    k, percent = p.words, p.percent
+    k = p.words
 
     def run(batches):
         known, rank = sent.value
@@ -136,7 +145,7 @@ def incidence(docs: DataFrame, p: Params) -> DataFrame:
                     heads.append(None)
                     continue
                 given.add(a)
-                want = leading(n, percent)
+                want = leading(n, p)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     common = known[at] == s
@@ -259,6 +268,14 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
         .repartition("h").sortWithinPartitions("h", "node")
     )
     shared = stored(map_batches(entries, _shared_columns, "h long, node long"), "columns")
+    sizes_of = classes.select(F.col("s1").alias("node"), "n")
+    for _ in range(2):  # rows that share too little leave, and then the columns that only they shared
+        enough = shared.groupBy("node").agg(F.count("*").alias("k")).join(sizes_of, "node").filter(
+            F.col("k") >= least_shared(F.col("n"), p)
+        ).select("node").distinct()
+        shared = shared.join(enough, "node", "left_semi")
+        wide = shared.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("h")
+        shared = stored(shared.join(wide, "h", "left_semi"), "columns")
     nodes = shared.select("node").distinct()
     wanted = classes.join(nodes, classes["s1"] == nodes["node"]).select(F.col("rep").alias("doc_id"), "node")
     k = p.words
@@ -271,7 +288,7 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     texts = stored(
         map_batches(docs.join(wanted, "doc_id").select("node", "text"), own_text, "node long, text string"), "texts"
-    ).dropDuplicates(["node"])
+    )
 
     links = None
     labels = nodes.select("node", F.col("node").alias("label"))
