@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm import decontaminate, langid, ngram_join, packing, secret_scan
+from costwise.llm import decontaminate, langid, ngram_join, packing, secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, archive, with_record=False)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
@@ -53,11 +59,11 @@ QUERIES = {
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
          WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 g AS (SELECT doc_id, unnest(s) AS g FROM s),
 l AS (
@@ -69,6 +75,23 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
+#: Base32 by fives of hexadecimal digits (20 bits, four letters each).
+OP2_SQL = r"""
+WITH d AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+e AS (
+  SELECT page_id, octet_length(b) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([32768, 1024, 32, 1],
+      lambda q: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS INT) // q) % 32 AS INT) + 1, 1)),
+      'string_agg', '')), 'string_agg', '') AS payload_digest
+  FROM d),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM e)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to FROM k
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op3_ngram_jaccard": OP3_SQL,
 }
