@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm import decontaminate, langid, ngram_join, packing, secret_scan, token_count, top_k, warc
+from costwise.llm import decontaminate, langid, main_text, ngram_join, packing, secret_scan, token_count, top_k, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_top_k": op7_top_k,
     "op8_token_count": op8_token_count,
+    "op9_main_text": op9_main_text,
 }
 
 #: A-Z lowered, words by the contract's separators, sets of 4-word shingles; links by a self join, components by closure.
