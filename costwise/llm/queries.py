@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm import decontaminate, langid, main_text, ngram_join, packing, secret_scan, token_count, top_k, warc
+from costwise.llm import decontaminate, langid, main_text, ngram_join, packing, secret_scan, suffix_tree, token_count, top_k, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op8_token_count": op8_token_count,
     "op9_main_text": op9_main_text,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 #: A-Z lowered, words by the contract's separators, sets of 4-word shingles; links by a self join, components by closure.
