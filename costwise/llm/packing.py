@@ -41,8 +41,10 @@ class Params:
     end_id: int = 2
     size: int = 4096
     unit: int = 16
-    #: Words whose ids a worker remembers (a few hundred bytes each).
-    remembered: int = 250_000
+    #: Words whose ids a worker remembers (about 200 bytes each).
+    remembered: int = 1_000_000
+    #: Characters of text that are encoded together.
+    together: int = 1 << 19
     #: Pivots of the simplex method; the basis is feasible at each, so stopping early only costs padding.
     pivots: int = 20_000
 
@@ -70,24 +72,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {}
-        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
-        if not re.search(r"\\s", json.dumps(split)):
+        made = json.loads(self.tokenizer.to_str())
+        if not re.search(r"\\s", json.dumps(made["pre_tokenizer"])):
             raise ValueError("the tokenizer does not drop white space: its texts cannot be put together from words")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian ids of one text, in ``kind``."""
-        words = self._SPACE.split(text) if self._NOT_SPACE.search(text) else text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-            return b"".join(map(known.__getitem__, words))
+        #: Strings that the tokenizer takes out of a text before anything else; one of them can stand between words.
+        self.special = [(x["content"], x["id"]) for x in made["added_tokens"] if x["special"] and not x["normalized"]]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words not met before, in one text with a special string between them where there is one."""
+        plain = [w for w in words if self.special and not any(t in w for t, _ in self.special)]
+        if plain:
+            mark, mark_id = self.special[0]
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(plain)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
+            ids, a = ids.astype(self.kind), 0
+            for w, b in zip(plain, ends, strict=True):
+                self.known[w] = ids[a:b].tobytes()
+                a = b + 1
+        rest = [w for w in words if w not in self.known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, self.kind).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, in ``kind``."""
+        by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in texts]
+        met = set().union(*by_text)
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        new = sorted(met.difference(self.known))
+        for a in range(0, len(new), 50_000):
+            self._learn(new[a : a + 50_000])
+        return [b"".join(map(self.known.__getitem__, words)) for words in by_text]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -117,34 +133,35 @@ def cut(docs: DataFrame, p: Params) -> DataFrame:
         end = np.array([p.end_id], encoder.kind).tobytes()
         width = encoder.kind.itemsize
         for batch in batches:
-            # a few hundred kilobytes of text at a time, so that a batch of long texts is not held as ids at once
-            doc, start, length, total, crc, ids, held = [], [], [], [], [], [], 0
             texts = batch.column(1)
-            for i in range(len(texts)):
-                own = encoder.ids(texts[i].as_py() or "") + end
-                tokens = len(own) // width
-                for a in range(0, tokens, p.size):
-                    piece = np.frombuffer(own[a * width : (a + p.size) * width], encoder.kind).astype("<u4").tobytes()
-                    doc.append(i)
-                    start.append(a)
-                    length.append(len(piece) // 4)
-                    total.append(tokens)
-                    crc.append(zlib.crc32(piece))
-                    ids.append(piece)
-                    held += len(piece)
-                if held > 8 << 20 or i + 1 == len(texts):
-                    size = np.array(length, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((part << 36) + n + np.arange(len(doc)), pa.int64()), pa.array([part] * len(doc), pa.int32()),
-                            pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
-                            pa.array(-(-size // p.unit), pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
-                            batch.column(0).take(pa.array(doc, pa.int64())),
-                        ],
-                        ["piece", "part", "start", "length", "doc_tokens", "class", "ids_crc32", "ids", "doc_id"],
-                    )
-                    n += len(doc)
-                    doc, start, length, total, crc, ids, held = [], [], [], [], [], [], 0
+            lo, size = 0, 0
+            for i in range(len(texts)):  # some texts at a time, so that a batch of long ones is not held as ids at once
+                size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
+                if size < p.together and i + 1 < len(texts):
+                    continue
+                doc, start, length, total, crc, ids = [], [], [], [], [], []
+                for k, own in enumerate(encoder.ids([x or "" for x in texts[lo : i + 1].to_pylist()]), lo):
+                    own += end
+                    tokens = len(own) // width
+                    for a in range(0, tokens, p.size):
+                        piece = np.frombuffer(own[a * width : (a + p.size) * width], encoder.kind).astype("<u4").tobytes()
+                        doc.append(k)
+                        start.append(a)
+                        length.append(len(piece) // 4)
+                        total.append(tokens)
+                        crc.append(zlib.crc32(piece))
+                        ids.append(piece)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((part << 36) + n + np.arange(len(doc)), pa.int64()), pa.array([part] * len(doc), pa.int32()),
+                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
+                        pa.array(-(-np.array(length, np.int64) // p.unit), pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
+                        batch.column(0).take(pa.array(doc, pa.int64())),
+                    ],
+                    ["piece", "part", "start", "length", "doc_tokens", "class", "ids_crc32", "ids", "doc_id"],
+                )
+                n += len(doc)
+                lo, size = i + 1, 0
 
     return map_batches(prefixed(docs, "doc_id", "text"), run, f"{_PIECES}, doc_id {kind}")
 
