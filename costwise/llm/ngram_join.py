@@ -291,12 +291,13 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
     links = None
-    labels = nodes.select("node", F.col("node").alias("label"))
+    degree = stored(shared.groupBy("node").agg(F.count("*").alias("k")), "degrees")
+    labels = degree.select("node", F.col("node").alias("label"))
     for r in range(p.star_rounds):
-        at = shared.filter(F.pmod("h", F.lit(4)) == r).join(labels, "node")
-        pivot = at.groupBy("h").agg(
-            F.count("*").alias("width"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), "node", "label")).alias("pivot")
-        ).filter(F.col("width") >= p.star_width)
+        at = shared.filter(F.pmod("h", F.lit(4)) == r).join(labels, "node").join(degree, "node")
+        # first the row with most shared columns, which copies with an edit each have in common; then any row
+        first = F.struct((-F.col("k") if r == 0 else F.lit(0)).alias("by"), F.xxhash64("node", F.lit(r)).alias("draw"), "node", "label")
+        pivot = at.groupBy("h").agg(F.count("*").alias("width"), F.min(first).alias("pivot")).filter(F.col("width") >= p.star_width)
         star = (
             at.join(pivot, "h").filter(F.col("label") != F.col("pivot.label"))
             .select(F.col("node").alias("u"), F.col("pivot.node").alias("c")).distinct()
@@ -313,10 +314,14 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ranked = stored(labels.join(sizes, "label"), "ranked")
     at = shared.join(ranked, "node")
     groups = at.select("h", F.col("label").alias("c"), F.col("size").alias("c_size")).distinct()
-    rest = stored(
+    # overlap counts of the first block: a row that links with a component shares enough columns with it
+    met = (
         at.join(groups, "h")
         .filter((F.col("label") != F.col("c")) & (F.struct("size", "label") < F.struct("c_size", "c")))
-        .select(F.col("node").alias("u"), "c").distinct(),
+        .groupBy(F.col("node").alias("u"), "c").agg(F.count("*").alias("k"))
+    )
+    rest = stored(
+        met.join(sizes_of, met["u"] == sizes_of["node"]).filter(F.col("k") >= least_shared(F.col("n"), p)).select("u", "c").distinct(),
         "tests",
     )
     members = ranked.join(rest.select("c").distinct(), ranked["label"] == F.col("c")).select("c", F.col("node").alias("m"))
