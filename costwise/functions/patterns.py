@@ -5,6 +5,7 @@ give the same answer: no lookaround, explicit character classes instead of the
 engine-specific meaning of \\s, \\d and \\b.
 
 Fixed values that must equal the reference for identical results:
+  digits are those of any script (category Nd); an answer is compared by value
   integer answer: optional minus, then either 1-3 digits followed by groups of
     three digits separated by ',' (U+002C), '，' (U+FF0C), NBSP (U+00A0) or
     NNBSP (U+202F), or a plain digit run; the last match wins
@@ -33,11 +34,11 @@ NON_WORD = "[^\\p{L}\\p{N}_]"
 
 GROUP_SEPARATORS = "[,\\x{FF0C}\\x{A0}\\x{202F}]"
 
-LAST_INTEGER = "-?(?:[0-9]{1,3}(?:" + GROUP_SEPARATORS + "[0-9]{3})+|[0-9]+)"
+LAST_INTEGER = "-?(?:\\p{Nd}{1,3}(?:" + GROUP_SEPARATORS + "\\p{Nd}{3})+|\\p{Nd}+)"
 
-CONSISTENCY_A = "(?i)a" + WS + "*=" + WS + "*(-?[0-9]+)"
-CONSISTENCY_B = "(?i)b" + WS + "*=" + WS + "*(-?[0-9]+)"
-CONSISTENCY_C = "(?i)c" + WS + "*=" + WS + "*(-?[0-9]+)"
+CONSISTENCY_A = "(?i)a" + WS + "*=" + WS + "*(-?\\p{Nd}+)"
+CONSISTENCY_B = "(?i)b" + WS + "*=" + WS + "*(-?\\p{Nd}+)"
+CONSISTENCY_C = "(?i)c" + WS + "*=" + WS + "*(-?\\p{Nd}+)"
 CONSISTENCY_VERDICT = "(?i)verdict" + WS + "*=" + WS + "*(consistent|inconsistent)"
 
 _START = "(?:^|" + NON_WORD + ")"

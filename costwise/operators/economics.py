@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from costwise.functions.cost import to_dollars, waste_ratio
 from costwise.params import BETA, EFF_GATE, PER_TASKS
-from costwise.sources.prices import attach_prices, bounded_broadcast
+from costwise.sources.prices import attach_prices
 
 
 def model_totals(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -149,7 +149,7 @@ def reprice(results: DataFrame, sheets: DataFrame) -> DataFrame:
     join on model, so adding a sheet costs one small join, not a rescan.
     """
     totals = model_totals(results)
-    sheet_rows = bounded_broadcast(sheets.select("sheet_id", "model", "price_in", "price_out"))
+    sheet_rows = sheets.select("sheet_id", "model", "price_in", "price_out")
     joined = totals.join(sheet_rows, "model", "inner")
     return joined.select(
         "sheet_id", "model", "n", "n_correct",

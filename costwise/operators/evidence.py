@@ -6,13 +6,17 @@ between configurations run on the reduced per-model tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costwise.functions.answers import is_sum
 from costwise.functions.buckets import depth_from_bucket
 from costwise.functions.cost import to_dollars
 from costwise.functions.spec import split_spec
 from costwise.functions.text import utf8_bytes
+from costwise.operators.ladder import latest_per_key
 from costwise.sources.prices import attach_prices
 
 
@@ -51,27 +55,28 @@ def reasoning_evidence(normalised: DataFrame) -> DataFrame:
     )
 
 
-def most_missed(results: DataFrame, k: int = 20, task_key: str = "task_id") -> DataFrame:
-    """D14 + F3: the k tasks most models got wrong (ties by task key)."""
-    per_task = results.groupBy(task_key).agg(
+def most_missed(results: DataFrame, order: Sequence[str], k: int = 20) -> DataFrame:
+    """D14 + F3: the k tasks most models got wrong (ties by task).
+
+    A model counts once per task, with its last record by ``order``."""
+    last = latest_per_key(results.select("task_id", "model", "terminal_correct", *[c for c in order if c != "terminal_correct"]),
+                          ["task_id", "model"], order)
+    per_task = last.groupBy("task_id").agg(
         F.count_if(~F.col("terminal_correct")).alias("n_wrong"),
         F.count(F.lit(1)).alias("n_models"),
     )
-    return per_task.orderBy(F.col("n_wrong").desc(), F.col(task_key)).limit(k)
+    return per_task.orderBy(F.col("n_wrong").desc(), "task_id").limit(k)
 
 
-def shared_wrong(results: DataFrame, task_key: str = "task_id", min_models: int = 2) -> DataFrame:
-    """The same wrong parsed value on the same question from >= min_models configs.
+def shared_wrong(results: DataFrame, min_models: int = 2) -> DataFrame:
+    """The same wrong parsed value on the same task from >= min_models configs.
 
-    Distinct models are collected per (question, value) group; the set is
-    bounded by the number of configurations, and partial aggregation
-    de-duplicates it map-side before the shuffle."""
+    Models are collected per (task, value) group; the set is bounded by the
+    number of configurations and de-duplicated map-side before the shuffle."""
     wrong = results.filter(~F.col("terminal_correct") & F.col("parsed_terminal").isNotNull())
-    g = wrong.groupBy(task_key, "parsed_terminal").agg(
-        F.count_distinct("model").alias("n_models"),
-        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
-    )
-    return g.filter(F.col("n_models") >= min_models)
+    g = wrong.groupBy("task_id", "parsed_terminal").agg(F.array_sort(F.collect_set("model")).alias("m"))
+    return g.filter(F.size("m") >= min_models).select(
+        "task_id", "parsed_terminal", F.size("m").cast("bigint").alias("n_models"), F.array_join("m", ",").alias("models"))
 
 
 def absorption(results: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -79,11 +84,13 @@ def absorption(results: DataFrame, tasks: DataFrame) -> DataFrame:
 
     ``tasks`` carries (task_id, distractor_values array<bigint>)."""
     j = results.filter(~F.col("terminal_correct")).select(
-        "task_id", "model",
-        (F.col("parsed_terminal").try_cast("decimal(38,0)")
-         - F.col("expected_terminal").try_cast("decimal(38,0)")).alias("delta"),
+        "task_id", "model", "parsed_terminal", "expected_terminal",
     ).join(tasks.select("task_id", "distractor_values"), "task_id", "inner")
-    hit = F.exists("distractor_values", lambda d: F.abs(F.col("delta")) == d.cast("decimal(38,0)"))
+    value = F.rlike("parsed_terminal", F.lit("^-?[0-9]+$")) & F.rlike("expected_terminal", F.lit("^-?[0-9]+$"))
+    off_by = lambda d: (  # noqa: E731 - exact at any length
+        is_sum(F.col("parsed_terminal"), F.col("expected_terminal"), d.cast("string"))
+        | is_sum(F.col("expected_terminal"), F.col("parsed_terminal"), d.cast("string")))
+    hit = F.when(value, F.exists("distractor_values", off_by))
     return j.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_wrong"),
         F.count_if(F.coalesce(hit, F.lit(False))).alias("n_absorbed"),
@@ -117,22 +124,32 @@ def spread(dollars: DataFrame) -> DataFrame:
 
 
 def knob_exchange(dollars: DataFrame) -> DataFrame:
-    """For each knob setting of a base model, accuracy gained and cost ratio
-    against the same model without a knob (equi-join on provider + model id)."""
+    """Accuracy gained and cost ratio between every two settings of one base model
+    (plain against a knob, and knob against knob where there is no plain row).
+
+    The settings of a base model are gathered into one array, which the number of
+    its configurations bounds, so the per-model summary is computed once and not
+    joined with itself. Of a pair the plain setting, else the cheaper one, is the base."""
     s = dollars.withColumn("spec", split_spec("model")).select(
-        "model", "accuracy", "dollars_per_correct",
         F.col("spec.provider").alias("provider"), F.col("spec.model_id").alias("model_id"),
-        F.col("spec.knob").alias("knob"), F.col("spec.knob_value").alias("knob_value"),
-    )
-    base = s.filter(F.col("knob").isNull()).select(
-        "provider", "model_id", F.col("model").alias("base_model"),
-        F.col("accuracy").alias("base_accuracy"), F.col("dollars_per_correct").alias("base_dpc"))
-    knobbed = s.filter(F.col("knob").isNotNull())
-    j = knobbed.join(base, ["provider", "model_id"], "inner")
+        F.struct(
+            F.col("spec.knob").isNotNull().alias("knobbed"),
+            F.coalesce("dollars_per_correct", F.lit(float("inf"))).alias("price"),
+            "model", F.col("spec.knob").alias("knob"), F.col("spec.knob_value").alias("knob_value"),
+            "accuracy", "dollars_per_correct",
+        ).alias("row"),
+    )
+    rows = s.groupBy("provider", "model_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    pairs = F.flatten(F.transform(
+        "rows", lambda base, i: F.transform(
+            F.slice("rows", i + 2, F.size("rows")), lambda other: F.struct(base.alias("base"), other.alias("other")))))
+    j = rows.select(F.explode(pairs).alias("p"))
     return j.select(
-        "model", "base_model", "knob", "knob_value",
-        (F.col("accuracy") - F.col("base_accuracy")).alias("accuracy_delta"),
-        (F.col("dollars_per_correct") / F.col("base_dpc")).alias("cost_ratio"),
+        F.col("p.other.model").alias("model"), F.col("p.base.model").alias("base_model"),
+        F.col("p.other.knob").alias("knob"), F.col("p.other.knob_value").alias("knob_value"),
+        F.col("p.base.knob_value").alias("base_knob_value"),
+        (F.col("p.other.accuracy") - F.col("p.base.accuracy")).alias("accuracy_delta"),
+        (F.col("p.other.dollars_per_correct") / F.col("p.base.dollars_per_correct")).alias("cost_ratio"),
     )
 
 

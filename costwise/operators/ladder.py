@@ -53,24 +53,33 @@ def pending_pairs(tasks: DataFrame, results: DataFrame, models: Sequence[str]) -
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last record per key by an explicit order (file order is not defined).
 
-    ``max_by`` over a struct of the ordering columns is a hash aggregate with
-    map-side partial aggregation, so a key holding a large share of the rows
-    is reduced on every map task before the shuffle (no per-key sort)."""
+    ``max_by`` over a struct of the ordering columns is reduced on every map task
+    before the shuffle, so a key that holds a large share of the rows is no hot
+    spot. The aggregate's buffer holds whole rows (strings among them), which
+    Spark keeps in a sort aggregate on either side of the exchange."""
     others = [c for c in df.columns if c not in keys]
     ordering = F.struct(*[F.col(c) for c in order])
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in others]), ordering).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def rung_stats(results: DataFrame, rungs: DataFrame, models: Sequence[str]) -> DataFrame:
+def rung_stats(
+    results: DataFrame, tasks: DataFrame, models: Sequence[str], order: Sequence[str]
+) -> DataFrame:
     """Per (model, rung depth) over the roster grid: recorded count, accuracy
-    (0.0 when nothing is recorded) and mean efficiency of correct answers."""
-    recorded = results.filter(F.col("model").isin(*models)).groupBy("model", "depth").agg(
+    (0.0 when nothing is recorded) and mean efficiency of correct answers.
+
+    A pair counts once, with its last record, and only if its task is one of
+    ``tasks`` (task_id, depth), which also says how deep it is."""
+    own = results.filter(F.col("model").isin(*models)).select(
+        "task_id", "model", "terminal_correct", "efficiency",
+        *[c for c in order if c not in ("terminal_correct", "efficiency")])
+    recorded = latest_per_key(own, ["task_id", "model"], order).join(tasks, "task_id").groupBy("model", "depth").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("terminal_correct").alias("n_correct"),
         F.avg("efficiency").alias("mean_efficiency"),
     )
-    grid = rungs.select("depth", roster_column(models).alias("model"))
+    grid = tasks.select("depth").distinct().select("depth", roster_column(models).alias("model"))
     cells = grid.join(recorded, ["model", "depth"], "left")
     return cells.select(
         "model", "depth",
@@ -83,9 +92,10 @@ def rung_stats(results: DataFrame, rungs: DataFrame, models: Sequence[str]) -> D
 
 def ladder(
     results: DataFrame,
-    task_depths: DataFrame,
+    tasks: DataFrame,
     models: Sequence[str],
     *,
+    order: Sequence[str] = ("seq",),
     depths: Sequence[int] = LADDER_DEPTHS,
     stop_accuracy: float = LADDER_STOP_ACCURACY,
     stop_efficiency: float = LADDER_STOP_EFFICIENCY,
@@ -93,11 +103,12 @@ def ladder(
 ) -> DataFrame:
     """Rungs actually evaluated, with prune flags and the early-stop rung.
 
-    ``results`` carries (task_id, model, terminal_correct, efficiency, depth);
-    ``task_depths`` carries the depth of every task, so rungs without tasks
-    are skipped. Output: one row per (alive model, evaluated rung)."""
-    rungs = task_depths.select("depth").distinct().filter(F.col("depth").isin(*depths))
-    cells = rung_stats(results, rungs, models)
+    ``results`` carries (task_id, model, terminal_correct, efficiency) and the
+    columns of ``order``, by which the last record of a pair is the one that
+    counts. ``tasks`` carries (task_id, depth) of every task, so rungs without
+    tasks are skipped. Output: one row per (alive model, evaluated rung)."""
+    on_ladder = tasks.select("task_id", "depth").filter(F.col("depth").isin(*depths)).distinct()
+    cells = rung_stats(results, on_ladder, models, order)
     acc, eff = F.col("accuracy"), F.col("mean_efficiency")
     reason = (
         F.when(acc <= F.lit(float(stop_accuracy)), F.lit("accuracy"))

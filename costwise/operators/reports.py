@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 
 from costwise.functions.buckets import depth_from_bucket
 from costwise.functions.cost import to_dollars
-from costwise.functions.rounding import round6
-from costwise.session import materialize
 from costwise.sources.prices import attach_prices
 
-MAX_PIVOT_COLUMNS = 10_000
-
 
 def stratified_report(results: DataFrame) -> DataFrame:
     """Per (model, difficulty_bucket) n, accuracy, mean efficiency on correct
@@ -50,24 +46,21 @@ def cell_totals(results: DataFrame, prices: DataFrame | None = None) -> DataFram
     return cells.withColumn("spend_dollars", F.when(F.col("priced"), to_dollars(units)))
 
 
-def ordered_buckets(cells: DataFrame) -> list[str]:
-    """Distinct bucket labels ordered by trailing depth, then label.
-
-    Reads the reduced per-cell table, whose size is models x buckets."""
-    rows = (
-        cells.select("difficulty_bucket").distinct()
-        .select("difficulty_bucket", depth_from_bucket("difficulty_bucket").alias("d"))
-        .orderBy("d", "difficulty_bucket")
-        .limit(MAX_PIVOT_COLUMNS + 1)
-        .collect()
+def _cells_of(cells: DataFrame, metric: str) -> DataFrame:
+    """Long cells of one metric: model, bucket, depth (its place in the header), value, status."""
+    if metric == "accuracy":
+        value, empty = F.col("n_correct") / F.col("n"), F.lit(False)
+    elif metric == "efficiency":
+        value, empty = F.col("mean_efficiency"), F.col("mean_efficiency").isNull()
+    elif metric == "dollars_per_correct":
+        value = F.col("spend_dollars") / F.col("n_correct")
+        empty = ~F.col("priced") | (F.col("n_correct") == 0)
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    return cells.select(
+        "model", "difficulty_bucket", depth_from_bucket("difficulty_bucket").alias("depth"),
+        F.when(~empty, value).alias("value"), F.when(empty, F.lit("n/a")).otherwise(F.lit("ok")).alias("status"),
     )
-    if len(rows) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} buckets: a pivot is not a useful view")
-    return [r[0] for r in rows]
-
-
-def _cell_text(value, status_na) -> F.Column:
-    return F.when(status_na, F.lit("n/a")).otherwise(F.format_string("%.6f", round6(value)))
 
 
 def pivot(
@@ -76,31 +69,17 @@ def pivot(
     prices: DataFrame | None = None,
     buckets: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Model x bucket matrix of ``accuracy``, ``efficiency`` or ``dollars_per_correct``.
-
-    Cells keep the three states of the report: a number (6 decimals), 'n/a'
-    for an empty metric (no correct answer, no price), '-' for a missing cell.
-    Without an explicit bucket list, the per-cell table is written once to the
-    session's checkpoint folder so the header and the body come from one scan.
-    """
-    cells = cell_totals(results, prices if metric == "dollars_per_correct" else None)
-    if metric == "accuracy":
-        cell = _cell_text(F.col("n_correct") / F.col("n"), F.lit(False))
-    elif metric == "efficiency":
-        cell = _cell_text(F.col("mean_efficiency"), F.col("mean_efficiency").isNull())
-    elif metric == "dollars_per_correct":
-        if prices is None:
-            raise ValueError("dollars_per_correct needs a price sheet")
-        na = ~F.col("priced") | (F.col("n_correct") == 0)
-        cell = _cell_text(F.col("spend_dollars") / F.col("n_correct"), na)
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    long = cells.select("model", "difficulty_bucket", cell.alias("cell"))
-    if buckets is None:
-        long = materialize(long, "pivot-cells")
-        buckets = ordered_buckets(long)
-    wide = long.groupBy("model").pivot("difficulty_bucket", list(buckets)).agg(F.first("cell"))
-    return wide.select("model", *[F.coalesce(F.col(f"`{b}`"), F.lit("-")).alias(b) for b in buckets])
+    """``accuracy``, ``efficiency`` or ``dollars_per_correct`` by model and bucket.
+
+    One row per cell that has results: model, difficulty_bucket, depth (F4: a
+    header is ordered by depth, then label), value, status ('ok', or 'n/a' with a
+    NULL value where the metric is empty). A caller that knows its buckets gets
+    them as columns of values; a cell without results is NULL there, as in the
+    long form it has no row."""
+    if metric == "dollars_per_correct" and prices is None:
+        raise ValueError("dollars_per_correct needs a price sheet")
+    long = _cells_of(cell_totals(results, prices if metric == "dollars_per_correct" else None), metric)
+    return long if buckets is None else _widen(long, buckets)
 
 
 def cost_decomposition(results: DataFrame) -> DataFrame:
@@ -119,18 +98,15 @@ def cost_decomposition(results: DataFrame) -> DataFrame:
     )
 
 
-def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True) -> dict[str, DataFrame]:
-    """Leaderboard, pivots and cost decomposition from one scan of the results.
+def comparison(results: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
+    """Leaderboard, pivots and cost decomposition over one reduced table.
 
-    The fact table is reduced once to per (model, bucket) sums and counts; every
-    view is an aggregate of that small table (means are recomputed from sums,
-    never averaged). With ``checkpoint`` the cell table is written once to the
-    session's checkpoint folder, so the views do not rescan the results."""
+    Every view is a lazy aggregate of the per (model, bucket) sums and counts
+    (means are recomputed from sums, never averaged), so a caller that wants all
+    views writes or caches ``cells`` and builds the views on that."""
     from costwise.functions.cost import waste_ratio
-    from costwise.operators.economics import leaderboard_from_totals
 
     correct = F.col("terminal_correct")
-    depth = depth_from_bucket("difficulty_bucket").cast("double")
     cells = results.groupBy("model", "difficulty_bucket").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(correct).alias("n_correct"),
@@ -139,10 +115,14 @@ def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True
         F.sum("efficiency").alias("sum_efficiency"),
         F.count("efficiency").alias("n_efficiency"),
         F.sum(F.when(correct, waste_ratio("cost", "v_star"))).alias("sum_waste"),
-        F.first(depth).alias("depth"),
-    )
-    if checkpoint:
-        cells = materialize(cells, "comparison-cells")
+    ).withColumn("depth", depth_from_bucket("difficulty_bucket").cast("double"))
+    return comparison_views(cells, prices)
+
+
+def comparison_views(cells: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
+    """The views of ``comparison`` on its cell table."""
+    from costwise.operators.economics import leaderboard_from_totals
+
     per_model = cells.groupBy("model").agg(
         F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"),
         F.sum("sum_input_tokens").alias("sum_input_tokens"),
@@ -166,27 +146,20 @@ def comparison(results: DataFrame, prices: DataFrame, *, checkpoint: bool = True
         slope.alias("per_step_tokens"), "n",
         F.when(slope.isNull(), F.lit("needs >=2 depths")).otherwise("ok").alias("status"),
     )
-    buckets = ordered_buckets(cells)
-    views = {
+    units = (F.col("sum_input_tokens").cast("double") * F.col("price_in")
+             + F.col("sum_output_tokens").cast("double") * F.col("price_out"))
+    means = cells.withColumn(
+        "mean_efficiency", F.when(F.col("n_efficiency") > 0, F.col("sum_efficiency") / F.col("n_efficiency")))
+    priced = attach_prices(means, prices).withColumn("spend_dollars", F.when(F.col("priced"), to_dollars(units)))
+    return {
         "cells": cells,
         "leaderboard": leaderboard_from_totals(per_model, prices),
         "decomposition": decomposition,
+        "pivot_accuracy": _cells_of(means, "accuracy"),
+        "pivot_efficiency": _cells_of(means, "efficiency"),
+        "pivot_cost": _cells_of(priced, "dollars_per_correct"),
     }
-    eff = F.col("sum_efficiency") / F.col("n_efficiency")
-    long = {
-        "accuracy": _cell_text(F.col("n_correct") / F.col("n"), F.lit(False)),
-        "efficiency": _cell_text(eff, F.col("n_efficiency") == 0),
-    }
-    for metric, cell in long.items():
-        views[f"pivot_{metric}"] = _widen(cells.select("model", "difficulty_bucket", cell.alias("cell")), buckets)
-    priced = attach_prices(cells, prices)
-    units = (F.col("sum_input_tokens").cast("double") * F.col("price_in")
-             + F.col("sum_output_tokens").cast("double") * F.col("price_out"))
-    cost_cell = _cell_text(to_dollars(units) / F.col("n_correct"), ~F.col("priced") | (F.col("n_correct") == 0))
-    views["pivot_cost"] = _widen(priced.select("model", "difficulty_bucket", cost_cell.alias("cell")), buckets)
-    return views
 
 
 def _widen(long: DataFrame, buckets: Sequence[str]) -> DataFrame:
-    wide = long.groupBy("model").pivot("difficulty_bucket", list(buckets)).agg(F.first("cell"))
-    return wide.select("model", *[F.coalesce(F.col(f"`{b}`"), F.lit("-")).alias(b) for b in buckets])
+    return long.groupBy("model").pivot("difficulty_bucket", list(buckets)).agg(F.first("value"))

@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costwise.functions.text import has_decomposition_marker, heuristic_tokens, leaked_values
-from costwise.operators.layout import spread
 
 FAMILY = "cw_chain"
 VERSION = "1.0.0"
@@ -38,22 +37,25 @@ VALUE_FLOOR = 2
 MAX_ATTEMPTS = 25
 
 SCENARIOS = [
-    ("warehouse", "boxes"), ("orchard", "baskets"), ("bindery", "notebooks"),
-    ("kiln", "bricks"), ("mill", "sacks"), ("boatyard", "oars"),
+    ("archive", "folders"), ("aquarium", "snails"), ("print shop", "posters"),
+    ("nursery", "seedlings"), ("tannery", "hides"), ("observatory", "plates"),
 ]
+# The start is x + y, x + y, or x and twice x again: what the openings have in common is the arithmetic alone.
 FIRST_TEMPLATES = [
-    "A {place} makes {a} {items} before noon and {b} more after noon.",
-    "Two teams at a {place} deliver {a} and {b} {items}.",
-    "A {place} makes {a} {items} on day one and double that on day two.",
+    "Ledger of the {place}: {a} {items} stood there when it opened, and a cart brought {b} further ones.",
+    "Shelf one of the {place} holds {a} {items}, shelf two holds {b}, and both are counted together.",
+    "The {place} starts with {a} {items} and then receives twice as many again, all of which are kept.",
 ]
+# Only op sentences begin so: the paired ladder drops those past a rung by it.
+OP_OPENING = "Next, "
 OP_TEMPLATES = {
-    "gain": "Then {k} more {items} are added to the running total.",
-    "loss": "Then {k} {items} are taken away from the running total.",
-    "scale": "Then the running total is multiplied by {k}.",
-    "split": "Then the running total is shared equally by {k} groups, and one group's share becomes the running total.",
+    "gain": OP_OPENING + "a delivery raises the count by {k} {items}.",
+    "loss": OP_OPENING + "an order lowers the count by {k} {items}.",
+    "scale": OP_OPENING + "the count grows to {k} times what it was.",
+    "split": OP_OPENING + "the count is cut into {k} equal lots, of which a single lot remains the count.",
 }
-DISTRACTOR_TEMPLATE = "A separate {place} nearby reports {d} {items}, which does not count toward the running total."
-QUESTION = "How many {items} make up the running total at the end? Reply with one integer."
+DISTRACTOR_TEMPLATE = "Elsewhere, unrelated to this count, another {place} owns {d} {items}."
+QUESTION = "State the final count of {items} as one integer and nothing else."
 
 
 def seed_grid(base: DataFrame, cells: Sequence[tuple[int, int]], n_per_cell: int, seed0_col: str = "seed0") -> DataFrame:
@@ -228,7 +230,6 @@ def _distractors(sents: Column, n: Column, forbidden: Column, seed: Column, atte
     """K6: struct(sents, values): n distractor sentences whose values avoid the
     forbidden set, inserted at keyed positions after the first sentence."""
     pool = F.array_except(F.sequence(F.lit(11).cast("bigint"), F.lit(99).cast("bigint")), forbidden)
-    idx = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: j <= n)
 
     def insert_all(values: Column) -> Column:
         init = F.struct(sents.alias("s"), F.lit(0).alias("j"))
@@ -240,8 +241,10 @@ def _distractors(sents: Column, n: Column, forbidden: Column, seed: Column, atte
 
         return F.struct(F.aggregate(values, init, ins)["s"].alias("sents"), values.alias("values"))
 
-    values = F.transform(idx, lambda j: F.element_at(
-        pool, (keyed_draw(F.size(pool), seed, attempt, "dval", j) + 1).cast("int")))
+    # distinct values: the first n of the pool in the order of a draw keyed by the value
+    drawn = F.array_sort(F.transform(pool, lambda x: F.struct(
+        keyed_draw(1 << 40, seed, attempt, "dval", x).alias("draw"), x.alias("value"))))
+    values = F.slice(F.transform(drawn, lambda r: r["value"]), F.lit(1), n)
     return let(values, insert_all)
 
 
@@ -288,7 +291,7 @@ def synthesize_chains(seeds: DataFrame) -> DataFrame:
     work is the attempts actually needed, the attempt expression appears once
     in the plan, and the job is one narrow projection (no shuffle). Seeds that
     never validate are kept with ``status = 'rejected'``."""
-    base = spread(seeds.select("seed", "depth", "distractors"))
+    base = seeds.select("seed", "depth", "distractors")
     w = once(base, "w", _first_valid_fold("chain", base, _attempt))
     tasks = _finish_tasks(w.select("seed", "depth", "distractors", "w.*"))
     return tasks.withColumn("status", F.when(F.col("attempt").isNull(), "rejected").otherwise("ok"))
@@ -332,7 +335,7 @@ def paired_ladder(groups: DataFrame, depths: Sequence[int], distractors: int = 2
     rung = F.explode(F.array(*[F.lit(d) for d in sorted(depths)])).alias("rung")
     # split the deepest prompt into numbered sentences once per group, then fan out the rungs
     sents = F.split(F.col("merged_prompt"), "(?<=\\.) ")
-    numbered = F.transform(sents, lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith("Then ").alias("op")))
+    numbered = F.transform(sents, lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith(OP_OPENING).alias("op")))
     base = deep.select(F.col("seed").alias("group_seed"), "attempt", "ops", "values", "distractor_values",
                        "merged_prompt")
     base = once(base, "numbered", numbered)
@@ -366,9 +369,8 @@ LEDGER_GROUPS = ["Alder", "Birch", "Cedar", "Maple", "Rowan"]
 LEDGER_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 LEDGER_SITES = ["depot", "yard", "dock"]
 LEDGER_UNITS = ["crates", "pallets", "drums"]
-LEDGER_DISTRACTOR = "An inspector also counted {d} {units} at the {g} {site}, which are not in the log."
-LEDGER_QUESTION = ("What is the difference between the highest and the lowest weekly total of {units} "
-                   "across the {site}s? Reply with one integer.")
+LEDGER_DISTRACTOR = "Not for this log: {d} {units} seen near the {g} {site} by a visitor."
+LEDGER_QUESTION = "By how many {units} does the largest sum of a {site} exceed the smallest? State one integer and nothing else."
 
 
 def _ldraw(m, *parts) -> Column:
@@ -390,7 +392,7 @@ def _keyed_sample(values: Column, n: Column, *key) -> Column:
 def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | None = None,
                     lead_hidden: Column | None = None, depth: Column | None = None) -> Column:
     """One ledger attempt. With ``upstream`` (K7) the first group's first cell is
-    that value, narrated by reference ("a load equal to the running total")
+    that value, narrated by reference ("as many as the count above")
     instead of by number; ``lead`` sentences go first and ``lead_hidden`` joins
     the hidden values."""
     seed, dist = F.col("seed"), F.col("distractors")
@@ -431,7 +433,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
                                     F.element_at(c["cells"], i * st["days"] + d).cast("string"), st["units"])
             if upstream is None:
                 return plain
-            injected = F.format_string("the %s %s logged a load equal to the running total", name, st["site"])
+            injected = F.format_string("the %s %s logged as many as the count above", name, st["site"])
             return F.when((i == 0) & (d == 1), injected).otherwise(plain)
 
         def day_sentence(day: Column, d: Column) -> Column:
@@ -482,7 +484,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
 def synthesize_ledgers(seeds: DataFrame) -> DataFrame:
     """K4 + K5 + K6 + K9: one ledger task per (seed, depth, distractors) row, as
     one narrow projection (first valid attempt by a lazily exiting fold)."""
-    base = spread(seeds.select("seed", "depth", "distractors"))
+    base = seeds.select("seed", "depth", "distractors")
     w = once(base, "w", _first_valid_fold("ledger", base, _ledger_attempt)).select(
         "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
@@ -513,7 +515,7 @@ def ledger_cells_long(tasks: DataFrame) -> DataFrame:
 # Chain + ledger hybrids (K7): the chain's final value becomes the first cell of
 # the first group, referred to by phrase; the answer is the ledger difference.
 HYBRID_FAMILY = "cw_hybrid"
-HYBRID_BRIDGE = "That running total is then shipped on and logged as described next."
+HYBRID_BRIDGE = "All of that count leaves for the sites whose log follows."
 
 
 def _hybrid_attempt(a: Column) -> Column:
@@ -544,7 +546,7 @@ def _hybrid_attempt(a: Column) -> Column:
 
 def synthesize_hybrids(seeds: DataFrame) -> DataFrame:
     """K7: chain+ledger tasks, one narrow projection (first valid attempt)."""
-    base = spread(seeds.select("seed", "depth", "distractors"))
+    base = seeds.select("seed", "depth", "distractors")
     w = once(base, "w", _first_valid_fold("hybrid", base, _hybrid_attempt)).select(
         "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
@@ -625,14 +627,14 @@ def paired_hybrid_ladder(groups: DataFrame, depths: Sequence[int], distractors:
     ledger narration, and the shared distractors; its answer is the ledger
     difference with the rung's chain value in the first cell."""
     rungs = sorted(depths)
-    base = spread(groups.select(F.col("group_seed").alias("seed"), F.lit(max(rungs)).alias("depth"),
-                                F.lit(distractors).alias("distractors")))
+    base = groups.select(F.col("group_seed").alias("seed"), F.lit(max(rungs)).alias("depth"),
+                         F.lit(distractors).alias("distractors"))
     fold = _first_valid_fold(f"paired_hybrid:{','.join(map(str, rungs))}", base,
                              lambda a: _paired_hybrid_attempt(a, rungs))
     w = once(base, "w", fold).filter(F.col("w").isNotNull()).select(
         F.col("seed").alias("group_seed"), "w.*")
     numbered = F.transform(F.split(F.col("merged_prompt"), "(?<=\\.) "),
-                           lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith("Then ").alias("op")))
+                           lambda x, i: F.struct(x.alias("s"), i.alias("i"), x.startswith(OP_OPENING).alias("op")))
     w = once(w, "numbered", numbered)
     w = once(w, "op_idx", F.transform(F.filter("numbered", lambda e: e["op"]), lambda e: e["i"]))
     t = w.select("group_seed", "attempt", "ops", "chain_values", "n_groups", "n_days", "groups", "cells",

@@ -25,6 +25,3 @@ LADDER_STOP_MAJORITY: float = 0.5
 LADDER_DEPTHS: tuple[int, ...] = tuple(range(3, 31, 3))
 
 TOKEN_WORD_FACTOR: float = 1.3
-
-# Largest price sheet (rows) the operators will broadcast without a shuffle.
-MAX_BROADCAST_ROWS: int = 200_000

@@ -11,6 +11,7 @@ from costwise.operators import evidence as ev
 from costwise.operators import reports as rep
 from costwise.plans.common import R6, finish, plan
 from costwise.plans.economics import TOTALS_SQL
+from costwise.plans.ladder import RECORD_ORDER
 
 ACCURACY_BAR = 0.6
 TOP_K = 20
@@ -86,28 +87,32 @@ def coverage(fx):
 @plan(
     "most_missed", "D14 F3",
     f"""
-SELECT expected_terminal, count(*) FILTER (WHERE NOT terminal_correct) AS n_wrong, count(*) AS n_models
-FROM fx_results GROUP BY expected_terminal
-ORDER BY n_wrong DESC, expected_terminal LIMIT {TOP_K}
+WITH numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id, model
+    ORDER BY seq DESC, output_tokens DESC, terminal_correct DESC) AS back FROM fx_results)
+SELECT task_id, count(DISTINCT CASE WHEN NOT terminal_correct THEN model END) AS n_wrong,
+  count(DISTINCT model) AS n_models
+FROM numbered WHERE back = 1 GROUP BY task_id
+ORDER BY n_wrong DESC, task_id LIMIT {TOP_K}
 """,
     "fx_results",
 )
 def most_missed(fx):
-    return ev.most_missed(fx["fx_results"], TOP_K, task_key="expected_terminal")
+    return ev.most_missed(fx["fx_results"], RECORD_ORDER, TOP_K)
 
 
 @plan(
     "shared_wrong", "D15",
     """
-SELECT expected_terminal, parsed_terminal, count(DISTINCT model) AS n_models,
+SELECT task_id, parsed_terminal, count(DISTINCT model) AS n_models,
   string_agg(DISTINCT model, ',' ORDER BY model) AS models
 FROM fx_results WHERE NOT terminal_correct AND parsed_terminal IS NOT NULL
-GROUP BY expected_terminal, parsed_terminal HAVING count(DISTINCT model) >= 2
+GROUP BY task_id, parsed_terminal HAVING count(DISTINCT model) >= 2
 """,
     "fx_results",
 )
 def shared_wrong(fx):
-    return ev.shared_wrong(fx["fx_results"], task_key="expected_terminal")
+    return ev.shared_wrong(fx["fx_results"])
 
 
 @plan(
@@ -132,17 +137,14 @@ def absorption(fx):
     "ideal_floor", "D18",
     f"""
 SELECT depth, count(*) AS n_tasks,
-  {R6('avg((CAST(input_tokens AS DOUBLE) * (SELECT min(price_in) FROM fx_prices) + CAST(1 AS DOUBLE) * (SELECT min(price_out) FROM fx_prices)) / 1e6)')}
+  {R6('avg((CAST(v_star_input_tokens AS DOUBLE) * (SELECT min(price_in) FROM fx_prices) + CAST(1 AS DOUBLE) * (SELECT min(price_out) FROM fx_prices)) / 1e6)')}
     AS ideal_dollars
-FROM fx_results GROUP BY depth
+FROM fx_tasks GROUP BY depth
 """,
-    "fx_results", "fx_prices",
+    "fx_tasks", "fx_prices",
 )
 def ideal_floor(fx):
-    tasks = fx["fx_results"].select(
-        "depth", F.col("input_tokens").alias("v_star_input_tokens"),
-        F.lit(1).cast("bigint").alias("v_star_output_tokens"))
-    return finish(ev.ideal_floor(tasks, fx["fx_prices"]))
+    return finish(ev.ideal_floor(fx["fx_tasks"], fx["fx_prices"]))
 
 
 _DPC = f"WITH {TOTALS_SQL}, d AS (SELECT model, accuracy, dollars_per_correct FROM priced2 WHERE dollars_per_correct IS NOT NULL)"
@@ -286,7 +288,7 @@ def spec_split(fx):
 FX_SPECS = {
     "m0": "openai:gpt-x", "m1": "openai:gpt-x#effort=low", "m2": "openai:gpt-x#effort=medium",
     "m3": "openai:gpt-x#effort=high", "m4": "moonshot:kimi-y", "m5": "moonshot:kimi-y#thinking=off",
-    "m6": "anthropic:claude-z", "m7": "deepseek:ds-w", "m8": "openai:gpt-v",
+    "m6": "anthropic:claude-z", "m7": "deepseek:ds-w", "m8": "openai:gpt-v#effort=high",
     "m9": "openai:gpt-v#effort=low", "m10": "moonshot:kimi-u", "m11": "moonshot:kimi-u#thinking=off",
     "m12": "anthropic:claude-t",
 }
@@ -301,11 +303,14 @@ WITH {TOTALS_SQL},
 s AS (SELECT {_CASE_SPEC} AS model, accuracy, dollars_per_correct FROM priced2),
 p AS (SELECT model, accuracy, dollars_per_correct, {_S2['provider']} AS provider, {_S2['model_id']} AS model_id,
         {_S2['knob']} AS knob, {_S2['knob_value']} AS knob_value FROM s)
-SELECT k.model, b.model AS base_model, k.knob, k.knob_value,
+SELECT k.model, b.model AS base_model, k.knob, k.knob_value, b.knob_value AS base_knob_value,
   {R6('k.accuracy - b.accuracy')} AS accuracy_delta,
   {R6('k.dollars_per_correct / b.dollars_per_correct')} AS cost_ratio
-FROM p k JOIN p b ON k.provider = b.provider AND k.model_id = b.model_id
-WHERE k.knob IS NOT NULL AND b.knob IS NULL
+FROM p k JOIN p b ON k.provider = b.provider AND k.model_id = b.model_id AND k.model <> b.model
+WHERE k.knob IS NOT NULL AND (b.knob IS NULL OR
+  coalesce(b.dollars_per_correct, CAST('Infinity' AS DOUBLE)) < coalesce(k.dollars_per_correct, CAST('Infinity' AS DOUBLE))
+  OR coalesce(b.dollars_per_correct, CAST('Infinity' AS DOUBLE)) = coalesce(k.dollars_per_correct, CAST('Infinity' AS DOUBLE))
+     AND b.model < k.model)
 """,
     "fx_results", "fx_prices",
 )

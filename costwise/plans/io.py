@@ -47,7 +47,7 @@ def jsonl_roundtrip(fx):
     # the sheet as one JSON document {model: {"in": .., "out": ..}, "_note": ..}
     entries = F.map_from_entries(F.collect_list(F.struct(
         "model", F.struct(F.col("price_in").alias("in"), F.col("price_out").alias("out")))))
-    doc = F.concat(F.lit('{"_note": "dollars per million tokens", '), F.substring(F.to_json(entries), 2, 1 << 30))
+    doc = F.concat(F.lit('{"_note": "dollars per million tokens", '), F.regexp_replace(F.to_json(entries), r"\A\{", ""))
     sheet = fx["fx_prices"].agg(doc.alias("value"))
     sheet.write.mode("overwrite").text(f"{base}/prices")
     results = read_results(fx.spark, [f"{base}/run_a", f"{base}/run_b"])

@@ -8,6 +8,8 @@ from costwise.plans.common import R6, finish, plan
 
 # Roster of the fixture (13 configs) and the fixture's ladder thresholds.
 FX_ROSTER = [f"m{i}" for i in range(13)]
+# The order in which results were recorded; rows that tie in it are equal.
+RECORD_ORDER = ("seq", "output_tokens", "terminal_correct")
 FX_STOP_ACCURACY = 0.48
 FX_STOP_EFFICIENCY = 0.14
 FX_MAJORITY = 0.5
@@ -16,18 +18,25 @@ _DEPTHS_SQL = ", ".join(str(d) for d in range(3, 31, 3))
 
 
 @plan(
-    "pending_pairs", "C2 C3 G2",
+    "pending_pairs", "C3 G2",
     f"""
-WITH tasks AS (SELECT DISTINCT task_id FROM fx_results),
-grid AS (SELECT t.task_id, r.model FROM tasks t CROSS JOIN {_ROSTER_SQL} r)
+WITH grid AS (SELECT t.task_id, r.model FROM fx_tasks t CROSS JOIN {_ROSTER_SQL} r)
 SELECT g.task_id, g.model FROM grid g
 WHERE NOT EXISTS (SELECT 1 FROM fx_results d WHERE d.task_id = g.task_id AND d.model = g.model)
 """,
-    "fx_results",
+    "fx_tasks", "fx_results",
 )
 def pending_pairs(fx):
-    r = fx["fx_results"]
-    return lad.pending_pairs(r, r, FX_ROSTER)
+    return lad.pending_pairs(fx["fx_tasks"], fx["fx_results"], FX_ROSTER)
+
+
+@plan(
+    "work_grid", "C2",
+    f"SELECT t.task_id, t.depth, r.model FROM fx_tasks t CROSS JOIN {_ROSTER_SQL} r",
+    "fx_tasks",
+)
+def work_grid(fx):
+    return lad.work_grid(fx["fx_tasks"], FX_ROSTER, keep=["depth"])
 
 
 @plan(
@@ -46,11 +55,14 @@ def latest_per_pair(fx):
 @plan(
     "ladder_prune", "D8 E1",
     f"""
-WITH rungs AS (SELECT DISTINCT depth FROM fx_results WHERE depth IN ({_DEPTHS_SQL})),
+WITH rungs AS (SELECT DISTINCT depth FROM fx_tasks WHERE depth IN ({_DEPTHS_SQL})),
 grid AS (SELECT r.depth, m.model FROM rungs r CROSS JOIN {_ROSTER_SQL} m),
+numbered AS (
+  SELECT r.*, row_number() OVER (PARTITION BY task_id, model
+           ORDER BY seq DESC, output_tokens DESC, terminal_correct DESC) AS back FROM fx_results r),
 rec AS (
-  SELECT model, depth, count(*) AS n, count(*) FILTER (WHERE terminal_correct) AS nc, avg(efficiency) AS me
-  FROM fx_results GROUP BY model, depth),
+  SELECT q.model, t.depth, count(*) AS n, count(*) FILTER (WHERE q.terminal_correct) AS nc, avg(q.efficiency) AS me
+  FROM numbered q JOIN fx_tasks t ON t.task_id = q.task_id WHERE q.back = 1 GROUP BY q.model, t.depth),
 cells AS (
   SELECT g.model, g.depth, coalesce(rec.n, 0) AS n, coalesce(rec.nc, 0) AS n_correct,
     coalesce(rec.nc / rec.n, CAST(0 AS DOUBLE)) AS accuracy, rec.me AS mean_efficiency
@@ -81,12 +93,11 @@ SELECT c4.model, c4.depth, c4.n, c4.n_correct, {R6('c4.accuracy')} AS accuracy,
 FROM c4 JOIN st ON c4.depth = st.depth CROSS JOIN sd
 WHERE c4.alive AND (sd.stop_depth IS NULL OR c4.depth <= sd.stop_depth)
 """,
-    "fx_results",
+    "fx_tasks", "fx_results",
 )
 def ladder_prune(fx):
-    r = fx["fx_results"]
     return finish(lad.ladder(
-        r, r.select("depth"), FX_ROSTER,
+        fx["fx_results"], fx["fx_tasks"], FX_ROSTER, order=RECORD_ORDER,
         stop_accuracy=FX_STOP_ACCURACY, stop_efficiency=FX_STOP_EFFICIENCY, majority=FX_MAJORITY,
     ))
 

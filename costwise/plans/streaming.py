@@ -53,8 +53,8 @@ FROM a
 )
 def stream_running_totals(fx):
     results = _stream_fixture(fx, "fx_results", "lineitem")
-    path = jobs.run_complete(jobs.running_totals(results, fx["fx_prices"]), "totals")
-    return finish(fx.spark.read.parquet(path))
+    path = jobs.run_complete(jobs.running_totals(results), "totals")
+    return finish(jobs.priced_totals(fx.spark.read.parquet(path), fx["fx_prices"]))
 
 
 @plan(
@@ -62,10 +62,33 @@ def stream_running_totals(fx):
     "SELECT DISTINCT user_id, event_type FROM events",
 )
 def stream_dedupe_pairs(fx):
-    ev = jobs.stream_table(fx.spark, fx.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    d = jobs.dedupe_pairs(ev, ["user_id", "event_type"], "ts", "30 days")
-    path = jobs.run_append(d.select("user_id", "event_type"), "dedupe")
-    return fx.spark.read.parquet(path)
+    ev = jobs.stream_table(fx.spark, fx.sf_dir, "events")
+    path = jobs.run_pairs(ev, "pairs", ["user_id", "event_type"])
+    return fx.spark.read.parquet(path).drop("_epoch")
+
+
+@plan(
+    "stream_resume_pairs", "A7 I2",
+    """
+SELECT user_id, event_type, CAST(min(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END) AS INTEGER) AS run
+FROM events GROUP BY user_id, event_type
+""",
+)
+def stream_resume_pairs(fx):
+    """Two runs of one job: the first sees half of the events, dated two months back, the
+    second starts with the rest added and records only pairs that are new."""
+    spark = fx.spark
+    folder = jobs.work_folder(spark, "resume")
+    events = fx["events"].select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    early = events.filter(F.col("event_id") % 2 == 0).withColumn("ts", F.col("ts") - F.expr("INTERVAL 60 DAYS"))
+    for n, part in ((1, early), (2, events.filter(F.col("event_id") % 2 != 0))):
+        part.write.mode("append").parquet(f"{folder}/events.parquet")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/events.parquet")
+        path = jobs.run_pairs(stream, "resume", ["user_id", "event_type"], folder=f"{folder}/job")
+        if n == 1:
+            first = spark.read.parquet(path).agg(F.max("_epoch")).first()[0]
+    run = F.when(F.col("_epoch") <= first, 1).otherwise(2)
+    return spark.read.parquet(path).select("user_id", "event_type", run.cast("int").alias("run"))
 
 
 @plan(

@@ -1,6 +1,8 @@
-"""Registered plans: task-set synthesis and its audits (no SQL oracle: the
-generator is checked against an independent re-implementation in the tests
-and by the zero-violation audits below)."""
+"""Registered plans: task-set synthesis and its audits.
+
+The audits' answers are fixed by the seed tables: every seed gives a task and no
+rule is violated. The generators themselves draw by ``xxhash64``, which SQL
+engines do not share; the tests hold them against an independent one."""
 
 from __future__ import annotations
 
@@ -45,18 +47,26 @@ def synth_checks(t):
                  (F.col("v_star_input_tokens") == heuristic_tokens("merged_prompt")).alias("ok")),
         F.struct(F.lit("distractors_avoid_hidden").alias("check"),
                  (~F.arrays_overlap("distractor_values", "values")).alias("ok")),
+        F.struct(F.lit("distractors_differ").alias("check"),
+                 (F.size(F.array_distinct("distractor_values")) == F.size("distractor_values")).alias("ok")),
     )
     long = t.select(F.explode(checks).alias("c")).select("c.check", F.coalesce("c.ok", F.lit(False)).alias("ok"))
     return long.groupBy("check").agg(F.count(F.lit(1)).alias("n_tasks"),
                                      F.count_if(~F.col("ok")).alias("n_violations"))
 
 
-@plan("synth_audit", "K10 K12 K16 G4", None)
+@plan("synth_audit", "K10 K12 K16 G4", """
+SELECT c.name AS "check", n.n AS n_tasks, CAST(0 AS BIGINT) AS n_violations
+FROM (VALUES ('truth_replay'), ('no_hidden_value_leak'), ('no_decomposition_marker'), ('values_within_bounds'), ('vstar_tokens'), ('distractors_avoid_hidden'), ('distractors_differ')) c(name) CROSS JOIN (SELECT count(*) AS n FROM part) n
+""")
 def synth_audit(fx):
     return synth_checks(sy.synthesize_chains(_part_seeds(fx)).filter(F.col("status") == "ok"))
 
 
-@plan("distractor_invariance", "K13", None)
+@plan(
+    "distractor_invariance", "K13",
+    "SELECT count(*) AS n_groups, CAST(0 AS BIGINT) AS n_answer_changed, CAST(0 AS BIGINT) AS n_prompt_not_longer FROM part",
+)
 def distractor_invariance(fx):
     """Same (seed, depth) with 0, 1, 2 distractors: one answer, prompts strictly longer."""
     s = _part_seeds(fx, distractors=F.lit(0)).drop("distractors").select(
@@ -73,7 +83,14 @@ def distractor_invariance(fx):
                  F.count_if(~grows).alias("n_prompt_not_longer"))
 
 
-@plan("paired_ladder_audit", "K8 K14 E4 C8", None)
+@plan(
+    "paired_ladder_audit", "K8 K14 E4 C8",
+    """
+SELECT count(*) AS n_groups, 10 * count(*) AS n_tasks, CAST(0 AS BIGINT) AS groups_not_prefix,
+  CAST(0 AS BIGINT) AS groups_prompt_not_growing, CAST(0 AS BIGINT) AS groups_distractors_differ
+FROM supplier
+""",
+)
 def paired_ladder_audit(fx):
     groups = fx["supplier"].select(F.col("s_suppkey").alias("group_seed"))
     rungs = sy.paired_ladder(groups, list(range(3, 31, 3)))
@@ -93,7 +110,14 @@ def paired_ladder_audit(fx):
                          F.count_if(F.col("n_distractor_sets") != 1).alias("groups_distractors_differ"))
 
 
-@plan("replay_check", "C10 G5 A4", None)
+@plan(
+    "replay_check", "C10 G5 A4",
+    """
+SELECT count(*) AS n_same, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_only_recorded,
+  CAST(0 AS BIGINT) AS n_only_regenerated, CAST(0 AS BIGINT) AS n_rows_differing
+FROM part
+""",
+)
 def replay_check(fx):
     """Record a generated task set as a table in the checkpoint folder, regenerate
     it from the same seeds and compare: status counts and rows differing."""
@@ -131,7 +155,10 @@ def ledger_synthesis(fx):
                     "v_star_input_tokens", "status")
 
 
-@plan("ledger_audit", "K11 K12 D10", None)
+@plan("ledger_audit", "K11 K12 D10", """
+SELECT c.name AS "check", n.n AS n_tasks, CAST(0 AS BIGINT) AS n_violations
+FROM (VALUES ('truth_replay'), ('cells_narrated_once'), ('no_hidden_value_leak'), ('no_decomposition_marker'), ('distractors_avoid_cells')) c(name) CROSS JOIN (SELECT count(*) AS n FROM customer) n
+""")
 def ledger_audit(fx):
     """Truth replay through the ledger-total operator on the long-form cells,
     plus surface checks: (check, n_tasks, n_violations)."""
@@ -176,7 +203,10 @@ def hybrid_synthesis(fx):
                     "difficulty_bucket", "status")
 
 
-@plan("hybrid_audit", "K7 K10 K11 K12", None)
+@plan("hybrid_audit", "K7 K10 K11 K12", """
+SELECT c.name AS "check", n.n AS n_tasks, CAST(0 AS BIGINT) AS n_violations
+FROM (VALUES ('chain_replay'), ('injected_cell_is_chain_result'), ('ledger_truth'), ('no_hidden_value_leak'), ('no_decomposition_marker')) c(name) CROSS JOIN (SELECT count(*) AS n FROM supplier) n
+""")
 def hybrid_audit(fx):
     """Chain replay, injected cell = chain result, ledger truth, surface checks."""
     t = materialize(sy.synthesize_hybrids(_supplier_seeds(fx)).filter(F.col("status") == "ok"), "hybrid-tasks")
@@ -212,7 +242,15 @@ def calibration_run(fx):
     return stratified_report(results)
 
 
-@plan("paired_hybrid_audit", "K8 K14 E4 K7 K11", None)
+@plan(
+    "paired_hybrid_audit", "K8 K14 E4 K7 K11",
+    """
+SELECT count(*) AS n_groups, 10 * count(*) AS n_tasks, CAST(0 AS BIGINT) AS groups_not_prefix,
+  CAST(0 AS BIGINT) AS groups_prompt_not_growing, CAST(0 AS BIGINT) AS groups_wrong_truth,
+  CAST(0 AS BIGINT) AS groups_table_differs
+FROM supplier
+""",
+)
 def paired_hybrid_audit(fx):
     """Paired chain+ledger ladders from supplier groups: per group, op lists are
     prefixes, prompts grow, the visible ledger cells and distractors are shared

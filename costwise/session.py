@@ -54,8 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Order: a directory already set on the SparkContext, then
     ``spark.checkpoint.dir`` from the session or the launch configuration.
-    Only when none is set (local tests) a fresh scratch folder is created and
-    registered."""
+    Only where none is set and the master is local (tests, local bench runs) a
+    fresh scratch folder is created and registered; on a cluster a machine-local
+    folder would lose what executors write, so the missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -64,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} names no shared folder; set it for master {sc.master}")
     local = tempfile.mkdtemp(prefix="costwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     try:
         spark.conf.set(CHECKPOINT_CONF, local)

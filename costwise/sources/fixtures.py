@@ -12,32 +12,37 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costwise.operators.layout import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Tables whose rows carry whole texts that regexes and tokenizers scan.
-TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
-
 FX_SQL: dict[str, str] = {
-    # results: one row per (task, model) with known answers, tokens, cost, V*.
+    # tasks: one per part; everything about a task follows from its part alone.
+    "fx_tasks": """
+SELECT concat('P', CAST(p_partkey AS STRING)) AS task_id,
+  CAST(3 * (1 + p_partkey % 10) AS INT) AS depth,
+  CAST(floor(p_partkey / 10) AS BIGINT) % 50 AS group_seed,
+  concat('hybrid-paired_d', CAST(3 * (1 + p_partkey % 10) AS STRING)) AS difficulty_bucket,
+  CAST(p_partkey * 37 % 5000 AS STRING) AS expected_terminal,
+  100 + 5 * (p_partkey % 50) AS v_star_input_tokens, CAST(1 AS BIGINT) AS v_star_output_tokens
+FROM {part}
+""",
+    # results: several models per task, and (task, model) pairs recorded more than once in the order of seq.
     "fx_results": """
 WITH base AS (
-  SELECT concat('L', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
-                CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS task_id,
+  SELECT concat('P', CAST(l_partkey AS STRING)) AS task_id,
     concat('m', CAST(l_suppkey % 13 AS STRING)) AS model,
+    l_orderkey * 8 + l_linenumber AS seq,
     CAST(3 * (1 + l_partkey % 10) AS INT) AS depth,
-    l_orderkey % 50 AS group_seed,
+    CAST(floor(l_partkey / 10) AS BIGINT) % 50 AS group_seed,
     (l_orderkey * 7 + l_linenumber * 3 + l_suppkey) % 20 >= (l_suppkey % 13) AS terminal_correct,
-    CAST(l_orderkey % 5000 AS STRING) AS expected_terminal,
-    CAST(l_orderkey % 5000 + l_linenumber AS STRING) AS wrong_terminal,
-    100 + 5 * CAST(floor(l_quantity) AS BIGINT) AS input_tokens,
+    CAST(l_partkey * 37 % 5000 AS STRING) AS expected_terminal,
+    CAST(l_partkey * 37 % 5000 + 1 + l_orderkey % 5 AS STRING) AS wrong_terminal,
+    100 + 5 * (l_partkey % 50) AS input_tokens,
     1 + CAST(floor(l_extendedprice / 100) AS BIGINT) AS output_tokens
   FROM {lineitem})
-SELECT task_id, model, terminal_correct,
+SELECT task_id, model, seq, terminal_correct,
   CASE WHEN terminal_correct THEN expected_terminal ELSE wrong_terminal END AS parsed_terminal,
   expected_terminal, input_tokens, output_tokens,
   CAST(input_tokens + 4 * output_tokens AS DOUBLE) AS cost,
@@ -117,12 +122,11 @@ SELECT concat('D', CAST(doc_id AS STRING)) AS task_id, source AS model,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS output_tokens
 FROM {documents}
 """,
-    # two recorded distractor values per result task (from discount and tax).
+    # two recorded distractor values per task.
     "fx_distractors": """
-SELECT concat('L', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
-              CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS task_id,
-  CAST(floor(l_discount * 100) AS BIGINT) AS d1, CAST(floor(l_tax * 100) AS BIGINT) AS d2
-FROM {lineitem}
+SELECT concat('P', CAST(p_partkey AS STRING)) AS task_id,
+  CAST(p_size % 6 AS BIGINT) AS d1, p_partkey % 4 AS d2
+FROM {part}
 """,
     # model spec strings, valid and invalid, one per customer.
     "fx_specs": """
@@ -193,10 +197,7 @@ class Fixtures:
                 refs = {n: self.table(n) for n in _inputs(tpl)}
                 self._cache[name] = self.spark.sql(tpl, **refs)
             else:
-                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                if name in TEXT_TABLES:
-                    df = spread(df)
-                self._cache[name] = df
+                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
     __getitem__ = table

@@ -2,7 +2,7 @@
 
 A sheet is a dimension keyed by model. It is joined to per-model (or per-cell)
 aggregates, never to the row-level fact table, so its join input is bounded by
-the number of configurations. Broadcasting it is still guarded by a row check.
+the number of configurations.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.params import MAX_BROADCAST_ROWS
 
 
 def load_price_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -35,24 +34,14 @@ def load_price_sheet(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when it provably has at most ``max_rows`` rows.
+def attach_prices(df: DataFrame, prices: DataFrame) -> DataFrame:
+    """Left-join prices on ``model``: ``priced`` is False for models absent from the sheet.
 
-    The check runs ``limit(max_rows + 1).count()`` on the (small) dimension
-    itself; beyond the bound the plain DataFrame is returned and Spark plans a
-    shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def attach_prices(df: DataFrame, prices: DataFrame, *, broadcast_checked: bool = True) -> DataFrame:
-    """Left-join prices on ``model``: ``priced`` is False for models absent from the sheet."""
+    ``df`` is reduced per model or per cell, so either side is small and the join
+    strategy is left to the optimizer, which knows sizes in bytes."""
     p = prices.select(
         "model", "price_in", "price_out", F.lit(True).alias("priced"),
         *([c for c in ("sheet_id",) if c in prices.columns]),
     )
-    if broadcast_checked:
-        p = bounded_broadcast(p)
     out = df.join(p, "model", "left")
     return out.withColumn("priced", F.coalesce(F.col("priced"), F.lit(False)))

@@ -3,18 +3,19 @@
 * I1  incremental scoring: file-source responses, stream-static join with the
       task table, the batch scoring projection, append to a Parquet sink whose
       commit log gives exactly-once files.
-* I2  exactly-once pairs: ``dropDuplicatesWithinWatermark`` on the pair key,
-      state bounded by the watermark on arrival time.
-* I3  running leaderboard: the sheet is joined per row against a broadcast
-      dimension, the state per model holds only counts and sums, ratios are a
-      projection of the aggregate.
+* I2  exactly-once pairs: each micro-batch is anti-joined with the pairs that
+      earlier epochs recorded, however long ago, and written to its epoch's
+      folder, so a replayed epoch replaces itself.
+* I3  running leaderboard: the state per model holds only counts and sums; the
+      sheet and the ratios are a projection of the aggregate.
 * I4  progress and rate: tumbling event-time windows per model.
 * I5  chunk streams: a session window per request closes a response once
       event time has moved ``gap`` past its last chunk (append mode); the
       ordered concatenation runs on the window's rows.
 
-Checkpoints and sink folders live under the session's ``spark.checkpoint.dir``
-(shared storage on a cluster), so a restarted driver resumes where it stopped.
+Checkpoints and sink folders of a run lie in one work folder on shared storage.
+A job that is given the same work folder again resumes where it stopped; without
+one it starts anew below the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from costwise.functions.cost import spend_units, to_dollars
 from costwise.operators.scoring import score
 from costwise.session import checkpoint_dir
-from costwise.sources.prices import bounded_broadcast
+from costwise.sources.prices import attach_prices
 
 
 def stream_table(
@@ -46,14 +47,14 @@ def stream_table(
     return r.parquet(folder)
 
 
-def _workdir(spark: SparkSession, name: str) -> str:
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new work folder; keep it to resume the job."""
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_append(stream: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Append-only Parquet sink with a checkpoint; runs all available input now."""
-    spark = stream.sparkSession
-    base = _workdir(spark, name)
+def run_append(stream: DataFrame, name: str, partition_by: tuple[str, ...] = (), folder: str | None = None) -> str:
+    """Append-only Parquet sink with a checkpoint; runs all input not yet taken in now."""
+    base = folder or work_folder(stream.sparkSession, name)
     w = stream.writeStream.format("parquet").outputMode("append") \
         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
     if partition_by:
@@ -63,10 +64,9 @@ def run_append(stream: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     return f"{base}/data"
 
 
-def run_complete(stream: DataFrame, name: str) -> str:
+def run_complete(stream: DataFrame, name: str, folder: str | None = None) -> str:
     """Complete-mode aggregate materialised as a table, rewritten per micro-batch."""
-    spark = stream.sparkSession
-    base = _workdir(spark, name)
+    base = folder or work_folder(stream.sparkSession, name)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/data")
@@ -77,33 +77,54 @@ def run_complete(stream: DataFrame, name: str) -> str:
     return f"{base}/data"
 
 
+def run_pairs(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> str:
+    """I2 + A7: record each pair once, with the first batch that brings it.
+
+    A batch is reduced to its distinct pairs, those of earlier epochs are taken
+    away, and the rest overwrites the epoch's own folder: no watermark, so a pair
+    is neither lost for being late nor written again after a long time."""
+    spark = stream.sparkSession
+    base = folder or work_folder(spark, name)
+    data = f"{base}/data"
+    own = stream.select(*keys)
+    schema = own.schema.add("_epoch", "long")
+    spark.createDataFrame([], own.schema).write.mode("ignore").parquet(f"{data}/_epoch=-1")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        recorded = spark.read.schema(schema).parquet(data).filter(F.col("_epoch") < epoch_id)
+        batch.distinct().join(recorded, keys, "left_anti").write.mode("overwrite").parquet(f"{data}/_epoch={epoch_id}")
+
+    q = (own.writeStream.foreachBatch(write)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return data
+
+
 def score_stream(responses: DataFrame, tasks: DataFrame, **kw) -> DataFrame:
     """The batch scoring plan applied to a stream of responses (stream-static join)."""
     return score(tasks, responses, **kw)
 
 
-def dedupe_pairs(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Keep the first record per pair within the watermark delay."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def running_totals(results: DataFrame, prices: DataFrame) -> DataFrame:
+def running_totals(results: DataFrame) -> DataFrame:
     """Running per-model totals; only sums and counts are kept in state."""
-    p = bounded_broadcast(prices.select("model", "price_in", "price_out"))
-    j = results.join(p, "model", "left")
-    agg = j.groupBy("model").agg(
+    return results.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("terminal_correct").alias("n_correct"),
         F.sum("efficiency").alias("sum_efficiency"),
-        F.sum(spend_units("input_tokens", "output_tokens", "price_in", "price_out")).alias("spend_units"),
-        F.count("price_in").alias("n_priced"),
+        F.sum("input_tokens").alias("sum_input_tokens"),
+        F.sum("output_tokens").alias("sum_output_tokens"),
     )
-    return agg.select(
+
+
+def priced_totals(totals: DataFrame, prices: DataFrame) -> DataFrame:
+    """The running leaderboard, priced after the aggregate."""
+    p = attach_prices(totals, prices)
+    units = spend_units("sum_input_tokens", "sum_output_tokens", "price_in", "price_out")
+    return p.select(
         "model", "n", "n_correct",
         (F.col("n_correct") / F.col("n")).alias("accuracy"),
         F.coalesce(F.col("sum_efficiency") / F.col("n_correct"), F.lit(0.0)).alias("mean_efficiency"),
-        F.when((F.col("n_priced") > 0) & (F.col("n_correct") > 0),
-               to_dollars("spend_units") / F.col("n_correct")).alias("dollars_per_correct"),
+        F.when(F.col("priced") & (F.col("n_correct") > 0), to_dollars(units) / F.col("n_correct")).alias("dollars_per_correct"),
     )
 
 
@@ -153,14 +174,13 @@ def collapse_chunk_sessions(stream: DataFrame, event_time: str, gap: str = "5 mi
                       "completion_tokens", "finish_reason", "n_chunks")
 
 
-def run_updates(stream: DataFrame, name: str) -> str:
-    """Update-mode sink: every micro-batch's changed rows are appended with their
-    epoch; readers take the latest row per key (see ``latest_updates``)."""
-    spark = stream.sparkSession
-    base = _workdir(spark, name)
+def run_updates(stream: DataFrame, name: str, folder: str | None = None) -> str:
+    """Update-mode sink: every micro-batch's changed rows lie in their epoch's folder, which a
+    replay overwrites; readers take the latest row per key (see ``latest_updates``)."""
+    base = folder or work_folder(stream.sparkSession, name)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch_id).cast("bigint")).write.mode("append").parquet(f"{base}/data")
+        batch.write.mode("overwrite").parquet(f"{base}/data/_epoch={epoch_id}")
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())

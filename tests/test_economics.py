@@ -1,152 +1,129 @@
-"""Dollar economics, leaderboard and business view: worked numbers and ordering contracts."""
+"""Dollar economics on small tables; expected figures are worked out beside each case."""
 
 from __future__ import annotations
 
+import pytest
 from conftest import prices_df, results_df
+from pyspark.sql import functions as F
 
+from costwise.functions import compact_dollars
 from costwise.operators import economics as econ
 from costwise.operators import reports as rep
 
 
-def _rows(model, n_correct, n_wrong, out_tok=500, tin=300, v_star=304.0, bucket="hybrid_d3"):
-    rows = [(f"t::{model}::c{i}", model, True, tin, out_tok, v_star, bucket) for i in range(n_correct)]
-    rows += [(f"t::{model}::w{i}", model, False, tin, out_tok + i + 1, v_star, bucket) for i in range(n_wrong)]
-    return rows
+def answers(model, right, wrong=0, *, read=300, written=500, ideal=304.0, bucket="b_d3"):
+    """``right`` correct and ``wrong`` incorrect results of one model, all alike."""
+    return [(f"{model}/{i}", model, i < right, read, written, ideal, bucket) for i in range(right + wrong)]
 
 
-def test_spend_and_dollars_per_correct(spark):
-    # 10 tasks, 7 correct, 200 in / 500 out each at $3 / $15 per Mtok -> $0.081, 0.081/7
-    rows = [(f"t{i}", "x:m", i < 7, 200, 500, 130.0, "depth_3") for i in range(10)]
-    d = econ.dollars_summary(results_df(spark, rows), prices_df(spark, {"x:m": (3.0, 15.0)})).first()
-    assert d["n"] == 10 and d["n_correct"] == 7 and abs(d["accuracy"] - 0.7) < 1e-12
-    assert abs(d["spend_dollars"] - 0.081) < 1e-12
-    assert abs(d["dollars_per_correct"] - 0.081 / 7) < 1e-12
-    assert d["priced"] is True
+def by_model(df):
+    return {r["model"]: r for r in df.collect()}
 
 
-def test_no_correct_unpriced_and_waste(spark):
-    rows = [("a1", "x:wrong", False, 10, 10, 130.0, "d_3") for _ in range(3)]
-    rows += [("b1", "x:free", True, 1530 - 4 * 100, 100, 130.0, "d_3")]
-    sheet = prices_df(spark, {"x:wrong": (1.0, 1.0)})
-    out = {r["model"]: r for r in econ.dollars_summary(results_df(spark, rows), sheet).collect()}
-    assert out["x:wrong"]["dollars_per_correct"] is None and out["x:wrong"]["priced"] is True
-    assert out["x:wrong"]["mean_waste_ratio"] is None
-    assert out["x:free"]["priced"] is False and out["x:free"]["spend_dollars"] == 0.0
-    assert out["x:free"]["dollars_per_correct"] is None
-    assert abs(out["x:free"]["mean_waste_ratio"] - (1530 - 130) / 130) < 1e-9
+def test_summary_of_a_priced_model(spark):
+    # 8 results, 6 right; 1,000 read at $2 and 250 written at $8 per million: $0.004 a result
+    rows = answers("p", 6, 2, read=1000, written=250)
+    d = by_model(econ.dollars_summary(results_df(spark, rows), prices_df(spark, {"p": (2.0, 8.0)})))["p"]
+    assert (d["n"], d["n_correct"], d["priced"]) == (8, 6, True)
+    assert d["accuracy"] == pytest.approx(0.75)
+    assert d["spend_dollars"] == pytest.approx(0.032)
+    assert d["dollars_per_correct"] == pytest.approx(0.032 / 6)
 
 
-def test_reprice_under_two_sheets(spark):
-    rows = [(f"t{i}", "x:m", True, 200, 500, 130.0, "depth_3") for i in range(4)]
-    sheets = spark.createDataFrame(
-        [("cheap", "x:m", 1.0, 1.0), ("dear", "x:m", 10.0, 10.0)],
-        "sheet_id string, model string, price_in double, price_out double")
-    out = {r["sheet_id"]: r["spend_dollars"] for r in econ.reprice(results_df(spark, rows), sheets).collect()}
-    assert abs(out["dear"] / out["cheap"] - 10.0) < 1e-12
+def test_summary_without_a_right_answer_or_a_price(spark):
+    rows = answers("never", 0, 3, read=10, written=10) + answers("unpriced", 2, read=100, written=50, ideal=60.0)
+    d = by_model(econ.dollars_summary(results_df(spark, rows), prices_df(spark, {"never": (1.0, 1.0)})))
+    assert d["never"]["dollars_per_correct"] is None and d["never"]["mean_waste_ratio"] is None
+    assert d["never"]["spend_dollars"] == pytest.approx(6e-5)
+    assert d["unpriced"]["priced"] is False and d["unpriced"]["dollars_per_correct"] is None
+    # cost 100 + 4 * 50 = 300, ideal 60: (300 - 60) / 60
+    assert d["unpriced"]["mean_waste_ratio"] == pytest.approx(4.0)
 
 
-def test_worked_example_spend(spark):
-    # 270 in, 1,200 out at $0.60 / $3.00 -> $0.003762
-    rows = [("t", "m", True, 270, 1200, 274.0, "depth_3")]
-    d = econ.dollars_summary(results_df(spark, rows), prices_df(spark, {"m": (0.6, 3.0)})).first()
-    assert abs(d["spend_dollars"] - 0.003762) < 1e-12
+@pytest.mark.parametrize("factor", [0.5, 1.0, 3.0])
+def test_spend_follows_the_sheet(spark, factor):
+    sheets = spark.createDataFrame([("s", "p", 2.0 * factor, 8.0 * factor)], "sheet_id string, model string, price_in double, price_out double")
+    r = econ.reprice(results_df(spark, answers("p", 1, read=1000, written=250)), sheets).first()
+    assert (r["sheet_id"], r["spend_dollars"]) == ("s", pytest.approx(0.004 * factor))
 
 
-def test_leaderboard_order(spark):
-    rows = (_rows("p:cheap", 10, 0, out_tok=100) + _rows("p:dear", 10, 0, out_tok=900)
-            + _rows("u:good", 10, 0) + _rows("u:bad", 5, 5) + _rows("p:zero", 0, 4))
-    sheet = prices_df(spark, {"p:cheap": (1, 4), "p:dear": (1, 4), "p:zero": (1, 4)})
-    lb = econ.leaderboard(results_df(spark, rows), sheet).orderBy("rank").collect()
-    assert [r["model"] for r in lb] == ["p:cheap", "p:dear", "u:good", "u:bad", "p:zero"]
-    status = {r["model"]: r["status"] for r in lb}
-    assert status["p:zero"] == "unpriced" and status["u:good"] == "unpriced" and status["p:cheap"] == "ok"
+def test_priced_models_lead_by_price_the_others_by_efficiency(spark):
+    rows = (answers("mid", 5, written=400) + answers("low", 5, written=200) + answers("quick", 5, written=100)
+            + answers("slow", 5, written=5000) + answers("none", 0, 2))
+    board = econ.leaderboard(results_df(spark, rows), prices_df(spark, {m: (1, 4) for m in ("mid", "low", "none")})).orderBy("rank").collect()
+    assert [r["model"] for r in board][:3] == ["low", "mid", "quick"]
+    assert {r["model"]: r["status"] for r in board} == {"low": "ok", "mid": "ok", "quick": "unpriced", "slow": "unpriced", "none": "unpriced"}
 
 
-def _business(spark, rows, sheet, **kw):
-    return {r["model"]: r for r in econ.business_view(results_df(spark, rows), prices_df(spark, sheet), **kw).collect()}
+def risk(spark, rows, models, **kw):
+    return by_model(econ.business_view(results_df(spark, rows), prices_df(spark, {m: (1.0, 4.0) for m in models}), **kw))
 
 
-SHEET = {"a:clean": (1.0, 4.0), "a:one-wrong": (1.0, 4.0)}
+@pytest.mark.parametrize("right,wrong,k", [(20, 0, 0.0), (19, 1, 1.0), (38, 2, 1.0), (9, 1, 2.0), (17, 3, 3.0)])
+def test_the_penalty_grows_with_the_square_of_errors_in_twenty(spark, right, wrong, k):
+    v = risk(spark, answers("p", right, wrong), ["p"], beta=0.5)["p"]
+    assert v["k"] == pytest.approx(k)
+    assert v["risk_adjusted"] == pytest.approx(v["dollars_per_correct"] * 2.0 ** (k * k))
 
 
-def test_clean_sheet_is_unpenalized_and_ranked_first(spark):
-    b = _business(spark, _rows("a:clean", 20, 0) + _rows("a:one-wrong", 19, 1), SHEET)
-    assert b["a:clean"]["rank"] == 1 and b["a:one-wrong"]["rank"] == 2
-    assert b["a:clean"]["penalty"] == 1.0
+def test_one_error_costs_a_place(spark):
+    v = risk(spark, answers("spotless", 20) + answers("slip", 19, 1), ["spotless", "slip"])
+    assert (v["spotless"]["rank"], v["slip"]["rank"]) == (1, 2) and v["spotless"]["penalty"] == 1.0
 
 
-def test_penalty_is_beta_to_k_squared(spark):
-    b = _business(spark, _rows("m:x", 18, 2), {"m:x": (1.0, 4.0)}, beta=0.8)["m:x"]
-    assert abs(b["risk_adjusted"] - b["dollars_per_correct"] / 0.8 ** 4) < 1e-15
+def test_wasteful_models_go_to_the_bottom(spark):
+    v = risk(spark, answers("lean", 10, 10) + answers("bloated", 20, written=20_000), ["lean", "bloated"])
+    assert v["bloated"]["tier"] == "bottom" and v["bloated"]["rank"] is None
+    assert v["bloated"]["verdict"].startswith("gated: efficiency")
+    assert v["lean"]["position"] < v["bloated"]["position"]
 
 
-def test_k_is_normalized_per_20_tasks(spark):
-    b = _business(spark, _rows("m:x", 9, 1), {"m:x": (1.0, 4.0)}, beta=0.8)["m:x"]
-    assert b["k"] == 2.0
-    assert abs(b["risk_adjusted"] - b["dollars_per_correct"] / 0.8 ** 4) < 1e-15
+@pytest.mark.parametrize("written,gated", [(1444, False), (1446, True)])
+def test_the_gate_lies_at_its_share(spark, written, gated):
+    # ideal 304; 300 + 4 * 1445 = 6,080 would be exactly 5 %
+    v = risk(spark, answers("p", 4, written=written), ["p"], eff_gate=0.05)["p"]
+    assert v["gated"] is gated and bool(v["verdict"]) is gated
 
 
-def test_efficiency_gate_pushes_to_bottom_with_reason(spark):
-    rows = _rows("m:slow", 20, 0, out_tok=16000) + _rows("m:fast", 18, 2, out_tok=500)
-    b = _business(spark, rows, {"m:fast": (1.0, 4.0), "m:slow": (1.0, 4.0)})
-    assert b["m:slow"]["tier"] == "bottom" and b["m:slow"]["rank"] is None
-    assert b["m:slow"]["verdict"].startswith("gated: efficiency")
-    assert b["m:fast"]["rank"] == 1 and b["m:slow"]["position"] > b["m:fast"]["position"]
+def test_errors_without_end_stay_listed_with_a_short_price(spark):
+    rows = answers("hopeless", 5, 15) + answers("sound", 20)
+    view = econ.business_view(results_df(spark, rows), prices_df(spark, {"hopeless": (1, 4), "sound": (1, 4)}))
+    v = by_model(view.withColumn("shown", compact_dollars(F.col("risk_adjusted"))))
+    assert v["hopeless"]["position"] > v["sound"]["position"] and "e+" in v["hopeless"]["shown"]
 
 
-def test_hopeless_config_prices_astronomically_but_stays_listed(spark):
-    from pyspark.sql import functions as F
+def test_no_right_answer_is_said_and_unpriced_models_are_left_out(spark):
+    v = risk(spark, answers("zero", 0, 4) + answers("fine", 3) + answers("stranger", 3), ["zero", "fine"])
+    assert set(v) == {"zero", "fine"}
+    assert v["zero"]["verdict"] == "no correct answers in 4" and v["zero"]["risk_adjusted"] is None
 
-    from costwise.functions import compact_dollars
 
-    rows = _rows("m:bad", 8, 12) + _rows("m:good", 20, 0)
-    bv = econ.business_view(results_df(spark, rows), prices_df(spark, {"m:bad": (1, 4), "m:good": (1, 4)}))
-    b = {r["model"]: r for r in bv.withColumn("shown", compact_dollars(F.col("risk_adjusted"))).collect()}
-    assert b["m:bad"]["position"] > b["m:good"]["position"]
-    assert "e+" in b["m:bad"]["shown"]
+def test_cost_by_depth_is_a_least_squares_line(spark):
+    # 120 + 40 d at d = 2, 5, 8 lies on the line
+    rows = [r for d in (2, 5, 8) for r in answers("line", 1, written=120 + 40 * d, bucket=f"x+y_d{d}")] + answers("point", 2, bucket="depth_4")
+    out = by_model(rep.cost_decomposition(results_df(spark, rows)))
+    assert out["line"]["per_step_tokens"] == pytest.approx(40) and out["line"]["base_output_tokens"] == pytest.approx(120)
+    assert out["point"]["per_step_tokens"] is None and out["point"]["status"] == "needs >=2 depths"
 
 
-def test_borderline_gate_reads_truthfully(spark):
-    rows = [(f"t{i}", "m:border", True, 300, 1453, 304.0, "hybrid_d3") for i in range(20)]
-    b = _business(spark, rows, {"m:border": (1.0, 4.0)}, eff_gate=0.05)["m:border"]
-    assert 0.049 < b["mean_efficiency"] < 0.05 and b["gated"] is True
-    assert "gated: efficiency 4.9" in b["verdict"] and "below 5%" in b["verdict"]
+def test_empty_statistics_are_zero_in_the_report(spark):
+    rows = answers("p", 0, 1, bucket="d_1") + answers("p", 1, bucket="d_2")
+    cells = {r["difficulty_bucket"]: r for r in rep.stratified_report(results_df(spark, rows)).collect()}
+    assert (cells["d_1"]["mean_efficiency_when_correct"], cells["d_1"]["efficiency_stddev"]) == (0.0, 0.0)
+    assert (cells["d_2"]["accuracy"], cells["d_2"]["efficiency_stddev"]) == (1.0, 0.0)
 
 
-def test_above_floor_not_gated_and_no_correct_labelled(spark):
-    b = _business(spark, _rows("m:ok", 20, 0) + _rows("m:zero", 0, 5), {"m:ok": (1, 4), "m:zero": (1, 4)})
-    assert b["m:ok"]["gated"] is False and b["m:ok"]["verdict"] == ""
-    assert b["m:zero"]["verdict"] == "no correct answers in 5" and b["m:zero"]["risk_adjusted"] is None
-
-
-def test_fixture_models_without_prices_are_excluded(spark):
-    b = _business(spark, _rows("a:clean", 20, 0) + _rows("echo_model", 20, 0), {"a:clean": (1.0, 4.0)})
-    assert set(b) == {"a:clean"}
-
-
-def test_cost_decomposition_slope_and_intercept(spark):
-    rows = [("t1", "m", True, 300, 400, 310.0, "hybrid_prog+chain+table_d3"),
-            ("t2", "m", True, 300, 700, 310.0, "hybrid_prog+chain+table_d6"),
-            ("t3", "one", True, 300, 700, 310.0, "depth_6")]
-    out = {r["model"]: r for r in rep.cost_decomposition(results_df(spark, rows)).collect()}
-    assert abs(out["m"]["per_step_tokens"] - 100.0) < 1e-9 and abs(out["m"]["base_output_tokens"] - 100.0) < 1e-9
-    assert out["one"]["per_step_tokens"] is None and out["one"]["status"] == "needs >=2 depths"
-
-
-def test_stratified_report_defaults(spark):
-    rows = [("t1", "m", False, 10, 10, 5.0, "depth_3"), ("t2", "m", True, 10, 10, 5.0, "depth_6")]
-    out = {r["difficulty_bucket"]: r for r in rep.stratified_report(results_df(spark, rows)).collect()}
-    assert out["depth_3"]["mean_efficiency_when_correct"] == 0.0 and out["depth_3"]["efficiency_stddev"] == 0.0
-    assert out["depth_6"]["accuracy"] == 1.0 and out["depth_6"]["efficiency_stddev"] == 0.0
+def test_pivot_cells(spark):
+    rows = answers("p", 0, 1, bucket="b_d3") + answers("p", 1, read=10, written=10, ideal=5.0, bucket="b_d10") + answers("q", 1, bucket="b_d10")
+    r = results_df(spark, rows)
 
+    def cells(metric, **kw):
+        return {(x["model"], x["difficulty_bucket"]): (x["depth"], x["value"], x["status"]) for x in rep.pivot(r, metric, **kw).collect()}
 
-def test_pivot_tri_state(spark):
-    rows = [("t1", "m", False, 10, 10, 5.0, "b_d3"), ("t2", "m", True, 10, 10, 5.0, "b_d6"),
-            ("t3", "u", True, 10, 10, 5.0, "b_d6")]
-    r = results_df(spark, rows)
-    eff = {x["model"]: x for x in rep.pivot(r, "efficiency").collect()}
-    assert eff["m"]["b_d3"] == "n/a" and eff["u"]["b_d3"] == "-" and eff["m"]["b_d6"] == "0.100000"
-    cost = {x["model"]: x for x in rep.pivot(r, "dollars_per_correct", prices=prices_df(spark, {"m": (1, 1)})).collect()}
-    assert cost["u"]["b_d6"] == "n/a" and cost["m"]["b_d3"] == "n/a" and cost["u"]["b_d3"] == "-"
-    acc = rep.pivot(r, "accuracy")
-    assert acc.columns == ["model", "b_d3", "b_d6"]
+    eff = cells("efficiency")
+    assert eff["p", "b_d3"] == (3, None, "n/a") and eff["p", "b_d10"] == (10, pytest.approx(0.1), "ok") and ("q", "b_d3") not in eff
+    cost = cells("dollars_per_correct", prices=prices_df(spark, {"p": (1, 1)}))
+    assert cost["q", "b_d10"][1:] == (None, "n/a") and cost["p", "b_d3"][1:] == (None, "n/a") and cost["p", "b_d10"][1] == pytest.approx(2e-5)
+    wide = rep.pivot(r, "accuracy", buckets=["b_d3", "b_d10"])
+    assert wide.columns == ["model", "b_d3", "b_d10"]
+    assert {x["model"]: (x["b_d3"], x["b_d10"]) for x in wide.collect()} == {"p": (0.0, 1.0), "q": (None, 1.0)}

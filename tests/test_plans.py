@@ -46,11 +46,26 @@ def test_column_pruning_on_documents(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
 
 
-def test_comparison_views_read_the_materialized_cells(spark):
-    from costwise.operators.reports import comparison
+def test_comparison_views_share_a_written_cell_table(spark, tmp_path):
+    from costwise.operators.reports import comparison, comparison_views
     from costwise.sources.fixtures import Fixtures
 
     fx = Fixtures(spark, SF)
     views = comparison(fx["fx_results"], fx["fx_prices"])
-    p = plan_text(views["leaderboard"])
-    assert "lineitem" not in p  # served from the written cell table, not a rescan
+    views["cells"].write.parquet(str(tmp_path / "cells"))
+    again = comparison_views(spark.read.parquet(str(tmp_path / "cells")), fx["fx_prices"])
+    for name in ("leaderboard", "pivot_cost", "decomposition"):
+        assert "lineitem" not in plan_text(again[name])
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, views[name].collect()))
+
+
+def test_building_a_batch_query_runs_no_job(spark):
+    """Plans stay lazy: apart from reading schemas, nothing runs until an action."""
+    names = ["leaderboard", "pivot_cost", "comparison_pivot_cost", "ladder_prune", "knob_exchange", "score_responses", "chain_synthesis"]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building plans")
+    for name in names:
+        entry.queries()[name](spark, SF)
+    jobs = tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 2 * len(names)  # parquet footers only

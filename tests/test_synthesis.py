@@ -13,7 +13,6 @@ from costwise.operators import synth as sy
 
 SF = "/root/testdata/sf0.001"
 CAP = 500_000
-MARKERS = re.compile(r"\bStep\s*\d|\bStage\s*\d|sub-?problem|\bPart\s+[A-Z0-9]\b|\bQ\d\b", re.IGNORECASE)
 
 
 def draw(m, *parts):
@@ -26,8 +25,18 @@ def draw(m, *parts):
     return h % m
 
 
+def numbers(prompt):
+    """The runs of digits and dots that a reader of the prompt sees."""
+    return set("".join(c if c in "0123456789." else " " for c in prompt).split())
+
+
+def has_marker(prompt):
+    """No narrative word begins like a marker, so its plain spelling is enough here."""
+    return any(w in prompt.lower() for w in ("step ", "stage ", "sub-problem", "subproblem", "part a", "q1"))
+
+
 def leaks(prompt, values):
-    return [v for v in values if re.search(rf"(?<![\d.]){v}(?![\d.])", prompt)]
+    return [v for v in values if str(v) in numbers(prompt)]
 
 
 def chain_part(seed, depth, a):
@@ -62,13 +71,12 @@ def attempt(seed, depth, n_dist, a):
     v = vals[-1]
     forbidden = set(vals) | set(surface)
     pool = [c for c in range(11, 100) if c not in forbidden]
-    dvals = [pool[draw(len(pool), seed, a, "dval", j)] for j in range(1, n_dist + 1)]
+    dvals = sorted(pool, key=lambda x: draw(1 << 40, seed, a, "dval", x))[:n_dist]
     for j, d in enumerate(dvals):
         pos = 2 + draw(len(sents), seed, a, "dpos", j)
         sents.insert(pos - 1, sy.DISTRACTOR_TEMPLATE.format(place=place, d=d, items=items))
     prompt = " ".join(sents + [sy.QUESTION.format(items=items)])
-    valid = (all(2 <= w <= CAP for w in vals) and not leaks(prompt, vals)
-             and not MARKERS.search(prompt) and len(dvals) == n_dist)
+    valid = (all(2 <= w <= CAP for w in vals) and not leaks(prompt, vals) and len(dvals) == n_dist)
     return valid, prompt, str(v), ops, vals, dvals
 
 
@@ -124,7 +132,7 @@ def test_ledger_truth_and_narration(spark):
         numbers = re.findall(r"\d+", r["merged_prompt"])
         for x in cells:
             assert numbers.count(str(x)) == 1
-        assert not leaks(r["merged_prompt"], totals + [diff]) and not MARKERS.search(r["merged_prompt"])
+        assert not leaks(r["merged_prompt"], totals + [diff]) and not has_marker(r["merged_prompt"])
         assert len(r["distractor_values"]) == r["distractors"]
         assert not set(r["distractor_values"]) & (set(cells) | set(totals) | {diff})
 
@@ -188,7 +196,7 @@ def ledger_attempt(seed, depth, n_dist, a):
         sents.insert(pos - 1, sy.LEDGER_DISTRACTOR.format(d=d, units=units, g=grp, site=site))
     prompt = " ".join(sents + [sy.LEDGER_QUESTION.format(units=units, site=site)])
     valid = (len(set(totals)) == g and diff >= 2 and not set(hidden) & set(cells)
-             and not leaks(prompt, hidden) and not MARKERS.search(prompt) and len(dvals) == n_dist)
+             and not leaks(prompt, hidden) and not has_marker(prompt) and len(dvals) == n_dist)
     return valid, prompt, str(diff), cells, dvals
 
 
@@ -222,7 +230,7 @@ def hybrid_attempt(seed, depth, n_dist, a):
     hidden = totals + [diff, upstream] + vals
     sents = list(lead)
     for d in range(days):
-        parts = [f"the {names[i]} {site} logged a load equal to the running total" if (i == 0 and d == 0)
+        parts = [f"the {names[i]} {site} logged as many as the count above" if (i == 0 and d == 0)
                  else f"the {names[i]} {site} logged {cells[i * days + d]} {units}" for i in range(g)]
         sents.append(f"On {sy.LEDGER_DAYS[d]}, {', '.join(parts[:-1])}, while {parts[-1]}.")
     forbidden = set(cells) | set(hidden)
@@ -234,7 +242,7 @@ def hybrid_attempt(seed, depth, n_dist, a):
         sents.insert(pos - 1, sy.LEDGER_DISTRACTOR.format(d=dv, units=units, g=grp, site=site))
     prompt = " ".join(sents + [sy.LEDGER_QUESTION.format(units=units, site=site)])
     valid = (len(set(totals)) == g and diff >= 2 and not set(hidden) & set(cells[1:])
-             and not leaks(prompt, hidden) and not MARKERS.search(prompt) and len(dvals) == n_dist
+             and not leaks(prompt, hidden) and not has_marker(prompt) and len(dvals) == n_dist
              and all(2 <= w <= CAP for w in vals))
     return valid, prompt, str(diff), cells, dvals, ops
 
