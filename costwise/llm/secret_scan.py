@@ -196,7 +196,8 @@ def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     own = [r for r in docs.columns if not r.startswith(("spans_", "may_"))]
     docs = docs.select(*own)
     index = stored(build_index(prefixed(docs, "doc_id", "text"), rules), "trigrams")
-    may = candidates(index, rules).withColumnRenamed("doc_id", "candidate_id")
+    # candidates grow with the input: they are dealt out beside the texts, whatever their number, and build the hash side
+    may = candidates(index, rules).withColumnRenamed("doc_id", "candidate_id").hint("shuffle_hash")
     joined = docs.join(may, F.col("candidate_id").eqNullSafe(docs["doc_id"]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
 
