@@ -227,7 +227,7 @@ def _evaluate(tests: DataFrame, members: DataFrame, texts: DataFrame, p: Params)
         F.pmod(F.xxhash64("m"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role"), F.col("m").alias("node"),
     )
     rows = (
-        left.unionByName(right).join(texts, "node")
+        left.unionByName(right).hint("shuffle_hash").join(texts, "node")
         .repartition("c", "share", "chunk").sortWithinPartitions("c", "share", "chunk", "role", "node")
         .select("c", "share", "chunk", "role", "node", "text")
     )
@@ -287,7 +287,7 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = stored(
-        map_batches(docs.join(wanted, "doc_id").select("node", "text"), own_text, "node long, text string"), "texts"
+        map_batches(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text"), own_text, "node long, text string"), "texts"
     )
 
     links = None
@@ -348,7 +348,7 @@ def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = not ids.filter(F.col("n") > 1).isEmpty()
     found = link_components(docs, p).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     if not repeated:
         return kept
     return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(
