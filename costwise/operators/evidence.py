@@ -45,14 +45,27 @@ def finish_reasons(normalised: DataFrame) -> DataFrame:
     return normalised.groupBy("model", "finish_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def answer_audit(normalised: DataFrame) -> DataFrame:
+    """Refused, cut-off and empty answers per config."""
+    return normalised.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("refusal").isNotNull()).alias("n_refused"),
+        F.count_if(F.col("finish_reason") == "length").alias("n_truncated"),
+        F.count_if(F.trim("text") == "").alias("n_empty"),
+    )
+
+
 def reasoning_evidence(normalised: DataFrame) -> DataFrame:
-    """Hidden reasoning tokens per config: mean, share of rows reporting them."""
+    """Hidden reasoning per config and knob setting: mean tokens, rows that
+    report them, rows that bring reasoning text, rows without usage."""
+    spec = split_spec("model")
     return normalised.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("reasoning_tokens").alias("mean_reasoning_tokens"),
         F.count("reasoning_tokens").alias("n_with_reasoning_tokens"),
+        F.count("reasoning_content").alias("n_with_reasoning_text"),
         F.count_if(~F.col("provider_usage")).alias("n_without_usage"),
-    )
+    ).select(spec["model_id"].alias("model_id"), spec["knob_value"].alias("knob_value"), "*")
 
 
 def most_missed(results: DataFrame, order: Sequence[str], k: int = 20) -> DataFrame:
@@ -206,10 +219,15 @@ def ci_width(results: DataFrame, z: float = 1.96, max_half_width: float = 0.02)
         F.stddev_samp("efficiency").alias("sd"),
     )
     half = F.lit(float(z)) * F.col("sd") / F.sqrt(F.col("n_correct").cast("double"))
+    # configs are ranked only past each other's interval: the rank counts those that are certainly better.
+    # The array holds one bound for each config of the cell.
+    low, high = F.col("mean_efficiency") - half, F.col("mean_efficiency") + half
+    cell = Window.partitionBy(*[k for k in keys if k != "model"])
+    better = F.size(F.filter(F.collect_list(low).over(cell), lambda x: x > F.col("ci_high")))
+    g = g.withColumn("ci_high", high).withColumn("overlap_rank", F.when(high.isNotNull(), better + 1).cast("bigint"))
     return g.select(
-        *keys, "n_correct", "mean_efficiency", half.alias("half_width"),
-        (F.col("mean_efficiency") - half).alias("ci_low"),
-        (F.col("mean_efficiency") + half).alias("ci_high"),
+        *keys, "overlap_rank", "n_correct", "mean_efficiency", half.alias("half_width"),
+        low.alias("ci_low"), "ci_high",
         F.coalesce(half > F.lit(float(max_half_width)), F.lit(True)).alias("sample_more"),
     )
 

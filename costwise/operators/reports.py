@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costwise.functions.buckets import depth_from_bucket
@@ -29,6 +29,11 @@ def stratified_report(results: DataFrame) -> DataFrame:
     )
 
 
+def ordered(report: DataFrame, *keys: str) -> DataFrame:
+    """``position`` of each row of a reduced report in the order of its keys."""
+    return report.select(F.row_number().over(Window.orderBy(*keys)).alias("position"), "*")
+
+
 def cell_totals(results: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Per (model, bucket) counts and sums; with a sheet also spend per cell."""
     cells = results.groupBy("model", "difficulty_bucket").agg(

@@ -24,14 +24,20 @@ def _payloads(fx):
 
 
 _USAGE_SQL = """
+raw AS (
+  SELECT request_id, model, payload, json_extract(payload, '$.choices[0]') AS choice,
+    coalesce(json_extract(payload, '$.usage'), json_extract(payload, '$.choices[0].usage')) AS used
+  FROM fx_payloads),
 norm AS (
-  SELECT request_id, model,
-    TRY_CAST(json_extract(payload, '$.usage.prompt_tokens') AS BIGINT) AS input_tokens,
-    TRY_CAST(json_extract(payload, '$.usage.completion_tokens') AS BIGINT) AS output_tokens,
-    TRY_CAST(json_extract(payload, '$.usage.completion_tokens_details.reasoning_tokens') AS BIGINT) AS reasoning_tokens,
-    json_extract(payload, '$.usage') IS NOT NULL AS provider_usage,
-    json_extract_string(payload, '$.finish_reason') AS finish_reason
-  FROM fx_payloads)
+  SELECT request_id, model, coalesce(json_extract_string(choice, '$.message.content'), '') AS text,
+    TRY_CAST(json_extract(used, '$.prompt_tokens') AS BIGINT) AS input_tokens,
+    TRY_CAST(json_extract(used, '$.completion_tokens') AS BIGINT) AS output_tokens,
+    TRY_CAST(json_extract(used, '$.completion_tokens_details.reasoning_tokens') AS BIGINT) AS reasoning_tokens,
+    used IS NOT NULL AS provider_usage,
+    json_extract_string(choice, '$.finish_reason') AS finish_reason,
+    json_extract_string(choice, '$.message.reasoning_content') AS reasoning_content,
+    json_extract_string(choice, '$.message.refusal') AS refusal
+  FROM raw)
 """
 
 
@@ -41,8 +47,7 @@ norm AS (
     "fx_payloads",
 )
 def usage_normalise(fx):
-    return _payloads(fx).select("request_id", "model", "input_tokens", "output_tokens",
-                                "reasoning_tokens", "provider_usage", "finish_reason")
+    return _payloads(fx)
 
 
 @plan(
@@ -54,12 +59,27 @@ def finish_reasons(fx):
     return ev.finish_reasons(_payloads(fx))
 
 
+@plan(
+    "answer_audit", "B17 D12",
+    f"""
+WITH {_USAGE_SQL}
+SELECT model, count(*) AS n, count(refusal) AS n_refused, count(*) FILTER (WHERE finish_reason = 'length') AS n_truncated,
+  count(*) FILTER (WHERE length(trim(text)) = 0) AS n_empty
+FROM norm GROUP BY model
+""",
+    "fx_payloads",
+)
+def answer_audit(fx):
+    return ev.answer_audit(_payloads(fx))
+
+
 @plan(
     "reasoning_evidence", "B17 D13",
     f"""
 WITH {_USAGE_SQL}
-SELECT model, count(*) AS n, {R6('avg(reasoning_tokens)')} AS mean_reasoning_tokens,
-  count(reasoning_tokens) AS n_with_reasoning_tokens,
+SELECT split_part(split_part(model, ':', 2), '#', 1) AS model_id, nullif(split_part(model, '=', 2), '') AS knob_value,
+  model, count(*) AS n, {R6('avg(reasoning_tokens)')} AS mean_reasoning_tokens,
+  count(reasoning_tokens) AS n_with_reasoning_tokens, count(reasoning_content) AS n_with_reasoning_text,
   count(*) FILTER (WHERE NOT provider_usage) AS n_without_usage
 FROM norm GROUP BY model
 """,
@@ -201,7 +221,9 @@ WITH g AS (
   SELECT model, difficulty_bucket, count(*) AS n_correct, avg(efficiency) AS m, stddev_samp(efficiency) AS sd
   FROM fx_results WHERE efficiency IS NOT NULL GROUP BY model, difficulty_bucket),
 h AS (SELECT *, CAST(1.96 AS DOUBLE) * sd / sqrt(CAST(n_correct AS DOUBLE)) AS half FROM g)
-SELECT model, difficulty_bucket, n_correct, {R6('m')} AS mean_efficiency, {R6('half')} AS half_width,
+SELECT model, difficulty_bucket,
+  CASE WHEN half IS NOT NULL THEN 1 + (SELECT count(*) FROM h o WHERE o.difficulty_bucket = h.difficulty_bucket
+    AND o.m - o.half > h.m + h.half) END AS overlap_rank, n_correct, {R6('m')} AS mean_efficiency, {R6('half')} AS half_width,
   {R6('m - half')} AS ci_low, {R6('m + half')} AS ci_high,
   coalesce(half > CAST(0.02 AS DOUBLE), true) AS sample_more
 FROM h

@@ -9,7 +9,8 @@ from costwise.plans.common import R6, finish, plan
 @plan(
     "stratified_report", "D1 F2",
     f"""
-SELECT model, difficulty_bucket, count(*) AS n,
+SELECT CAST(row_number() OVER (ORDER BY model, difficulty_bucket) AS INTEGER) AS position,
+  model, difficulty_bucket, count(*) AS n,
   {R6('count(*) FILTER (WHERE terminal_correct) / count(*)')} AS accuracy,
   {R6('coalesce(avg(efficiency), CAST(0 AS DOUBLE))')} AS mean_efficiency_when_correct,
   {R6('count(*) FILTER (WHERE terminal_correct) / count(*) * coalesce(avg(efficiency), CAST(0 AS DOUBLE))')}
@@ -22,7 +23,7 @@ FROM fx_results GROUP BY model, difficulty_bucket
     "fx_results",
 )
 def stratified_report(fx):
-    return finish(rep.stratified_report(fx["fx_results"]))
+    return finish(rep.ordered(rep.stratified_report(fx["fx_results"]), "model", "difficulty_bucket"))
 
 
 def _pivot_sql(value: str, empty: str, with_prices: bool) -> str:

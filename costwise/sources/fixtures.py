@@ -163,15 +163,22 @@ SELECT conv_id AS request_id, turn AS idx,
   CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'stop' END AS finish_reason
 FROM {conversations}
 """,
-    # raw provider payloads (every fifth without usage); also the streaming source by ts.
+    # raw chat payloads: answers in choices[], usage on the payload, on the choice or (every fifth) nowhere,
+    # some answers empty, refused or cut off; three settings of every model.
     "fx_payloads": """
-SELECT event_id AS request_id, ts, event_type AS model,
-  CASE WHEN event_id % 5 = 0 THEN '{{"finish_reason":"length"}}'
-       ELSE concat('{{"usage":{{"prompt_tokens":', CAST(user_id AS STRING), ',"completion_tokens":',
-                   CAST(CAST(floor(value) AS BIGINT) AS STRING),
-                   ',"completion_tokens_details":{{"reasoning_tokens":', CAST(event_id % 50 AS STRING),
-                   '}}}},"finish_reason":"stop"}}') END AS payload
-FROM {events}
+WITH with_usage AS (
+  SELECT *, concat(',"usage":{{"prompt_tokens":', CAST(user_id AS STRING), ',"completion_tokens":',
+      CAST(CAST(floor(value) AS BIGINT) AS STRING), ',"completion_tokens_details":{{"reasoning_tokens":',
+      CAST(event_id % 50 AS STRING), '}}}}') AS used FROM {events})
+SELECT event_id AS request_id, ts,
+  concat('openai:', event_type, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '#effort=low' ELSE '#effort=high' END) AS model,
+  concat('{{"choices":[{{"message":{{"content":"', CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('answer ', CAST(event_id AS STRING)) END, '"',
+    CASE WHEN event_id % 13 = 0 THEN ',"refusal":"declined"' ELSE '' END,
+    CASE WHEN event_id % 4 = 0 THEN ',"reasoning_content":"thought"' ELSE '' END,
+    '}},"finish_reason":"', CASE WHEN event_id % 7 = 0 THEN 'length' ELSE 'stop' END, '"',
+    CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN used ELSE '' END, '}}]',
+    CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN used ELSE '' END, '}}') AS payload
+FROM with_usage
 """,
 }
 
