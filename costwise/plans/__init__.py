@@ -1,7 +1,7 @@
 """Registered query plans (one per operator family of the survey) and their SQL oracles."""
 
 from costwise.plans import economics  # noqa: F401  (registration order: economics before reports)
-from costwise.plans import audits, evidence, io, ladder, reports, scoring, streaming, synthesis  # noqa: F401
+from costwise.plans import audits, evidence, io, ladder, reports, rowrules, scoring, streaming, synthesis  # noqa: F401
 from costwise.plans.common import REGISTRY, Plan  # noqa: F401
 
 

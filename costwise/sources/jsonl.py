@@ -94,6 +94,12 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def write_manifests(runs: DataFrame, path: str) -> None:
+    """One JSON manifest a run, in a folder of its own (``run_id=...``)."""
+    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    runs.select(body, "run_id").write.partitionBy("run_id").text(path)
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """Report export (A8): one JSON object per row."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
