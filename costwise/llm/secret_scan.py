@@ -169,22 +169,32 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part"),
     )
     # positions are running sums, by blocks, so that a text with many matches takes little more than linear time
-    steps = F.transform(sizes, lambda x: x["gap"] + x["own"])
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x),
-    )
-
-    def end(i: Column) -> Column:
-        b = F.floor(i / _BLOCK).cast("int")
-        before = F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, x: s + x)
-        return before + F.aggregate(F.slice(steps, b * _BLOCK + 1, i - b * _BLOCK + 1), F.lit(0), lambda s, x: s + x)
-
-    found = F.transform(
-        sizes, lambda x, i: F.struct((end(i) - x["own"]).alias("start"), F.lit(order).alias("kind"), end(i).alias("end"), x["part"].alias("part"))
-    )
-    kept = F.filter(found, lambda x: x["part"] >= rule.least)
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    def blocks_of(steps: Column) -> Column:
+        last = F.floor((F.size(steps) - 1) / _BLOCK).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x)
+        )
+
+    def located(sizes: Column, steps: Column, blocks: Column) -> Column:
+        def end(i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            before = F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, x: s + x)
+            return before + F.aggregate(F.slice(steps, b * _BLOCK + 1, i - b * _BLOCK + 1), F.lit(0), lambda s, x: s + x)
+
+        ends = F.transform(sizes, lambda x, i: F.struct(end(i).alias("end"), x["own"].alias("own"), x["part"].alias("part")))
+        return F.transform(
+            F.filter(ends, lambda x: x["part"] >= rule.least),
+            lambda x: F.struct((x["end"] - x["own"]).alias("start"), F.lit(order).alias("kind"), x["end"].alias("end")),
+        )
+
+    return _bound(sizes, lambda z: _bound(
+        F.transform(z, lambda x: x["gap"] + x["own"]), lambda steps: _bound(blocks_of(steps), lambda blocks: located(z, steps, blocks))
+    ))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; expressions inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _empty() -> Column:
