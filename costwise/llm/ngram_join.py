@@ -74,6 +74,32 @@ def leading(n: int, p: Params) -> int:
     return n - -(-p.percent * n // 100) + max(1, -(-p.extra * n // 100))
 
 
+def pair_bounds(n_u, n_least, n_most, p: Params):
+    """For a row of ``n_u`` shingles and others of ``n_least`` to ``n_most``: below which place of the row, below which
+    place of the other a shared column counts, and how many such columns a link has at least.
+
+    Rows of a and b shingles that link overlap in o = ceil(t (a + b) / (1 + t)) columns, so they share at least l of the
+    first a - o + l columns of the one and b - o + l of the other, l being that of the smaller row. Of a range of
+    sizes the one that allows most is taken; no place is allowed where no size can link."""
+    low = F.greatest(n_least, F.ceil(n_u * p.percent / 100))
+    high = F.least(n_most, F.floor(n_u * 100 / p.percent))
+
+    def overlap(m):
+        return F.ceil((n_u + m) * p.percent / (100 + p.percent))
+
+    def extra(m):
+        return F.greatest(F.lit(1), F.ceil(F.least(n_u, m) * p.extra / 100))
+
+    possible = low <= high
+    # the row's own bound falls with the other's size, but for steps of one where both roundings meet
+    step = F.when(low < high, F.lit(1)).otherwise(F.lit(0))
+    return (
+        F.when(possible, n_u - overlap(low) + extra(low) + step).otherwise(0),
+        F.when(possible, high - overlap(high) + extra(high)).otherwise(0),
+        extra(low),
+    )
+
+
 def least_shared(n, p: Params):
     """How many of them a row that links shares: the l of the smallest row that it can link with."""
     smallest = F.ceil(n * p.percent / 100)
@@ -167,26 +193,27 @@ def incidence(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _shared_columns(batches):
-    """Of rows sorted by (h, node): those of columns with two nodes or more, each once."""
+    """Of rows (h, node, place, n) sorted by h and node: those of columns with two nodes or more, each once."""
     carry = None  # last row so far and whether it was given
-    names = ["h", "node"]
+    names = ["h", "node", "place", "n"]
     for batch in batches:
-        h, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        h, node, place, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(h):
             continue
         if carry is not None:
-            h, node = np.append(carry[0], h), np.append(carry[1], node)
+            h, node, place, n = (np.append(c, x) for c, x in zip(carry[0], (h, node, place, n), strict=True))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node = h[fresh], node[fresh]
+        h, node, place, n = h[fresh], node[fresh], place[fresh], n[fresh]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
         keep = same[1:] | same[:-1]
-        if carry is not None and carry[2]:
+        if carry is not None and carry[1]:
             keep[0] = False  # given with the batch before
-        given = bool(keep[-1]) or (len(h) == 1 and carry is not None and carry[2])
-        carry = (h[-1], node[-1], given)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep], pa.int64()), pa.array(node[keep], pa.int64())], names)
+        given = bool(keep[-1]) or (len(h) == 1 and carry is not None and carry[1])
+        carry = ((h[-1], node[-1], place[-1], n[-1]), given)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in zip((h, node, place, n), kinds, strict=True)], names)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -264,15 +291,15 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     entries = (
         alive.filter(F.col("head").isNotNull())
-        .select(F.explode("head").alias("h"), F.col("s1").alias("node"))
+        .select(F.posexplode("head").alias("place", "h"), F.col("s1").alias("node"), F.col("n").cast("int").alias("n"))
+        .select("h", "node", "place", "n")
         .repartition("h").sortWithinPartitions("h", "node")
     )
-    shared = stored(map_batches(entries, _shared_columns, "h long, node long"), "columns")
-    sizes_of = classes.select(F.col("s1").alias("node"), "n")
+    shared = stored(map_batches(entries, _shared_columns, "h long, node long, place int, n int"), "columns")
     for _ in range(2):  # rows that share too little leave, and then the columns that only they shared
-        enough = shared.groupBy("node").agg(F.count("*").alias("k")).join(sizes_of, "node").filter(
+        enough = shared.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(
             F.col("k") >= least_shared(F.col("n"), p)
-        ).select("node").distinct()
+        ).select("node")
         shared = shared.join(enough, "node", "left_semi")
         wide = shared.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("h")
         shared = stored(shared.join(wide, "h", "left_semi"), "columns")
@@ -313,17 +340,21 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     ranked = stored(labels.join(sizes, "label"), "ranked")
     at = shared.join(ranked, "node")
-    groups = at.select("h", F.col("label").alias("c"), F.col("size").alias("c_size")).distinct()
-    # overlap counts of the first block: a row that links with a component shares enough columns with it
+    groups = at.groupBy("h", F.col("label").alias("c"), F.col("size").alias("c_size")).agg(
+        F.min("place").alias("c_place"), F.min("n").alias("n_least"), F.max("n").alias("n_most")
+    )
+    # overlap counts of the first block: a row that links with a component shares enough columns with it, and both
+    # have them where the sizes allow
+    own, other, need = pair_bounds(F.col("n"), F.col("n_least"), F.col("n_most"), p)
     met = (
         at.join(groups, "h")
-        .filter((F.col("label") != F.col("c")) & (F.struct("size", "label") < F.struct("c_size", "c")))
-        .groupBy(F.col("node").alias("u"), "c").agg(F.count("*").alias("k"))
-    )
-    rest = stored(
-        met.join(sizes_of, met["u"] == sizes_of["node"]).filter(F.col("k") >= least_shared(F.col("n"), p)).select("u", "c").distinct(),
-        "tests",
+        .filter(
+            (F.col("label") != F.col("c")) & (F.struct("size", "label") < F.struct("c_size", "c"))
+            & (F.col("place") < own) & (F.col("c_place") < other)
+        )
+        .groupBy(F.col("node").alias("u"), "c").agg(F.count("*").alias("k"), F.min(need).alias("need"))
     )
+    rest = stored(met.filter(F.col("k") >= F.col("need")).select("u", "c"), "tests")
     members = ranked.join(rest.select("c").distinct(), ranked["label"] == F.col("c")).select("c", F.col("node").alias("m"))
     found = _evaluate(rest, members, texts, p)
     links = stored(found if links is None else links.unionByName(found), "links")
