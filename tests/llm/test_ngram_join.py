@@ -140,3 +140,22 @@ def test_components_of_random_graphs(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: m for x, m in label.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pair_bounds_allow_every_size_that_links(spark):
+    from pyspark.sql import functions as F
+
+    p, rnd = ngram_join.Params(), random.Random(11)
+    rows = []
+    while len(rows) < 4000:
+        u = rnd.randint(1, 400)
+        m = rnd.randint(-(-85 * u // 100), 100 * u // 85)
+        rows.append((u, rnd.randint(1, m), rnd.randint(m, 3 * m), m) if rnd.random() < 0.7 else (u, m, m, m))
+    df = spark.createDataFrame(rows, "u long, least long, most long, m long")
+    own, other, need = ngram_join.pair_bounds(F.col("u"), F.col("least"), F.col("most"), p)
+    for r in df.select("*", own.alias("own"), other.alias("other"), need.alias("need")).collect():
+        overlap, extra = -(-85 * (r.u + r.m) // 185), max(1, -(-5 * min(r.u, r.m) // 100))
+        assert r.own >= r.u - overlap + extra and r.other >= r.m - overlap + extra and r.need <= extra
+        assert r.u - overlap + extra <= ngram_join.leading(r.u, p)  # the places are there to be counted
+        if r.least == r.most:
+            assert (r.own, r.other, r.need) == (r.u - overlap + extra, r.m - overlap + extra, extra)
