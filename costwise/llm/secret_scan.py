@@ -38,6 +38,20 @@ class Rule:
     least: int = 1
     #: What takes the place of a match where the secret is removed.
     replacement: str = "[SECRET]"
+    #: Removed before the others: a match of theirs could take its first characters and leave the rest.
+    first: bool = False
+
+
+#: A private key from its BEGIN line through its END line; where that is missing, the key's headers and base64 lines
+#: that follow. Groups repeat possessively, which Java does without recursion, so a key of any length is matched.
+_KEY_GAP = r"""(?:[\s"'+>#*|]|\\[nrt])"""
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_KEY_GAP}*+(?:Proc-Type|DEK-Info): (?:(?!\\[nr])[^\r\n])*+)*+"
+    rf"(?:{_KEY_GAP}++[A-Za-z0-9+/]{{20,}}+={{0,2}}+)*+"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={0,2}+(?![^\r\n\\]))?+)"
+)
 
 
 #: The first three are the contract's base kinds, in its order.
@@ -49,7 +63,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY, first=True),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 
@@ -238,7 +252,7 @@ def redact(docs: DataFrame, rules=RULES, length_column: str | None = "n_chars")
     text = F.col("text")
     clean = reduce(
         lambda t, r: F.regexp_replace(t, r.pattern if r.least <= 1 else re.sub(r"\+\)$", f"{{{r.least},}})", r.pattern), r.replacement),
-        rules, text,
+        sorted(rules, key=lambda r: not r.first), text,
     )
     hit = reduce(Column.__or__, [F.size(f"spans_{r.kind}") > 0 for r in rules])
     out = found.withColumn("text", F.when(hit, clean).otherwise(text))
