@@ -54,3 +54,25 @@ def test_run_on_the_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "decontamination", "secret_scan", "packing"]
+
+
+def test_near_copies_from_four_fifths_of_the_five_word_shingles_go(spark, make_docs):
+    def five(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def likeness(a, b):
+        return len(five(a) & five(b)) / len(five(a) | five(b))
+
+    rnd = random.Random(12)
+    base = words(rnd, 194).split()
+    edited = list(base)
+    for i in (30, 80, 130, 180):  # single words, apart: 20 of 190 shingles change, and 16 of 191 of four words (84.5 %)
+        edited[i] = "zzz" + edited[i]
+    longer = words(rnd, 200)
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, longer), (4, longer + " " + words(rnd, 45)), (5, words(rnd, 200)), (6, words(rnd, 200))]
+    rows.append((7, rows[4][1] + " " + words(rnd, 52)))  # just too far
+    assert 0.80 <= likeness(rows[0][1], rows[1][1]) < 0.82 and 0.80 <= likeness(rows[2][1], rows[3][1]) < 0.82
+    assert likeness(rows[4][1], rows[6][1]) < 0.8
+    out = corpus_pipeline.one_of_each_group(spark, make_docs(rows), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5, 6, 7]
