@@ -1,11 +1,13 @@
 """Main text of web pages by scoring the element tree.
 
 Each paragraph gives points for its length and commas to its ancestors, fewer the further up; an
-ancestor's points count by the share of its text that is no link. The container with most points and
-those of its siblings that hold text of the same kind are kept; inside an ``article`` or ``main`` the
-whole of that element is, as its sections belong together. Parts that by their element, role, class or
-id are menus, page headers and footers, sidebars, notices, adverts, forms or readers' comments are left
-out wherever they stand, and so are lists that are mostly links.
+ancestor's points count by the share of its text that is no link. The container with most points is
+kept, and so are the siblings of it and of its ancestors that hold text of the same kind, with what lies
+between them; inside an ``article`` or ``main`` the whole of that element is, as its sections belong
+together. Parts that by their element or role are menus, page headers and footers, sidebars, forms are
+left out wherever they stand, and so are lists that are mostly links. A class or id that names such a
+part, a notice, an advert or readers' comments lowers the points inside; the element is left out if
+then it does not hold the best container and, but for readers' comments, has few paragraphs or many links.
 
 Text is given by blocks in page order: character references decoded, white space inside a block made one
 space, trimmed, blocks joined by one line feed. Defined cases: a null or blank page has an empty text; a
@@ -62,6 +64,8 @@ _NOT_ARTICLE = frozenset(
 #: These do so too unless a word for the article stands beside them.
 _PERHAPS = frozenset("header head notice notices alert notification announcement tags copyright legal disclaimer byline meta print".split())
 _ARTICLE = frozenset("article main content post entry story text body page blog".split())
+#: Of those the words for what has paragraphs of its own.
+_READERS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -71,19 +75,26 @@ class Params:
     paragraph: int = 25
     #: Share of a container's points that reaches the next one up.
     up: tuple[float, ...] = (1.0, 0.5, 0.25, 0.125)
-    #: A sibling stays with this share of the best container's points, or as a long paragraph with few links.
+    #: A sibling with few links stays with this share of the best container's points for each paragraph.
     sibling: float = 0.2
-    sibling_length: int = 80
+    #: Points inside an element whose class or id names no part of the article, and one for readers' comments.
+    named: float = 0.2
+    readers: float = 0.1
+    #: Such an element stays with so many paragraphs and this share of the best container's points.
+    named_paragraphs: int = 3
+    named_share: float = 0.3
     links: float = 0.33
     link_list: float = 0.6
 
 
 class _Page:
-    """Elements in page order: tag, parent, whether left out; blocks: (element, text, characters in links)."""
+    """Elements in page order: tag, parent, whether left out, innermost element around with a doubtful name or -1;
+    blocks: (element, text, characters in links, that doubtful element)."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.last = ["html"], [-1], [False], [0]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.doubt, self.readers = [-1], set()
+        self.blocks: list[tuple[int, str, int, int]] = []
         self._open, self._parts, self._link, self._linked = [0], [], 0, 0
         at = 0
         for m in _TOKEN.finditer(html):
@@ -113,9 +124,10 @@ class _Page:
             if not self.out[own]:
                 text = " ".join(unescape("".join(self._parts)).split())
                 if text:
+                    doubt = self.doubt[own]
                     while self.tag[own] not in _BLOCK:
                         own = self.parent[own]
-                    self.blocks.append((own, text, min(len(text), self._linked)))
+                    self.blocks.append((own, text, min(len(text), self._linked), doubt))
             self._parts, self._linked = [], 0
 
     def _close(self) -> None:
@@ -139,7 +151,9 @@ class _Page:
             self._end("a")
         above = self._open[-1]
         left_out = self.out[above] or name in _LEFT_OUT or self._unwanted(name, attributes)
-        if left_out and not self.out[above]:
+        left_out = left_out or bool(self._named(name, attributes))
+        named: set[str] = set()
+        if (left_out or named) and not self.out[above]:
             self._flush()
         if name == "header" and not left_out:
             # a page's header goes, that of an article stays
@@ -147,6 +161,9 @@ class _Page:
         self.tag.append(name)
         self.parent.append(above)
         self.out.append(left_out)
+        self.doubt.append(len(self.tag) - 1 if named else self.doubt[above])
+        if named and named & _READERS:
+            self.readers.add(len(self.tag) - 1)
         self.last.append(len(self.tag) - 1)
         self._open.append(len(self.tag) - 1)
         if name == "a":
@@ -171,7 +188,7 @@ class _Page:
         for k in range(len(self._open) - 1, 0, -1):
             tag = self.tag[self._open[k]]
             if tag == name:
-                if any(self.tag[i] in _BLOCK for i in self._open[k:]) or self.out[self._open[k]]:
+                if any(self.tag[i] in _BLOCK for i in self._open[k:]) or self.out[self._open[k]] or self.doubt[self._open[k]] == self._open[k]:
                     self._flush()
                 while len(self._open) > k:
                     self._close()
@@ -191,15 +208,79 @@ class _Page:
                 return True
             if key == "role" and value.lower() in _ROLES:
                 return True
-            if key in ("class", "id") and name not in ("article", "main"):
-                for one in value.split():
-                    words = {w.lower() for w in _WORD.findall(one)}
-                    if words & _NOT_ARTICLE or words & _PERHAPS and not words & _ARTICLE:
-                        return True
-            elif key in ("class", "id") and {w.lower() for w in _WORD.findall(value)} & {"comment", "comments", "reply", "ad", "promo", "related"}:
-                return True
         return False
 
+    @staticmethod
+    def _named(name: str, attributes: str) -> set[str]:
+        """The words of class and id that name something other than the article."""
+        found: set[str] = set()
+        if not attributes or name in ("html", "body"):
+            return found
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() not in ("class", "id"):
+                continue
+            value = (m[2] or "").strip("\"'")
+            if name in ("article", "main"):
+                found |= {w.lower() for w in _WORD.findall(value)} & {"comment", "comments", "reply", "ad", "promo", "related"}
+                continue
+            for one in value.split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                found |= words & _NOT_ARTICLE
+                if not words & _ARTICLE:
+                    found |= words & _PERHAPS
+        return found
+
+
+class _Scores:
+    """By element: points, characters, those in links, paragraphs and their worth, all of its subtree."""
+
+    def __init__(self, page: _Page, blocks, p: Params, weight=lambda _: 1.0):
+        self.points, self.length, self.linked, self.paragraphs, self.worth = {}, {}, {}, {}, {}
+        for own, text, in_links, doubt in blocks:
+            worth = 0.0
+            if len(text) >= p.paragraph and page.tag[own] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                worth = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - in_links / len(text)) * weight(doubt)
+                node = page.parent[own] if page.tag[own] in ("p", "pre", "blockquote", "li", "td", "th", "dd", "dt", "figcaption") else own
+                for share in p.up:
+                    if node < 0:
+                        break
+                    self.points[node] = self.points.get(node, 0.0) + worth * share
+                    node = page.parent[node]
+            node = own
+            while node >= 0:
+                self.length[node] = self.length.get(node, 0) + len(text)
+                self.linked[node] = self.linked.get(node, 0) + in_links
+                self.paragraphs[node] = self.paragraphs.get(node, 0) + (worth > 0)
+                self.worth[node] = self.worth.get(node, 0.0) + worth
+                node = page.parent[node]
+
+    def links(self, n: int) -> float:
+        return self.linked[n] / self.length[n]
+
+    def best(self) -> int | None:
+        score = {n: s * (1 - self.links(n)) for n, s in self.points.items()}
+        return max(score, key=lambda n: (score[n], -n)) if score else None
+
+
+def _without_doubtful(page: _Page, blocks, p: Params):
+    """The blocks, less those of elements that by name and content are no part of the article."""
+    if all(b[3] < 0 for b in blocks):
+        return blocks
+    named = [n for n, doubt in enumerate(page.doubt) if n == doubt]  # those around before those inside
+    weight = {-1: 1.0}
+    for n in named:
+        weight[n] = max(1e-6, (p.readers if n in page.readers else p.named) * weight[page.doubt[page.parent[n]]])
+    best = _Scores(page, blocks, p, weight.__getitem__).best()
+    plain = _Scores(page, blocks, p)
+    kept = {-1: True}
+    for n in named:
+        kept[n] = best is not None and kept[page.doubt[page.parent[n]]] and (
+            n <= best <= page.last[n]
+            or n not in page.readers and plain.paragraphs.get(n, 0) >= p.named_paragraphs
+            and plain.worth[n] >= p.named_share * plain.worth[best] and plain.links(n) < p.links
+        )
+    return [b for b in blocks if kept[b[3]]]
+
 
 def main_text(html: str | None, p: Params = Params()) -> str:
     """The article of one whole page."""
@@ -207,53 +288,40 @@ def main_text(html: str | None, p: Params = Params()) -> str:
         return ""
     page = _Page(html)
     blocks = _without_link_lists(page, p)
-    points, length, linked = {}, {}, {}
-    for own, text, in_links in blocks:
-        node, level = own, 0
-        while node >= 0:
-            length[node] = length.get(node, 0) + len(text)
-            linked[node] = linked.get(node, 0) + in_links
-            node = page.parent[node]
-        if len(text) < p.paragraph or page.tag[own] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            continue
-        worth = 1 + text.count(",") + min(len(text) / 100, 3.0)
-        worth *= 1 - in_links / len(text)
-        node = page.parent[own] if page.tag[own] in ("p", "pre", "blockquote", "li", "td", "th", "dd", "dt", "figcaption") else own
-        for level in range(len(p.up)):
-            if node < 0:
-                break
-            points[node] = points.get(node, 0.0) + worth * p.up[level]
-            node = page.parent[node]
-    if not points:
-        return "\n".join(t for _, t, _ in blocks)
-    score = {n: s * (1 - linked[n] / length[n]) for n, s in points.items()}
-    best = max(score, key=lambda n: (score[n], -n))
+    blocks = _without_doubtful(page, blocks, p)
+    scores = _Scores(page, blocks, p)
+    best = scores.best()
+    if best is None:
+        return "\n".join(b[1] for b in blocks)
     kept = [best]
     node = best
     while node >= 0 and page.tag[node] not in ("article", "main"):
         node = page.parent[node]
     if node >= 0:
         kept = [node]
-    elif page.parent[best] >= 0:
-        above = page.parent[best]
-        for n in {n for own, _, _ in blocks if (n := _child_of(page, own, above)) is not None}:
-            share = linked[n] / length[n]
-            if n != best and (
-                score.get(n, 0) >= max(10, p.sibling * score[best])
-                or page.tag[n] in ("p", "h1", "h2", "h3", "blockquote", "pre") and share < p.links and length[n] >= (p.sibling_length if page.tag[n] == "p" else 1)
-            ):
-                kept.append(n)
+    else:
+        least = p.sibling * scores.worth[best] / max(1, scores.paragraphs[best])
+        children: dict[int, list[int]] = {}
+        for n in scores.length:
+            children.setdefault(page.parent[n], []).append(n)
+        inner = best
+        while page.parent[inner] >= 0:
+            few = [n for n in sorted(children[page.parent[inner]]) if n == inner or scores.links(n) < p.links]
+            own = [
+                k for k, n in enumerate(few)
+                if n == inner or page.tag[n] in ("p", "h1", "h2", "h3", "blockquote", "pre")
+                or scores.paragraphs[n] and scores.worth[n] >= least * scores.paragraphs[n]
+            ]
+            kept += [n for n in few[own[0] : own[-1] + 1] if n != inner]  # lists, tables and headings between them too
+            inner = page.parent[inner]
+        # text directly in an element around stays as well
+        around = {n for n in scores.length if n < best <= page.last[n]}
+        return "\n".join(b[1] for b in blocks if b[0] in around or any(n <= b[0] <= page.last[n] for n in kept))
     spans = [(n, page.last[n]) for n in kept]
-    return "\n".join(t for own, t, _ in blocks if any(a <= own <= b for a, b in spans))
-
-
-def _child_of(page: _Page, node: int, above: int) -> int | None:
-    while node >= 0 and page.parent[node] != above:
-        node = page.parent[node]
-    return node if node >= 0 else None
+    return "\n".join(b[1] for b in blocks if any(x <= b[0] <= y for x, y in spans))
 
 
-def _without_link_lists(page: _Page, p: Params) -> list[tuple[int, str, int]]:
+def _without_link_lists(page: _Page, p: Params) -> list[tuple[int, str, int, int]]:
     """The blocks, less those of lists whose text is mostly links."""
     length, linked, items = {}, {}, {}
 
@@ -263,7 +331,7 @@ def _without_link_lists(page: _Page, p: Params) -> list[tuple[int, str, int]]:
                 yield node
             node = page.parent[node]
 
-    for own, text, in_links in page.blocks:
+    for own, text, in_links, _ in page.blocks:
         for n in lists(own):
             length[n] = length.get(n, 0) + len(text)
             linked[n] = linked.get(n, 0) + in_links

@@ -65,3 +65,15 @@ def test_table(spark):
     found = sorted(map(tuple, extract(df).collect()), key=str)
     assert found == sorted([(i, u, P1 if h else "", len(P1) if h else 0) for i, u, h in rows], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_every_part_of_a_story_in_several_containers():
+    def paragraphs(n, of="first"):
+        return "".join(f"<p>Paragraph {i} of the {of} part, with a comma and some more words.</p>" for i in range(n))
+
+    parts = f"<div>{paragraphs(10)}</div><h4>Small title</h4><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><p>Short one.</p><div>{paragraphs(2, 'second')}</div>"
+    for html in (f"<body><div>{parts}</div></body>", f"<body><section><div>{paragraphs(10)}</div></section><section><div>{paragraphs(2, 'second')}</div></section></body>"):
+        text = main_text(html).split("\n")
+        assert sum("of the first part" in t for t in text) == 10 and sum("of the second part" in t for t in text) == 2
+        if "h4" in html:
+            assert text[10:16] == ["Small title", "one", "two", "a", "b", "Short one."]
