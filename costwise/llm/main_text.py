@@ -151,8 +151,7 @@ class _Page:
             self._end("a")
         above = self._open[-1]
         left_out = self.out[above] or name in _LEFT_OUT or self._unwanted(name, attributes)
-        left_out = left_out or bool(self._named(name, attributes))
-        named: set[str] = set()
+        named = not left_out and self._named(name, attributes)
         if (left_out or named) and not self.out[above]:
             self._flush()
         if name == "header" and not left_out:

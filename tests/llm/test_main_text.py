@@ -77,3 +77,20 @@ def test_every_part_of_a_story_in_several_containers():
         assert sum("of the first part" in t for t in text) == 10 and sum("of the second part" in t for t in text) == 2
         if "h4" in html:
             assert text[10:16] == ["Small title", "one", "two", "a", "b", "Short one."]
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "layout-nav", "widget-content", "has-banner", "form-page", "discussion"])
+def test_a_name_around_the_article_does_not_leave_it_out(name):
+    side = '<div class="sidebar"><p>More, side, text, that, is, long, enough.</p></div>'
+    body = f"<h1>The title</h1><p>{P1}</p><p>{P2}</p>" + "".join(f"<p>{P1}</p>" for _ in range(4))
+    want = "\n".join(["The title", P1, P2_TEXT, *[P1] * 4])
+    assert main_text(f'<body>{JUNK[0]}<div class="{name}">{body}</div>{JUNK[4]}{JUNK[10]}</body>') == want
+    assert main_text(f'<body><div id="{name.split()[-1]}"><div>{body}</div>{side}</div></body>') == want
+    comments = "".join(f'<div class="comment"><p>{P1} said reader {i}</p></div>' for i in range(8))
+    assert main_text(f'<body><div>{body}</div><section id="comments">{comments}</section></body>') == want
+    if name != "discussion":  # one part of the story in such an element
+        assert main_text(f'<body><div><div>{body}</div><div class="{name}">{body}</div></div></body>') == want + "\n" + want
+
+
+def test_names_nested_deeply():
+    assert main_text('<div class="nav">' * 3000 + f"<p>{P1}</p>") == P1
