@@ -120,20 +120,17 @@ def vstar_consistency(fx):
     return au.vstar_consistency(fx["fx_doc_tasks"])
 
 
-@plan(
-    "chunk_collapse", "I5",
-    """
+CHUNKS_SQL = """
 SELECT request_id,
   coalesce(string_agg(content, '' ORDER BY idx) FILTER (WHERE content IS NOT NULL AND content <> ''), '') AS content,
   nullif(coalesce(string_agg(reasoning, '' ORDER BY idx) FILTER (WHERE reasoning IS NOT NULL AND reasoning <> ''), ''), '')
     AS reasoning,
   arg_max(completion_tokens, idx) FILTER (WHERE completion_tokens IS NOT NULL) AS completion_tokens,
   arg_max(finish_reason, idx) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason,
-  count(*) AS n_chunks
-FROM fx_chunks GROUP BY request_id
-""",
-    "fx_chunks",
-)
+  count(*) AS n_chunks"""
+
+
+@plan("chunk_collapse", "I5", CHUNKS_SQL + "\nFROM fx_chunks GROUP BY request_id", "fx_chunks")
 def chunk_collapse(fx):
     return collapse_chunks(fx["fx_chunks"])
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costwise.plans.audits import CHUNKS_SQL
 from costwise.plans.common import R6, finish, plan
 from costwise.plans.scoring import SCORED_SQL
 from costwise.sources.fixtures import FX_SQL
 from costwise.streaming import jobs
+from costwise.streaming.chunk_state import collapse_chunk_streams
 
 
 def _stream_fixture(fx, name: str, table: str):
@@ -107,3 +109,24 @@ def stream_progress(fx):
     path = jobs.run_complete(jobs.progress(ev, "ts", "1 day", "1 day"), "progress")
     out = finish(fx.spark.read.parquet(path))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@plan(
+    "stream_chunks", "I5 A7",
+    CHUNKS_SQL + """, 'end' AS closed_by
+FROM fx_chunks GROUP BY request_id
+""",
+    "fx_chunks",
+)
+def stream_chunks(fx):
+    """Chunks nine minutes apart, in three runs of one job: a response is one row however long its stream pauses."""
+    spark = fx.spark
+    folder = jobs.work_folder(spark, "chunks")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("idx") * 540)
+    chunks = fx["fx_chunks"].withColumn("ts", at)
+    for low, high in ((None, 2), (2, 4), (4, None)):
+        part = chunks.filter((F.col("idx") >= low) if low else F.lit(True)).filter((F.col("idx") < high) if high else F.lit(True))
+        part.write.mode("append").parquet(f"{folder}/chunks.parquet")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/chunks.parquet")
+        path = jobs.run_append(collapse_chunk_streams(stream, "ts", until="finish"), "chunks", folder=f"{folder}/job")
+    return spark.read.parquet(path)

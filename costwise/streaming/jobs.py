@@ -3,15 +3,17 @@
 * I1  incremental scoring: file-source responses, stream-static join with the
       task table, the batch scoring projection, append to a Parquet sink whose
       commit log gives exactly-once files.
-* I2  exactly-once pairs: each micro-batch is anti-joined with the pairs that
-      earlier epochs recorded, however long ago, and written to its epoch's
-      folder, so a replayed epoch replaces itself.
+* I2  exactly-once pairs: the pairs recorded so far, however long ago, are keys of
+      the state store, so a micro-batch looks up its own pairs and reads none of the
+      recorded files; its new pairs go to its epoch's folder, so a replayed epoch
+      replaces itself.
 * I3  running leaderboard: the state per model holds only counts and sums; the
       sheet and the ratios are a projection of the aggregate.
 * I4  progress and rate: tumbling event-time windows per model.
-* I5  chunk streams: a session window per request closes a response once
-      event time has moved ``gap`` past its last chunk (append mode); the
-      ordered concatenation runs on the window's rows.
+* I5  chunk streams: ``chunk_state.collapse_chunk_streams`` closes a response by
+      its own end marker, from keyed state; ``collapse_chunk_sessions`` below is
+      the form for streams without markers, a session window per request that
+      closes once event time has moved ``gap`` past its last chunk.
 
 Checkpoints and sink folders of a run lie in one work folder on shared storage.
 A job that is given the same work folder again resumes where it stopped; without
@@ -29,6 +31,7 @@ from costwise.functions.cost import spend_units, to_dollars
 from costwise.operators.scoring import score
 from costwise.session import checkpoint_dir
 from costwise.sources.prices import attach_prices
+from costwise.streaming.chunk_state import ROCKSDB
 
 
 def stream_table(
@@ -80,21 +83,19 @@ def run_complete(stream: DataFrame, name: str, folder: str | None = None) -> str
 def run_pairs(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> str:
     """I2 + A7: record each pair once, with the first batch that brings it.
 
-    A batch is reduced to its distinct pairs, those of earlier epochs are taken
-    away, and the rest overwrites the epoch's own folder: no watermark, so a pair
-    is neither lost for being late nor written again after a long time."""
-    spark = stream.sparkSession
-    base = folder or work_folder(spark, name)
+    The pairs are kept as keys of the state store (RocksDB: on disk, spread over the shuffle partitions, written
+    on by changes only), so what a batch reads and writes follows the batch, not the pairs recorded before. There is
+    no watermark: a pair is neither lost for being late nor recorded again after a long time."""
+    base = folder or work_folder(stream.sparkSession, name)
     data = f"{base}/data"
     own = stream.select(*keys)
-    schema = own.schema.add("_epoch", "long")
-    spark.createDataFrame([], own.schema).write.mode("ignore").parquet(f"{data}/_epoch=-1")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stream.sparkSession.createDataFrame([], own.schema).write.mode("ignore").parquet(f"{data}/_epoch=-1")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        recorded = spark.read.schema(schema).parquet(data).filter(F.col("_epoch") < epoch_id)
-        batch.distinct().join(recorded, keys, "left_anti").write.mode("overwrite").parquet(f"{data}/_epoch={epoch_id}")
+        batch.write.mode("overwrite").parquet(f"{data}/_epoch={epoch_id}")
 
-    q = (own.writeStream.foreachBatch(write)
+    q = (own.dropDuplicates(keys).writeStream.foreachBatch(write)
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return data

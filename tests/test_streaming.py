@@ -108,3 +108,56 @@ def test_eta_from_latest_rate(spark):
     got = {r["model"]: r for r in jobs.eta(prog, pending).collect()}
     assert got["a"]["eta_seconds"] == 1.0 and got["a"]["n_pending"] == 2
     assert got["b"]["eta_seconds"] is None and got["c"]["per_second"] is None
+
+
+CHUNK = "request_id long, idx long, content string, reasoning string, completion_tokens long, finish_reason string, ts timestamp"
+
+
+def _run_chunks(spark, batches, **kw):
+    """One run of the job a batch, all on one work folder; rows are (request, idx, content, usage, finish, minute)."""
+    import datetime as dt
+
+    from costwise.streaming.chunk_state import collapse_chunk_streams
+
+    folder = tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp")
+    for b in batches:
+        rows = [(r, i, c, None, u, f, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for r, i, c, u, f, m in b]
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(CHUNK).parquet(f"{folder}/in")
+        path = jobs.run_append(collapse_chunk_streams(stream, "ts", **kw), "chunks", folder=f"{folder}/job")
+    return {(r.request_id, r.content, r.completion_tokens, r.finish_reason, r.n_chunks, r.closed_by)
+            for r in spark.read.parquet(path).collect()}
+
+
+def test_chunk_streams_close_by_their_end(spark):
+    batches = [
+        [(1, 0, "a", None, None, 0), (2, 0, "x", None, None, 0), (3, 0, "alone", None, None, 1), (4, 1, "late end", 3, "stop", 1)],
+        [(1, 2, "c", None, "stop", 9), (2, 1, "y", 5, "length", 9)],  # the usage of 1 is still to come, and its chunk 1
+        [(1, 3, "", 7, None, 18), (1, 1, "b", None, None, 18), (5, 0, "no usage", None, "stop", 18)],
+        [(4, 0, "first ", None, None, 19)],
+        [(9, 0, "far", None, None, 60)],
+        [(9, 1, "farther", None, None, 3000)],
+    ]
+    assert _run_chunks(spark, batches) == {
+        (1, "abc", 7, "stop", 4, "end"), (2, "xy", 5, "length", 2, "end"), (4, "first late end", 3, "stop", 2, "end"),
+        (5, "no usage", None, "stop", 1, "timer"),  # a marker came, the usage did not
+        (3, "alone", None, None, 1, "timer"),  # abandoned
+    }
+
+
+def test_chunk_streams_until_finish(spark):
+    batches = [[(1, 0, "a", None, None, 0)], [(1, 2, "c", None, "stop", 9)], [(1, 1, "b", 4, None, 18), (2, 0, None, None, "stop", 18)]]
+    assert _run_chunks(spark, batches, until="finish") == {(1, "abc", 4, "stop", 3, "end"), (2, "", None, "stop", 1, "end")}
+
+
+def test_pairs_are_recorded_once_over_many_runs(spark):
+    folder = tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp")
+    seen = -1
+    want = [{(1, "a"), (2, "b")}, {(3, None)}, {(4, "d")}]
+    for n, rows in enumerate(([(1, "a"), (2, "b"), (1, "a")], [(2, "b"), (3, None), (1, "a")], [(3, None), (4, "d"), (2, "b")])):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("k long, v string").parquet(f"{folder}/in")
+        table = spark.read.parquet(jobs.run_pairs(stream, "pairs", ["k", "v"], folder=f"{folder}/job"))
+        assert {tuple(r) for r in table.filter(F.col("_epoch") > seen).select("k", "v").collect()} == want[n]
+        seen = table.agg(F.max("_epoch")).first()[0]
+    assert table.count() == 4
