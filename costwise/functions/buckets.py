@@ -13,8 +13,10 @@ def _col(c: str | Column) -> Column:
 
 
 def difficulty_bucket(parameters_json: str | Column, nodes: str | Column) -> Column:
-    """``parameters.bucket`` when it is a non-empty JSON string, else ``depth_<#nodes>``."""
-    v = F.try_parse_json(_col(parameters_json))
+    """``parameters.bucket`` when it is a non-empty JSON string, else ``depth_<#nodes>``.
+
+    The parameters are a VARIANT (as tasks are read) or JSON text."""
+    v = F.try_parse_json(_col(parameters_json).cast("string"))
     raw = F.try_variant_get(v, "$.bucket", "variant")
     explicit = F.when(
         F.schema_of_variant(raw) == F.lit("STRING"), F.try_variant_get(v, "$.bucket", "string")
@@ -34,7 +36,7 @@ def depth_from_bucket(bucket: str | Column) -> Column:
 def depth_from_parameters(parameters_json: str | Column) -> Column:
     """``parameters.recipe.per_segment_difficulty.depth`` of a ladder task."""
     return F.try_variant_get(
-        F.try_parse_json(_col(parameters_json)),
+        F.try_parse_json(_col(parameters_json).cast("string")),
         "$.recipe.per_segment_difficulty.depth",
         "bigint",
     )

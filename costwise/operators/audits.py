@@ -117,25 +117,47 @@ def vstar_consistency(tasks: DataFrame, tokenizer=heuristic_tokens) -> DataFrame
     )
 
 
+def _signed(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of both sides under one roof: +1 from ``a``, -1 from ``b``."""
+    return a.select(*cols, F.lit(1).alias("_sign")).unionByName(b.select(*cols, F.lit(-1).alias("_sign")))
+
+
 def replay_check(recorded: DataFrame, regenerated: DataFrame, compare: list[str]) -> DataFrame:
-    """Full outer join of two task sets on task_id; status per task."""
-    cols = ["task_id", *compare]
-    a = recorded.select(*cols).alias("a")
-    b = regenerated.select(*cols).alias("b")
-    j = a.join(b, F.col("a.task_id") == F.col("b.task_id"), "full_outer")
-    same = F.lit(True)
-    for c in compare:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    """Two task sets compared by task_id in one pass (bag semantics within a task).
+
+    Per task: status, and how many of its rows only one side has. Rows meet as a 128-bit digest of the compared
+    columns with a sign: what both sides have cancels out. One exchange, by task, carries digests and no texts."""
+    digest = [F.xxhash64(*compare).alias("_d1"), F.xxhash64(F.lit("row"), *reversed(compare)).alias("_d2")]
+    narrow = _signed(recorded.select("task_id", *digest), regenerated.select("task_id", *digest), ["task_id", "_d1", "_d2"])
+    net = narrow.repartition("task_id").groupBy("task_id", "_d1", "_d2").agg(
+        F.sum("_sign").alias("net"), F.count_if(F.col("_sign") > 0).alias("a"), F.count_if(F.col("_sign") < 0).alias("b")
+    )
+    per_task = net.groupBy("task_id").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"),
+        F.sum(F.greatest("net", F.lit(0))).alias("n_left_only"), F.sum(F.greatest(-F.col("net"), F.lit(0))).alias("n_right_only"),
+    )
     status = (
-        F.when(F.col("b.task_id").isNull(), F.lit("only_recorded"))
-        .when(F.col("a.task_id").isNull(), F.lit("only_regenerated"))
-        .when(same, F.lit("same"))
-        .otherwise(F.lit("changed"))
+        F.when(F.col("b") == 0, F.lit("only_recorded")).when(F.col("a") == 0, F.lit("only_regenerated"))
+        .when(F.col("n_left_only") + F.col("n_right_only") == 0, F.lit("same")).otherwise(F.lit("changed"))
     )
-    return j.select(F.coalesce("a.task_id", "b.task_id").alias("task_id"), status.alias("status"))
+    return per_task.select("task_id", status.alias("status"), "n_left_only", "n_right_only")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side missing from the other (bag semantics); empty when equal."""
-    return a.exceptAll(b).withColumn("side", F.lit("left_only")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("right_only")))
+    """Rows of either side missing from the other (bag semantics); empty when equal.
+
+    A signed union and one aggregation by the whole row: what both sides have cancels out."""
+    net = _signed(a, b, a.columns).groupBy(*a.columns).agg(F.sum("_sign").alias("_net")).filter(F.col("_net") != 0)
+    side = F.when(F.col("_net") > 0, F.lit("left_only")).otherwise(F.lit("right_only"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_net")))
+    return net.withColumn("_copy", copies).select(*a.columns, side.alias("side"))
+
+
+def shared_text_audit(segments: DataFrame, group: list[str], part: str, text: str = "text") -> DataFrame:
+    """Per group and part, how many rungs carry it and whether its text is the same on all of them.
+
+    Texts are compared by their SHA-256, so the exchange carries digests (one for each group, part and variant)."""
+    variants = segments.groupBy(*group, part, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+    return variants.groupBy(*group, part).agg(
+        F.sum("n").alias("n_rungs"), F.count(F.lit(1)).alias("n_texts"), (F.count(F.lit(1)) == 1).alias("same_text")
+    )

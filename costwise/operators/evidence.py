@@ -219,12 +219,16 @@ def ci_width(results: DataFrame, z: float = 1.96, max_half_width: float = 0.02)
         F.stddev_samp("efficiency").alias("sd"),
     )
     half = F.lit(float(z)) * F.col("sd") / F.sqrt(F.col("n_correct").cast("double"))
-    # configs are ranked only past each other's interval: the rank counts those that are certainly better.
-    # The array holds one bound for each config of the cell.
     low, high = F.col("mean_efficiency") - half, F.col("mean_efficiency") + half
-    cell = Window.partitionBy(*[k for k in keys if k != "model"])
-    better = F.size(F.filter(F.collect_list(low).over(cell), lambda x: x > F.col("ci_high")))
-    g = g.withColumn("ci_high", high).withColumn("overlap_rank", F.when(high.isNotNull(), better + 1).cast("bigint"))
+    # configs are ranked only past each other's interval: the rank counts those whose lower bound lies above the
+    # own upper bound. A sweep over all bounds of a cell from the top counts the lower ones met; at equal values
+    # upper bounds come first, so that touching intervals overlap.
+    bounds = F.array(F.struct(high.alias("at"), F.lit(0).alias("lower")), F.struct(low.alias("at"), F.lit(1).alias("lower")))
+    sweep = Window.partitionBy(*[k for k in keys if k != "model"]).orderBy(F.col("b.at").desc_nulls_last(), "b.lower", "model").rowsBetween(
+        Window.unboundedPreceding, -1)
+    met = F.coalesce(F.sum(F.when(F.col("b.at").isNotNull(), F.col("b.lower"))).over(sweep), F.lit(0).cast("bigint"))
+    g = g.withColumn("b", F.explode(bounds)).withColumn("met", met).filter(F.col("b.lower") == 0)
+    g = g.withColumn("ci_high", high).withColumn("overlap_rank", F.when(high.isNotNull(), F.col("met") + 1).cast("bigint"))
     return g.select(
         *keys, "overlap_rank", "n_correct", "mean_efficiency", half.alias("half_width"),
         low.alias("ci_low"), "ci_high",

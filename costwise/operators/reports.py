@@ -103,6 +103,39 @@ def cost_decomposition(results: DataFrame) -> DataFrame:
     )
 
 
+def report_views(results: DataFrame, prices: DataFrame) -> DataFrame:
+    """D1, D2, D3, D4, D5, D7 from one scan and one aggregation (GROUPING SETS).
+
+    ``view`` is ``model`` (one row per model: leaderboard, dollars, cost against depth) or ``cell`` (one row per model
+    and bucket: stratified report and pivots). Both sets are aggregated map-side; the sheet is joined to the result."""
+    depth, correct = depth_from_bucket("difficulty_bucket").cast("double"), F.col("terminal_correct")
+    y = F.col("output_tokens").cast("double")
+    whole = F.grouping("difficulty_bucket") == 1
+    sums = results.groupingSets([["model"], ["model", "difficulty_bucket"]], "model", "difficulty_bucket").agg(
+        F.when(whole, "model").otherwise("cell").alias("view"),
+        F.count(F.lit(1)).alias("n"), F.count_if(correct).alias("n_correct"),
+        F.sum("efficiency").alias("sum_efficiency"), F.count("efficiency").alias("n_efficiency"),
+        F.coalesce(F.stddev_samp("efficiency"), F.lit(0.0)).alias("efficiency_stddev"),
+        F.sum("input_tokens").alias("sum_input_tokens"), F.sum("output_tokens").alias("sum_output_tokens"),
+        F.when(whole, F.regr_intercept(y, depth)).alias("base_output_tokens"),
+        F.when(whole, F.regr_slope(y, depth)).alias("per_step_tokens"),
+    )
+    priced = attach_prices(sums, prices)
+    units = (F.col("sum_input_tokens").cast("double") * F.col("price_in")
+             + F.col("sum_output_tokens").cast("double") * F.col("price_out"))
+    spend = F.when(F.col("priced"), to_dollars(units))
+    accuracy = F.col("n_correct") / F.col("n")
+    efficiency = F.when(F.col("n_efficiency") > 0, F.col("sum_efficiency") / F.col("n_efficiency")).otherwise(F.lit(0.0))
+    return priced.select(
+        "view", "model", "difficulty_bucket", "n", "n_correct", accuracy.alias("accuracy"),
+        efficiency.alias("mean_efficiency_when_correct"), (accuracy * efficiency).alias("expected_value_ratio"), "efficiency_stddev",
+        (F.col("sum_input_tokens") / F.col("n")).alias("mean_input_tokens"),
+        (F.col("sum_output_tokens") / F.col("n")).alias("mean_output_tokens"),
+        spend.alias("spend_dollars"), F.when(F.col("n_correct") > 0, spend / F.col("n_correct")).alias("dollars_per_correct"),
+        "base_output_tokens", "per_step_tokens",
+    )
+
+
 def comparison(results: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
     """Leaderboard, pivots and cost decomposition over one reduced table.
 

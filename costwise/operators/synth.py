@@ -1,8 +1,9 @@
 """Bulk task-set synthesis as one Spark job.
 
 Every task is a pure function of (seed, depth, distractors, attempt): random
-choices are keyed draws, ``xxhash64(namespace, seed, attempt, scope, step)``, never
-``rand()``, so regeneration is exact and any partitioning gives the same rows.
+choices are keyed draws, ``md5(namespace|seed|attempt|scope|step)``, never
+``rand()``, so regeneration is exact, any partitioning gives the same rows and
+any engine can compute the same draws.
 A chain is one native fold (``aggregate`` over ``sequence(1, depth - 1)``)
 carrying the running value, the op log, the hidden values and the sentences.
 
@@ -37,8 +38,8 @@ VALUE_FLOOR = 2
 MAX_ATTEMPTS = 25
 
 SCENARIOS = [
-    ("archive", "folders"), ("aquarium", "snails"), ("print shop", "posters"),
-    ("nursery", "seedlings"), ("tannery", "hides"), ("observatory", "plates"),
+    ("archive", "folders"), ("aquarium", "snails"), ("foundry", "ingots"),
+    ("apiary", "frames"), ("tannery", "hides"), ("observatory", "plates"),
 ]
 # The start is x + y, x + y, or x and twice x again: what the openings have in common is the arithmetic alone.
 FIRST_TEMPLATES = [
@@ -80,15 +81,31 @@ def paired_group_seed(run_seed: Column, i: Column) -> Column:
 
 
 def keyed_draw(m: Column | int, *parts: Column | str) -> Column:
-    """K2: a stable draw in [0, m) keyed by the parts.
+    """K2: a stable draw in [0, m) keyed by the parts (``draw`` under the chain's namespace)."""
+    return draw(NAMESPACE, m, *parts)
 
-    ``xxhash64`` (Spark's built-in 64-bit hash with its fixed seed) over the
-    namespace and the parts: native, no string building, identical on every
-    executor and every run."""
-    cols = [F.lit(p) if isinstance(p, str) else p.cast("bigint") for p in parts]
-    h = F.xxhash64(F.lit(NAMESPACE), *cols)
-    mm = F.lit(m) if isinstance(m, int) else m
-    return F.pmod(h, mm.cast("bigint"))
+
+def draw(namespace: str, m: Column | int, *parts: Column | str) -> Column:
+    """A draw in [0, m): the first 60 bits of the MD5 of the namespace and the parts, joined by ``|``, modulo m.
+
+    Built-in functions that every SQL engine has, so an oracle computes the same draws; no state, no seed to pass on."""
+    cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(namespace), *cols)), 1, 15), 16, 10).cast("bigint")
+    return F.pmod(h, F.lit(m).cast("bigint") if isinstance(m, int) else m.cast("bigint"))
+
+
+def draw_distinct(pool: Column, n: Column, pick) -> Column:
+    """n different elements of ``pool``, the j-th by ``pick(size, j)`` among those left: n draws, nothing is sorted.
+    Fewer if the pool is smaller."""
+    kind = "array<bigint>"
+    state = F.struct(pool.cast(kind).alias("left"), F.array().cast(kind).alias("got"))
+
+    def take(s: Column, j: Column) -> Column:
+        one = lambda v: F.struct(F.array_remove(s["left"], v).alias("left"), F.concat(s["got"], F.array(v)).alias("got"))
+        chosen = F.element_at(s["left"], (pick(F.size(s["left"]), j) + 1).cast("int"))
+        return F.when(F.size(s["left"]) > 0, let(chosen, one)).otherwise(s)
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), state, take)["got"]).otherwise(F.array().cast(kind))
 
 
 _FOLDS: dict[tuple[str, str], Column] = {}
@@ -241,11 +258,7 @@ def _distractors(sents: Column, n: Column, forbidden: Column, seed: Column, atte
 
         return F.struct(F.aggregate(values, init, ins)["s"].alias("sents"), values.alias("values"))
 
-    # distinct values: the first n of the pool in the order of a draw keyed by the value
-    drawn = F.array_sort(F.transform(pool, lambda x: F.struct(
-        keyed_draw(1 << 40, seed, attempt, "dval", x).alias("draw"), x.alias("value"))))
-    values = F.slice(F.transform(drawn, lambda r: r["value"]), F.lit(1), n)
-    return let(values, insert_all)
+    return let(draw_distinct(pool, n, lambda size, j: keyed_draw(size, seed, attempt, "dval", j)), insert_all)
 
 
 def _attempt(a: Column) -> Column:
@@ -367,26 +380,45 @@ LEDGER_FAMILY = "cw_ledger"
 LEDGER_NAMESPACE = f"{LEDGER_FAMILY}/{VERSION}"
 LEDGER_GROUPS = ["Alder", "Birch", "Cedar", "Maple", "Rowan"]
 LEDGER_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-LEDGER_SITES = ["depot", "yard", "dock"]
-LEDGER_UNITS = ["crates", "pallets", "drums"]
-LEDGER_DISTRACTOR = "Not for this log: {d} {units} seen near the {g} {site} by a visitor."
-LEDGER_QUESTION = "By how many {units} does the largest sum of a {site} exceed the smallest? State one integer and nothing else."
+LEDGER_SITES = ["gallery", "reading room", "swimming hall"]
+LEDGER_UNITS = ["visitors", "guests", "children"]
+LEDGER_DISTRACTOR = "Not for this log: {d} {units} walked past the {g} {site}."
+LEDGER_QUESTION = (
+    "Add up each {site} over the days given. How many more {units} did the busiest one have than the quietest? Give the bare integer."
+)
+#: Cells are 41 + v with v below 156, in the order of a permutation of the residues of this prime.
+CELL_PRIME = 157
 
 
 def _ldraw(m, *parts) -> Column:
-    cols = [F.lit(p) if isinstance(p, str) else p.cast("bigint") for p in parts]
-    h = F.xxhash64(F.lit(LEDGER_NAMESPACE), *cols)
-    mm = F.lit(m) if isinstance(m, int) else m
-    return F.pmod(h, mm.cast("bigint"))
+    return draw(LEDGER_NAMESPACE, m, *parts)
+
+
+def _cells(n: Column, seed: Column, a: Column) -> Column:
+    """n distinct cells in 41..196: c + j goes to A + B (c + j)^5 modulo the prime, which is a permutation (5 does not
+    divide 156), so the first n + 1 places hold n values in range; nothing is drawn twice or sorted."""
+    key = F.struct(*[
+        (low + _ldraw(m, seed, a, f"cells_{k}")).alias(k) for k, low, m in (("a", 0, CELL_PRIME), ("b", 1, CELL_PRIME - 1), ("c", 0, CELL_PRIME))
+    ])
+
+    def at(k: Column, j: Column) -> Column:
+        x = k["c"] + j
+        return F.pmod(k["a"] + k["b"] * F.pmod(x * x * x * x * x, F.lit(CELL_PRIME)), F.lit(CELL_PRIME))
+
+    return let(key, lambda k: F.transform(
+        F.slice(F.filter(F.transform(F.sequence(F.lit(0), n), lambda j: at(k, j)), lambda v: v < CELL_PRIME - 1), F.lit(1), n),
+        lambda v: v + 41,
+    ))
 
 
-def _keyed_sample(values: Column, n: Column, *key) -> Column:
-    """n distinct elements of ``values`` in keyed random order (rank by hash, slice)."""
-    ranked = F.array_sort(F.transform(values, lambda x: F.struct(
-        F.xxhash64(F.lit(LEDGER_NAMESPACE), *[F.lit(k) if isinstance(k, str) else k.cast("bigint") for k in key],
-                   x.cast("string")).alias("h"),
-        x.alias("v"))))
-    return F.slice(F.transform(ranked, lambda r: r["v"]), 1, n)
+def _names(n: Column, seed: Column, a: Column) -> Column:
+    """n distinct group names: steps of one length around the five."""
+    size = len(LEDGER_GROUPS)
+    key = F.struct(_ldraw(size, seed, a, "names_a").alias("a"), (1 + _ldraw(size - 1, seed, a, "names_b")).alias("b"))
+    return let(key, lambda k: F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda j: F.element_at(F.array(*map(F.lit, LEDGER_GROUPS)), (F.pmod(k["a"] + k["b"] * j, F.lit(size)) + 1).cast("int")),
+    ))
 
 
 def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | None = None,
@@ -405,9 +437,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
     )
 
     def with_setting(st: Column) -> Column:
-        names = _keyed_sample(F.array(*map(F.lit, LEDGER_GROUPS)), st["g"], seed, a, "names")
-        cells = _keyed_sample(F.sequence(F.lit(41).cast("bigint"), F.lit(196).cast("bigint")),
-                              st["g"] * st["days"], seed, a, "cells")
+        names, cells = _names(st["g"], seed, a), _cells(st["g"] * st["days"], seed, a)
         if upstream is not None:
             cells = F.concat(F.array(upstream.cast("bigint")), F.slice(cells, 2, st["g"] * st["days"] - 1))
         return let(F.struct(names.alias("names"), cells.alias("cells")), lambda c: with_cells(st, c))
@@ -446,8 +476,10 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
             sents = F.concat(lead, sents)
         forbidden = F.array_union(c["cells"], hidden)
         pool = F.array_except(F.sequence(F.lit(3).cast("bigint"), F.lit(250).cast("bigint")), forbidden)
-        dvals = _keyed_sample(pool, dist, seed, a, "dvals")
+        dvals = draw_distinct(pool, dist, lambda size, j: _ldraw(size, seed, a, "dval", j))
+        return let(dvals, lambda dv: with_distractors(st, c, t, diff, hidden, surface, sents, dv))
 
+    def with_distractors(st, c, t, diff, hidden, surface, sents, dvals) -> Column:
         lead_n = F.lit(0) if lead is None else F.size(lead)
 
         def ins(acc: Column, d: Column) -> Column:
@@ -460,8 +492,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
             return F.struct(F.array_insert(acc["s"], pos, sent).alias("s"), (acc["j"] + 1).alias("j"))
 
         placed = F.aggregate(dvals, F.struct(sents.alias("s"), F.lit(0).alias("j")), ins)["s"]
-        question = F.format_string(LEDGER_QUESTION.replace("{units}", "%s").replace("{site}", "%s"),
-                                   st["units"], st["site"])
+        question = _fmt(LEDGER_QUESTION, units=st["units"], site=st["site"])
         prompt = F.array_join(F.concat(placed, F.array(question)), " ")
         return let(prompt, lambda pr: F.struct(
             a.cast("int").alias("attempt"), st["g"].alias("n_groups"), st["days"].alias("n_days"),

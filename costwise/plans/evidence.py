@@ -234,6 +234,26 @@ def ci_width(fx):
     return finish(ev.ci_width(fx["fx_results"]))
 
 
+@plan(
+    "ci_width_versions", "D24",
+    f"""
+WITH g AS (
+  SELECT model, generator_version, difficulty_bucket, count(*) AS n_correct, avg(efficiency) AS m, stddev_samp(efficiency) AS sd
+  FROM fx_versioned WHERE efficiency IS NOT NULL GROUP BY model, generator_version, difficulty_bucket),
+h AS (SELECT *, CAST(1.96 AS DOUBLE) * sd / sqrt(CAST(n_correct AS DOUBLE)) AS half FROM g)
+SELECT model, generator_version, difficulty_bucket,
+  CASE WHEN half IS NOT NULL THEN 1 + (SELECT count(*) FROM h o WHERE o.difficulty_bucket = h.difficulty_bucket
+    AND o.generator_version = h.generator_version AND o.m - o.half > h.m + h.half) END AS overlap_rank, n_correct,
+  {R6('m')} AS mean_efficiency, {R6('half')} AS half_width, {R6('m - half')} AS ci_low, {R6('m + half')} AS ci_high,
+  coalesce(half > CAST(0.02 AS DOUBLE), true) AS sample_more
+FROM h
+""",
+    "fx_versioned",
+)
+def ci_width_versions(fx):
+    return finish(ev.ci_width(fx["fx_versioned"]))
+
+
 @plan(
     "saturated_cells", "D1 D25",
     f"""

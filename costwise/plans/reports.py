@@ -101,3 +101,26 @@ for _view, _direct in (("leaderboard", "leaderboard"), ("pivot_accuracy", "pivot
     from costwise.plans.common import REGISTRY as _R, Plan as _P
 
     _R[f"comparison_{_view}"] = _P(f"comparison_{_view}", _build, _R[_direct].oracle, "D7")
+
+
+@plan(
+    "report_views", "D1 D2 D3 D4 D5 D7",
+    f"""
+WITH g AS (
+  SELECT model, difficulty_bucket, grouping(difficulty_bucket) AS whole, count(*) AS n, count(*) FILTER (WHERE terminal_correct) AS n_correct,
+    coalesce(avg(efficiency), CAST(0 AS DOUBLE)) AS eff, coalesce(stddev_samp(efficiency), CAST(0 AS DOUBLE)) AS sd,
+    avg(input_tokens) AS mi, avg(output_tokens) AS mo, CAST(sum(input_tokens) AS DOUBLE) AS si, CAST(sum(output_tokens) AS DOUBLE) AS so,
+    regr_intercept(output_tokens, depth) AS b0, regr_slope(output_tokens, depth) AS b1
+  FROM fx_results GROUP BY GROUPING SETS ((model), (model, difficulty_bucket)))
+SELECT CASE WHEN whole = 1 THEN 'model' ELSE 'cell' END AS view, g.model, difficulty_bucket, n, n_correct, {R6('n_correct / n')} AS accuracy,
+  {R6('eff')} AS mean_efficiency_when_correct, {R6('n_correct / n * eff')} AS expected_value_ratio, {R6('sd')} AS efficiency_stddev,
+  {R6('mi')} AS mean_input_tokens, {R6('mo')} AS mean_output_tokens,
+  {R6('(si * price_in + so * price_out) / 1e6')} AS spend_dollars,
+  {R6('CASE WHEN n_correct > 0 THEN (si * price_in + so * price_out) / 1e6 / n_correct END')} AS dollars_per_correct,
+  {R6('CASE WHEN whole = 1 THEN b0 END')} AS base_output_tokens, {R6('CASE WHEN whole = 1 THEN b1 END')} AS per_step_tokens
+FROM g LEFT JOIN fx_prices p ON p.model = g.model
+""",
+    "fx_results", "fx_prices",
+)
+def report_views(fx):
+    return finish(rep.report_views(fx["fx_results"], fx["fx_prices"]))

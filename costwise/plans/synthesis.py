@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costwise.functions import patterns as P
 from costwise.functions.text import has_decomposition_marker, heuristic_tokens, leaked_values
 from costwise.operators import audits as au
+from costwise.operators import segments as sg
 from costwise.operators import synth as sy
 from costwise.plans.common import plan
+from costwise.plans.scoring import sql_tokens
 from costwise.session import materialize
 
 
@@ -111,7 +114,7 @@ def paired_ladder_audit(fx):
 
 
 @plan(
-    "replay_check", "C10 G5 A4",
+    "replay_check", "C10 G5",
     """
 SELECT count(*) AS n_same, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_only_recorded,
   CAST(0 AS BIGINT) AS n_only_regenerated, CAST(0 AS BIGINT) AS n_rows_differing
@@ -131,14 +134,72 @@ def replay_check(fx):
     recorded = fx.spark.read.parquet(path)
     regenerated = sy.synthesize_chains(_part_seeds(fx)).select(*cols)
     status = au.replay_check(recorded, regenerated, ["merged_prompt", "canonical_terminal_answer", "ops"])
-    diff = au.same_rows(recorded.select(*cols[:3]), regenerated.select(*cols[:3]))
-    n_diff = diff.select(F.count(F.lit(1))).scalar()
     return status.agg(
         F.count_if(F.col("status") == "same").alias("n_same"),
         F.count_if(F.col("status") == "changed").alias("n_changed"),
         F.count_if(F.col("status") == "only_recorded").alias("n_only_recorded"),
         F.count_if(F.col("status") == "only_regenerated").alias("n_only_regenerated"),
-    ).select("*", n_diff.alias("n_rows_differing"))
+        F.coalesce(F.sum(F.col("n_left_only") + F.col("n_right_only")), F.lit(0)).cast("bigint").alias("n_rows_differing"),
+    )
+
+
+#: Own phrases; a value is handed on by description and never by its digits.
+BRIDGES = [
+    ("program_output", "arithmetic_chain", 0, "The number it prints is what the counter shows at the outset."),
+    ("program_output", "arithmetic_chain", 1, "Set the counter to the printed number before going on."),
+    ("arithmetic_chain", "table_aggregation", 0, "The counter's last reading fills the blank first cell of the sheet."),
+    ("arithmetic_chain", "table_aggregation", 1, "Write the last reading into the sheet's first cell."),
+    ("arithmetic_chain", "table_aggregation", 2, "The sheet opens with that reading."),
+]
+_RECIPE = ["program_output", "arithmetic_chain", "table_aggregation"]
+_CLOSING = "Reply with one integer."
+_PHRASE_SQL = " ".join(
+    f"WHEN s.position = {_RECIPE.index(a)} AND (s.seed * 31 + s.attempt * 7 + s.position) % {n} = {v} THEN {P.sql_literal(t)}"
+    for a, n in (("program_output", 2), ("arithmetic_chain", 3)) for x, _, v, t in BRIDGES if x == a
+)
+
+
+@plan(
+    "hybrid_segments", "K7 K9 E5",
+    f"""
+WITH s AS (SELECT *, CASE {_PHRASE_SQL} END AS bridge FROM fx_segments s),
+t AS (
+  SELECT seed, attempt, concat(string_agg(concat_ws(' ', text, bridge), ' ' ORDER BY position), {P.sql_literal(' ' + _CLOSING)}) AS prompt,
+    bool_and(position = 2 OR value_type = 'integer') AS fits, list(CAST(value AS VARCHAR)) AS hidden, max(value) FILTER (WHERE position = 2) AS answer
+  FROM s GROUP BY seed, attempt),
+v AS (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY attempt) AS k FROM t
+  WHERE fits AND len(list_intersect(regexp_extract_all(prompt, '[0-9.]+'), hidden)) = 0)
+SELECT d.seed, v.attempt, v.prompt AS merged_prompt, CAST(v.answer AS VARCHAR) AS canonical_terminal_answer,
+  {sql_tokens('v.prompt')} AS v_star_input_tokens, CASE WHEN v.seed IS NULL THEN 'rejected' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT seed FROM t) d LEFT JOIN v ON v.seed = d.seed AND v.k = 1
+""",
+    "fx_segments",
+)
+def hybrid_segments(fx):
+    bridges = fx.spark.createDataFrame(BRIDGES, "source string, target string, variant int, phrase string")
+    out = sg.compose_hybrids(fx["fx_segments"], bridges, _RECIPE, _CLOSING)
+    # no task, no count
+    return out.withColumn("v_star_input_tokens", F.coalesce("v_star_input_tokens", F.lit(0).cast("bigint")))
+
+
+@plan(
+    "shared_texts", "K14",
+    """
+WITH s AS (
+  SELECT seed % 50 AS grp, kind, CASE kind WHEN 'program_output' THEN concat('listing ', CAST(CASE WHEN seed % 350 = 3 THEN seed ELSE seed % 50 END AS VARCHAR)) ELSE text END AS text
+  FROM fx_segments WHERE attempt = 0)
+SELECT grp, kind, count(*) AS n_rungs, count(DISTINCT text) AS n_texts, count(DISTINCT text) = 1 AS same_text FROM s GROUP BY grp, kind
+""",
+    "fx_segments",
+)
+def shared_texts(fx):
+    """Rungs of a group must show one listing: every 350th seed shows another one, which the audit has to find."""
+    own = F.when(F.col("seed") % 350 == 3, F.col("seed")).otherwise(F.col("seed") % 50)
+    rungs = fx["fx_segments"].filter("attempt = 0").select(
+        (F.col("seed") % 50).alias("grp"), "kind",
+        F.when(F.col("kind") == "program_output", F.concat(F.lit("listing "), own.cast("string"))).otherwise(F.col("text")).alias("text"))
+    return au.shared_text_audit(rungs, ["grp"], "kind")
 
 
 def _customer_seeds(fx):

@@ -10,7 +10,7 @@ RESULT_SCHEMA = (
     "cost double not null, v_star double not null, efficiency double, "
     "response_text string not null, generator_version string not null, "
     "weights array<double> not null, difficulty_bucket string not null, "
-    "response_extra map<string, string>"
+    "response_extra variant"
 )
 
 RESULT_REQUIRED = (
@@ -19,15 +19,15 @@ RESULT_REQUIRED = (
     "difficulty_bucket",
 )
 
-# Tasks keep their free-form dictionaries as raw JSON text; Column builders
-# parse them lazily (parse_json / variant_get) where a field is needed.
+# Free-form dictionaries are VARIANT: numbers, booleans, nulls and nesting keep their types,
+# fields are read with variant_get, and they are written as JSON values again.
 TASK_SCHEMA = (
     "task_id string not null, generator_version string not null, template_id string not null, "
-    "seed decimal(20,0) not null, parameters string, "
+    "seed decimal(20,0) not null, parameters variant, "
     "nodes array<struct<item: struct<id: string, question: string, known_answer: string, "
     "answer_type: string, source: string, source_version: string, "
-    "parameter_templates_supported: array<string>, metadata: string>, "
-    "parameter_template: struct<name: string, args: string, output_type: string>, "
+    "parameter_templates_supported: array<string>, metadata: variant>, "
+    "parameter_template: struct<name: string, args: variant, output_type: string>, "
     "instantiated_question: string>>, "
     "merged_prompt string not null, canonical_terminal_answer string not null, "
     "terminal_answer_type string not null, v_star_input_tokens bigint not null, "

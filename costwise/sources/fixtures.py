@@ -51,6 +51,21 @@ SELECT task_id, model, seq, terminal_correct,
        THEN CAST(input_tokens + 4 AS DOUBLE) / CAST(input_tokens + 4 * output_tokens AS DOUBLE) END AS efficiency,
   concat('hybrid-paired_d', CAST(depth AS STRING)) AS difficulty_bucket, depth, group_seed
 FROM base
+""",
+    # the same results, recorded under three generator versions.
+    "fx_versioned": """
+SELECT *, concat('2.', CAST(seq % 3 AS STRING)) AS generator_version FROM {fx_results}
+""",
+    # recorded task segments: three attempts a group, a listing, a chain and a ledger each; in every fourth group
+    # the first attempts show a hidden value.
+    "fx_segments": """
+WITH a AS (SELECT p.*, a.attempt FROM {part} p CROSS JOIN (VALUES (0), (1), (2)) a(attempt))
+SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(attempt AS INT) AS attempt, CAST(s.position AS INT) AS position, s.kind AS kind,
+  concat(s.kind, ' over ', p_name, ' with ', CAST(p_partkey * 7 + attempt AS STRING), ' units',
+    CASE WHEN p_partkey % 4 = 0 AND attempt < p_partkey % 3 THEN concat(', in all ', CAST(100000 + p_partkey * 11 + s.position AS STRING), ' of them') ELSE '' END, '.') AS text,
+  CAST(100000 + p_partkey * 11 + s.position AS BIGINT) AS value,
+  CASE WHEN attempt = 1 AND p_partkey % 5 = 0 THEN 'text' ELSE 'integer' END AS value_type
+FROM a CROSS JOIN (VALUES (0, 'program_output'), (1, 'arithmetic_chain'), (2, 'table_aggregation')) s(position, kind)
 """,
     # price sheet: m12 deliberately missing.
     "fx_prices": """

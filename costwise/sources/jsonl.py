@@ -29,34 +29,44 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> DataFra
     return df.filter(check.cast("boolean"))
 
 
-def read_results(spark: SparkSession, paths: str | Sequence[str], *, with_source: bool = False) -> DataFrame:
+def _read_json(spark: SparkSession, schema: str, paths: str | Sequence[str]) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(list(paths) if not isinstance(paths, str) else paths)
+
+
+def read_results(
+    spark: SparkSession, paths: str | Sequence[str], *, with_source: bool = False, with_order: bool = False
+) -> DataFrame:
     """Read one or many results files (A1, A5).
 
-    Blank lines are skipped by the JSON reader, malformed lines fail the job,
-    legacy rows without ``response_extra`` get an empty map. Several files are
-    concatenated as a bag (no de-duplication of (task_id, model)).
-    """
-    df = (
-        spark.read.schema(RESULT_SCHEMA)
-        .option("mode", "FAILFAST")
-        .json(list(paths) if not isinstance(paths, str) else paths)
-    )
-    if with_source:
-        df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    df = df.withColumn(
-        "response_extra",
-        F.coalesce("response_extra", F.create_map().cast("map<string,string>")),
-    )
+    Blank lines are skipped by the JSON reader, malformed lines fail the job. ``response_extra`` keeps the types of
+    its values (VARIANT); legacy rows without it, and rows where it is null or empty, get an empty object. Several
+    files are concatenated as a bag (no de-duplication of (task_id, model)).
+
+    ``with_order`` adds ``ingest``, a struct that orders records as they stand: by place in the list ``paths``, file
+    name, block of the file and row in the block. A block is read by one task from its start, so the row number needs
+    no shuffle. ``latest_per_key(..., ["ingest"])`` then keeps the last record of a key (D9)."""
+    if with_order:
+        parts = [
+            _read_json(spark, RESULT_SCHEMA, path).withColumn("ingest", F.struct(
+                F.lit(i).alias("place"), F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+            for i, path in enumerate([paths] if isinstance(paths, str) else paths)
+        ]
+        df = merge_results(parts)
+        if with_source:
+            df = df.withColumn("source_file", F.col("ingest.file"))
+    else:
+        df = _read_json(spark, RESULT_SCHEMA, paths)
+        if with_source:
+            df = df.withColumn("source_file", F.col("_metadata.file_path"))
+    empty = F.coalesce(F.to_json("response_extra").isin("null", "{}", "[]", '""', "false", "0"), F.lit(True))
+    df = df.withColumn("response_extra", F.when(empty, F.parse_json(F.lit("{}"))).otherwise(F.col("response_extra")))
     return require_columns(df, RESULT_REQUIRED, "results")
 
 
 def read_tasks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Read tasks JSONL (A2); free-form dictionaries stay JSON text."""
-    df = (
-        spark.read.schema(TASK_SCHEMA)
-        .option("mode", "FAILFAST")
-        .json(list(paths) if not isinstance(paths, str) else paths)
-    )
+    """Read tasks JSONL (A2); free-form dictionaries (parameters, template arguments, metadata) are VARIANT."""
+    df = _read_json(spark, TASK_SCHEMA, paths)
     return require_columns(
         df, ("task_id", "generator_version", "template_id", "merged_prompt",
              "canonical_terminal_answer", "v_star_input_tokens", "v_star_output_tokens"), "tasks"
@@ -64,7 +74,7 @@ def read_tasks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write rows as JSON lines keeping explicit nulls (A4, A7 batch form)."""
+    """Write rows as JSON lines keeping explicit nulls; VARIANT columns become JSON values (A4, A7 batch form)."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 

@@ -41,7 +41,7 @@ def test_results_round_trip_and_legacy_rows(spark):
         f.write(json.dumps(legacy) + "\n\n" + json.dumps(modern) + "\n")
     r = read_results(spark, os.path.join(d, "results.jsonl"))
     rows = {x["task_id"]: x for x in r.collect()}
-    assert rows["t1"]["response_extra"] == {} and rows["t2"]["response_extra"] == {"finish_reason": "stop"}
+    assert rows["t1"]["response_extra"].toPython() == {} and rows["t2"]["response_extra"].toPython() == {"finish_reason": "stop"}
     out = os.path.join(_tmp(), "out")
     write_jsonl(r, out, mode="overwrite")
     back = read_results(spark, out)
@@ -73,7 +73,10 @@ def test_tasks_and_manifest(spark):
         f.write(json.dumps(task) + "\n")
     t = read_tasks(spark, os.path.join(d, "tasks.jsonl")).first()
     assert str(t["seed"]) == "18446744073709551615"
-    assert json.loads(t["parameters"])["bucket"] == "hybrid_d6"
+    assert t["parameters"].toPython() == {"bucket": "hybrid_d6", "ops": [{"name": "gain", "k": 3}]}
+    write_jsonl(read_tasks(spark, os.path.join(d, "tasks.jsonl")), os.path.join(d, "again"))
+    line = json.loads(next(r.value for r in spark.read.text(os.path.join(d, "again")).collect()))
+    assert line["parameters"] == task["parameters"] and line["seed"] == task["seed"]
     os.makedirs(os.path.join(d, "runs", "r1"))
     with open(os.path.join(d, "runs", "r1", "manifest.json"), "w") as f:
         json.dump({"run_id": "r1", "created_at": "2026-07-02T18:37:46+00:00", "family": "hybrid",
@@ -81,3 +84,33 @@ def test_tasks_and_manifest(spark):
                    "cells": [{"depth": 3, "distractors": 1}]}, f, indent=2)
     m = read_manifests(spark, os.path.join(d, "runs", "*", "manifest.json")).first()
     assert m["run_id"] == "r1" and m["task_count"] == 40 and m["created_ts"] is not None
+
+
+EXTRAS = [None, {}, {"a": 1}, {"a": 1.5, "b": True, "c": None, "d": [1, "1", {"e": []}], "f": {"g": {"h": "007"}}}, [], "", 0, False]
+
+
+def test_extra_fields_keep_their_types(spark):
+    d = _tmp()
+    with open(os.path.join(d, "results.jsonl"), "w") as f:
+        for i, extra in enumerate(EXTRAS):
+            f.write(json.dumps(dict(RESULT, task_id=f"t{i}", response_extra=extra)) + "\n")
+    r = read_results(spark, os.path.join(d, "results.jsonl"))
+    write_jsonl(r, os.path.join(d, "again"))
+    r.write.parquet(os.path.join(d, "table"))
+    for back in (read_results(spark, os.path.join(d, "again")), spark.read.parquet(os.path.join(d, "table"))):
+        got = {x.task_id: json.loads(x.e) for x in back.select("task_id", F.to_json("response_extra").alias("e")).collect()}
+        assert got == {f"t{i}": extra or {} for i, extra in enumerate(EXTRAS)}
+
+
+def test_last_record_over_files_wins(spark):
+    from costwise.operators.ladder import latest_per_key
+
+    d = _tmp()
+    for name, versions in (("b.jsonl", ["1", "2", "3"]), ("a.jsonl", ["4", "5"])):
+        with open(os.path.join(d, name), "w") as f:
+            for v in versions:
+                f.write(json.dumps(dict(RESULT, generator_version=v)) + "\n")
+    for order, want in ((["b.jsonl", "a.jsonl"], "5"), (["a.jsonl", "b.jsonl"], "3")):
+        back = read_results(spark, [os.path.join(d, n) for n in order], with_order=True, with_source=True)
+        one = latest_per_key(back.drop("response_extra"), ["task_id", "model"], ["ingest"]).collect()
+        assert [r.generator_version for r in one] == [want] and one[0].source_file.endswith(order[1])

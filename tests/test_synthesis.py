@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 
-import xxhash
 from pyspark.sql import functions as F
 
 from costwise.operators import synth as sy
@@ -15,14 +13,19 @@ SF = "/root/testdata/sf0.001"
 CAP = 500_000
 
 
+def keyed(namespace, m, *parts):
+    return int(hashlib.md5("|".join(map(str, (namespace, *parts))).encode()).hexdigest()[:15], 16) % m
+
+
 def draw(m, *parts):
-    h = 42
-    for p in (sy.NAMESPACE, *parts):
-        b = p.encode() if isinstance(p, str) else struct.pack("<q", p)
-        h = xxhash.xxh64_intdigest(b, seed=h)
-    if h >= 1 << 63:
-        h -= 1 << 64
-    return h % m
+    return keyed(sy.NAMESPACE, m, *parts)
+
+
+def picked(pool, n, pick):
+    got = []
+    for j in range(min(n, len(pool))):
+        got.append(pool.pop(pick(len(pool), j)))
+    return got
 
 
 def numbers(prompt):
@@ -71,7 +74,7 @@ def attempt(seed, depth, n_dist, a):
     v = vals[-1]
     forbidden = set(vals) | set(surface)
     pool = [c for c in range(11, 100) if c not in forbidden]
-    dvals = sorted(pool, key=lambda x: draw(1 << 40, seed, a, "dval", x))[:n_dist]
+    dvals = picked(pool, n_dist, lambda size, j: draw(size, seed, a, "dval", j))
     for j, d in enumerate(dvals):
         pos = 2 + draw(len(sents), seed, a, "dpos", j)
         sents.insert(pos - 1, sy.DISTRACTOR_TEMPLATE.format(place=place, d=d, items=items))
@@ -156,21 +159,16 @@ def test_end_to_end_calibration(spark):
     assert by_model["wrong_echo_model"] is None
 
 
-def _lhash(*parts):
-    h = 42
-    for p in (sy.LEDGER_NAMESPACE, *parts):
-        b = p.encode() if isinstance(p, str) else struct.pack("<q", p)
-        h = xxhash.xxh64_intdigest(b, seed=h)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def _ldraw(m, *parts):
-    return _lhash(*parts) % m
+    return keyed(sy.LEDGER_NAMESPACE, m, *parts)
 
 
-def _lsample(values, n, *key):
-    ranked = sorted(((_lhash(*key, str(v)), v) for v in values))
-    return [v for _, v in ranked][:n]
+def names_and_cells(g, days, seed, a):
+    start, step = _ldraw(5, seed, a, "names_a"), 1 + _ldraw(4, seed, a, "names_b")
+    names = [sy.LEDGER_GROUPS[(start + step * j) % 5] for j in range(g)]
+    p, q, r = _ldraw(157, seed, a, "cells_a"), 1 + _ldraw(156, seed, a, "cells_b"), _ldraw(157, seed, a, "cells_c")
+    values = [v for v in ((p + q * pow(r + j, 5, 157)) % 157 for j in range(g * days + 1)) if v < 156]
+    return names, [41 + v for v in values[: g * days]]
 
 
 def ledger_attempt(seed, depth, n_dist, a):
@@ -178,8 +176,7 @@ def ledger_attempt(seed, depth, n_dist, a):
     days = min(depth, 7)
     site = sy.LEDGER_SITES[_ldraw(3, seed, a, "site")]
     units = sy.LEDGER_UNITS[_ldraw(3, seed, a, "units")]
-    names = _lsample(sy.LEDGER_GROUPS, g, seed, a, "names")
-    cells = _lsample(range(41, 197), g * days, seed, a, "cells")
+    names, cells = names_and_cells(g, days, seed, a)
     totals = [sum(cells[i * days:(i + 1) * days]) for i in range(g)]
     diff = max(totals) - min(totals)
     hidden = totals + [diff]
@@ -189,7 +186,7 @@ def ledger_attempt(seed, depth, n_dist, a):
         sents.append(f"On {sy.LEDGER_DAYS[d]}, {', '.join(parts[:-1])}, while {parts[-1]}.")
     forbidden = set(cells) | set(hidden)
     pool = [x for x in range(3, 251) if x not in forbidden]
-    dvals = _lsample(pool, n_dist, seed, a, "dvals")
+    dvals = picked(pool, n_dist, lambda size, j: _ldraw(size, seed, a, "dval", j))
     for j, d in enumerate(dvals):
         pos = 2 + _ldraw(len(sents), seed, a, "dpos", j)
         grp = names[_ldraw(g, seed, a, "dgroup", j)]
@@ -223,8 +220,8 @@ def hybrid_attempt(seed, depth, n_dist, a):
     days = min(depth, 7)
     site = sy.LEDGER_SITES[_ldraw(3, seed, a, "site")]
     units = sy.LEDGER_UNITS[_ldraw(3, seed, a, "units")]
-    names = _lsample(sy.LEDGER_GROUPS, g, seed, a, "names")
-    cells = [upstream] + _lsample(range(41, 197), g * days, seed, a, "cells")[1:]
+    names, cells = names_and_cells(g, days, seed, a)
+    cells = [upstream, *cells[1:]]
     totals = [sum(cells[i * days:(i + 1) * days]) for i in range(g)]
     diff = max(totals) - min(totals)
     hidden = totals + [diff, upstream] + vals
@@ -235,7 +232,7 @@ def hybrid_attempt(seed, depth, n_dist, a):
         sents.append(f"On {sy.LEDGER_DAYS[d]}, {', '.join(parts[:-1])}, while {parts[-1]}.")
     forbidden = set(cells) | set(hidden)
     pool = [x for x in range(3, 251) if x not in forbidden]
-    dvals = _lsample(pool, n_dist, seed, a, "dvals")
+    dvals = picked(pool, n_dist, lambda size, j: _ldraw(size, seed, a, "dval", j))
     for j, dv in enumerate(dvals):
         pos = len(lead) + 2 + _ldraw(len(sents) - len(lead), seed, a, "dpos", j)
         grp = names[_ldraw(g, seed, a, "dgroup", j)]
