@@ -1,8 +1,8 @@
 """Registered plans: task-set synthesis and its audits.
 
+The generators' oracles compute the same draws and tasks in SQL (``synthesis_sql``).
 The audits' answers are fixed by the seed tables: every seed gives a task and no
-rule is violated. The generators themselves draw by ``xxhash64``, which SQL
-engines do not share; the tests hold them against an independent one."""
+rule is violated; ``tests/test_audits.py`` plants violations of every rule."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from costwise.functions.text import has_decomposition_marker, heuristic_tokens,
 from costwise.operators import audits as au
 from costwise.operators import segments as sg
 from costwise.operators import synth as sy
-from costwise.plans.common import plan
+from costwise.plans import synthesis_sql as sql
+from costwise.plans.common import R6, finish, plan
 from costwise.plans.scoring import sql_tokens
 from costwise.session import materialize
 
@@ -25,7 +26,12 @@ def _part_seeds(fx, distractors=None):
                     d.cast("int").alias("distractors"))
 
 
-@plan("chain_synthesis", "K1 K2 K3 K6 K9 B22", None)
+PART_SEEDS = "SELECT p_partkey AS seed, CAST(3 + p_partkey % 8 AS INTEGER) AS depth, CAST(p_size % 3 AS INTEGER) AS distractors FROM part"
+CUSTOMER_SEEDS = "SELECT c_custkey AS seed, CAST(2 + c_custkey % 7 AS INTEGER) AS depth, CAST(c_custkey % 3 AS INTEGER) AS distractors FROM customer"
+SUPPLIER_SEEDS = "SELECT s_suppkey AS seed, CAST(3 + s_suppkey % 8 AS INTEGER) AS depth, CAST(s_suppkey % 3 AS INTEGER) AS distractors FROM supplier"
+
+
+@plan("chain_synthesis", "K1 K2 K3 K6 K9 B22 E5", sql.chain_oracle(PART_SEEDS))
 def chain_synthesis(fx):
     t = sy.synthesize_chains(_part_seeds(fx))
     return t.select("task_id", "seed", "depth", "distractors", "attempt", "canonical_terminal_answer",
@@ -208,7 +214,7 @@ def _customer_seeds(fx):
                     (F.col("c_custkey") % 3).cast("int").alias("distractors"))
 
 
-@plan("ledger_synthesis", "K4 K5 K6 K9", None)
+@plan("ledger_synthesis", "K4 K5 K6 K9 E5", sql.ledger_oracle(CUSTOMER_SEEDS))
 def ledger_synthesis(fx):
     t = sy.synthesize_ledgers(_customer_seeds(fx))
     return t.select("task_id", "seed", "depth", "distractors", "attempt", "n_groups", "n_days",
@@ -256,7 +262,7 @@ def _supplier_seeds(fx):
                     (F.col("s_suppkey") % 3).cast("int").alias("distractors"))
 
 
-@plan("hybrid_synthesis", "K7 K3 K4 K6 K9", None)
+@plan("hybrid_synthesis", "K7 K3 K4 K6 K9 E5", sql.hybrid_oracle(SUPPLIER_SEEDS))
 def hybrid_synthesis(fx):
     t = sy.synthesize_hybrids(_supplier_seeds(fx))
     return t.select("task_id", "seed", "depth", "distractors", "attempt", "n_groups", "n_days",
@@ -291,7 +297,24 @@ def hybrid_audit(fx):
                                      F.count_if(~F.col("ok")).alias("n_violations"))
 
 
-@plan("calibration_run", "K1-K3 K17 C1 D1 D2", None)
+_CALIBRATION = f"""WITH RECURSIVE {sql.chain_tasks_ctes(SUPPLIER_SEEDS)},
+m AS (
+  SELECT t.*, {sql_tokens('prompt')} AS tin, x.model, CASE x.model WHEN 'echo_model' THEN answer WHEN 'wrong_echo_model' THEN '0'
+    ELSE concat(repeat('Let me think step by step about this problem. ', 20), chr(10), 'The answer is ', answer) END AS said
+  FROM tasks t, (VALUES ('echo_model'), ('verbose_echo_model'), ('wrong_echo_model')) x(model)),
+r AS (
+  SELECT model, concat('depth_', depth) AS difficulty_bucket, tin, {sql_tokens('said')} AS tout, model <> 'wrong_echo_model' OR answer = '0' AS ok,
+    CAST(tin + 4 * {sql_tokens('answer')} AS DOUBLE) / CAST(tin + 4 * {sql_tokens('said')} AS DOUBLE) AS eff FROM m)
+SELECT model, difficulty_bucket, count(*) AS n, {R6('count(*) FILTER (WHERE ok) / count(*)')} AS accuracy,
+  {R6('coalesce(avg(eff) FILTER (WHERE ok), CAST(0 AS DOUBLE))')} AS mean_efficiency_when_correct,
+  {R6('count(*) FILTER (WHERE ok) / count(*) * coalesce(avg(eff) FILTER (WHERE ok), CAST(0 AS DOUBLE))')} AS expected_value_ratio,
+  {R6('coalesce(stddev_samp(CASE WHEN ok THEN eff END), CAST(0 AS DOUBLE))')} AS efficiency_stddev,
+  {R6('avg(tin)')} AS mean_input_tokens, {R6('avg(tout)')} AS mean_output_tokens
+FROM r GROUP BY model, difficulty_bucket
+"""
+
+
+@plan("calibration_run", "K1-K3 K17 C1 D1 D2", _CALIBRATION)
 def calibration_run(fx):
     """End to end: synthesize chain tasks, emit calibration responses, score them
     through the normal path, and report per (model, bucket)."""
@@ -300,7 +323,7 @@ def calibration_run(fx):
 
     tasks = materialize(sy.synthesize_chains(_supplier_seeds(fx)).filter(F.col("status") == "ok"), "e2e-tasks")
     results = score(tasks, calibration_responses(tasks))
-    return stratified_report(results)
+    return finish(stratified_report(results))
 
 
 @plan(
