@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from costwise.llm.storage import map_batches, prefixed, ship
 
@@ -42,6 +41,9 @@ class Params:
     l1: float = 0.02
     l2: float = 0.02
     calibration_share: float = 0.2
+    #: Share of a calibration row's label that counts for all labels alike: without it the loss of a separable sample
+    #: falls for ever as the temperature falls.
+    smoothing: float = 0.02
 
 
 @dataclass
@@ -108,13 +110,13 @@ def document_frequencies(rows: DataFrame, p: Params) -> tuple[int, np.ndarray]:
 
 def _sample(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Sparse counts of the sampled training rows, in the order of their hashed ids."""
-    drawn = rows.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
-    order = Window.partitionBy("label").orderBy("draw")
-    last = (
-        drawn.select("label", "draw").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= p.per_language)
-        .groupBy("label").agg(F.max("draw").alias("last"))
-    )  # a row for each label; texts are not moved for the draw
-    drawn = drawn.join(F.broadcast(last), "label").filter(F.col("draw") <= F.col("last"))
+    # a row is drawn by the hash of its id alone, against a bound from its label's count: no label's rows meet in a task.
+    # A fifth more than asked for is drawn, and the smallest hashes are kept.
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(7))
+    drawn = rows.withColumn("draw", draw)
+    share = F.least(F.lit(1.0), 1.2 * (p.per_language + 50) / F.col("n"))
+    bound = rows.groupBy("label").agg(F.count("*").alias("n")).select("label", ((share - 0.5) * float(2**64)).alias("bound"))
+    drawn = drawn.join(F.broadcast(bound), "label").filter(F.col("draw").cast("double") <= F.col("bound"))
 
     def vectors(batches):
         for batch in batches:
@@ -132,6 +134,12 @@ def _sample(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray, np.ndarra
 
     got = map_batches(drawn.select("label", "draw", "text"), vectors, "label string, draw long, at binary, n binary").collect()
     got.sort(key=lambda r: (r["draw"], r["label"]))
+    taken: dict[str, int] = {}
+    for r in got:
+        taken[r["label"]] = taken.get(r["label"], 0) + 1
+    for label, n in taken.items():  # the smallest hashes of each label
+        taken[label] = sorted(r["draw"] for r in got if r["label"] == label)[min(n, p.per_language) - 1]
+    got = [r for r in got if r["draw"] <= taken[r["label"]]]
     return [(r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)) for r in got]
 
 
@@ -167,14 +175,16 @@ def ftrl(vectors, targets, size: int, k: int, p: Params) -> tuple[np.ndarray, np
     return w[:size], w[size]
 
 
-def temperature(logits: np.ndarray, targets: np.ndarray) -> float:
-    """The temperature with the least negative log likelihood, by golden section on its logarithm."""
+def temperature(logits: np.ndarray, targets: np.ndarray, smoothing: float = 0.02) -> float:
+    """The temperature with the least negative log likelihood of smoothed labels, by golden section on its logarithm."""
     if len(targets) == 0:
         return 1.0
 
     def loss(log_t: float) -> float:
-        q = _softmax(logits / np.exp(log_t))
-        return -float(np.log(np.maximum(q[np.arange(len(targets)), targets], 1e-12)).mean())
+        x = logits / np.exp(log_t)
+        x = x - x.max(axis=1, keepdims=True)
+        q = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        return -float((1 - smoothing) * q[np.arange(len(targets)), targets].mean() + smoothing * q.mean())
 
     lo, hi, r = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):
@@ -202,7 +212,7 @@ def fit(labelled: DataFrame, p: Params = Params()) -> Model:
     held = int(len(vectors) * p.calibration_share)
     w, b = ftrl(vectors[held:], targets[held:], size, k, p)
     logits = np.array([v @ w[at] + b for at, v in vectors[:held]]).reshape(held, k)
-    return Model(labels, w, b, idf, temperature(logits, np.array(targets[:held], int)), p)
+    return Model(labels, w, b, idf, temperature(logits, np.array(targets[:held], int), p.smoothing), p)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,8 +254,15 @@ def identify(docs: DataFrame, label: str = "lang", folds: int = 4, held_fold: in
     return out.withColumn("held_out", fold(F.col("doc_id"), folds) == held_fold).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, label: str = "lang") -> DataFrame:
-    """The rows whose text is identified with at least ``min_score``; all columns are kept.
+def known_share(counts: np.ndarray, m: Model) -> float:
+    """Share of a text's n-grams that at least one in a hundred of the training texts has."""
+    common = np.log(100.0) + 1
+    return float(counts[m.idf <= common].sum() / max(1, counts.sum()))
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.27, min_known: float = 0.72, label: str = "lang") -> DataFrame:
+    """The rows whose text is identified: with at least ``min_score``, and of whose n-grams at least ``min_known`` are
+    usual in the training texts, so that junk and languages that were not learned go. All columns are kept.
 
     The prediction rides beside the row in one pass, so nothing is joined back."""
     labelled = docs.select("doc_id", "text", F.col(label).alias("label")).filter(fold(F.col("doc_id"), 4) != 2)
@@ -261,8 +278,9 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, label: str = "lang"
             for text in batch.column(place).to_pylist():
                 ok = bool(text and m.labels and _LETTER.search(text))
                 if ok:
-                    at, v = _normalised(gram_counts(text, m.params), m.idf)
-                    ok = float(_softmax((v @ m.weights[at] + m.bias) / m.temperature).max()) >= min_score
+                    counts = gram_counts(text, m.params)
+                    at, v = _normalised(counts, m.idf)
+                    ok = known_share(counts, m) >= min_known and float(_softmax((v @ m.weights[at] + m.bias) / m.temperature).max()) >= min_score
                 keep.append(ok)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

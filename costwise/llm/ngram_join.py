@@ -374,14 +374,17 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row of each component, with its smallest id; rows without shingles stay, and so do rows
-    without id. Of rows that repeat an id one stays."""
+    """One row of each component, with its smallest id; rows without shingles stay, and so do rows without id.
+
+    Where ids repeat, rows are linked as rows: one that shares its id with a linked row is judged by its own text."""
     ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = not ids.filter(F.col("n") > 1).isEmpty()
-    found = link_components(docs, p).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    if not repeated:
-        return kept
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(
-        kept.filter(F.col("doc_id").isNull())
-    )
+    if ids.filter(F.col("n") > 1).isEmpty():
+        found = link_components(docs, p).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+        return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    row = next(c for c in (f"row{i or ''}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # fixed once written
+    own = numbered.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(row).alias("doc_id"), "text")
+    linked = link_components(own.select("doc_id", "text"), p).join(own.select("doc_id", "id"), "doc_id")
+    first = linked.groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("k"))
+    gone = linked.join(first.select(F.col("k.doc_id").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -1,8 +1,10 @@
 """Packing by cutting-stock column generation.
 
 Documents become token ids and an end id; pieces are whole documents, longer ones are cut into full
-sequences and a rest. A histogram of piece lengths, in classes of ``unit`` tokens, is what reaches the
-driver (``size / unit`` numbers whatever the input). There a linear program over patterns (how many
+sequences and a rest. Short pieces (up to ``short`` tokens) of equal length are bundled first, by the number that
+rounding costs least (at most ``bundle`` tokens), so that their lengths are not rounded one by one. A histogram of the lengths of pieces and
+bundles, in classes of ``unit`` tokens, is what reaches the driver (``size / unit + short`` numbers whatever
+the input). There a linear program over patterns (how many
 pieces of each class share a sequence) is solved by the revised simplex method; new patterns are priced
 by an unbounded knapsack over the dual values. The solution is rounded down, what it leaves is placed
 first-fit by decreasing class. The patterns (a bounded table) go back to Spark, where the pieces of a
@@ -41,8 +43,13 @@ class Params:
     end_id: int = 2
     size: int = 4096
     unit: int = 16
+    #: Pieces of up to this many tokens are bundled by their true length, into bundles of up to so many tokens.
+    short: int = 128
+    bundle: int = 512
+    #: Whether the ids themselves are written with the pieces (``with_ids`` brings them to the rows).
+    ids: bool = True
     #: Words whose ids a worker remembers (about 200 bytes each).
-    remembered: int = 1_000_000
+    remembered: int = 250_000
     #: Characters of text that are encoded together.
     together: int = 1 << 19
     #: Pivots of the simplex method; the basis is feasible at each, so stopping early only costs padding.
@@ -76,9 +83,22 @@ class WordEncoder:
         if not re.search(r"\\s", json.dumps(made["pre_tokenizer"])):
             raise ValueError("the tokenizer does not drop white space: its texts cannot be put together from words")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        rules = json.dumps(made["pre_tokenizer"], ensure_ascii=False)
+        #: Whether case is dropped and a word's last punctuation stands apart from its letters: then a text is prepared
+        #: so that fewer words differ. Only texts below U+0250 are, where one character is one lower-case character.
+        self.folds = '"Lowercase"' in json.dumps(made["normalizer"]) and r"[^\\s\\p{L}\\p{N}]+" in rules and r"[\\p{L}]+" in rules
         #: Strings that the tokenizer takes out of a text before anything else; one of them can stand between words.
         self.special = [(x["content"], x["id"]) for x in made["added_tokens"] if x["special"] and not x["normalized"]]
 
+    #: Beyond these a lower-case letter may be several characters; strings like <|...|> are found before case is dropped.
+    _OTHER = re.compile("[^\\x00-\u012f\u0131-\u024f]|<\\|")
+    _LAST = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \\n]|$)")
+
+    def _prepared(self, text: str) -> str:
+        if not self.folds or self._OTHER.search(text):
+            return text
+        return self._LAST.sub(r" \1", text.lower())
+
     def _learn(self, words: list[str]) -> None:
         """Encode words not met before, in one text with a special string between them where there is one."""
         plain = [w for w in words if self.special and not any(t in w for t, _ in self.special)]
@@ -96,7 +116,7 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in ``kind``."""
-        by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in texts]
+        by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in map(self._prepared, texts)]
         met = set().union(*by_text)
         if len(self.known) > self.remembered:
             self.known.clear()
@@ -117,6 +137,7 @@ def _encoder(path: str, remembered: int) -> WordEncoder:
 
 
 _PIECES = (
+    # class: of short pieces the length, negative; of others the length in units, rounded up
     "piece long, part int, start long, length long, doc_tokens long, class int, ids_crc32 long, ids binary"
 )
 
@@ -150,12 +171,12 @@ def cut(docs: DataFrame, p: Params) -> DataFrame:
                         length.append(len(piece) // 4)
                         total.append(tokens)
                         crc.append(zlib.crc32(piece))
-                        ids.append(piece)
+                        ids.append(piece if p.ids else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((part << 36) + n + np.arange(len(doc)), pa.int64()), pa.array([part] * len(doc), pa.int32()),
                         pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
-                        pa.array(-(-np.array(length, np.int64) // p.unit), pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array([-x if x <= p.short else -(-x // p.unit) for x in length], pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
                         batch.column(0).take(pa.array(doc, pa.int64())),
                     ],
                     ["piece", "part", "start", "length", "doc_tokens", "class", "ids_crc32", "ids", "doc_id"],
@@ -255,7 +276,7 @@ def _first_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
 def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, piece.
 
-    The ids themselves lie in the written pieces; ``with_ids`` brings them to the rows."""
+    The ids themselves lie in the written pieces (unless ``p.ids`` is off); ``with_ids`` brings them to the rows."""
     return layout(stored(cut(docs, p), "pieces"), p)
 
 
@@ -264,8 +285,22 @@ def layout(pieces: DataFrame, p: Params) -> DataFrame:
     capacity = p.size // p.unit
     demand = np.zeros(capacity, np.int64)
     by_part = stored(pieces.groupBy("class", "part").agg(F.count("*").alias("n")), "counts")
-    for r in by_part.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most size / unit rows
-        demand[r["class"] - 1] = r["n"]
+    short: dict[int, int] = {}
+    for r in by_part.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most size / unit + short rows
+        if r["class"] < 0:
+            short[-r["class"]] = r["n"]
+        else:
+            demand[r["class"] - 1] = r["n"]
+    # bundles rank behind the pieces of their class: (length, ranks [lo, hi) of its pieces, pieces of a bundle, class, first rank)
+    bundles = []
+    for length, n in sorted(short.items()):
+        most = max(1, min(p.bundle, p.size) // length)
+        full = min(range(1, most + 1), key=lambda k: (-(-k * length // p.unit) * p.unit / (k * length), k))
+        for lo, hi, each in ((0, n - n % full, full), (n - n % full, n, n % full)):
+            if hi > lo:
+                kind = -(-each * length // p.unit)
+                bundles.append((-length, lo, hi, each, kind, int(demand[kind - 1])))
+                demand[kind - 1] += (hi - lo) // each
     places, first, taken = [], 0, np.zeros(capacity, np.int64)
     for counts, times in patterns(demand, p.pivots):
         for c in np.flatnonzero(counts):
@@ -282,6 +317,13 @@ def layout(pieces: DataFrame, p: Params) -> DataFrame:
     ranked = light.withColumn(
         "place", F.row_number().over(Window.partitionBy("class", "part").orderBy("piece")) - 1
     ).join(before, ["class", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    # two rows a short length: its pieces take their bundle's class and rank
+    bundled = spark.createDataFrame(bundles, "class int, b_lo long, b_hi long, b_each long, b_class int, b_first long")
+    small = ranked.filter("class < 0").join(F.broadcast(bundled), "class").filter("rank >= b_lo AND rank < b_hi")
+    small = small.withColumn("rank", F.col("b_first") + F.floor((F.col("rank") - F.col("b_lo")) / F.col("b_each")))
+    ranked = ranked.filter("class > 0").unionByName(
+        small.withColumn("class", F.col("b_class")).drop("b_lo", "b_hi", "b_each", "b_class", "b_first")
+    )
     # the plan has a few rows for each class, whatever the input: at most size / unit patterns and the rest's sequences
     dealt = ranked.join(F.broadcast(plan), "class").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     in_sequence = Window.partitionBy("sequence_id")

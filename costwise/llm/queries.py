@@ -30,7 +30,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("piece")
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Params(ids=False)).drop("piece")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,20 @@ def test_temperature_undoes_a_scale():
     q = langid._softmax(logits)
     y = (q.cumsum(axis=1) < rng.random((4000, 1))).sum(axis=1)
     assert 2.6 < langid.temperature(logits * 3, y) < 3.5
+
+
+def test_junk_and_languages_not_learned_go(spark, make_docs):
+    rnd = random.Random(31)
+    rows = [(i, text(rnd, ["xx", "yy", "zz"][i % 3], rnd.choice([6, 30, 80])), ["xx", "yy", "zz"][i % 3]) for i in range(240)]
+    junk = [
+        (900, "\u0421\u044a\u0435\u0448\u044c \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a", None),
+        (901, "\u543e\u8f29\u306f\u732b\u3067\u3042\u308b\u3002\u540d\u524d\u306f\u307e\u3060\u7121\u3044\u3002", None),
+        (902, "xqzv0 jq9qj wqxzq9 v7vqx " * 5, None),
+    ]
+    kept = {r.doc_id for r in langid.keep_identified(make_docs(rows + junk)).collect()}
+    assert kept == {i for i, _, _ in rows}
+
+
+def test_calibration_ends_inside_its_range_on_a_separable_sample():
+    logits, y = np.eye(3)[[0, 1, 2, 0]] * 4.0, np.array([0, 1, 2, 0])
+    assert 0.05 < langid.temperature(logits, y) < 15

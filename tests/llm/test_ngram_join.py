@@ -159,3 +159,11 @@ def test_pair_bounds_allow_every_size_that_links(spark):
         assert r.u - overlap + extra <= ngram_join.leading(r.u, p)  # the places are there to be counted
         if r.least == r.most:
             assert (r.own, r.other, r.need) == (r.u - overlap + extra, r.m - overlap + extra, extra)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(make_docs):
+    rnd = random.Random(17)
+    a, b, c = (words(rnd, 40) for _ in range(3))
+    rows = [(3, a), (5, a + " x"), (5, b), (6, c), (6, c), (7, None), (7, ""), (None, a), (None, a)]
+    kept = ngram_join.one_of_each(make_docs(rows, extra=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, a), (5, b), (6, c), (7, None), (7, ""), (None, a), (None, a)], key=str)

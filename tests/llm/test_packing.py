@@ -100,3 +100,36 @@ def test_patterns_meet_demand_close_to_the_bound():
         used, least = sum(n for _, n in found), -(-int(demand @ np.arange(1, 65)) // 64)
         assert used <= 1.02 * least + 70
     assert p.patterns(np.zeros(5, np.int64)) == []
+
+
+@pytest.mark.parametrize("text", ["a b c d e f g h i j k l m n o p q r", None, "one two"])
+def test_short_texts_leave_little_padding(make_docs, tokenizer, text):
+    docs = dict.fromkeys(range(9000), text)
+    rows = p.pack(make_docs(list(docs.items())), p.Params(ids=False)).collect()
+    n, tokens = check(rows, docs, tokenizer, 4096)
+    assert n <= 1 + 1.05 * tokens / 4096
+
+
+def test_short_and_long_pieces_share_sequences(make_docs, tokenizer):
+    rnd = random.Random(8)
+    docs = {i: words(rnd, rnd.choice([0, 1, 3, 5, 17, 40, 300, 1500])) for i in range(700)}
+    rows = p.pack(make_docs(list(docs.items()))).collect()
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    room: list[int] = []  # first-fit by true lengths
+    for length in sorted((r.length for r in rows), reverse=True):
+        k = next((k for k, left in enumerate(room) if left >= length), None)
+        if k is None:
+            room.append(4096 - length)
+        else:
+            room[k] -= length
+    assert check(rows, docs, tokenizer, 4096)[0] <= len(room) + 2
+
+
+def test_case_and_last_punctuation_do_not_change_the_ids(tokenizer):
+    rnd = random.Random(6)
+    pieces = ["The", "END.", "Été,", "it's!", "x.y", "(a.)", "1.5.", "ÀB!?", "İx.", "ǅ.", "Σ.", "ß.", "a..b", "No.", "'S.", "don'T,", "\xd7.", "ÿ;", "ŉ.", "a\u0301.", "w.\u00a0z", "end.\r"]
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 12))) for _ in range(800)] + [a + b for a in pieces for b in pieces]
+    encoder = p.WordEncoder(p.tokenizer_path(p.TOKENIZER), 1000)
+    assert encoder.folds
+    for t, own in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
