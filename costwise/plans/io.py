@@ -146,7 +146,7 @@ def tasks_roundtrip(fx):
     "latest_over_files", "D9 A1 A5",
     """
 SELECT task_id, model, terminal_correct, output_tokens, CAST(seq AS VARCHAR) AS generator_version FROM (
-  SELECT *, row_number() OVER (PARTITION BY task_id, model ORDER BY seq DESC) AS back FROM fx_results) WHERE back = 1
+  SELECT *, row_number() OVER (PARTITION BY task_id, model ORDER BY seq DESC, output_tokens DESC, terminal_correct DESC) AS back FROM fx_results) WHERE back = 1
 """,
     "fx_results",
 )
@@ -156,7 +156,7 @@ def latest_over_files(fx):
     half = r.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
     base = _folder(fx)
     for name, part in (("z_first", r.filter(F.col("seq") <= half)), ("a_second", r.filter(F.col("seq") > half))):
-        ordered = part.repartitionByRange(4, "seq").sortWithinPartitions("seq")
+        ordered = part.repartitionByRange(4, "seq").sortWithinPartitions("seq", "output_tokens", "terminal_correct")
         write_jsonl(_with_extra(ordered, F.lit(None).cast("variant")), f"{base}/{name}")
     back = read_results(fx.spark, [f"{base}/z_first", f"{base}/a_second"], with_order=True)
     latest = lad.latest_per_key(
