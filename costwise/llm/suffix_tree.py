@@ -1,16 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Tokens are words and one end for each text. Words with at least ``least_share`` of all training tokens
-are symbols of their own (at most 1 / least_share), the others share one symbol. A context of up to
-``depth`` symbols is a candidate if it holds at least that share of the tokens too, and is kept if what
-follows it diverges from what follows its suffix by more than a test on its counts allows; its suffixes
-are kept with it. A state's next-symbol distribution is smoothed towards that of its suffix. A token is
-scored by the longest kept suffix of what stands before it in its text; a rare word's share of its symbol
-is its discounted count, an unknown word has the discounts' mass.
-
-Counts cover every training text: tasks count their own words and contexts, sums meet by key. The
-tree and the ``frequent`` commonest words' counts are bounded and broadcast; counts of the other words,
-which grow with the input, stay in a table and meet the texts' rare words by a join.
+Tokens are words and one end for each text; every word is a symbol of its own. A context of up to ``depth`` words
+is a candidate with each symbol that follows it at least ``least`` times, whatever the size of the input. Its next-symbol distribution
+discounts those counts and gives the rest to the distribution of its suffix, down to that of single tokens,
+where unknown words share the discounts' mass evenly, as many being expected as words are known: one of them is less
+likely than any word that was seen. A context is kept if what follows it diverges from what its suffix
+expects by more than a test on its counts allows; the suffixes of kept contexts are kept with them. A token is
+scored by the longest kept suffix of what stands before it in its text.
+
+That score is a sum over the n-grams of the text: each kept context gives the logarithm of its rest at each of
+its occurrences, each symbol counted after it the logarithm of what it is likelier than by the suffix. So
+the model is a table of n-grams with weights, which grows with the input. The ``frequent`` n-grams of most
+occurrences are broadcast (a threshold from a histogram of counts), the others are joined and summed by row.
+An n-gram can only reach ``least`` if the n-grams in it do: bitmaps of 2**``bits`` bits, of a fixed size, spare most that
+cannot; at larger inputs they let more through, and the counts behind them stay exact. N-grams are known by 64-bit hashes.
 
 Defined cases: a null or empty text is its end alone; a null id belongs to no held-out fold; repeated rows
 are counted and scored each; with no training text all counts are 0 and nothing is known; extra columns
@@ -27,160 +30,236 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costwise.llm.storage import map_batches, prefixed, ship, stored
-from costwise.llm.words import text_buffers, word_hashes
+from costwise.llm.words import mix, text_buffers, word_hashes
+
+#: The hash of a text's end.
+END = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Params:
-    depth: int = 2
-    least_share: float = 1e-3
+    depth: int = 3
+    #: Occurrences of a context with a symbol after it, from which on they are in the model.
+    least: int = 4
     #: A context stays if count * divergence (nats) exceeds this for each symbol seen after it.
     divergence: float = 2.0
-    smoothing: float = 20.0
-    frequent: int = 1 << 18
+    discount: float = 0.4
+    #: Words, and longer n-grams, that are broadcast (16 bytes each).
+    frequent: int = 1 << 19
+    bits: int = 27
+    #: Bytes of text that a task works on together.
+    together: int = 4 << 20
+
+
+def _slices(column: pa.Array, size: int):
+    """(first row, rows, bytes, offsets) of parts of a string column of about ``size`` bytes; a longer text stays whole."""
+    data, offsets = text_buffers(column)
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, hi - lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, each text with its end; by token how many stand before it in its text; where texts begin."""
+    h, at = word_hashes(data, offsets)
+    n = np.diff(at)
+    ends = np.cumsum(n + 1) - 1
+    x = np.full(len(h) + len(n), END)
+    is_word = np.ones(len(x), bool)
+    is_word[ends] = False
+    x[is_word] = h
+    return x, np.arange(len(x)) - np.repeat(ends - n, n + 1), np.append(0, ends + 1)
 
 
-@dataclass
-class Tree:
-    """Symbols: 0 the rare words, 1 the end, 2.. the frequent words by ascending hash."""
+def longer(keys: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end at each token, from those one shorter; the first is not meant."""
+    out = keys.copy()
+    out[1:] = join_keys(keys[:-1], keys[1:])
+    return out
 
-    words: np.ndarray  # uint64, ascending
-    keys: list[np.ndarray]  # by depth from 1: contexts as numbers to the base of the symbols, ascending
-    states: list[np.ndarray]  # their rows in log_p
-    log_p: np.ndarray  # log10 P(symbol | state); row 0 is the root
 
+def join_keys(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(context * _STEP + mix(suffix))
 
-def _symbols(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, at + 2, 0)
 
+def _both(ok: np.ndarray) -> np.ndarray:
+    out = ok.copy()
+    out[1:] &= ok[:-1]
+    return out
 
-def _sequences(h: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each with its end; by token how many stand before it in its text."""
-    n = np.diff(at)
-    total = len(h) + len(n)
-    ends = np.cumsum(n + 1) - 1
-    out = np.ones(total, np.int64)
-    is_word = np.ones(total, bool)
-    is_word[ends] = False
-    out[is_word] = _symbols(h, words)
-    before = np.arange(total) - np.repeat(ends - n, n + 1)
-    return out, before
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _context(x: np.ndarray, d: int, base: int) -> np.ndarray:
-    """By token the number of the d symbols before it, the nearest being the last digit; the first d are not meant."""
-    c = np.zeros(len(x), np.int64)
-    for k in range(d, 0, -1):
-        c[k:] = c[k:] * base + x[:-k] if k < len(x) else c[k:]
-    return c
+def bitmap(keys: DataFrame, p: Params) -> np.ndarray:
+    """2**bits bits, those of the column ``key`` set; made in blocks on the executors, their bytes come to the driver."""
+    spark, width = keys.sparkSession, min(p.bits - 3, 17)
+    ship(spark)
 
+    def fill(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << width, np.uint8)
+        at = table.column("at").to_numpy()
+        out[at & ((1 << width) - 1)] = table.column("bits").to_numpy()
+        return pa.table({"block": pa.array([int(at[0]) >> width], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.filter("train").select("text")
+    by_byte = keys.selectExpr(f"shiftright(key & {(1 << p.bits) - 1}, 3) AS at", "shiftleft(1, CAST(key & 7 AS INT)) AS bit")
+    by_byte = by_byte.groupBy("at").agg(F.bit_or("bit").cast("int").alias("bits")).withColumn("block", F.shiftright("at", width))
+    out = np.zeros(1 << (p.bits - 3), np.uint8)
+    for r in by_byte.groupBy("block").applyInArrow(fill, "block long, bits binary").toLocalIterator():
+        out[r["block"] << width : (r["block"] + 1) << width] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """hash, c of every distinct training word."""
+def count_words(docs: DataFrame, p: Params) -> DataFrame:
+    """key, c of every distinct training token."""
 
     def run(batches):
-        def flush(held):
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "c"])
-
-        held, size = [], 0
         for batch in batches:
-            h, _ = word_hashes(*text_buffers(batch.column(0)))
-            held.append(h)
-            size += len(h)
-            if size > 6_000_000:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
+            for _, _, data, offsets in _slices(batch.column(0), p.together):
+                key, n = np.unique(tokens(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
 
-    return map_batches(_training(docs), run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    return map_batches(docs.filter("train").select("text"), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _count_contexts(docs: DataFrame, words: np.ndarray, d: int, allowed: np.ndarray | None) -> list:
-    """(context, symbol, c) of training tokens after d symbols; only contexts in ``allowed``, ascending, if given."""
-    spark, base = docs.sparkSession, len(words) + 2
-    sent = spark.sparkContext.broadcast((words, allowed))
+def count_ngrams(docs: DataFrame, shorter: DataFrame, n: int, most: int, p: Params) -> DataFrame:
+    """n, key, ctx, suf, c of the training n-grams of n to ``most`` tokens that occur at least ``least`` times. ``shorter``:
+    key of those of n - 1 tokens. ctx: all but the last token, suf: all but the first."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(shorter, p))
 
     def run(batches):
-        words, allowed = sent.value
         for batch in batches:
-            x, before = _sequences(*word_hashes(*text_buffers(batch.column(0))), words)
-            c = _context(x, d, base)
-            keep = before >= d
-            if allowed is not None:
-                at = np.minimum(np.searchsorted(allowed, c), len(allowed) - 1)
-                keep &= allowed[at] == c
-            key, n = np.unique(c[keep] * base + x[keep], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "c"])
-
-    rows = map_batches(_training(docs), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    # at most as many contexts as hold least_share of the tokens, times the symbols
-    found = rows.toArrow()
-    key, c = found.column("key").to_numpy(), found.column("c").to_numpy()
-    order = np.argsort(key)
-    return [key[order] // base, key[order] % base, c[order]]
-
-
-def build_tree(docs: DataFrame, symbols: list[tuple[int, int]], total: int, n_texts: int, p: Params) -> Tree:
-    """``symbols``: (hash, count) of the frequent words. ``total``: training tokens."""
-    symbols = sorted((int(np.array(h, np.int64).view(np.uint64)), c) for h, c in symbols)
-    words = np.array([h for h, _ in symbols], np.uint64)
-    base = len(words) + 2
-    root = np.array([max(0, total - n_texts - sum(c for _, c in symbols)), n_texts, *(c for _, c in symbols)], float)
-    probability = [(root + 0.5) / (root + 0.5).sum()]
-    keys, states = [], []
-    if not total:
-        return Tree(words, keys, states, np.log10(np.array(probability)))
-    floor, allowed = p.least_share * total, None
-    found: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-    for d in range(1, p.depth + 1):
-        if allowed is not None and not len(allowed):
+            for _, _, data, offsets in _slices(batch.column(0), p.together):
+                keys, before, _ = tokens(data, offsets)
+                for _ in range(n - 2):
+                    keys = longer(keys)
+                ok = (before >= n - 2) & _in(sent.value, keys)
+                for length in range(n, most + 1):
+                    ok, whole = _both(ok) & (before >= length - 1), longer(keys)
+                    at = np.flatnonzero(ok)
+                    _, first, c = np.unique(whole[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(at), length, np.int32)), pa.array(keys[at - 1].view(np.int64)),
+                            pa.array(keys[at].view(np.int64)), pa.array(c.astype(np.int64)),
+                        ],
+                        ["n", "ctx", "suf", "c"],
+                    )
+                    keys = whole
+
+    def named(batches):
+        for b in batches:
+            key = join_keys(*(b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("ctx", "suf")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64))], ["n", "ctx", "suf", "c", "key"])
+
+    found = map_batches(docs.filter("train").select("text"), run, "n int, ctx long, suf long, c long")
+    found = found.groupBy("n", "ctx", "suf").agg(F.sum("c").alias("c")).filter(F.col("c") >= p.least)
+    return stored(map_batches(found, named, "n int, ctx long, suf long, c long, key long"), f"ngrams-{n}")
+
+
+@dataclass
+class Level:
+    """The contexts of one length: grams (key, ctx, suf, c, e, e_low) and contexts (key, c, rest, kept)."""
+
+    grams: DataFrame
+    contexts: DataFrame
+
+
+def estimate(grams: DataFrame, lower: DataFrame, p: Params, name: str) -> Level:
+    """``grams``: key, ctx, suf, c. ``lower``: key, c, e of all n-grams one token shorter, e being P(last token | those before)."""
+    expected = lower.select(F.col("key").alias("suf"), F.col("e").alias("e_low"))
+    context = lower.select(F.col("key").alias("ctx"), F.col("c").alias("c_ctx"))
+    rows = stored(grams.select("key", "ctx", "suf", "c").join(expected, "suf").join(context, "ctx"), f"{name}-rows")
+    q = F.col("c") / F.col("c_ctx")
+    sums = rows.groupBy("ctx").agg(
+        F.max("c_ctx").alias("c"), F.count("*").alias("symbols"), F.sum("c").alias("seen"), F.sum("e_low").alias("e_low"),
+        F.sum(q * F.log(q / F.col("e_low"))).alias("divergence"),
+    )
+    other = (F.col("c") - F.col("seen")) / F.col("c")
+    all_of_it = F.col("divergence") + F.when(
+        other > 0, other * F.log(other / F.greatest(F.lit(1e-12), 1 - F.col("e_low")))
+    ).otherwise(0.0)
+    contexts = stored(
+        sums.select(
+            F.col("ctx").alias("key"), "c",
+            ((F.col("c") - F.col("seen") + F.lit(p.discount) * F.col("symbols")) / F.col("c")).alias("rest"),
+            (F.col("c") * all_of_it > F.lit(p.divergence) * F.col("symbols")).alias("kept"),
+        ),
+        f"{name}-contexts",
+    )
+    e = (F.col("c") - F.lit(p.discount)) / F.col("c_ctx") + F.col("rest") * F.col("e_low")
+    rest = contexts.select(F.col("key").alias("ctx"), "rest")
+    return Level(stored(rows.join(rest, "ctx").select("key", "ctx", "suf", "c", e.alias("e"), "e_low"), f"{name}-grams"), contexts)
+
+
+def weights(words: DataFrame, levels: list[Level]) -> tuple[DataFrame, DataFrame]:
+    """(words, longer n-grams): key, c, weight (log10) each. ``words``: key, c, e. ``levels``: of contexts of one word upwards."""
+    kept: list[DataFrame] = []
+    above = None  # suffixes of the kept contexts one longer
+    for d in range(len(levels) - 1, -1, -1):
+        own = levels[d].contexts.filter("kept")
+        if above is not None:
+            rest = levels[d].contexts.filter("NOT kept").join(above, "key", "left_semi")
+            own = own.unionByName(rest)
+        own = stored(own.select("key", "c", "rest"), f"kept-{d + 1}")
+        kept.append(own)
+        if d:
+            above = levels[d - 1].grams.join(own, "key", "left_semi").select(F.col("suf").alias("key")).distinct()
+    kept.reverse()
+    parts = []
+    for d, level in enumerate(levels):
+        rest = kept[d].select(F.col("key").alias("ctx"), "rest")
+        parts.append(level.grams.join(rest, "ctx").select("key", "c", F.log10(F.col("e") / F.col("e_low") / F.col("rest")).alias("weight")))
+        if d:
+            parts.append(kept[d].select("key", "c", F.log10("rest").alias("weight")))
+    out = words.select("key", "c", F.log10("e").alias("weight"))
+    if not parts:
+        return stored(out, "word-weights"), stored(out.filter("false"), "ngram-weights")
+    grams = parts[0]
+    for more in parts[1:]:
+        grams = grams.unionByName(more)
+    grams = grams.groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight"))
+    out = out.join(kept[0].select("key", "rest"), "key", "left").select(
+        "key", "c", (F.col("weight") + F.coalesce(F.log10("rest"), F.lit(0.0))).alias("weight")
+    )
+    return stored(out, "word-weights"), stored(grams, "ngram-weights")
+
+
+def commonest(table: DataFrame, most: int) -> pa.Table:
+    """Rows of the largest counts, at most ``most``, by ascending unsigned key: all whose count reaches a power of 2**(1/8)."""
+    steps = table.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    least, n = None, 0
+    for r in sorted(steps.collect(), key=lambda r: -r["step"]):  # at most 8 * 63 rows
+        n += r["n"]
+        if n > most:
             break
-        context, symbol, c = _count_contexts(docs, words, d, allowed)
-        start = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, int)
-        stop = np.append(start[1:], len(context))
-        found.append({int(context[a]): (symbol[a:b], c[a:b]) for a, b in zip(start, stop, strict=True) if c[a:b].sum() >= floor})
-        # candidates one longer: any symbol but the end before a context; those that occur often enough begin a pair
-        follows = [(k, s, n) for k, (sy, cn) in found[-1].items() for s, n in zip(sy.tolist(), cn.tolist(), strict=True) if n >= floor and s != 1]
-        allowed = np.array(sorted(k * base + s for k, s, _ in follows), np.int64)
-    kept: list[set[int]] = [set() for _ in found]
-    estimate: list[dict[int, np.ndarray]] = []
-    for d, contexts in enumerate(found, 1):
-        estimate.append({})
-        for k, (symbol, c) in contexts.items():
-            suffix = probability[0] if d == 1 else estimate[d - 2].get(k % base ** (d - 1), probability[0])
-            counts = np.zeros(base)
-            counts[symbol] = c
-            estimate[-1][k] = (counts + p.smoothing * suffix) / (counts.sum() + p.smoothing)
-            q = c / c.sum()
-            if c.sum() * float((q * np.log(q / suffix[symbol])).sum()) > p.divergence * len(symbol):
-                for e in range(d, 0, -1):
-                    if (k % base**e) in found[e - 1]:
-                        kept[e - 1].add(k % base**e)
-    for d, some in enumerate(kept, 1):
-        own = np.array(sorted(some), np.int64)
-        keys.append(own)
-        states.append(np.arange(len(probability), len(probability) + len(own)))
-        probability.extend(estimate[d - 1][k] for k in own.tolist())
-    return Tree(words, keys, states, np.log10(np.array(probability)).astype(np.float32))
-
-
-def longest_states(x: np.ndarray, before: np.ndarray, tree: Tree) -> np.ndarray:
-    base, state = len(tree.words) + 2, np.zeros(len(x), np.int64)
-    for d, (keys, rows) in enumerate(zip(tree.keys, tree.states, strict=True), 1):
-        if len(keys):
-            c = _context(x, d, base)
-            at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            state = np.where((before >= d) & (keys[at] == c), rows[at], state)
-    return state
+        least = r["step"]
+    found = table.filter(F.floor(F.log2("c") * 8) >= least if least is not None else F.lit(False)).toArrow()
+    return found.take(np.argsort(found.column("key").to_numpy().view(np.uint64)))
+
+
+def _look_up(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row in ``hot``, whether it is the key)."""
+    if not len(hot):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return at, hot[at] == keys
+
+
+def _grouped(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """By row its distinct keys and how often each occurs."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]))) if len(rows) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(rows)))
+    at = pa.array(np.searchsorted(rows[first], np.arange(n + 1)), pa.int32())
+    return pa.ListArray.from_arrays(at, pa.array(keys[first].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))
 
 
 def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, p: Params = Params()) -> DataFrame:
@@ -190,76 +269,82 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, p: Params =
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_fold, F.lit(False))
     docs = prefixed(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), (~held).alias("train"), "text")
-    counts = stored(count_words(docs), "words")
-    n_texts = docs.filter("train").count()
-    s = counts.agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"),
-        F.sum(F.when(F.col("c") == 1, 1)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1)).alias("n2"),
-    ).first()
-    total, distinct = (s["n"] or 0) + n_texts, s["v"] + (1 if n_texts else 0)
-    symbols = [(r["hash"], r["c"]) for r in counts.filter(F.col("c") >= max(1.0, p.least_share * total)).collect()]  # at most 1 / least_share
-    tree = build_tree(docs, symbols, total, n_texts, p)
-    common = counts.orderBy(F.desc("c"), "hash").limit(p.frequent).toArrow()  # at most p.frequent rows
-    h, c = common.column("hash").to_numpy().view(np.uint64), common.column("c").to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order].astype(np.float64)
-    discount = (s["n1"] or 0) / max(1, (s["n1"] or 0) + 2 * (s["n2"] or 0)) if s["n1"] else 0.5
-    discount = min(max(discount, 0.05), 0.95)
-    rare_types = max(0, s["v"] - len(symbols))
-    rare_tokens = max(0, total - n_texts - sum(n for _, n in symbols))
-    unknown = (discount * rare_types + 0.5) / (rare_tokens + 0.5)
+    counts = stored(count_words(docs, p), "words")
+    s = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = s["n"] or 0, s["v"]
+    unknown = p.discount / max(total, 1)
     scale = total + 0.5 * (distinct + 1)
-    sent = spark.sparkContext.broadcast((tree, {"h": h, "c": c}, (scale, discount, rare_tokens + 0.5, n_texts)))
+    words = counts.select("key", "c", ((F.col("c") - F.lit(p.discount)) / F.lit(float(max(total, 1)))).alias("e"))
+    levels, lower = [], words
+    if p.depth:
+        pairs = count_ngrams(docs, counts.filter(F.col("c") >= p.least), 2, 2, p)
+        levels.append(estimate(pairs, lower, p, "level-1"))
+        if p.depth > 1:
+            more = count_ngrams(docs, pairs, 3, p.depth + 1, p)
+            for d in range(2, p.depth + 1):
+                levels.append(estimate(more.filter(F.col("n") == d + 1), levels[-1].grams, p, f"level-{d}"))
+    word_table, gram_table = weights(words, levels)
+    hot_words, hot_grams = commonest(word_table, p.frequent), commonest(gram_table, p.frequent)
+
+    def arrays(t: pa.Table, *columns):
+        return t.column("key").to_numpy().view(np.uint64), *(t.column(c).to_numpy() for c in columns)
+
+    sent = spark.sparkContext.broadcast((arrays(hot_words, "c", "weight"), arrays(hot_grams, "weight"), bitmap(gram_table, p), scale))
 
     def run(batches):
         from pyspark import TaskContext
 
-        tree, known, (scale, discount, rare, n_texts) = sent.value
+        (word_keys, word_c, word_weight), (gram_keys, gram_weight), bits, scale = sent.value
         row = TaskContext.get().partitionId() << 36
-        h, c = known["h"], known["c"]
-        every = len(h)
         for batch in batches:
-            words, at = word_hashes(*text_buffers(batch.column(2)))
-            x, before = _sequences(words, at, tree.words)
-            n = np.diff(at)
-            place = np.append(0, np.cumsum(n + 1))
-            log_p = np.append(0.0, np.cumsum(tree.log_p[longest_states(x, before, tree), x].astype(np.float64)))
-            unique, inverse = np.unique(words, return_inverse=True)
-            if every:
-                j = np.minimum(np.searchsorted(h, unique), every - 1)
-                count = np.where(h[j] == unique, c[j], -1.0)
-            else:
-                count = np.full(len(unique), -1.0)
-            own = count[inverse]
-            is_rare = _symbols(unique, tree.words)[inverse] == 0
-            base = np.append(0.0, np.cumsum(np.where(own > 0, np.log10((np.maximum(own, 0) + 0.5) / scale), 0.0)))
-            share = np.append(0.0, np.cumsum(np.where((own > 0) & is_rare, np.log10((np.maximum(own, 1) - discount) / rare), 0.0)))
-            seen = np.append(0, np.cumsum(own > 0))
-            unseen = np.flatnonzero(own <= 0)
-            lo = np.searchsorted(unseen, at)
-            end = np.log10((n_texts + 0.5) / scale)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(range(row, row + len(n)), pa.int64()), pa.array(n + 1, pa.int64()),
-                    pa.array(seen[at[1:]] - seen[at[:-1]] + (1 if n_texts else 0), pa.int64()),
-                    pa.array(base[at[1:]] - base[at[:-1]] + end, pa.float64()),
-                    pa.array(log_p[place[1:]] - log_p[place[:-1]] + share[at[1:]] - share[at[:-1]], pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(lo, pa.int32()), pa.array(words[unseen].view(np.int64))),
-                ],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
-            row += len(n)
-
-    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+            for lo, n, data, offsets in _slices(batch.column(2), p.together):
+                keys, before, at = tokens(data, offsets)
+                text = np.repeat(np.arange(n), np.diff(at))
+                j, known = _look_up(keys, word_keys)
+                base, score, n_known = (np.zeros(n) for _ in range(3))
+                np.add.at(base, text[known], np.log10((word_c[j[known]] + 0.5) / scale))
+                np.add.at(score, text[known], word_weight[j[known]])
+                np.add.at(n_known, text[known], 1)
+                rare = _grouped(text[~known], keys[~known], n)
+                rows, cold = [], []
+                for length in range(2, p.depth + 2):
+                    keys = longer(keys)
+                    own = np.flatnonzero((before >= length - 1) & _in(bits, keys))
+                    j, known = _look_up(keys[own], gram_keys)
+                    np.add.at(score, text[own[known]], gram_weight[j[known]])
+                    rows.append(text[own[~known]])
+                    cold.append(keys[own[~known]])
+                cold = _grouped(np.concatenate(rows), np.concatenate(cold), n) if rows else _grouped(np.zeros(0, int), np.zeros(0, np.uint64), n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.arange(row, row + n)), pa.array(np.diff(at)),
+                        pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), *rare, *cold,
+                    ],
+                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n", "cold", "cold_n"],
+                )
+                row += n
+
+    schema = (
+        f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, "
+        "rare array<long>, rare_n array<long>, cold array<long>, cold_n array<long>"
+    )
     scored = stored(map_batches(docs.select("doc_id", "held_out", "text"), run, schema), "scored")
-    rare_rows = scored.select("row", F.explode("rare").alias("hash")).join(counts, "hash", "left")
-    own = F.coalesce("c", F.lit(0)).cast("double")
-    sums = rare_rows.groupBy("row").agg(
-        F.sum((own > 0).cast("long")).alias("more_known"),
-        F.sum(F.log10((own + 0.5) / F.lit(scale))).alias("more_base"),
-        F.sum(F.when(own > 0, F.log10((own - F.lit(discount)) / F.lit(rare_tokens + 0.5))).otherwise(F.log10(F.lit(unknown)))).alias("more_score"),
+
+    def occurrences(keys: str, times: str) -> DataFrame:
+        return scored.select("row", F.inline(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))))
+
+    c = F.coalesce("c", F.lit(0)).cast("double")
+    by_word = occurrences("rare", "rare_n").join(word_table, "key", "left").select(
+        "row", F.when(c > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((c + 0.5) / F.lit(scale))).alias("base"),
+        (F.col("times") * F.coalesce("weight", F.log10(F.lit(unknown)))).alias("weight"),
+    )
+    by_gram = occurrences("cold", "cold_n").join(gram_table, "key").select(
+        "row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("weight")).alias("weight")
+    )
+    sums = by_word.unionByName(by_gram).groupBy("row").agg(
+        F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("weight").alias("more_score")
     )
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.drop("rare", "rare_n", "cold", "cold_n").join(sums, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
