@@ -12,8 +12,9 @@ That score is a sum over the n-grams of the text: each kept context gives the lo
 its occurrences, each symbol counted after it the logarithm of what it is likelier than by the suffix. So
 the model is a table of n-grams with weights, which grows with the input. The ``frequent`` n-grams of most
 occurrences are broadcast (a threshold from a histogram of counts), the others are joined and summed by row.
-An n-gram can only reach ``least`` if the n-grams in it do: bitmaps of 2**``bits`` bits, of a fixed size, spare most that
-cannot; at larger inputs they let more through, and the counts behind them stay exact. N-grams are known by 64-bit hashes.
+An n-gram can only reach ``least`` if the n-grams in it do and if its hash, cut to 40 bits, does: a first count by those cut
+hashes alone, made into a bitmap of at most 2**``bits`` bits, spares the exact count most n-grams that cannot. Beyond
+that size the bitmaps let more through, and the counts behind them stay exact. N-grams are known by 64-bit hashes.
 
 Defined cases: a null or empty text is its end alone; a null id belongs to no held-out fold; repeated rows
 are counted and scored each; with no training text all counts are 0 and nothing is known; extra columns
@@ -45,9 +46,10 @@ class Params:
     #: A context stays if count * divergence (nats) exceeds this for each symbol seen after it.
     divergence: float = 2.0
     discount: float = 0.4
-    #: Words, and longer n-grams, that are broadcast (16 bytes each).
-    frequent: int = 1 << 19
-    bits: int = 27
+    #: Words, and longer n-grams, that are broadcast (up to 24 bytes each).
+    frequent: int = 1 << 20
+    #: Bitmaps take eight bits a key, up to 2**bits (64 MB).
+    bits: int = 29
     #: Bytes of text that a task works on together.
     together: int = 4 << 20
 
@@ -97,8 +99,10 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def bitmap(keys: DataFrame, p: Params) -> np.ndarray:
-    """2**bits bits, those of the column ``key`` set; made in blocks on the executors, their bytes come to the driver."""
-    spark, width = keys.sparkSession, min(p.bits - 3, 17)
+    """Bits, those of the column ``key`` of a written table set; made in blocks on the executors, their bytes come to the driver."""
+    spark = keys.sparkSession
+    bits = min(p.bits, max(20, (8 * keys.count()).bit_length()))
+    width = min(bits - 3, 17)
     ship(spark)
 
     def fill(table: pa.Table) -> pa.Table:
@@ -107,9 +111,9 @@ def bitmap(keys: DataFrame, p: Params) -> np.ndarray:
         out[at & ((1 << width) - 1)] = table.column("bits").to_numpy()
         return pa.table({"block": pa.array([int(at[0]) >> width], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    by_byte = keys.selectExpr(f"shiftright(key & {(1 << p.bits) - 1}, 3) AS at", "shiftleft(1, CAST(key & 7 AS INT)) AS bit")
+    by_byte = keys.selectExpr(f"shiftright(key & {(1 << bits) - 1}, 3) AS at", "shiftleft(1, CAST(key & 7 AS INT)) AS bit")
     by_byte = by_byte.groupBy("at").agg(F.bit_or("bit").cast("int").alias("bits")).withColumn("block", F.shiftright("at", width))
-    out = np.zeros(1 << (p.bits - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in by_byte.groupBy("block").applyInArrow(fill, "block long, bits binary").toLocalIterator():
         out[r["block"] << width : (r["block"] + 1) << width] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -127,10 +131,9 @@ def count_words(docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(docs.filter("train").select("text"), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_ngrams(docs: DataFrame, shorter: DataFrame, n: int, most: int, p: Params) -> DataFrame:
-    """n, key, ctx, suf, c of the training n-grams of n to ``most`` tokens that occur at least ``least`` times. ``shorter``:
-    key of those of n - 1 tokens. ctx: all but the last token, suf: all but the first."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(shorter, p))
+def likely(docs: DataFrame, n: int, shorter: np.ndarray, p: Params) -> np.ndarray:
+    """The bitmap of all n-grams that may occur ``least`` times, from that of those one token shorter."""
+    sent = docs.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches):
         for batch in batches:
@@ -138,10 +141,26 @@ def count_ngrams(docs: DataFrame, shorter: DataFrame, n: int, most: int, p: Para
                 keys, before, _ = tokens(data, offsets)
                 for _ in range(n - 2):
                     keys = longer(keys)
-                ok = (before >= n - 2) & _in(sent.value, keys)
-                for length in range(n, most + 1):
-                    ok, whole = _both(ok) & (before >= length - 1), longer(keys)
-                    at = np.flatnonzero(ok)
+                ok = _both((before >= n - 2) & _in(sent.value, keys)) & (before >= n - 1)
+                key, c = np.unique(longer(keys)[ok] & np.uint64((1 << 40) - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
+
+    found = map_batches(docs.filter("train").select("text"), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return bitmap(stored(found.filter(F.col("c") >= p.least).select("key"), f"likely-{n}"), p)
+
+
+def count_ngrams(docs: DataFrame, maps: list[np.ndarray], p: Params) -> DataFrame:
+    """n, key, ctx, suf, c of the training n-grams that occur at least ``least`` times, counted where a bitmap of ``maps`` (from
+    two tokens upwards) has them. ctx: all but the last token, suf: all but the first."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in _slices(batch.column(0), p.together):
+                keys, before, _ = tokens(data, offsets)
+                for length, bits in enumerate(sent.value, 2):
+                    whole = longer(keys)
+                    at = np.flatnonzero((before >= length - 1) & _in(bits, whole))
                     _, first, c = np.unique(whole[at], return_index=True, return_counts=True)
                     at = at[first]
                     yield pa.RecordBatch.from_arrays(
@@ -160,7 +179,7 @@ def count_ngrams(docs: DataFrame, shorter: DataFrame, n: int, most: int, p: Para
 
     found = map_batches(docs.filter("train").select("text"), run, "n int, ctx long, suf long, c long")
     found = found.groupBy("n", "ctx", "suf").agg(F.sum("c").alias("c")).filter(F.col("c") >= p.least)
-    return stored(map_batches(found, named, "n int, ctx long, suf long, c long, key long"), f"ngrams-{n}")
+    return stored(map_batches(found, named, "n int, ctx long, suf long, c long, key long"), "ngrams")
 
 
 @dataclass
@@ -275,14 +294,15 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, p: Params =
     unknown = p.discount / max(total, 1)
     scale = total + 0.5 * (distinct + 1)
     words = counts.select("key", "c", ((F.col("c") - F.lit(p.discount)) / F.lit(float(max(total, 1)))).alias("e"))
-    levels, lower = [], words
+    levels, maps = [], []
     if p.depth:
-        pairs = count_ngrams(docs, counts.filter(F.col("c") >= p.least), 2, 2, p)
-        levels.append(estimate(pairs, lower, p, "level-1"))
-        if p.depth > 1:
-            more = count_ngrams(docs, pairs, 3, p.depth + 1, p)
-            for d in range(2, p.depth + 1):
-                levels.append(estimate(more.filter(F.col("n") == d + 1), levels[-1].grams, p, f"level-{d}"))
+        above = bitmap(stored(counts.filter(F.col("c") >= p.least).select("key"), "likely-1"), p)
+        for n in range(2, p.depth + 2):
+            above = likely(docs, n, above, p)
+            maps.append(above)
+        grams = count_ngrams(docs, maps, p)
+        for d in range(1, p.depth + 1):
+            levels.append(estimate(grams.filter(F.col("n") == d + 1), levels[-1].grams if levels else words, p, f"level-{d}"))
     word_table, gram_table = weights(words, levels)
     hot_words, hot_grams = commonest(word_table, p.frequent), commonest(gram_table, p.frequent)
 
@@ -301,24 +321,23 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, p: Params =
                 keys, before, at = tokens(data, offsets)
                 text = np.repeat(np.arange(n), np.diff(at))
                 j, known = _look_up(keys, word_keys)
-                base, score, n_known = (np.zeros(n) for _ in range(3))
-                np.add.at(base, text[known], np.log10((word_c[j[known]] + 0.5) / scale))
-                np.add.at(score, text[known], word_weight[j[known]])
-                np.add.at(n_known, text[known], 1)
+                n_known = np.bincount(text[known], minlength=n)
+                base = np.bincount(text[known], np.log10((word_c[j[known]] + 0.5) / scale), n)
+                score = np.bincount(text[known], word_weight[j[known]], n)
                 rare = _grouped(text[~known], keys[~known], n)
                 rows, cold = [], []
                 for length in range(2, p.depth + 2):
                     keys = longer(keys)
                     own = np.flatnonzero((before >= length - 1) & _in(bits, keys))
                     j, known = _look_up(keys[own], gram_keys)
-                    np.add.at(score, text[own[known]], gram_weight[j[known]])
+                    score = score + np.bincount(text[own[known]], gram_weight[j[known]], n)
                     rows.append(text[own[~known]])
                     cold.append(keys[own[~known]])
                 cold = _grouped(np.concatenate(rows), np.concatenate(cold), n) if rows else _grouped(np.zeros(0, int), np.zeros(0, np.uint64), n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.arange(row, row + n)), pa.array(np.diff(at)),
-                        pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), *rare, *cold,
+                        pa.array(n_known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float)), *rare, *cold,
                     ],
                     ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n", "cold", "cold_n"],
                 )
