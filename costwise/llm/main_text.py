@@ -4,9 +4,9 @@ Each paragraph gives points for its length and commas to its ancestors, fewer th
 ancestor's points count by the share of its text that is no link. The container with most points is
 kept, and so are the siblings of it and of its ancestors that hold text of the same kind, with what lies
 between them; inside an ``article`` or ``main`` the whole of that element is, as its sections belong
-together. Parts that by their element or role are menus, page headers and footers, sidebars, forms are
-left out wherever they stand, and so are lists that are mostly links. A class or id that names such a
-part, a notice, an advert or readers' comments lowers the points inside; the element is left out if
+together. Parts that by their element or role are menus, page headers and footers, sidebars are
+left out wherever they stand, and so are lists that are mostly links. A form, ``aria-hidden``, and a class or id that names
+such a part, a notice, an advert or readers' comments lower the points inside; the element is left out if
 then it does not hold the best container and, but for readers' comments, has few paragraphs or many links.
 
 Text is given by blocks in page order: character references decoded, white space inside a block made one
@@ -51,8 +51,8 @@ _ENDS = {
 }
 #: Any other block's start tag ends an open paragraph in the same container.
 _PARAGRAPH = (frozenset({"p"}), _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
-_LEFT_OUT = frozenset("nav footer aside form button dialog menu fieldset legend label input head search option".split())
-_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form toolbar".split())
+_LEFT_OUT = frozenset("nav footer aside button dialog menu fieldset legend label input head search option".split())
+_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar".split())
 #: Words of a class or id that make an element no part of the article.
 _NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion promoted banner "
@@ -201,7 +201,7 @@ class _Page:
             return False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            if key == "hidden":
                 return True
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
@@ -211,14 +211,16 @@ class _Page:
 
     @staticmethod
     def _named(name: str, attributes: str) -> set[str]:
-        """The words of class and id that name something other than the article."""
-        found: set[str] = set()
+        """What class, id, role and element name that is something other than the article."""
+        found: set[str] = {"form"} if name == "form" else set()  # a form may be around the whole page
         if not attributes or name in ("html", "body"):
             return found
         for m in _ATTRIBUTE.finditer(attributes):
-            if m[1].lower() not in ("class", "id"):
+            key, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if key == "role" and value.lower() == "form" or key == "aria-hidden" and value.lower() == "true":
+                found.add("form" if key == "role" else "hidden")  # the page behind an open dialog is hidden from readers' aids
+            if key not in ("class", "id"):
                 continue
-            value = (m[2] or "").strip("\"'")
             if name in ("article", "main"):
                 found |= {w.lower() for w in _WORD.findall(value)} & {"comment", "comments", "reply", "ad", "promo", "related"}
                 continue

@@ -94,3 +94,9 @@ def test_a_name_around_the_article_does_not_leave_it_out(name):
 
 def test_names_nested_deeply():
     assert main_text('<div class="nav">' * 3000 + f"<p>{P1}</p>") == P1
+
+
+@pytest.mark.parametrize("around", ['<form id="aspnetForm" action="/">{}</form>', '<div aria-hidden="true">{}</div>', '<div role="form">{}</div>', '<article aria-hidden="true">{}</article>'])
+def test_a_form_or_hidden_element_around_the_article_does_not_leave_it_out(around):
+    side = JUNK[6] + '<div aria-hidden="true"><p>An icon, and, so, on, and, so, forth.</p></div>'
+    assert main_text("<body>" + JUNK[0] + around.format(f"<h1>The title</h1><p>{P1}</p><p>{P2}</p>{side}") + JUNK[10] + "</body>") == "\n".join(["The title", P1, P2_TEXT])
