@@ -215,22 +215,31 @@ def _empty() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
 
-def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """All columns of ``docs`` and, by rule, ``spans_<kind>``: array<struct<start, kind, end>>, kind being the rule's place."""
-    own = [r for r in docs.columns if not r.startswith(("spans_", "may_"))]
-    docs = docs.select(*own)
+def _searched(docs: DataFrame, rules) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... in their order and what each rule finds as s0, s1, ...: no name can clash."""
+    names = docs.columns
     index = stored(build_index(prefixed(docs, "doc_id", "text"), rules), "trigrams")
     # candidates grow with the input: they are dealt out beside the texts, whatever their number, and build the hash side
     may = candidates(index, rules).withColumnRenamed("doc_id", "candidate_id").hint("shuffle_hash")
-    joined = docs.join(may, F.col("candidate_id").eqNullSafe(docs["doc_id"]), "left")
-    text = F.coalesce(docs["text"], F.lit(""))
+    own = [f"c{i}" for i in range(len(names))]
+    joined = docs.toDF(*own).join(may, F.col("candidate_id").eqNullSafe(F.col(own[names.index("doc_id")])), "left")
+    text = F.coalesce(F.col(own[names.index("text")]), F.lit(""))
 
     def spans(order: int, rule: Rule) -> Column:
         asked = F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if trigram_query(rule.pattern) else F.lit(True)
         # the guard spares texts without a match what follows
         return F.when(asked & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, order)).otherwise(_empty())
 
-    return joined.select(*[docs[c] for c in own], *[spans(i, r).alias(f"spans_{r.kind}") for i, r in enumerate(rules)])
+    return joined.select(*own, *[spans(i, r).alias(f"s{i}") for i, r in enumerate(rules)])
+
+
+def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
+    """All columns of ``docs`` and, by rule, ``spans_<kind>``: array<struct<start, kind, end>>, kind being the rule's place.
+    Columns that already have such a name are replaced."""
+    found, added = _searched(docs, rules), [f"spans_{r.kind}" for r in rules]
+    return found.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added], *[F.col(f"s{i}").alias(c) for i, c in enumerate(added)]
+    )
 
 
 def span_text(arrays: list[Column], rules=RULES) -> Column:
@@ -248,15 +257,22 @@ def span_text(arrays: list[Column], rules=RULES) -> Column:
 def redact(docs: DataFrame, rules=RULES, length_column: str | None = "n_chars") -> DataFrame:
     """The same rows and columns; where a rule found something its matches are replaced, and
     ``length_column``, if there is one, is brought up to date."""
-    found = with_spans(docs, rules)
-    text = F.col("text")
+    found, names = _searched(docs, rules), docs.columns
+    text = F.col(f"c{names.index('text')}")
     clean = reduce(
         lambda t, r: F.regexp_replace(t, r.pattern if r.least <= 1 else re.sub(r"\+\)$", f"{{{r.least},}})", r.pattern), r.replacement),
         sorted(rules, key=lambda r: not r.first), text,
     )
-    hit = reduce(Column.__or__, [F.size(f"spans_{r.kind}") > 0 for r in rules])
-    out = found.withColumn("text", F.when(hit, clean).otherwise(text))
-    if length_column in docs.columns:
-        kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.when(hit, F.length("text").cast(kind)).otherwise(F.col(length_column)))
-    return out.select(*docs.columns)
+    hit = reduce(Column.__or__, [F.size(f"s{i}") > 0 for i in range(len(rules))])
+    # what is replaced is computed once, beside the columns as they were
+    new = found.withColumn("clean", F.when(hit, clean).otherwise(text)).withColumn("hit", hit)
+
+    def out(i: int, name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        own = F.col(f"c{i}")
+        if name == length_column:
+            own = F.when(F.col("hit"), F.length("clean").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return new.select(*[out(i, c) for i, c in enumerate(names)])

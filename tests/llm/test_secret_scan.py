@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from costwise.llm import secret_scan as s
 
 RULES = {
@@ -121,3 +123,15 @@ def test_whole_private_keys_are_found_and_removed(make_docs):
         assert out[i].text == "before\n[SECRET]\nand after, with some words" and out[i].n_chars == len(out[i].text)
     assert len(spans[100]) == 3 and out[100].text == "two: [SECRET] then [SECRET]\n[SECRET] end"
     assert out[101].text == "secret: [SECRET]\nand after"
+
+
+def test_columns_of_any_name_stay(make_docs):
+    text = "password = abcdefgh and more"
+    df = make_docs([(1, text), (None, None)])
+    for name in ("may_x", "spans_x", "may_assign", "spans_assign", "candidate_id", "hit", "clean", "c0", "s0"):
+        df = df.withColumn(name, F.lit(name))
+    found = s.with_spans(df)
+    assert sorted(found.columns) == sorted(df.columns + [f"spans_{r.kind}" for r in s.RULES if r.kind != "assign"])
+    out = {r.doc_id: r for r in s.redact(df).collect()}
+    assert out[1].text != text and "abcdefgh" not in out[1].text and out[None].text is None
+    assert all(r[name] == name for r in out.values() for name in df.columns if name not in ("doc_id", "text", "lang", "source", "n_chars"))
