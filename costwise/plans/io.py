@@ -51,8 +51,8 @@ def jsonl_roundtrip(fx):
     base = f"{checkpoint_dir(fx.spark).rstrip('/')}/io/{uuid.uuid4().hex[:12]}"
     r = _as_results(fx["fx_results"])
     # two result files (two runs), merged on read as a bag
-    write_jsonl(r.filter(F.hash("task_id") % 2 == 0), f"{base}/run_a", mode="overwrite")
-    write_jsonl(r.filter(F.hash("task_id") % 2 != 0), f"{base}/run_b", mode="overwrite")
+    write_jsonl(r.filter(F.hash("task_id") % 2 == 0), f"{base}/run_a", mode="overwrite", compression="gzip")
+    write_jsonl(r.filter(F.hash("task_id") % 2 != 0), f"{base}/run_b", mode="overwrite", compression="gzip")
     # the sheet as one JSON document {model: {"in": .., "out": ..}, "_note": ..}
     entries = F.map_from_entries(F.collect_list(F.struct(
         "model", F.struct(F.col("price_in").alias("in"), F.col("price_out").alias("out")))))
@@ -90,9 +90,9 @@ def results_roundtrip(fx):
     extra = F.when(F.col("seq") % 5 != 0, F.parse_json("raw"))
     rows = _with_extra(r, extra)
     base = _folder(fx)
-    write_jsonl(rows, f"{base}/lines")
-    read_results(fx.spark, f"{base}/lines").write.parquet(f"{base}/table")
-    write_jsonl(fx.spark.read.parquet(f"{base}/table"), f"{base}/again")
+    write_jsonl(rows, f"{base}/lines", compression="gzip")
+    read_results(fx.spark, f"{base}/lines").write.option("compression", "zstd").parquet(f"{base}/table")
+    write_jsonl(fx.spark.read.parquet(f"{base}/table"), f"{base}/again", compression="gzip")
     back = read_results(fx.spark, f"{base}/again")
     get = lambda path, kind: F.variant_get("response_extra", path, kind)
     return back.select(
@@ -133,7 +133,7 @@ def tasks_roundtrip(fx):
         F.col("expected_terminal").alias("canonical_terminal_answer"), F.lit("integer").alias("terminal_answer_type"),
         F.col("v_star_input_tokens").cast("bigint").alias("v_star_input_tokens"), "v_star_output_tokens")
     path = f"{_folder(fx)}/tasks"
-    write_jsonl(rows, path)
+    write_jsonl(rows, path, compression="gzip")
     back = read_tasks(fx.spark, path)
     return back.select(
         "task_id", depth_from_parameters("parameters").cast("int").alias("depth_of_parameters"),

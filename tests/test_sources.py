@@ -114,3 +114,30 @@ def test_last_record_over_files_wins(spark):
         back = read_results(spark, [os.path.join(d, n) for n in order], with_order=True, with_source=True)
         one = latest_per_key(back.drop("response_extra"), ["task_id", "model"], ["ingest"]).collect()
         assert [r.generator_version for r in one] == [want] and one[0].source_file.endswith(order[1])
+
+
+def _folder_bytes(path, ending):
+    found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(ending)]
+    return len(found), sum(os.path.getsize(f) for f in found)
+
+
+def test_round_trip_files_take_a_fraction_of_the_plain_text(spark, monkeypatch):
+    """results_roundtrip kept two copies of the rows as plain text: more disk than its input by far."""
+    from costwise.plans import REGISTRY, io
+    from costwise.sources import jsonl
+
+    d = _tmp()
+    monkeypatch.setattr(io, "_folder", lambda fx: os.path.join(d, "io"))
+    monkeypatch.setattr(jsonl, "RECORDS_PER_FILE", 100)
+    rows = [(o, 1 + o % 40, 1 + o % 7, 1 + o % 4, 100.0 + o) for o in range(400)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber bigint, l_extendedprice double") \
+        .coalesce(1).write.parquet(os.path.join(d, "lineitem.parquet"))
+    back = REGISTRY["results_roundtrip"].run(spark, d)
+    assert sorted(r["seq"] for r in back.collect()) == sorted(o * 8 + n for o, _, _, n, _ in rows)
+    plain = os.path.join(d, "plain")
+    write_jsonl(read_results(spark, os.path.join(d, "io", "lines")), plain)
+    text = _folder_bytes(plain, ".json")[1]
+    for part in ("lines", "again"):
+        assert _folder_bytes(os.path.join(d, "io", part), ".json") == (0, 0)
+        files, size = _folder_bytes(os.path.join(d, "io", part), ".json.gz")
+        assert files >= 4 and size < text / 4
