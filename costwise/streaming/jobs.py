@@ -41,13 +41,16 @@ def stream_table(
     max_files_per_trigger: int | None = None,
     pattern: str | None = None,
 ) -> DataFrame:
-    """A file-source stream over the parquet files of one table in ``folder``
-    (files named ``<table>.parquet``, or matching ``pattern``)."""
+    """A file-source stream over one table in ``folder``: ``<table>.parquet``, a file or a folder of
+    files, or the files matching ``pattern``."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern or f"{table}.parquet")
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    if pattern:
+        return r.option("pathGlobFilter", pattern).parquet(folder)
+    # as a glob the path may name a file as well as a folder
+    return r.parquet(f"{folder}/{table}.parque[t]")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -161,3 +161,21 @@ def test_pairs_are_recorded_once_over_many_runs(spark):
         assert {tuple(r) for r in table.filter(F.col("_epoch") > seen).select("k", "v").collect()} == want[n]
         seen = table.agg(F.max("_epoch")).first()[0]
     assert table.count() == 4
+
+
+def test_a_table_may_be_one_file_or_a_folder_of_files(spark):
+    """A folder of files gave no row, and the query over it failed for want of an output."""
+    from costwise.plans import REGISTRY
+
+    whole, parts = (tempfile.mkdtemp(prefix="costwise-stream-", dir="/tmp") for _ in range(2))
+    rows = [(i, f"text {i} of 1,{i:03d}", "en", f"m{i % 3}", 1000 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.toPandas().to_parquet(os.path.join(whole, "documents.parquet"))
+    docs.repartition(3).write.parquet(os.path.join(parts, "documents.parquet"))
+    docs.limit(5).toPandas().to_parquet(os.path.join(whole, "documents_other.parquet"))
+    found = []
+    for folder in (whole, parts):
+        stream = jobs.stream_table(spark, folder, "documents", max_files_per_trigger=1)
+        assert spark.read.parquet(jobs.run_append(stream, "folder")).count() == 60
+        found.append(sorted(map(repr, REGISTRY["stream_score_responses"].run(spark, folder).collect())))
+    assert len(found[0]) == 60 and found[0] == found[1]
