@@ -27,6 +27,7 @@ WS = (
     "[\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 )
+NON_WS = "[^" + WS[1:]
 
 # Word characters in the Unicode sense (letters, numbers, underscore).
 WORD = "[\\p{L}\\p{N}_]"

@@ -15,8 +15,7 @@ def _col(c: str | Column) -> Column:
 
 def word_count(text: str | Column) -> Column:
     """Number of whitespace-separated words (Python ``len(text.split())``)."""
-    parts = F.split(_col(text), P.WS + "+")
-    return F.size(F.filter(parts, lambda w: w != F.lit("")))
+    return F.regexp_count(_col(text), F.lit(P.NON_WS + "+"))
 
 
 def heuristic_tokens(text: str | Column) -> Column:
@@ -35,11 +34,10 @@ def utf8_bytes(text: str | Column) -> Column:
 def _marker_candidate(t: Column) -> Column:
     """Cheap necessary condition of the marker pattern: one of its literal words
     (ASCII, case-insensitive) occurs, or 'q' is followed by a digit."""
-    lo = F.lower(t)
-    return (
-        lo.contains("step") | lo.contains("stage") | lo.contains("problem") | lo.contains("part")
-        | t.rlike("(?i)q\\p{Nd}")
-    )
+    # bound once: inside a lambda every use of an expression evaluates it again
+    words = F.transform(F.array(F.lower(t)), lambda lo: (
+        lo.contains("step") | lo.contains("stage") | lo.contains("problem") | lo.contains("part")))
+    return words[0] | t.rlike("(?i)q\\p{Nd}")
 
 
 def has_decomposition_marker(text: str | Column) -> Column:

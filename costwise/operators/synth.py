@@ -24,6 +24,7 @@ Fixed values that must equal the reference for identical results:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,33 +147,51 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _fmt(template: str, **cols: Column) -> Column:
-    """format_string over a str.format-style template with named Column slots."""
-    order = []
-    out = template
-    for name in sorted(cols, key=lambda n: template.find("{" + n + "}")):
-        if "{" + name + "}" in out:
-            order.append(cols[name])
-            out = out.replace("{" + name + "}", "%s")
-    return F.format_string(out, *[c.cast("string") for c in order])
+    """A str.format-style template with named Column slots; a NULL slot reads ``null``, as in format_string.
+
+    The pieces are concatenated: no format is parsed again for every sentence."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            pieces.append(F.lit(text))
+        if name is not None:
+            pieces.append(F.coalesce(cols[name].cast("string"), F.lit("null")))
+    return F.concat(*pieces)
+
+
+def dealt(seeds: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as the session has shuffle partitions, or cores if it has more.
+
+    A task set is much work on few bytes: a file that one task reads as one block holds seeds for hours."""
+    spark = seeds.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return seeds.repartition(n)
 
 
 def _chain(seed: Column, attempt: Column, depth: Column, place: Column, items: Column) -> Column:
     """K3: the chain fold. Draws are keyed by (seed, attempt, scope, step) and do
     not depend on the distractor count (distractors never change the chain)."""
-    tpl = keyed_draw(len(FIRST_TEMPLATES), seed, attempt, "first")
-    a = F.lit(20) + keyed_draw(60, seed, attempt, "a")
-    b = F.lit(20) + keyed_draw(60, seed, attempt, "b")
-    v0 = F.when(tpl == 2, a * 3).otherwise(a + b).cast("bigint")
-    first = F.when(tpl == 0, _fmt(FIRST_TEMPLATES[0], place=place, a=a, items=items, b=b)) \
-        .when(tpl == 1, _fmt(FIRST_TEMPLATES[1], place=place, a=a, b=b, items=items)) \
-        .otherwise(_fmt(FIRST_TEMPLATES[2], place=place, a=a, items=items))
-    init = F.struct(
-        v0.alias("v"),
-        F.array(v0).alias("vals"),
-        F.array(a.cast("bigint"), b.cast("bigint")).alias("surface"),
-        F.array().cast("array<struct<name:string,k:bigint>>").alias("ops"),
-        first.alias("first"),
+    draws = F.struct(
+        keyed_draw(len(FIRST_TEMPLATES), seed, attempt, "first").alias("tpl"),
+        (F.lit(20) + keyed_draw(60, seed, attempt, "a")).alias("a"),
+        (F.lit(20) + keyed_draw(60, seed, attempt, "b")).alias("b"),
     )
+
+    def opening(s: Column) -> Column:
+        tpl, a, b = s["tpl"], s["a"], s["b"]
+        v0 = F.when(tpl == 2, a * 3).otherwise(a + b).cast("bigint")
+        first = F.when(tpl == 0, _fmt(FIRST_TEMPLATES[0], place=place, a=a, items=items, b=b)) \
+            .when(tpl == 1, _fmt(FIRST_TEMPLATES[1], place=place, a=a, b=b, items=items)) \
+            .otherwise(_fmt(FIRST_TEMPLATES[2], place=place, a=a, items=items))
+        return F.struct(
+            v0.alias("v"),
+            F.array(v0).alias("vals"),
+            F.array(a.cast("bigint"), b.cast("bigint")).alias("surface"),
+            F.array().cast("array<struct<name:string,k:bigint>>").alias("ops"),
+            first.alias("first"),
+        )
+
+    init = let(draws, opening)
     steps = F.filter(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda s: s <= depth - 1)
 
     def step(acc: Column, i: Column) -> Column:
@@ -261,15 +280,17 @@ def _distractors(sents: Column, n: Column, forbidden: Column, seed: Column, atte
     return let(draw_distinct(pool, n, lambda size, j: keyed_draw(size, seed, attempt, "dval", j)), insert_all)
 
 
+def _setting(seed: Column, a: Column) -> Column:
+    """The scene of an attempt, struct(place, items): one draw."""
+    scenes = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(i).alias("items")) for p, i in SCENARIOS])
+    return F.element_at(scenes, (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int"))
+
+
 def _attempt(a: Column) -> Column:
     """One attempt of the current row's (seed, depth, distractors) as a struct with
     its validity (K12 rules: bounds, no hidden value visible, no marker)."""
     seed, depth, dist = F.col("seed"), F.col("depth"), F.col("distractors")
-    scen = (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int")
-    setting = F.struct(
-        F.element_at(F.array(*[F.lit(p) for p, _ in SCENARIOS]), scen).alias("place"),
-        F.element_at(F.array(*[F.lit(i) for _, i in SCENARIOS]), scen).alias("items"),
-    )
+    setting = _setting(seed, a)
 
     def with_setting(st: Column) -> Column:
         return let(_chain(seed, a, depth, st["place"], st["items"]), lambda ch: with_chain(st, ch))
@@ -304,7 +325,7 @@ def synthesize_chains(seeds: DataFrame) -> DataFrame:
     work is the attempts actually needed, the attempt expression appears once
     in the plan, and the job is one narrow projection (no shuffle). Seeds that
     never validate are kept with ``status = 'rejected'``."""
-    base = seeds.select("seed", "depth", "distractors")
+    base = dealt(seeds.select("seed", "depth", "distractors"))
     w = once(base, "w", _first_valid_fold("chain", base, _attempt))
     tasks = _finish_tasks(w.select("seed", "depth", "distractors", "w.*"))
     return tasks.withColumn("status", F.when(F.col("attempt").isNull(), "rejected").otherwise("ok"))
@@ -459,17 +480,19 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
 
         def entry(d: Column, i: Column) -> Column:
             name = F.element_at(c["names"], i + 1)
-            plain = F.format_string("the %s %s logged %s %s", name, st["site"],
-                                    F.element_at(c["cells"], i * st["days"] + d).cast("string"), st["units"])
+            plain = _fmt("the {name} {site} logged {v} {units}", name=name, site=st["site"],
+                         v=F.element_at(c["cells"], i * st["days"] + d), units=st["units"])
             if upstream is None:
                 return plain
-            injected = F.format_string("the %s %s logged as many as the count above", name, st["site"])
+            injected = _fmt("the {name} {site} logged as many as the count above", name=name, site=st["site"])
             return F.when((i == 0) & (d == 1), injected).otherwise(plain)
 
         def day_sentence(day: Column, d: Column) -> Column:
-            parts = F.transform(gi_seq(st), lambda i: entry(d + 1, i))
-            head = F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", ")
-            return F.format_string("On %s, %s, while %s.", day, head, F.element_at(parts, -1))
+            def say(parts: Column) -> Column:
+                head = F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", ")
+                return _fmt("On {day}, {head}, while {last}.", day=day, head=head, last=F.element_at(parts, -1))
+
+            return let(F.transform(gi_seq(st), lambda i: entry(d + 1, i)), say)
 
         sents = F.transform(day_names, day_sentence)
         if lead is not None:
@@ -486,9 +509,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
             # after the first ledger sentence, never inside the lead
             pos = (lead_n + 2 + _ldraw(F.size(acc["s"]) - lead_n, seed, a, "dpos", acc["j"])).cast("int")
             g = F.element_at(c["names"], (_ldraw(st["g"], seed, a, "dgroup", acc["j"]) + 1).cast("int"))
-            sent = F.format_string(LEDGER_DISTRACTOR.replace("{d}", "%s").replace("{units}", "%s")
-                                   .replace("{g}", "%s").replace("{site}", "%s"),
-                                   d.cast("string"), st["units"], g, st["site"])
+            sent = _fmt(LEDGER_DISTRACTOR, d=d, units=st["units"], g=g, site=st["site"])
             return F.struct(F.array_insert(acc["s"], pos, sent).alias("s"), (acc["j"] + 1).alias("j"))
 
         placed = F.aggregate(dvals, F.struct(sents.alias("s"), F.lit(0).alias("j")), ins)["s"]
@@ -515,7 +536,7 @@ def _ledger_attempt(a: Column, upstream: Column | None = None, lead: Column | No
 def synthesize_ledgers(seeds: DataFrame) -> DataFrame:
     """K4 + K5 + K6 + K9: one ledger task per (seed, depth, distractors) row, as
     one narrow projection (first valid attempt by a lazily exiting fold)."""
-    base = seeds.select("seed", "depth", "distractors")
+    base = dealt(seeds.select("seed", "depth", "distractors"))
     w = once(base, "w", _first_valid_fold("ledger", base, _ledger_attempt)).select(
         "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
@@ -551,11 +572,7 @@ HYBRID_BRIDGE = "All of that count leaves for the sites whose log follows."
 
 def _hybrid_attempt(a: Column) -> Column:
     seed, depth = F.col("seed"), F.col("depth")
-    scen = (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int")
-    setting = F.struct(
-        F.element_at(F.array(*[F.lit(p) for p, _ in SCENARIOS]), scen).alias("place"),
-        F.element_at(F.array(*[F.lit(i) for _, i in SCENARIOS]), scen).alias("items"),
-    )
+    setting = _setting(seed, a)
 
     def with_setting(st: Column) -> Column:
         return let(_chain(seed, a, depth, st["place"], st["items"]), lambda ch: with_chain(st, ch))
@@ -577,7 +594,7 @@ def _hybrid_attempt(a: Column) -> Column:
 
 def synthesize_hybrids(seeds: DataFrame) -> DataFrame:
     """K7: chain+ledger tasks, one narrow projection (first valid attempt)."""
-    base = seeds.select("seed", "depth", "distractors")
+    base = dealt(seeds.select("seed", "depth", "distractors"))
     w = once(base, "w", _first_valid_fold("hybrid", base, _hybrid_attempt)).select(
         "seed", "depth", "distractors", "w.*")
     answer = F.col("answer").cast("string")
@@ -604,11 +621,7 @@ def _paired_hybrid_attempt(a: Column, rungs: Sequence[int]) -> Column:
     Valid when every rung's ledger is valid and no hidden value of any rung
     shows in the deepest prompt (every rung prompt is a sub-text of it)."""
     seed, depth = F.col("seed"), F.lit(max(rungs))
-    scen = (keyed_draw(len(SCENARIOS), seed, a, "scenario") + 1).cast("int")
-    setting = F.struct(
-        F.element_at(F.array(*[F.lit(p) for p, _ in SCENARIOS]), scen).alias("place"),
-        F.element_at(F.array(*[F.lit(i) for _, i in SCENARIOS]), scen).alias("items"),
-    )
+    setting = _setting(seed, a)
     rung_arr = F.array(*[F.lit(d) for d in sorted(rungs)])
 
     def with_setting(st: Column) -> Column:
@@ -658,8 +671,8 @@ def paired_hybrid_ladder(groups: DataFrame, depths: Sequence[int], distractors:
     ledger narration, and the shared distractors; its answer is the ledger
     difference with the rung's chain value in the first cell."""
     rungs = sorted(depths)
-    base = groups.select(F.col("group_seed").alias("seed"), F.lit(max(rungs)).alias("depth"),
-                         F.lit(distractors).alias("distractors"))
+    base = dealt(groups.select(F.col("group_seed").alias("seed"))).select(
+        "seed", F.lit(max(rungs)).alias("depth"), F.lit(distractors).alias("distractors"))
     fold = _first_valid_fold(f"paired_hybrid:{','.join(map(str, rungs))}", base,
                              lambda a: _paired_hybrid_attempt(a, rungs))
     w = once(base, "w", fold).filter(F.col("w").isNotNull()).select(

@@ -258,3 +258,23 @@ def test_hybrid_generator_matches_plain_python(spark):
         assert (g["attempt"], g["merged_prompt"], g["canonical_terminal_answer"]) == (a, prompt, answer)
         assert list(g["cells"]) == cells and list(g["distractor_values"]) == dvals
         assert [(o["name"], o["k"]) for o in g["ops"]] == ops
+
+
+def test_seeds_of_one_block_are_dealt_over_the_tasks(spark):
+    """A table that is read by one task gave all of its synthesis to that task."""
+    seeds = spark.range(1, 41, 1, 1).select(
+        F.col("id").alias("seed"), F.lit(4).alias("depth"), F.lit(1).alias("distractors"))
+    groups = seeds.select(F.col("seed").alias("group_seed"))
+    sets = {
+        "chains": sy.synthesize_chains(seeds), "ledgers": sy.synthesize_ledgers(seeds), "hybrids": sy.synthesize_hybrids(seeds),
+        "paired": sy.paired_ladder(groups, [3, 6]), "paired hybrids": sy.paired_hybrid_ladder(groups, [3, 6]),
+    }
+    for name, tasks in sets.items():
+        sizes = [r["count"] for r in tasks.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 4 and max(sizes) <= sum(sizes) / 2, (name, sizes)
+
+
+def test_sentences_read_as_formatted(spark):
+    row = spark.range(1).select(
+        sy._fmt("{b}% of {a} and {b}", a=F.lit(5), b=F.lit("x")).alias("t"), sy._fmt("{a}!", a=F.lit(None)).alias("n")).first()
+    assert (row.t, row.n) == ("x% of 5 and x", "null!")
