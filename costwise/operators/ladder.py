@@ -50,14 +50,16 @@ def pending_pairs(tasks: DataFrame, results: DataFrame, models: Sequence[str]) -
     return t.select("task_id", F.explode(todo).alias("model"))
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, keep_order: bool = True) -> DataFrame:
     """The last record per key by an explicit order (file order is not defined).
 
+    Without ``keep_order`` the ordering columns are left out of the result, and travel once instead of twice.
+
     ``max_by`` over a struct of the ordering columns is reduced on every map task
     before the shuffle, so a key that holds a large share of the rows is no hot
     spot. The aggregate's buffer holds whole rows (strings among them), which
     Spark keeps in a sort aggregate on either side of the exchange."""
-    others = [c for c in df.columns if c not in keys]
+    others = [c for c in df.columns if c not in keys and (keep_order or c not in order)]
     ordering = F.struct(*[F.col(c) for c in order])
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in others]), ordering).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])

@@ -155,13 +155,15 @@ def latest_over_files(fx):
     r = fx["fx_results"]
     half = r.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
     base = _folder(fx)
+    files = max(4, int(fx.spark.conf.get("spark.sql.shuffle.partitions")))
     for name, part in (("z_first", r.filter(F.col("seq") <= half)), ("a_second", r.filter(F.col("seq") > half))):
-        ordered = part.repartitionByRange(4, "seq").sortWithinPartitions("seq", "output_tokens", "terminal_correct")
-        write_jsonl(_with_extra(ordered, F.lit(None).cast("variant")), f"{base}/{name}")
+        ordered = part.repartitionByRange(files, "seq").sortWithinPartitions("seq", "output_tokens", "terminal_correct")
+        write_jsonl(_with_extra(ordered, F.lit(None).cast("variant")), f"{base}/{name}", compression="gzip")
     back = read_results(fx.spark, [f"{base}/z_first", f"{base}/a_second"], with_order=True)
     latest = lad.latest_per_key(
-        back.select("task_id", "model", "terminal_correct", "output_tokens", "generator_version", "ingest"), ["task_id", "model"], ["ingest"])
-    return latest.drop("ingest")
+        back.select("task_id", "model", "terminal_correct", "output_tokens", "generator_version", "ingest"), ["task_id", "model"], ["ingest"],
+        keep_order=False)
+    return latest
 
 
 _CELLS = [(3, 1), (6, 2), (10, 0)]

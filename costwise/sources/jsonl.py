@@ -81,7 +81,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append", *, compression:
     """Write rows as JSON lines keeping explicit nulls; VARIANT columns become JSON values (A4, A7 batch form).
 
     Plain text repeats every field's name in every line; ``compression="gzip"`` takes about a tenth of its disk.
-    Readers tell compressed files by their names. They cannot be split, so a task writes several of bounded length."""
+    Readers tell compressed files by their names. They cannot be split, so a task writes several of bounded length,
+    named in the order of its rows (up to 1,000 of them)."""
     w = df.write.mode(mode).option("ignoreNullFields", "false")
     if compression:
         w = w.option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE)

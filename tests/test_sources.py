@@ -141,3 +141,23 @@ def test_round_trip_files_take_a_fraction_of_the_plain_text(spark, monkeypatch):
         assert _folder_bytes(os.path.join(d, "io", part), ".json") == (0, 0)
         files, size = _folder_bytes(os.path.join(d, "io", part), ".json.gz")
         assert files >= 4 and size < text / 4
+
+
+def test_latest_over_files_keeps_the_last_record_of_many_compressed_files(spark, monkeypatch):
+    """The runs were plain text in four files each, and the place of a record travelled twice."""
+    from costwise.operators.ladder import latest_per_key
+    from costwise.plans import REGISTRY, io
+    from costwise.sources import jsonl
+
+    d = _tmp()
+    monkeypatch.setattr(io, "_folder", lambda fx: os.path.join(d, "io"))
+    monkeypatch.setattr(jsonl, "RECORDS_PER_FILE", 7)
+    rows = [(o, 1 + o % 5, 1, 1, 100.0 + o * 37 % 1000) for o in range(300)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber bigint, l_extendedprice double") \
+        .write.parquet(os.path.join(d, "lineitem.parquet"))
+    got = {r["task_id"]: r["generator_version"] for r in REGISTRY["latest_over_files"].run(spark, d).collect()}
+    assert got == {f"P{p}": str(max(o * 8 + 1 for o, q, *_ in rows if q == p)) for p in range(1, 6)}
+    assert _folder_bytes(os.path.join(d, "io"), ".json") == (0, 0)
+    assert _folder_bytes(os.path.join(d, "io"), ".json.gz")[0] > 300 / 7
+    recs = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, seq int, v string")
+    assert sorted(map(tuple, latest_per_key(recs, ["k"], ["seq"], keep_order=False).collect())) == [("a", "y"), ("b", "z")]
