@@ -162,9 +162,12 @@ def _fmt(template: str, **cols: Column) -> Column:
 def dealt(seeds: DataFrame) -> DataFrame:
     """The rows dealt evenly over as many tasks as the session has shuffle partitions, or cores if it has more.
 
-    A task set is much work on few bytes: a file that one task reads as one block holds seeds for hours."""
+    A task set is much work on few bytes: a file that one task reads as one block holds seeds for hours, and how a
+    file is cut does not tell where its blocks lie. Rows that come from no file and are split as far stay where they are."""
     spark = seeds.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if not seeds.inputFiles() and seeds.rdd.getNumPartitions() >= n:
+        return seeds
     return seeds.repartition(n)
 
 
