@@ -89,10 +89,18 @@ class WordEncoder:
         self.folds = '"Lowercase"' in json.dumps(made["normalizer"]) and r"[^\\s\\p{L}\\p{N}]+" in rules and r"[\\p{L}]+" in rules
         #: Strings that the tokenizer takes out of a text before anything else; one of them can stand between words.
         self.special = [(x["content"], x["id"]) for x in made["added_tokens"] if x["special"] and not x["normalized"]]
+        #: By id whether it ends a run of letters or of other signs, where the vocabulary says so.
+        suffix = made["model"].get("end_of_word_suffix")
+        self.ends = None
+        if self.folds and suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     #: Beyond these a lower-case letter may be several characters; strings like <|...|> are found before case is dropped.
     _OTHER = re.compile("[^\\x00-\u012f\u0131-\u024f]|<\\|")
-    _LAST = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \\n]|$)")
+    _LAST = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@[-`{-~]+)(?=[ \\n]|$)")
+    #: One run of letters that no rule changes.
+    _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
     def _prepared(self, text: str) -> str:
         if not self.folds or self._OTHER.search(text):
@@ -100,7 +108,18 @@ class WordEncoder:
         return self._LAST.sub(r" \1", text.lower())
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not met before, in one text with a special string between them where there is one."""
+        """Encode words not met before: those of letters alone in one text, where an id tells that it is a word's last; the
+        others in one with a special string between them where there is one."""
+        if self.ends is not None:
+            own = [w for w in words if self._LETTERS.fullmatch(w)]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.int64)
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) == len(own):
+                raw, width, a = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
+                for w, b in zip(own, last, strict=True):
+                    self.known[w] = raw[a * width : b * width]
+                    a = b
+                words = [w for w in words if w not in self.known]
         plain = [w for w in words if self.special and not any(t in w for t, _ in self.special)]
         if plain:
             mark, mark_id = self.special[0]
@@ -118,8 +137,8 @@ class WordEncoder:
         """Little-endian ids of each text, in ``kind``."""
         by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in map(self._prepared, texts)]
         met = set().union(*by_text)
-        if len(self.known) > self.remembered:
-            self.known.clear()
+        if len(self.known) > self.remembered:  # words that these texts use are the likeliest to come again
+            self.known = {w: self.known[w] for w in met.intersection(self.known)}
         new = sorted(met.difference(self.known))
         for a in range(0, len(new), 50_000):
             self._learn(new[a : a + 50_000])

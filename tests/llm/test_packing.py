@@ -29,6 +29,24 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
             assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_signs_behind_letters_make_no_new_words(tokenizer):
+    encoder = p.WordEncoder(p.tokenizer_path(p.TOKENIZER), 1000)
+    texts = ["wort### wort&&& wort_- wort. wort", "été$$$ it's### l'l' ß&", "a1### <x> x<|y x|>"]
+    for t, own in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert {w for w in encoder.known if w.startswith("wort")} == {"wort"}
+
+
+def test_words_in_use_stay_known_when_the_memory_is_full(tokenizer, monkeypatch):
+    encoder = p.WordEncoder(p.tokenizer_path(p.TOKENIZER), 3)
+    encoder.ids(["one two three four five"])
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda words, own=encoder._learn: (learned.extend(words), own(words)))
+    own = encoder.ids(["two six four"])[0]
+    assert learned == ["six"] and set(encoder.known) == {"two", "four", "six"}
+    assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode("two six four", add_special_tokens=False).ids
+
+
 def check(rows, docs, tokenizer, size):
     """Every id in one piece, sequences gapless and no longer than ``size``."""
     pieces, sequences = {}, {}
