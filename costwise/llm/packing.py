@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,8 +51,8 @@ class Params:
     ids: bool = True
     #: Words whose ids a worker remembers (about 200 bytes each).
     remembered: int = 250_000
-    #: Characters of text that are encoded together.
-    together: int = 1 << 19
+    #: Bytes of text that are encoded together.
+    together: int = 1 << 21
     #: Pivots of the simplex method; the basis is feasible at each, so stopping early only costs padding.
     pivots: int = 20_000
 
@@ -107,6 +108,10 @@ class WordEncoder:
             return text
         return self._LAST.sub(r" \1", text.lower())
 
+    _SIGNS = "".join(filter(re.compile("[!-&(-/:-@[-`{-~]").match, map(chr, range(128))))
+    #: Texts without these are split and put together as arrays: there white space is that of ASCII.
+    _NOT_PLAIN = "[^\\x{00}-\\x{1b}\\x{20}-\\x{84}\\x{86}-\\x{9f}\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]|<\\|"
+
     def _learn(self, words: list[str]) -> None:
         """Encode words not met before: those of letters alone in one text, where an id tells that it is a word's last; the
         others in one with a special string between them where there is one."""
@@ -133,16 +138,56 @@ class WordEncoder:
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.kind).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, in ``kind``."""
-        by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in map(self._prepared, texts)]
-        met = set().union(*by_text)
-        if len(self.known) > self.remembered:  # words that these texts use are the likeliest to come again
-            self.known = {w: self.known[w] for w in met.intersection(self.known)}
-        new = sorted(met.difference(self.known))
+    def _of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if words and len(known) > self.remembered:  # words that these texts use are the likeliest to come again
+            known = self.known = {w: known[w] for w in words if w in known}
         for a in range(0, len(new), 50_000):
             self._learn(new[a : a + 50_000])
-        return [b"".join(map(self.known.__getitem__, words)) for words in by_text]
+        return list(map(known.__getitem__, words))
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        by_text = [self._SPACE.split(t) if self._NOT_SPACE.search(t) else t.split() for t in map(self._prepared, texts)]
+        met = sorted(set().union(*by_text))
+        own = dict(zip(met, self._of(met), strict=True))
+        return [b"".join(map(own.__getitem__, words)) for words in by_text]
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """Of texts that are prepared alike: each different word is looked up once, and its ids are dealt to its places."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        body = pc.ascii_rtrim(words, characters=self._SIGNS)  # signs behind a letter stand apart
+        body = pc.if_else(pc.match_substring_regex(body, "[a-z\xdf-\xf6\xf8-\xff]$"), body, words)
+        cut = pc.binary_length(words).to_numpy() - pc.binary_length(body).to_numpy()
+        has = np.flatnonzero(cut)
+        signs = [w[-k:] for w, k in zip(words.take(pa.array(has)).to_pylist(), cut[has].tolist(), strict=True)]
+        known = pa.concat_arrays([body, pa.array(signs, pa.string())]).dictionary_encode()
+        own = [*self._of(known.dictionary.to_pylist()), b""]
+        pair = np.full((len(words), 2), len(own) - 1)
+        pair[:, 0] = known.indices[: len(words)].to_numpy()
+        pair[has, 1] = known.indices[len(words) :].to_numpy()
+        width = self.kind.itemsize
+        size = np.fromiter(map(len, own), np.int64, len(own)) // width
+        ids, first = np.frombuffer(b"".join(own), self.kind), np.cumsum(size) - size
+        place = pair[coded.indices.to_numpy()].ravel()
+        n = size[place]
+        end = np.append(0, np.cumsum(n))
+        out = ids[np.repeat(first[place] - end[:-1], n) + np.arange(end[-1])].tobytes()
+        at = (end[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())] * width).tolist()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, in ``kind``."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not self.folds:
+            return self._one_by_one(texts.to_pylist())
+        other = pc.match_substring_regex(texts, self._NOT_PLAIN)
+        alike = iter(self._together(texts.filter(pc.invert(other))))
+        alone = iter(self._one_by_one(texts.filter(other).to_pylist()))
+        return [next(alone if x else alike) for x in other.to_pylist()]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -180,7 +225,7 @@ def cut(docs: DataFrame, p: Params) -> DataFrame:
                 if size < p.together and i + 1 < len(texts):
                     continue
                 doc, start, length, total, crc, ids = [], [], [], [], [], []
-                for k, own in enumerate(encoder.ids([x or "" for x in texts[lo : i + 1].to_pylist()]), lo):
+                for k, own in enumerate(encoder.ids(texts[lo : i + 1].cast(pa.string()).fill_null("")), lo):
                     own += end
                     tokens = len(own) // width
                     for a in range(0, tokens, p.size):

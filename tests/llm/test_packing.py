@@ -47,6 +47,22 @@ def test_words_in_use_stay_known_when_the_memory_is_full(tokenizer, monkeypatch)
     assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode("two six four", add_special_tokens=False).ids
 
 
+def test_plain_texts_are_split_and_put_together_as_arrays(tokenizer, monkeypatch):
+    encoder = p.WordEncoder(p.tokenizer_path(p.TOKENIZER), 1000)
+    plain = ["Wort, WORT.wort... (wort) ,wort a.\t.b\r\n\x0bc!", "", "  ", "É ÉÉ?! ß. Ŀŀ' ɏ; x'. 1. 1,", "a_b_ __ ``q``"]
+    alone = []
+    monkeypatch.setattr(encoder, "_one_by_one", lambda texts, own=encoder._one_by_one: (alone.extend(texts), own(texts))[1])
+    for texts in (plain + SPECIAL[1:], plain[::-1], [], [""]):
+        for t, own in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(own, encoder.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert alone and not set(alone) & set(plain)
+
+
+def test_lower_case_of_arrays_is_that_of_texts():
+    letters = [chr(c) for c in range(0x250) if c != 0x130]
+    assert p.pc.utf8_lower(p.pa.array(letters)).to_pylist() == [c.lower() for c in letters]
+
+
 def check(rows, docs, tokenizer, size):
     """Every id in one piece, sequences gapless and no longer than ``size``."""
     pieces, sequences = {}, {}
