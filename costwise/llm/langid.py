@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costwise.llm.storage import map_batches, prefixed, ship
+from costwise.llm.storage import bounded, map_batches, prefixed, ship
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -90,7 +90,7 @@ def document_frequencies(rows: DataFrame, p: Params) -> tuple[int, np.ndarray]:
 
     def count(batches):
         seen, total = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in bounded(batches):
             for text in batch.column(0).to_pylist():
                 if text and _LETTER.search(text):
                     seen += gram_counts(text, p) > 0
@@ -119,7 +119,7 @@ def _sample(rows: DataFrame, p: Params) -> list[tuple[str, np.ndarray, np.ndarra
     drawn = drawn.join(F.broadcast(bound), "label").filter(F.col("draw").cast("double") <= F.col("bound"))
 
     def vectors(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             label, draw, text = (batch.column(i).to_pylist() for i in range(3))
             at, n = [], []
             for t in text:
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in bounded(batches):
             label, score = [], []
             for text in batch.column(1).to_pylist():
                 if not text or not m.labels or not _LETTER.search(text):
@@ -273,7 +273,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.27, min_known: float =
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in bounded(batches):
             keep = []
             for text in batch.column(place).to_pylist():
                 ok = bool(text and m.labels and _LETTER.search(text))

@@ -35,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costwise.llm.graph import components
-from costwise.llm.storage import map_batches, prefixed, ship, stored
+from costwise.llm.storage import bounded, map_batches, prefixed, ship, stored
 from costwise.llm.words import mix, shingles, text_buffers, word_hashes
 
 
+#: Shingles that a task counts at a time (8 bytes each).
+RUN = 4_000_000
+
+
 @dataclass(frozen=True)
 class Params:
     words: int = 4
@@ -109,25 +113,27 @@ def least_shared(n, p: Params):
 def frequent_columns(docs: DataFrame, p: Params) -> np.ndarray:
     """(2, m): frequent shingles, ascending, and their rank by frequency.
 
-    Each task counts its own texts in runs of a few million shingles and reports those that repeat there."""
+    Each task counts its own texts in runs of ``RUN`` shingles and reports those that repeat there."""
     k = p.words
 
     def count(batches):
-        def flush(sets):
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            h, n = h[n >= 3], n[n >= 3]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        def flush(h):
+            h.sort()
+            h, n = np.unique(h[2:][h[2:] == h[:-2]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64) + 2)], ["h", "n"])
 
-        held, size = [], 0
-        for batch in batches:
+        held, size = np.empty(RUN, np.uint64), 0
+        for batch in bounded(batches):
             for s in _sets(batch.column(0), k):
-                held.append(s)
+                if size + len(s) > len(held):
+                    yield flush(held[:size])
+                    size = 0
+                    if len(s) > len(held):
+                        yield flush(s)
+                        continue
+                held[size : size + len(s)] = s
                 size += len(s)
-                if size > 4_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+        yield flush(held[:size])
 
     rows = (
         map_batches(docs.select("text"), count, "h long, n long")
@@ -153,7 +159,7 @@ def incidence(docs: DataFrame, p: Params) -> DataFrame:
     def run(batches):
         known, rank = sent.value
         given: set[int] = set()
-        for batch in batches:
+        for batch in bounded(batches):
             sizes, one, two, heads = [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
             for s, has_id in zip(_sets(batch.column(1), k), named, strict=True):
@@ -182,7 +188,7 @@ def incidence(docs: DataFrame, p: Params) -> DataFrame:
                     head = rare[:want]
                 else:
                     head = s[:want]
-                heads.append(head.view(np.int64))
+                heads.append(head.view(np.int64).copy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  pa.array(heads, pa.list_(pa.int64()))],
@@ -262,7 +268,7 @@ def _evaluate(tests: DataFrame, members: DataFrame, texts: DataFrame, p: Params)
 
     def run(batches):
         key, held, ids = None, [], []
-        for batch in batches:
+        for batch in bounded(batches):
             heads = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
             a, b = [], []
             for (c, s, q, role, node), own in zip(heads, _sets(batch.column(5), k), strict=True):
@@ -308,7 +314,7 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     k = p.words
 
     def own_text(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             keep = [len(s) > 0 and _signature(s)[0] == node for s, node in
                     zip(_sets(batch.column(1), k), batch.column(0).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costwise.llm import ngram_join
 from costwise.llm.graph import components
+from costwise.llm.storage import bounded
 from costwise.llm.words import text_buffers, word_hashes
 
 from .conftest import words
@@ -167,3 +169,11 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(make_docs):
     rows = [(3, a), (5, a + " x"), (5, b), (6, c), (6, c), (7, None), (7, ""), (None, a), (None, a)]
     kept = ngram_join.one_of_each(make_docs(rows, extra=True)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, a), (5, b), (6, c), (7, None), (7, ""), (None, a), (None, a)], key=str)
+
+
+def test_batches_are_worked_on_in_bounded_runs_of_rows():
+    texts = ["word " * 100] * 3000 + ["x" * 300_000] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    runs = list(bounded([batch.slice(0, 0), batch], 100_000))
+    assert pa.Table.from_batches(runs).to_pylist() == batch.to_pylist()
+    assert len(runs) > 10 and all(r.nbytes < 100_000 + 300_000 for r in runs)
