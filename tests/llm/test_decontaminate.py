@@ -163,3 +163,88 @@ def test_runs_of_white_space_are_one_blank(benchmark_items):
     for k, (_, text) in enumerate(benchmark_items):
         wide = text.replace(" ", "  ")
         assert d.find(["before \n " + wide + "\t\tafter"], index) == [[(k, 9, 9 + len(wide), 0)]]
+
+
+def alike_words(rnd, pair, n):
+    """Words that all begin with the same two letters."""
+    return " ".join(pair + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [20, 40, 150, 600])
+def test_every_word_start_is_looked_at(n):
+    rnd = random.Random(n)
+    items = [(pair, alike_words(rnd, pair, n)) for pair in ("ae", "ce", "me", "st", "wo", "zu")]
+    index = d.Index(items, d.Params())
+    for k, (_, text) in enumerate(items):
+        assert (k, 10, 10 + len(text), 0) in d.find(["some text " + text + " and more"], index)[0]
+
+
+@pytest.mark.parametrize("n", [40, 80, 150, 900])
+def test_passages_in_text_without_blanks(n):
+    rnd = random.Random(n)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+
+    def run(size):
+        return "".join(rnd.choice(han) for _ in range(size))
+
+    items = [(i, run(n)) for i in range(5)]
+    index = d.Index(items, d.Params())
+    for k, (_, text) in enumerate(items):
+        assert d.find([run(70) + text + run(50), run(200)], index) == [[(k, 70, 70 + n, 0)], []]
+
+
+def test_recall_of_long_items():
+    rnd = random.Random(13)
+    items = [(i, words(rnd, rnd.randint(150, 900))) for i in range(10)]
+    index = d.Index(items, d.Params())
+    texts = [words(rnd, 50) + " " + edited(rnd, t, int(0.17 * len(t))) + " " + words(rnd, 50) for _, t in items]
+    assert sum(any(r[0] == k for r in rows) for k, rows in enumerate(d.find(texts, index))) >= 9
+
+
+def test_walks_that_meet_read_what_each_reads_alone():
+    rnd = random.Random(17)
+    text = words(rnd, 300) + " " + "x" * 80 + " " + "".join(rnd.choice("abcd") for _ in range(300))
+    codes = d._bytes(d.collapsed(text)[0])
+    at = d._starts(codes)
+    assert set(range(len(text) - 300, len(text))) & set(at.tolist())
+    padded, walk = d.np.append(codes, d.np.zeros(200, d.np.uint8)), d.Walk(192, 5)
+    places = [d._places(size, 5, d.Params()) for size in (16, 64, 128)]
+    rows, hashes = walk.read(padded, at, 192, places)
+    for n, a in enumerate(at.tolist()):
+        i, seen = a, []
+        for j in range(192):
+            seen.append(padded[i])
+            i += int(walk.go[j][padded[i]])
+        assert rows[n].tolist() == seen
+        _, own = walk.read(padded, at[n : n + 1], 192, places)
+        assert all((h[:, n] == x[:, 0]).all() for h, x in zip(hashes, own, strict=True))
+
+
+def test_parts_of_pairs_and_blocks_find_the_same(spark, make_docs, monkeypatch, benchmark_items):
+    rnd = random.Random(19)
+    # lines of one sign, and of one word, meet many windows
+    same = [(90, "=" * 60 + " results of the first run " + "=" * 60), (91, "a b " * 60)]
+    docs = [(i, words(rnd, 30) + " " + edited(rnd, t, len(t) // 10) + " " + "=" * 500) for i, t in [*benchmark_items[:6], *same]]
+    docs.append((99, "a b " * 400))
+    index = d.Index([*benchmark_items, *same], d.Params())
+    found = d.find([t for _, t in docs], index)
+    assert all(rows for rows in found)
+    bench = spark.createDataFrame([*benchmark_items, *same], "item_id long, text string")
+    rows = {tuple(r) for r in d.matches(make_docs(docs), bench).collect()}
+    assert rows == {(i, index.ids[r[0]], *r[1:]) for (i, _), own in zip(docs, found, strict=True) for r in own}
+    monkeypatch.setattr(d, "_PAIRS", 5000)
+    monkeypatch.setattr(d, "_FOLLOWED", 500)
+    monkeypatch.setattr(d, "_TOGETHER", 100)
+    assert [sorted(x) for x in d.find([t for _, t in docs], d.Index([*benchmark_items, *same], d.Params()))] == [sorted(x) for x in found]
+    monkeypatch.setattr(d, "_WINDOWS", 200)
+    blocks = list(d._blocks(bench, d.Params()))
+    assert len(blocks) > 5 and sorted(i for b in blocks for i, _ in b) == [i for i, _ in [*benchmark_items, *same]]
+
+
+def test_clean_drops_passages_of_words_that_begin_alike(spark, make_docs):
+    rnd = random.Random(23)
+    items = [(pair, alike_words(rnd, pair, 40)) for pair in ("ae", "ce", "me", "st", "wo", "zu")]
+    docs = make_docs([(i, "before it " + t + " behind it") for i, (_, t) in enumerate(items)] + [(9, words(rnd, 200))])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert [r.doc_id for r in d.clean(docs, bench).collect()] == [9]
+    assert {(r.doc_id, r.item_id) for r in d.matches(docs, bench).collect()} == {(i, pair) for i, (pair, _) in enumerate(items)}
