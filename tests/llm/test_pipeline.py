@@ -76,3 +76,17 @@ def test_near_copies_from_four_fifths_of_the_five_word_shingles_go(spark, make_d
     assert likeness(rows[4][1], rows[6][1]) < 0.8
     out = corpus_pipeline.one_of_each_group(spark, make_docs(rows), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5, 6, 7]
+
+
+def test_decontamination_drops_items_wherever_their_words_begin(spark, make_docs, tmp_path):
+    rnd = random.Random(31)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    plain = ["".join(rnd.choice(han) for _ in range(90)) for _ in range(3)]
+    alike = [" ".join(pair + words(rnd, 1) for _ in range(60)) for pair in ("ae", "ce", "me", "st", "wo", "zu")]
+    items = [*plain, *alike]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(i, "".join(rnd.choice(han) for _ in range(60)) + t + "".join(rnd.choice(han) for _ in range(40))) for i, t in enumerate(plain)]
+    docs += [(10 + i, prose(rnd, "xx", 30) + " " + t + " " + prose(rnd, "xx", 30)) for i, t in enumerate(alike)]
+    docs += [(30, prose(rnd, "xx", 90)), (31, "".join(rnd.choice(han) for _ in range(300)))]
+    kept = corpus_pipeline.drop_benchmark_passages(spark, make_docs(docs), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [30, 31]
